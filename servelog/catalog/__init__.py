@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("clean", "joins", "placement", "locality")
+FAMILIES = ("sources", "clean", "joins", "placement", "locality", "metrics", "stats", "stateful")
 
 
 def _merged(attribute: str) -> dict:

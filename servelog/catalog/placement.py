@@ -161,6 +161,11 @@ stems AS (SELECT seq, coalesce(arg_max(c.chain_hash, depth) FILTER (s >= 3),
 SELECT win, seq, worker_id, rank FROM placed WHERE worker_id IS NOT NULL""",
     "policy_summary": sql.with_(*_base(("1.5",)), _SUMMARY),
     "cap_sweep": sql.with_(*_base(("1.0", "1.25", "1.5", "2.0", "Infinity")), _SUMMARY),
+    "eligible_placement": sql.with_(
+        sql.REQUEST_LOG, "fleet AS (SELECT * FROM (VALUES ('w0'), ('w1'), ('w3')) AS f(worker_id))",
+        sql.ring("fleet"), sql.preferences(_KEYS),
+        sql.placement(_ROWS, ("1.25",), (0, 40, 10), ("w0", "w1", "w3"))) + """
+SELECT win, seq, worker_id, rank FROM placed WHERE worker_id IS NOT NULL""",
     "backpressure_rows": sql.with_(*_base(("0.6",))) + """
 SELECT win, seq FROM placed WHERE worker_id IS NULL""",
     "per_worker_pivot": sql.with_(*_base(("1.5",)), _POLICIES) + """

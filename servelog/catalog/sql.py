@@ -87,16 +87,22 @@ def preferences(keys: str, ring_name: str = "ring", name: str = "pref") -> str:
         FROM {name}_keys, {ring_name} GROUP BY key, worker_id))"""
 
 
-def placement(rows: str, caps: tuple[str, ...], n: int = 4) -> str:
+def placement(rows: str, caps: tuple[str, ...], base: tuple[int, ...] = (0, 0, 0, 0),
+              ids: tuple[str, ...] = ("w0", "w1", "w2", "w3")) -> str:
     """CTE ``placed(cap_factor, win, seq, worker_id, rank)``; ``rows`` is a query
-    giving (win, seq, key), ``pref`` and ``ring`` are already defined."""
+    giving (win, seq, key), ``pref`` and ``ring`` are already defined. ``base`` is
+    the load each of the ``ids`` starts with."""
+    n = len(ids)
     values = ", ".join(f"('{c}'::DOUBLE)" for c in caps)
+    loads = ", ".join(f"('{w}', {b})" for w, b in zip(ids, base))
     out = [f"""
 place_rows AS (SELECT cap_factor, win, seq, key
   FROM ({rows}), (VALUES {values}) AS c(cap_factor)),
-place_room AS (SELECT cap_factor, win, CASE WHEN isinf(cap_factor) THEN 1e18
-    ELSE ceil(cap_factor * greatest(count(*) / {n}.0::DOUBLE, 1.0::DOUBLE)) END AS room
-  FROM place_rows GROUP BY cap_factor, win),
+place_room AS (SELECT cap_factor, win, worker_id, CASE WHEN isinf(cap_factor) THEN 1e18
+    ELSE greatest(ceil(cap_factor * greatest((c + {sum(base)}) / {n}.0::DOUBLE, 1.0::DOUBLE) - base), 0)
+    END AS room
+  FROM (SELECT cap_factor, win, count(*) AS c FROM place_rows GROUP BY cap_factor, win),
+    (VALUES {loads}) AS b(worker_id, base)),
 left_1 AS (SELECT * FROM place_rows)"""]
     for r in range(1, n + 1):
         taken = " UNION ALL ".join(
@@ -109,6 +115,7 @@ try_{r} AS (SELECT l.*, p.worker_id, m.room - coalesce(u.u, 0) AS room,
     row_number() OVER (PARTITION BY l.cap_factor, l.win, p.worker_id ORDER BY l.seq) AS rn
   FROM left_{r} l JOIN pref p ON p.key = l.key AND p.rank = {r}
   JOIN place_room m ON m.cap_factor = l.cap_factor AND m.win = l.win
+    AND m.worker_id = p.worker_id
   LEFT JOIN {used} u ON u.cap_factor = l.cap_factor AND u.win = l.win
     AND u.worker_id = p.worker_id),
 took_{r} AS (SELECT cap_factor, win, seq, worker_id, {r} AS rank FROM try_{r} WHERE rn <= room),

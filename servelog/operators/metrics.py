@@ -256,7 +256,9 @@ def status_lifecycle(events: DataFrame, job: str = "job_id", status: str = "stat
     event of the job; the share of ``error`` is the error rate."""
     rows = sliced_lead(events, [job], [ts_us, seq], F.floor(F.col(ts_us) / slice_us),
                        [ts_us], "__next")
-    stay = (F.col(f"__next.{ts_us}") - F.col(ts_us)) / 1000.0
-    per = rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"), F.avg(stay).alias("mean_ms_in_status"))
+    stay = F.col(f"__next.{ts_us}") - F.col(ts_us)
+    # Whole microseconds are summed, so the mean does not depend on row order.
+    per = rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"), (
+        F.sum(stay) / F.count(stay) / 1000.0).alias("mean_ms_in_status"))
     # One row per status value.
     return per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))

@@ -72,9 +72,13 @@ def decode_kafka_requests(raw: DataFrame) -> DataFrame:
     return with_request_defaults(raw.select(fields.alias("r")).select("r.*"))
 
 
-def read_calibration(spark: SparkSession, path: str) -> DataFrame:
-    """Measurement JSON -> its scalars and one (x, y) row per sample."""
-    raw = spark.read.schema(schemas.CALIBRATION).option("multiLine", True).json(path)
+def read_calibration(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Measurement JSON -> its scalars and one (x, y) row per sample.
+
+    ``multi_line`` reads one pretty-printed record per file; without it files
+    hold a record per line and can be split.
+    """
+    raw = spark.read.schema(schemas.CALIBRATION).option("multiLine", multi_line).json(path)
     return (raw.withColumn("pair", F.explode("samples"))
             .withColumn("x", F.col("pair")[0]).withColumn("y", F.col("pair")[1])
             .drop("samples", "pair"))
