@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("sources", "clean", "joins", "placement", "locality", "metrics", "stats", "stateful")
+FAMILIES = ("sources", "clean", "joins", "placement", "locality", "metrics", "stats", "stateful",
+            "generate", "infer")
 
 
 def _merged(attribute: str) -> dict:

@@ -1,0 +1,78 @@
+"""Queries of 2I: synthetic logs, one request per row of the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from servelog.catalog import sql, views
+from servelog.catalog.common import r6
+from servelog.operators import generate
+
+
+def _ids(spark, sf_dir):
+    return views.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+
+
+def zipf_log(spark, sf_dir):
+    log = generate.zipf_log(_ids(spark, sf_dir), high_fraction=0.2)
+    return log.select("seq", "request_id", "prefix_rank", F.md5("input").alias("input_md5"),
+                      "priority", r6("gap_ms"), F.round("arrival_ms", 3).alias("arrival_ms"))
+
+
+def zipf_mass(spark, sf_dir):
+    """Observed share of every prefix rank beside the theoretical mass."""
+    seen = (generate.zipf_log(_ids(spark, sf_dir)).groupBy(F.col("prefix_rank").alias("rank"))
+            .agg(F.count(F.lit(1)).alias("drawn")))
+    law = generate.zipf_mass(spark)
+    return law.join(seen, "rank", "left").select(
+        "rank", F.coalesce("drawn", F.lit(0)).alias("drawn"), r6("pmf"), r6("cdf"))
+
+
+def branching_log(spark, sf_dir):
+    log = generate.branching_log(_ids(spark, sf_dir))
+    return log.select("seq", "branch", "leaf", F.array_join("path", ",").alias("path"))
+
+
+QUERIES = {f.__name__: f for f in (zipf_log, zipf_mass, branching_log)}
+
+
+def _u(salt):
+    return f"(('0x' || substr(md5('{salt}' || seq), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def _law(pool, skew=1.1, name="law"):
+    return f"""
+{name} AS (SELECT rank, pmf, sum(pmf) OVER (ORDER BY rank) AS cdf FROM (
+  SELECT rank, pow(rank, -{skew}::DOUBLE) / sum(pow(rank, -{skew}::DOUBLE)) OVER () AS pmf
+  FROM (SELECT i::DOUBLE AS rank FROM range(1, {pool + 1}) AS r(i))))"""
+
+
+_ZIPF = "ids AS (SELECT event_id AS seq FROM events)," + _law(256) + f""",
+us AS (SELECT seq, {_u('zipf-rank-')} AS u FROM ids),
+drawn AS (SELECT seq, least(coalesce(min(rank), 256), 256)::INTEGER AS prefix_rank
+  FROM us LEFT JOIN law ON cdf > u GROUP BY seq)"""
+
+_HEAD = "printf('You are assistant %d. Follow the policy of variant %d. ', prefix_rank, prefix_rank)"
+
+SQL = {
+    "zipf_log": "WITH " + _ZIPF + f""",
+gaps AS (SELECT seq, prefix_rank, -ln(1 - {_u('zipf-gap-')}) * (1000.0::DOUBLE / 240.0::DOUBLE) AS gap_ms,
+    CASE WHEN {_u('zipf-priority-')} < 0.2 THEN 'high' ELSE 'default' END AS priority,
+    substr(repeat({_HEAD}, 17), 1, 800) || substr(md5('zipf-suffix-0-' || seq)
+      || md5('zipf-suffix-1-' || seq), 1, 48) AS input FROM drawn)
+SELECT seq, printf('req-%08d', seq) AS request_id, prefix_rank, md5(input) AS input_md5, priority,
+  round(gap_ms, 6) AS gap_ms,
+  round(sum(gap_ms) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING), 3) AS arrival_ms FROM gaps""",
+    "zipf_mass": "WITH " + _ZIPF + """
+SELECT rank::BIGINT AS rank, count(seq) AS drawn, round(any_value(pmf), 6) AS pmf,
+  round(any_value(cdf), 6) AS cdf FROM law LEFT JOIN drawn ON prefix_rank = rank GROUP BY rank""",
+    "branching_log": "WITH ids AS (SELECT event_id AS seq FROM events)," + _law(12) + f""",
+us AS (SELECT seq, {_u('branch-rank-')} AS u,
+    least(floor({_u('branch-leaf-')} * 8), 7)::INTEGER AS leaf FROM ids),
+drawn AS (SELECT seq, leaf, (least(coalesce(min(rank), 12), 12) - 1)::INTEGER AS branch
+  FROM us LEFT JOIN law ON cdf > u GROUP BY seq, leaf)
+SELECT seq, branch, leaf, concat_ws(',', md5('shared-root'),
+  md5(printf('branch%d-d0', branch)), md5(printf('branch%d-d1', branch)),
+  md5(printf('branch%d-d2', branch)), md5(printf('branch%d-d3', branch)),
+  md5(printf('branch%d-leaf%d-%d', branch, leaf, seq % 8))) AS path FROM drawn""",
+}

@@ -9,7 +9,7 @@ from servelog.catalog.common import r6
 from servelog.operators import stateful
 from servelog.streaming import metrics as stream_metrics
 from servelog.streaming import stateful as streams
-from servelog.streaming.run import drain
+from servelog.streaming.run import arrival_slices, replay
 
 RPS, BURST = 1 / 14400, 3.0
 DAY_US = views.DAY_US
@@ -82,66 +82,75 @@ def assemble_tokens(spark, sf_dir):
     return stateful.assemble_tokens(views.token_log(spark, sf_dir), slice_rows=3)
 
 
-# --- streams: the same rows through Structured Streaming ----------------------
+# --- streams: the same rows, arriving in slices --------------------------------
 
-def _stream(spark, df, name):
-    """``df`` as a file stream read from a table in the shared folder."""
-    return spark.readStream.schema(df.schema).parquet(views.saved(df, name))
+def _by_seq(rows):
+    return arrival_slices(rows, "seq", 3)
 
 
 def stream_token_bucket(spark, sf_dir):
-    rows = _stream(spark, _bucket_rows(spark, sf_dir).coalesce(1), "bucket-in")
-    got = drain(streams.stream_token_bucket(rows, "api_key", RPS, BURST), "bucket")
+    rows = _bucket_rows(spark, sf_dir)
+    got = replay([rows], _by_seq(rows),
+                 lambda s: streams.stream_token_bucket(s, "api_key", RPS, BURST), "bucket")
     return got.select("api_key", "seq", "allowed", r6("tokens"), r6("retry_after_s"))
 
 
 def stream_idempotent(spark, sf_dir):
     rows = views.request_log(spark, sf_dir).select("idem_key", "seq", "ts", "ts_us", "request_id")
-    stream = _stream(spark, rows.coalesce(1), "idem-in")
-    return drain(streams.stream_idempotent(stream, "idem_key", DAY_US), "idem")
+    return replay([rows], _by_seq(rows),
+                  lambda s: streams.stream_idempotent(s, "idem_key", DAY_US), "idem")
 
 
 def stream_batches(spark, sf_dir):
     """Batches closed by the time the log ends; a pending one waits for its timer."""
     rows = views.request_log(spark, sf_dir).select("model", "seq", "ts", "ts_us", "priority")
-    stream = _stream(spark, rows.coalesce(1), "batches-in")
-    return drain(streams.stream_batches(stream, "model", 8, BUDGETS_MS), "batches")
+    return replay([rows], _by_seq(rows),
+                  lambda s: streams.stream_batches(s, "model", 8, BUDGETS_MS), "batches")
 
 
 def stream_job_state(spark, sf_dir):
-    stream = _stream(spark, views.job_events(spark, sf_dir).coalesce(1), "jobs-in")
-    return drain(streams.stream_job_state(stream, JOB_TTL_US), "jobs", "update").select(
-        "job_id", "created_us", "updated_us", "status")
+    rows = views.job_events(spark, sf_dir)
+    got = replay([rows], _by_seq(rows), lambda s: streams.stream_job_state(s, 60 * DAY_US),
+                 "jobs", "update")
+    last = F.max(F.struct("updated_us", "created_us", "status")).alias("j")
+    return got.groupBy("job_id").agg(last).select("job_id", "j.*")
 
 
 def stream_tokens(spark, sf_dir):
-    stream = _stream(spark, views.token_log(spark, sf_dir).coalesce(1), "tokens-in")
-    return drain(streams.stream_tokens(stream), "tokens")
+    rows = views.token_log(spark, sf_dir)
+    return replay([rows], arrival_slices(rows, "seq", 2), streams.stream_tokens, "tokens")
 
 
 def streaming_metrics(spark, sf_dir):
-    rows = views.request_log(spark, sf_dir).select("ts", "status", "queue_wait_ms", "total_ms")
-    stream = _stream(spark, rows.coalesce(1), "metrics-in")
-    got = drain(stream_metrics.streaming_metrics(stream, "0 seconds", "1 day"), "metrics")
+    rows = views.request_log(spark, sf_dir).select("seq", "ts", "status", "queue_wait_ms", "total_ms")
+    got = replay([rows], _by_seq(rows),
+                 lambda s: stream_metrics.streaming_metrics(s, "0 seconds", "1 day"), "metrics")
     return got.select(F.unix_micros("window_start").alias("window_us"), "status", "n", r6("rate"),
                       r6("mean_queue_wait_ms"), r6("max_queue_wait_ms"), r6("mean_total_ms"))
 
 
+def streaming_liveness(spark, sf_dir):
+    rows = _beats(spark, sf_dir).withColumn("seq", F.floor(F.col("ts_us") / 3_600_000_000))
+    got = replay([rows], _by_seq(rows),
+                 lambda s: stream_metrics.streaming_sessions(s, "12 hours", "0 seconds"), "lives")
+    return got.select("worker_id", "up_from_us", "up_until_us", "beats")
+
+
 def stream_unacked(spark, sf_dir):
     rows = views.request_log(spark, sf_dir)
     sent = rows.select("request_id", "seq", F.col("ts").alias("delivered_at"))
     late = F.col("ts") + F.make_dt_interval(mins=F.col("prefix_id"))
-    acks = rows.where("prefix_id % 2 = 0").select("request_id", late.alias("acked_at"))
-    got = streams.stream_unacked(_stream(spark, sent.coalesce(1), "sent"),
-                                 _stream(spark, acks.coalesce(1), "acks"), "30 minutes")
-    return drain(got, "unacked").select("request_id", "seq")
+    acks = rows.where("prefix_id % 2 = 0").select("request_id", "seq", late.alias("acked_at"))
+    got = replay([sent, acks], _by_seq(sent),
+                 lambda d, a: streams.stream_unacked(d, a, "30 minutes"), "unacked")
+    return got.select("request_id", "seq")
 
 
 QUERIES = {f.__name__: f for f in (
     token_bucket, token_bucket_hot_key, idempotent, idempotent_hot_key, size_or_deadline_batches,
     worker_liveness, active_workers, job_state, assemble_tokens, stream_token_bucket,
     stream_idempotent, stream_batches, stream_job_state, stream_tokens, streaming_metrics,
-    stream_unacked)}
+    streaming_liveness, stream_unacked)}
 
 
 def _bucket_sql(key, den, burst, columns):
@@ -238,4 +247,20 @@ SELECT job_id, coalesce(string_agg(token, '' ORDER BY seq) FILTER (NOT final), '
     "stream_tokens": sql.with_(sql.TOKEN_LOG) + """
 SELECT job_id, coalesce(string_agg(token, '' ORDER BY seq) FILTER (NOT final), '') AS text,
   count(*) FILTER (NOT final) AS n_tokens FROM token_log GROUP BY job_id""",
+    "stream_batches": _BATCH_FOLD + """
+SELECT model, seq, first_seq, trigger, closed_us, slot FROM answer
+WHERE over OR closed_us <= (SELECT max(epoch_us(ts)) FROM events)""",
+    "streaming_metrics": sql.with_(sql.REQUEST_LOG) + """
+SELECT ts_us // 86400000000 * 86400000000 AS window_us, status, count(*) AS n,
+  round(count(*) / 86400.0::DOUBLE, 6) AS rate, round(avg(queue_wait_ms), 6) AS mean_queue_wait_ms,
+  round(max(queue_wait_ms), 6) AS max_queue_wait_ms, round(avg(total_ms), 6) AS mean_total_ms
+FROM request_log WHERE (ts_us // 86400000000 + 1) * 86400000000
+  <= (SELECT max(epoch_us(ts)) FROM events) GROUP BY 1, 2""",
+    "streaming_liveness": sql.with_(_LIVES) + """
+SELECT * FROM lives WHERE up_until_us <= (SELECT max(epoch_us(ts)) FROM events)""",
+    "stream_unacked": sql.with_(sql.REQUEST_LOG) + """
+SELECT request_id, seq FROM request_log
+WHERE NOT (prefix_id % 2 = 0 AND prefix_id < 30)
+  AND ts_us + 1800000000 <= (SELECT least(max(ts_us),
+    max(ts_us + prefix_id::BIGINT * 60000000) FILTER (prefix_id % 2 = 0)) FROM request_log)""",
 }

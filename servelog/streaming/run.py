@@ -1,16 +1,18 @@
-"""Drive a streaming plan to the end of the data that is there now."""
+"""Drive streaming plans to the end of the data that is there now."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from servelog.session import scratch_path
 
+ROWS_PER_BATCH = 20_000_000
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run with ``availableNow`` into a table in the shared folder; read it back."""
-    spark: SparkSession = stream.sparkSession
-    out, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+
+def _run(stream: DataFrame, out: str, checkpoint: str, mode: str) -> None:
     writer = stream.writeStream.option("checkpointLocation", checkpoint)
     if mode == "append":
         writer = writer.outputMode("append").format("parquet").option("path", out)
@@ -19,7 +21,44 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
             # Rewriting an epoch's own folder makes a retry harmless.
             batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         writer = writer.outputMode(mode).foreachBatch(save)
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
-    # An epoch-partitioned folder and a plain one read alike.
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run with ``availableNow`` into a table in the shared folder; read it back."""
+    spark: SparkSession = stream.sparkSession
+    out = scratch_path(spark, name)
+    _run(stream, out, scratch_path(spark, f"{name}-checkpoint"), mode)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def arrival_slices(df: DataFrame, order: str, at_least: int = 2,
+                   rows: int = ROWS_PER_BATCH) -> list[Column]:
+    """Predicates cutting ``df`` along ``order`` into micro-batches of bounded size."""
+    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("z"),
+                  F.count(F.lit(1)).alias("n")).first()
+    if not ends["n"]:
+        return [F.lit(True)]
+    parts = max(at_least, -(-ends["n"] // rows))
+    width = -(-(ends["z"] - ends["a"] + 1) // parts)
+    marks = [ends["a"] + i * width for i in range(parts)]
+    return [(F.col(order) >= mark) & (F.col(order) < mark + width) for mark in marks]
+
+
+def replay(inputs: Sequence[DataFrame], slices: Sequence[Column],
+           plan: Callable[..., DataFrame], name: str, mode: str = "append") -> DataFrame:
+    """Feed tables to a stream as they would arrive, one slice per micro-batch.
+
+    Each slice is appended to the input folders and processed with the same
+    checkpoint, so state carries over and no micro-batch holds the whole log.
+    """
+    spark = inputs[0].sparkSession
+    folders = [scratch_path(spark, f"{name}-in{i}") for i, _ in enumerate(inputs)]
+    out, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    for part in slices:
+        for df, folder in zip(inputs, folders):
+            df.where(part).write.mode("append").parquet(folder)
+        stream = plan(*[spark.readStream.schema(df.schema).parquet(folder)
+                        for df, folder in zip(inputs, folders)])
+        _run(stream, out, checkpoint, mode)
     return spark.read.schema(stream.schema).parquet(out)
