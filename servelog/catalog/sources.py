@@ -54,12 +54,12 @@ def read_request_stream(spark, sf_dir):
 
 
 def read_calibration(spark, sf_dir):
-    """Measurement files with nested [x, y] pairs: one record per key and day."""
+    """Measurement records with nested [x, y] pairs, at most 500 pairs each."""
     log = views.request_log(spark, sf_dir)
     pair = F.array(F.col("prompt_tokens").cast("double"), F.col("inference_ms"))
-    runs = log.groupBy(F.concat_ws("/", F.col("api_key").cast("string"),
-                                   F.floor(F.col("ts_us") / views.DAY_US).cast("string"))
-                       .alias("model")).agg(F.collect_list(pair).alias("samples"))
+    run = F.concat_ws("/", "model", F.floor(F.col("seq") / 500).cast("string"))
+    runs = log.groupBy(run.alias("run")).agg(F.collect_list(pair).alias("samples"))
+    runs = runs.withColumnRenamed("run", "model")
     path = views.saved(runs.withColumn("source", F.lit("log")), "calibration", "json")
     return readers.read_calibration(spark, path, multi_line=False).select("model", "x", "y")
 
@@ -101,7 +101,7 @@ SELECT printf('req-%08d', doc_id) AS request_id,
   1.0::DOUBLE AS top_p, false AS stream,
   CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'default' END AS priority FROM documents""",
     "read_calibration": sql.with_(sql.REQUEST_LOG) + """
-SELECT api_key || '/' || (ts_us // 86400000000) AS model, prompt_tokens::DOUBLE AS x,
+SELECT model || '/' || (seq // 500) AS model, prompt_tokens::DOUBLE AS x,
   inference_ms AS y FROM request_log""",
     "write_sweep_csv": sql.with_(sql.REQUEST_LOG) + """
 SELECT model, status, count(*) AS n, round(quantile_cont(total_ms, 0.5), 6) AS p50,

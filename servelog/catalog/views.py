@@ -53,7 +53,9 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workers(spark: SparkSession) -> DataFrame:
     """The fleet: configuration of the placement queries."""
-    return spark.createDataFrame(list(WORKERS), "worker_id string, models array<string>")
+    rows = [F.struct(F.lit(w).alias("worker_id"), F.array(*map(F.lit, models)).alias("models"))
+            for w, models in WORKERS]
+    return prepare(spark).range(1, numPartitions=1).select(F.inline(F.array(*rows)))
 
 
 def supplier_registry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,6 @@ def longest_prefix_match(chains: DataFrame, paths: DataFrame,
     if eligible is not None and is_eligible is not None:
         eligible = eligible.where(is_eligible)
     owners = path_owners(paths, eligible).select("chain_hash", "worker_id")
-    # Requests with one and the same text ask once per distinct deepest hash.
     return (chains.join(owners, "chain_hash")
             .groupBy(key).agg(F.max(F.struct("depth", "worker_id")).alias("m"))
             .select(key, F.col("m.worker_id").alias("worker_id"),

@@ -36,10 +36,8 @@ def fleet(workers: DataFrame, load: Column | None = None) -> list[tuple[str, flo
     return sorted((r["worker_id"], r["load"]) for r in rows)
 
 
-def _room(df: DataFrame, caps: Sequence[float], workers: DataFrame,
-          load: Column | None) -> DataFrame:
+def _room(df: DataFrame, caps: Sequence[float], base: list[tuple[str, float]]) -> DataFrame:
     """(cap_factor, win, worker_id, room): rows each worker may take."""
-    base = fleet(workers, load)
     n, total = len(base), sum(b for _, b in base)
     cap = F.col("cap_factor") * F.greatest(
         (F.col("n_rows") + F.lit(total)) / F.lit(n), F.lit(1.0))
@@ -53,30 +51,34 @@ def _room(df: DataFrame, caps: Sequence[float], workers: DataFrame,
             .select(*_GROUP, "worker_id", left.cast("long").alias("room")))
 
 
-def _thresholds(candidates: DataFrame, room: DataFrame) -> DataFrame:
-    """(cap_factor, win, worker_id, last_seq, taken) for one round."""
+def _limits(candidates: DataFrame, room: DataFrame) -> DataFrame:
+    """(cap_factor, win, worker_id, last_seq, room, overflow) after one round.
+
+    ``last_seq`` is the last candidate that fits, ``room`` what is left then.
+    """
     who = [*_GROUP, "worker_id"]
     upto = Window.partitionBy(*who).orderBy("slice")
-    per_slice = (candidates.groupBy(*who, "slice").agg(F.count(F.lit(1)).alias("c"))
-                 .withColumn("end", F.sum("c").over(upto))
-                 .join(room, who))
-    total = per_slice.groupBy(*who, "room").agg(F.sum("c").alias("total"))
-    edge = (per_slice.where((F.col("end") - F.col("c") < F.col("room"))
-                            & (F.col("end") > F.col("room")))
-            .select(*who, "slice", (F.col("room") - F.col("end") + F.col("c")).alias("fits")))
-    full_end = (per_slice.where(F.col("end") == F.col("room"))
-                .select(*who, "slice", F.lit(None).cast("long").alias("fits")))
-    cut_rows = (candidates.join(edge.unionByName(full_end), [*who, "slice"])
-                .withColumn("rn", F.row_number().over(
-                    Window.partitionBy(*who, "slice").orderBy("seq")))
-                .where(F.col("fits").isNull() | (F.col("rn") <= F.col("fits")))
-                .groupBy(*who).agg(F.max("seq").alias("last_seq")))
-    return (total.join(cut_rows, who, "left")
+    # Sliding sums over one aggregated row per slice.
+    per_slice = (candidates.groupBy(*who, "slice")
+                 .agg(F.count(F.lit(1)).alias("c"), F.max("seq").alias("slice_end"))
+                 .withColumn("end", F.sum("c").over(upto)).join(room, who))
+    fills = (F.col("end") - F.col("c") < F.col("room")) & (F.col("end") > F.col("room"))
+    totals = per_slice.groupBy(*who).agg(
+        F.sum("c").alias("total"),
+        F.max(F.when(F.col("end") <= F.col("room"), F.col("slice_end"))).alias("whole_slices"))
+    # Only the slice in which a worker fills up is ranked row by row.
+    edge = per_slice.where(fills).select(
+        *who, "slice", (F.col("room") - F.col("end") + F.col("c")).alias("fits"))
+    by_seq = Window.partitionBy(*who, "slice").orderBy("seq")
+    partly = (candidates.select(*who, "slice", "seq").join(edge, [*who, "slice"])
+              .withColumn("rn", F.row_number().over(by_seq)).where(F.col("rn") <= F.col("fits"))
+              .groupBy(*who).agg(F.max("seq").alias("partial_end")))
+    total = F.coalesce("total", F.lit(0))
+    return (room.join(totals, who, "left").join(partly, who, "left")
             .select(*who,
-                    F.when(F.col("total") <= F.col("room"), F.lit(2 ** 62))
-                    .otherwise(F.coalesce("last_seq", F.lit(-1))).alias("last_seq"),
-                    F.least("total", "room").alias("taken"),
-                    (F.col("total") > F.col("room")).alias("overflow")))
+                    F.coalesce("partial_end", "whole_slices", F.lit(-1)).alias("last_seq"),
+                    (F.col("room") - F.least(total, "room")).alias("room"),
+                    (total > F.col("room")).alias("overflow")))
 
 
 def place(df: DataFrame, key: str | Column, workers: DataFrame,
@@ -91,31 +93,30 @@ def place(df: DataFrame, key: str | Column, workers: DataFrame,
     """
     if eligible is not None:
         workers = workers.where(eligible)
-    ring = ring_table(workers, vnodes)
-    base = df.withColumn("win", window)
-    room = cut(_room(base, caps, workers, load))
+    base = fleet(workers, load)
+    ids = F.explode(F.array(*[F.lit(w) for w, _ in base])).alias("worker_id")
+    ring = ring_table(df.sparkSession.range(1, numPartitions=1).select(ids), vnodes)
     prefs = cut(arc_preferences(ring))
+    rows = df.withColumn("win", window)
+    room = _room(rows, caps, base)
     spread = F.explode(F.array(*[F.lit(float(c)) for c in caps]))
-    left = (locate(base, ring, key)
+    left = (locate(rows, ring, key, len(base) * vnodes)
             .select("win", "seq", "arc", dense_slice("seq", slice_rows).alias("slice"))
             .withColumn("cap_factor", spread))
     done, who = [], [*_GROUP, "worker_id"]
-    for rank in range(1, workers.count() + 1):
+    for rank in range(1, len(base) + 1):
         choice = prefs.where(F.col("rank") == rank).select("arc", "worker_id")
+        # Round 1 reads the log itself; later rounds only what was left over.
         candidates = left.join(choice, "arc")
-        if rank == 1:
-            candidates = cut(candidates)
-        limits = cut(_thresholds(candidates, room))
+        limits = cut(_limits(candidates, room))
         decided = candidates.join(limits.select(*who, "last_seq"), who)
         done.append(decided.where(F.col("seq") <= F.col("last_seq"))
                     .select(*_GROUP, "seq", "worker_id", F.lit(rank).alias("rank")))
-        left = decided.where(F.col("seq") > F.col("last_seq")).drop("worker_id", "last_seq")
         if limits.where("overflow").isEmpty():
             left = None
             break
-        left = cut(left)
-        room = cut(room.join(limits.select(*who, "taken"), who, "left")
-                   .select(*who, (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")))
+        left = cut(decided.where(F.col("seq") > F.col("last_seq")).drop("worker_id", "last_seq"))
+        room = limits.select(*who, "room")
     if left is not None:
         done.append(left.select(*_GROUP, "seq", F.lit(None).cast("string").alias("worker_id"),
                                 F.lit(None).cast("int").alias("rank")))

@@ -64,11 +64,13 @@ def _pieces(arcs: DataFrame) -> DataFrame:
     return arcs.withColumn("bucket", F.explode(F.sequence(first, last)))
 
 
-def locate(keys: DataFrame, ring: DataFrame, key: str | Column = "key") -> DataFrame:
+def locate(keys: DataFrame, ring: DataFrame, key: str | Column = "key",
+           ring_rows: int | None = None) -> DataFrame:
     """Add ``arc`` and the owner's ``worker_id`` to rows; no shuffle of ``keys``
-    while the arc table is small enough to broadcast."""
+    while the arc table, whose size is known or counted, is small enough to
+    broadcast."""
     pieces = _pieces(ring_arcs(ring))
-    if ring.count() <= _BROADCAST_ROWS:
+    if (ring.count() if ring_rows is None else ring_rows) <= _BROADCAST_ROWS:
         pieces = F.broadcast(pieces)
     rows = (keys.withColumn("__pos", ring_position(key))
             .withColumn("bucket", ring_bucket("__pos")))

@@ -21,7 +21,15 @@ def _run(stream: DataFrame, out: str, checkpoint: str, mode: str) -> None:
             # Rewriting an epoch's own folder makes a retry harmless.
             batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         writer = writer.outputMode(mode).foreachBatch(save)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    # AQE does not coalesce the shuffle of a stateful query, and its number of
+    # state partitions is fixed for good: one per core unless fewer are asked for.
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, min(int(before), stream.sparkSession.sparkContext.defaultParallelism))
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(name, before)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
