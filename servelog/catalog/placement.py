@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from servelog.catalog import sql, views
 from servelog.catalog.common import r6
-from servelog.functions.keys import prefix_key
 from servelog.operators import locality, metrics, placement
+from servelog.session import cut
 
 INF = placement.UNBOUNDED
 SWEEP = (1.0, 1.25, 1.5, 2.0, INF)
@@ -36,7 +36,7 @@ def shared_stem_keys(spark, sf_dir):
 
 def stem_placement(spark, sf_dir):
     """Whole documents placed by their shared stem, 100 documents per window."""
-    stems = placement.shared_stem_key(views.prompt_chains(spark, sf_dir), 3)
+    stems = cut(placement.shared_stem_key(views.prompt_chains(spark, sf_dir), 3))
     placed = placement.bounded_load_assign(stems, "stem_key", views.workers(spark), 1.5,
                                            F.floor(F.col("seq") / 100).cast("long"))
     return placed.select("win", "seq", "worker_id", "rank")

@@ -104,17 +104,14 @@ def apply_transfer(pieces: Pieces, tokens: int) -> int:
 
 # --- idempotency window -----------------------------------------------------
 
-def open_windows(ts_us: Sequence[int], ids: Sequence[str], ttl_us: int,
-                 opened: tuple[int, str] | None = None):
-    """Per row (original id, duplicate) and the window left open at the end."""
-    out = []
-    for ts, rid in zip(ts_us, ids):
-        if opened is None or ts >= opened[0] + ttl_us:
-            opened = (int(ts), rid)
-            out.append((rid, False))
-        else:
-            out.append((opened[1], True))
-    return out, opened
+Window = tuple[int, str]
+
+
+def enter_window(ts: int, row_id: str, ttl_us: int, opened: Window | None) -> tuple[Window, bool]:
+    """(window the row falls in, whether it is a duplicate of that window's row)."""
+    if opened is None or ts >= opened[0] + ttl_us:
+        return (ts, row_id), False
+    return opened, True
 
 
 # --- size-or-deadline batches -----------------------------------------------

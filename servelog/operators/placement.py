@@ -36,49 +36,53 @@ def fleet(workers: DataFrame, load: Column | None = None) -> list[tuple[str, flo
     return sorted((r["worker_id"], r["load"]) for r in rows)
 
 
-def _room(df: DataFrame, caps: Sequence[float], base: list[tuple[str, float]]) -> DataFrame:
-    """(cap_factor, win, worker_id, room): rows each worker may take."""
+_WHO = [*_GROUP, "worker_id"]
+
+
+def _counts(candidates: DataFrame) -> DataFrame:
+    """Rows asking for each worker, per slice: pre-aggregated map-side."""
+    return candidates.groupBy(*_WHO, "slice").agg(F.count(F.lit(1)).alias("c"),
+                                                  F.max("seq").alias("slice_end"))
+
+
+def _room(counts: DataFrame, base: list[tuple[str, float]]) -> DataFrame:
+    """(cap_factor, win, worker_id, room): rows each worker may take, from the
+    first round's counts, in which every row of the log asks once."""
     n, total = len(base), sum(b for _, b in base)
-    cap = F.col("cap_factor") * F.greatest(
-        (F.col("n_rows") + F.lit(total)) / F.lit(n), F.lit(1.0))
+    cap = F.col("cap_factor") * F.greatest((F.col("n_rows") + F.lit(total)) / F.lit(n), F.lit(1.0))
     left = F.when(F.col("cap_factor") == UNBOUNDED, F.lit(2 ** 62)).otherwise(
         F.greatest(F.ceil(cap - F.col("base")), F.lit(0)))
     offers = F.array(*[F.struct(F.lit(w).alias("worker_id"), F.lit(b).alias("base"))
                        for w, b in base])
-    return (df.groupBy("win").agg(F.count(F.lit(1)).alias("n_rows"))
-            .withColumn("cap_factor", F.explode(F.array(*[F.lit(float(c)) for c in caps])))
-            .select("*", F.inline(offers))
-            .select(*_GROUP, "worker_id", left.cast("long").alias("room")))
+    return (counts.groupBy(*_GROUP).agg(F.sum("c").alias("n_rows"))
+            .select("*", F.inline(offers)).select(*_WHO, left.cast("long").alias("room")))
 
 
-def _limits(candidates: DataFrame, room: DataFrame) -> DataFrame:
-    """(cap_factor, win, worker_id, last_seq, room, overflow) after one round.
+def _standing(counts: DataFrame, room: DataFrame) -> DataFrame:
+    """(cap_factor, win, worker_id, room, total) of every worker of the fleet."""
+    totals = counts.groupBy(*_WHO).agg(F.sum("c").alias("total"))
+    return (room.join(totals, _WHO, "left")
+            .select(*_WHO, "room", F.coalesce("total", F.lit(0)).alias("total")))
 
-    ``last_seq`` is the last candidate that fits, ``room`` what is left then.
-    """
-    who = [*_GROUP, "worker_id"]
-    upto = Window.partitionBy(*who).orderBy("slice")
-    # Sliding sums over one aggregated row per slice.
-    per_slice = (candidates.groupBy(*who, "slice")
-                 .agg(F.count(F.lit(1)).alias("c"), F.max("seq").alias("slice_end"))
-                 .withColumn("end", F.sum("c").over(upto)).join(room, who))
-    fills = (F.col("end") - F.col("c") < F.col("room")) & (F.col("end") > F.col("room"))
-    totals = per_slice.groupBy(*who).agg(
-        F.sum("c").alias("total"),
+
+def _limits(candidates: DataFrame, counts: DataFrame, standing: DataFrame) -> DataFrame:
+    """(cap_factor, win, worker_id, last_seq, room): the last candidate that fits
+    and the room left after it. Only the slice in which a worker fills up is read
+    and ranked row by row."""
+    upto = Window.partitionBy(*_WHO).orderBy("slice")
+    ends = counts.withColumn("end", F.sum("c").over(upto)).join(standing, _WHO)
+    whole = ends.groupBy(*_WHO).agg(
         F.max(F.when(F.col("end") <= F.col("room"), F.col("slice_end"))).alias("whole_slices"))
-    # Only the slice in which a worker fills up is ranked row by row.
-    edge = per_slice.where(fills).select(
-        *who, "slice", (F.col("room") - F.col("end") + F.col("c")).alias("fits"))
-    by_seq = Window.partitionBy(*who, "slice").orderBy("seq")
-    partly = (candidates.select(*who, "slice", "seq").join(edge, [*who, "slice"])
+    fills = (F.col("end") - F.col("c") < F.col("room")) & (F.col("end") > F.col("room"))
+    edge = ends.where(fills).select(
+        *_WHO, "slice", (F.col("room") - F.col("end") + F.col("c")).alias("fits"))
+    by_seq = Window.partitionBy(*_WHO, "slice").orderBy("seq")
+    partly = (candidates.select(*_WHO, "slice", "seq").join(edge, [*_WHO, "slice"])
               .withColumn("rn", F.row_number().over(by_seq)).where(F.col("rn") <= F.col("fits"))
-              .groupBy(*who).agg(F.max("seq").alias("partial_end")))
-    total = F.coalesce("total", F.lit(0))
-    return (room.join(totals, who, "left").join(partly, who, "left")
-            .select(*who,
-                    F.coalesce("partial_end", "whole_slices", F.lit(-1)).alias("last_seq"),
-                    (F.col("room") - F.least(total, "room")).alias("room"),
-                    (total > F.col("room")).alias("overflow")))
+              .groupBy(*_WHO).agg(F.max("seq").alias("partial_end")))
+    return (standing.join(whole, _WHO, "left").join(partly, _WHO, "left")
+            .select(*_WHO, F.coalesce("partial_end", "whole_slices", F.lit(-1)).alias("last_seq"),
+                    (F.col("room") - F.least("total", "room")).alias("room")))
 
 
 def place(df: DataFrame, key: str | Column, workers: DataFrame,
@@ -98,25 +102,27 @@ def place(df: DataFrame, key: str | Column, workers: DataFrame,
     ring = ring_table(df.sparkSession.range(1, numPartitions=1).select(ids), vnodes)
     prefs = cut(arc_preferences(ring))
     rows = df.withColumn("win", window)
-    room = _room(rows, caps, base)
     spread = F.explode(F.array(*[F.lit(float(c)) for c in caps]))
     left = (locate(rows, ring, key, len(base) * vnodes)
             .select("win", "seq", "arc", dense_slice("seq", slice_rows).alias("slice"))
             .withColumn("cap_factor", spread))
-    done, who = [], [*_GROUP, "worker_id"]
+    done, room = [], None
     for rank in range(1, len(base) + 1):
         choice = prefs.where(F.col("rank") == rank).select("arc", "worker_id")
         # Round 1 reads the log itself; later rounds only what was left over.
         candidates = left.join(choice, "arc")
-        limits = cut(_limits(candidates, room))
-        decided = candidates.join(limits.select(*who, "last_seq"), who)
-        done.append(decided.where(F.col("seq") <= F.col("last_seq"))
-                    .select(*_GROUP, "seq", "worker_id", F.lit(rank).alias("rank")))
-        if limits.where("overflow").isEmpty():
+        counts = cut(_counts(candidates))
+        standing = _standing(counts, _room(counts, base) if room is None else room)
+        if standing.where(F.col("total") > F.col("room")).isEmpty():
+            done.append(candidates.select(*_GROUP, "seq", "worker_id", F.lit(rank).alias("rank")))
             left = None
             break
+        limits = cut(_limits(candidates, counts, standing))
+        decided = candidates.join(limits.select(*_WHO, "last_seq"), _WHO)
+        done.append(decided.where(F.col("seq") <= F.col("last_seq"))
+                    .select(*_GROUP, "seq", "worker_id", F.lit(rank).alias("rank")))
         left = cut(decided.where(F.col("seq") > F.col("last_seq")).drop("worker_id", "last_seq"))
-        room = limits.select(*who, "room")
+        room = limits.select(*_WHO, "room")
     if left is not None:
         done.append(left.select(*_GROUP, "seq", F.lit(None).cast("string").alias("worker_id"),
                                 F.lit(None).cast("int").alias("rank")))

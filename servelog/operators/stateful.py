@@ -9,7 +9,7 @@ slice is then folded on its own from its known start state.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from servelog.functions import steps
 from servelog.operators.clean import BUDGETS_MS
+from servelog.plans.folds import fold_sorted
 from servelog.plans.sliced import dense_slice, sliced_lag, sliced_row_number
 from servelog.session import cut
 
@@ -52,25 +53,28 @@ def token_bucket(df: DataFrame, key: str, rps: float, burst: float, cost: float
     full = cut(_full_cells(placed, key, fold_rows))
     start = _bucket_starts(placed, full, key, rate)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        first = pdf["__start"].iloc[0]
-        tokens = rate.burst if pd.isna(first) else int(first)
-        allowed, left, retry = [], [], []
-        for gap in pdf["__gap"].tolist():
-            ok, tokens, wait = steps.take_token(tokens, gap, rate)
-            allowed.append(ok)
-            left.append(tokens)
-            retry.append(wait)
-        pdf = pdf.drop(columns=["cell", "__gap", "__start", "pos"])
-        unit = rate.cost / cost
-        return pdf.assign(allowed=allowed, tokens=[t / unit for t in left], retry_after_s=retry)
-
-    ready = placed.join(start, [key, "cell"], "left")
+    per_token, names = rate.cost / cost, df.columns
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, tokens = None, rate.burst
+        for pdf in batches:
+            allowed, left, retry = [], [], []
+            for k, cell, start, gap in zip(pdf[key].tolist(), pdf["cell"].tolist(),
+                                           pdf["__start"].tolist(), pdf["__gap"].tolist()):
+                if (k, cell) != current:
+                    current, tokens = (k, cell), rate.burst if start < 0 else start
+                ok, tokens, wait = steps.take_token(tokens, gap, rate)
+                allowed.append(ok)
+                left.append(tokens / per_token)
+                retry.append(wait)
+            yield pdf[names].assign(allowed=allowed, tokens=left, retry_after_s=retry)
+
+    ready = placed.join(start, [key, "cell"], "left").withColumn(
+        "__start", F.coalesce("__start", F.lit(-1)))
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return (ready.select(*df.columns, "cell", "__gap", "__start", "pos")
-            .groupBy(key, "cell").applyInPandas(
-                fold, f"{fields}, allowed boolean, tokens double, retry_after_s double"))
+    return fold_sorted(ready.select(*df.columns, "cell", "__gap", "__start", "pos"),
+                       [key, "cell"], ["pos"], fold,
+                       f"{fields}, allowed boolean, tokens double, retry_after_s double")
 
 
 def _bucket_starts(placed: DataFrame, full: DataFrame, key: str, rate: steps.Rate) -> DataFrame:
@@ -104,23 +108,30 @@ def idempotent(df: DataFrame, key: str, ttl_us: int, ts_us: str = "ts_us", order
 
     The first row of a key opens a window; rows within ``ttl_us`` of it are
     duplicates of it; repeats do not extend it. Keys of up to ``hot_rows`` rows
-    are folded per key. Hotter keys advance together one window at a time: each
+    are folded in sorted partitions. Hotter keys advance together one window at a time: each
     next opening is a ``min`` aggregated map-side, so the number of rounds is the
     log's time span over the ttl, whatever the number of rows.
     """
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts_us, order])
-        seen, _ = steps.open_windows(pdf[ts_us].tolist(), pdf[row_id].tolist(), ttl_us)
-        return pdf.assign(original_id=[o for o, _ in seen], duplicate=[d for _, d in seen])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, opened = None, None
+        for pdf in batches:
+            originals, repeats = [], []
+            for k, ts, rid in zip(pdf[key].tolist(), pdf[ts_us].tolist(), pdf[row_id].tolist()):
+                if k != current:
+                    current, opened = k, None
+                opened, repeat = steps.enter_window(ts, rid, ttl_us, opened)
+                originals.append(opened[1])
+                repeats.append(repeat)
+            yield pdf.assign(original_id=originals, duplicate=repeats)
 
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
     hot = cut(counts.where(F.col("c") > hot_rows).select(key))
     schema = f"{fields}, original_id string, duplicate boolean"
     if hot.isEmpty():
-        return df.groupBy(key).applyInPandas(fold, schema)
-    cold = df.join(hot, key, "left_anti").groupBy(key).applyInPandas(fold, schema)
+        return fold_sorted(df, [key], [ts_us, order], fold, schema)
+    cold = fold_sorted(df.join(hot, key, "left_anti"), [key], [ts_us, order], fold, schema)
     return cold.unionByName(_idempotent_hot(df.join(hot, key, "left_semi"), key, ttl_us,
                                             ts_us, order, row_id))
 

@@ -73,15 +73,18 @@ class _Idempotent(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows, ["ts_us", "seq"])
         opened = tuple(self.state.get()) if self.state.exists() else None
-        seen, after = steps.open_windows(pdf["ts_us"].tolist(), pdf["request_id"].tolist(),
-                                         self.ttl_us, opened)
-        if after != opened:
-            self.state.update(after)
-            # Forget the window once the watermark has passed its end.
-            self.handle.registerTimer((after[0] + self.ttl_us) // 1000 + 1)
-        yield pd.DataFrame({self.key: key[0], "seq": pdf["seq"],
-                            "original_id": [o for o, _ in seen],
-                            "duplicate": [d for _, d in seen]})
+        originals, repeats = [], []
+        for ts, rid in zip(pdf["ts_us"].tolist(), pdf["request_id"].tolist()):
+            window, repeat = steps.enter_window(ts, rid, self.ttl_us, opened)
+            if not repeat:
+                opened = window
+                self.state.update(opened)
+                # Forget the window once the watermark has passed its end.
+                self.handle.registerTimer((opened[0] + self.ttl_us) // 1000 + 1)
+            originals.append(opened[1])
+            repeats.append(repeat)
+        yield pd.DataFrame({self.key: key[0], "seq": pdf["seq"], "original_id": originals,
+                            "duplicate": repeats})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
