@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from servelog.catalog import sql, views
 from servelog.catalog.common import r6
 from servelog.operators import locality
+from servelog.plans.sliced import even_slice
 
 
 def first_touch(spark, sf_dir):
@@ -21,7 +22,8 @@ def lru_hits(spark, sf_dir):
 
 def _work_distances(spark, sf_dir):
     rows = views.work_log(spark, sf_dir).select("worker_id", "prefix_id", *views.WORK_ORDER)
-    return locality.reuse_distance(rows, "worker_id", "prefix_id", views.WORK_ORDER, F.col("day"))
+    return locality.reuse_distance(rows, "worker_id", "prefix_id", views.WORK_ORDER,
+                                   even_slice(rows, "day"))
 
 
 def work_reuse_distance(spark, sf_dir):

@@ -31,12 +31,13 @@ def hash_api_key(token: str | Column) -> Column:
 
 
 def ring_position(text: str | Column) -> Column:
-    return F.substring(F.md5(_col(text)), 1, 16)
+    # Never null: else joins on it re-evaluate the hash in a pushed-down filter.
+    return F.coalesce(F.substring(F.md5(_col(text)), 1, 16), F.lit("0" * 16))
 
 
 def ring_bucket(position: str | Column) -> Column:
-    """Top 12 bits of a ring position."""
-    return F.conv(F.substring(_col(position), 1, 3), 16, 10).cast("int")
+    """Top 12 bits of a ring position, as its first three digits."""
+    return F.coalesce(F.substring(_col(position), 1, 3), F.lit("000"))
 
 
 def block_chain_udf(block_chars: int):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from servelog.plans.quantiles import exact_percentiles
-from servelog.plans.sliced import sliced_lead, sliced_running_sum
+from servelog.plans.sliced import even_slice, sliced_lead, sliced_running_sum
 
 # Default histogram bounds in seconds, latency percentiles,
 # autoscaling target and limits, stabilisation windows in seconds.
@@ -18,7 +18,11 @@ PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 TARGET_DEPTH, MIN_WORKERS, MAX_WORKERS = 25, 2, 20
 SCALE_UP_WINDOW_S, SCALE_DOWN_WINDOW_S = 30, 120
 
-DAY_US = 86_400_000_000
+
+def _time_slice(df: DataFrame, ts_us: str, slice_us: int | None) -> Column:
+    if slice_us is None:
+        return even_slice(df, ts_us)
+    return F.floor(F.col(ts_us) / slice_us)
 
 
 def request_rate(df: DataFrame, window: str = "1 minute", slide: str | None = None,
@@ -140,11 +144,13 @@ def step_events(df: DataFrame, keep: Sequence[str], up_us: Column, down_us: Colu
 
 def queue_depth(events: DataFrame, by: Sequence[str],
                 order: Sequence[str] = ("t_us", "phase", "seq"),
-                slice_us: int = DAY_US) -> DataFrame:
-    """Add ``depth`` after every event."""
+                slice_us: int | None = None) -> DataFrame:
+    """Add ``depth`` after every event. Slices of the running sum are as wide as
+    the traffic allows unless ``slice_us`` fixes them."""
+    slice_ = _time_slice(events, "t_us", slice_us)
     keys = list(by) or ["__all"]
     src = events if by else events.withColumn("__all", F.lit(0))
-    rows = sliced_running_sum(src, keys, order, F.floor(F.col("t_us") / slice_us), "delta", "depth")
+    rows = sliced_running_sum(src, keys, order, slice_, "delta", "depth")
     return rows if by else rows.drop("__all")
 
 
@@ -157,7 +163,7 @@ def depth_per_window(depths: DataFrame, by: Sequence[str], window_us: int,
 
 
 def inflight(df: DataFrame, by: Sequence[str], start_us: Column, end_us: Column,
-             key: str = "seq", slice_us: int = DAY_US) -> DataFrame:
+             key: str = "seq", slice_us: int | None = None) -> DataFrame:
     """(by…, key, t_us, phase, delta, depth): rows running at once, at every change."""
     events = step_events(df, [*by, key], start_us, end_us)
     return queue_depth(events, by, ("t_us", "phase", key), slice_us)
@@ -251,10 +257,10 @@ def desired_workers(depths: DataFrame, target: int = TARGET_DEPTH, low: int = MI
 
 def status_lifecycle(events: DataFrame, job: str = "job_id", status: str = "status",
                      ts_us: str = "ts_us", seq: str = "seq",
-                     slice_us: int = DAY_US) -> DataFrame:
+                     slice_us: int | None = None) -> DataFrame:
     """(status, n, mean_ms_in_status, share): entries and time until the next
     event of the job; the share of ``error`` is the error rate."""
-    rows = sliced_lead(events, [job], [ts_us, seq], F.floor(F.col(ts_us) / slice_us),
+    rows = sliced_lead(events, [job], [ts_us, seq], _time_slice(events, ts_us, slice_us),
                        [ts_us], "__next")
     stay = F.col(f"__next.{ts_us}") - F.col(ts_us)
     # Whole microseconds are summed, so the mean does not depend on row order.

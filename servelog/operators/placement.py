@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from servelog.operators.ring import arc_preferences, locate, ring_table
+from servelog.operators.ring import arc_preferences, arc_table, locate, ring_table
 from servelog.plans.sliced import dense_slice, sliced_row_number
 from servelog.session import cut
 
@@ -100,10 +100,10 @@ def place(df: DataFrame, key: str | Column, workers: DataFrame,
     base = fleet(workers, load)
     ids = F.explode(F.array(*[F.lit(w) for w, _ in base])).alias("worker_id")
     ring = ring_table(df.sparkSession.range(1, numPartitions=1).select(ids), vnodes)
-    prefs = cut(arc_preferences(ring))
+    prefs, arcs = cut(arc_preferences(ring)), cut(arc_table(ring))
     rows = df.withColumn("win", window)
     spread = F.explode(F.array(*[F.lit(float(c)) for c in caps]))
-    left = (locate(rows, ring, key, len(base) * vnodes)
+    left = (locate(rows, arcs, key, len(base) * vnodes + 4096)
             .select("win", "seq", "arc", dense_slice("seq", slice_rows).alias("slice"))
             .withColumn("cap_factor", spread))
     done, room = [], None

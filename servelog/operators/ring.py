@@ -59,34 +59,42 @@ def arc_preferences(ring: DataFrame) -> DataFrame:
 
 
 def _pieces(arcs: DataFrame) -> DataFrame:
-    first = F.when(F.col("lo") == _LOW, F.lit(0)).otherwise(ring_bucket("lo"))
-    last = F.when(F.col("hi") == _HIGH, F.lit(4095)).otherwise(ring_bucket("hi"))
-    return arcs.withColumn("bucket", F.explode(F.sequence(first, last)))
+    def number(position):
+        return F.conv(ring_bucket(position), 16, 10).cast("int")
 
+    first = F.when(F.col("lo") == _LOW, F.lit(0)).otherwise(number("lo"))
+    last = F.when(F.col("hi") == _HIGH, F.lit(4095)).otherwise(number("hi"))
+    numbered = arcs.withColumn("n", F.explode(F.sequence(first, last)))
+    return numbered.withColumn("bucket", F.format_string("%03x", "n")).drop("n")
 
-def locate(keys: DataFrame, ring: DataFrame, key: str | Column = "key",
-           ring_rows: int | None = None) -> DataFrame:
+
+def arc_table(ring: DataFrame) -> DataFrame:
+    """Arcs by 12-bit bucket: (bucket, lo, hi, arc, worker_id)."""
+    return _pieces(ring_arcs(ring))
+
+
+def locate(keys: DataFrame, arcs: DataFrame, key: str | Column = "key",
+           n_arcs: int | None = None) -> DataFrame:
     """Add ``arc`` and the owner's ``worker_id`` to rows; no shuffle of ``keys``
     while the arc table, whose size is known or counted, is small enough to
     broadcast."""
-    pieces = _pieces(ring_arcs(ring))
-    if (ring.count() if ring_rows is None else ring_rows) <= _BROADCAST_ROWS:
-        pieces = F.broadcast(pieces)
+    if (arcs.count() if n_arcs is None else n_arcs) <= _BROADCAST_ROWS:
+        arcs = F.broadcast(arcs)
     rows = (keys.withColumn("__pos", ring_position(key))
             .withColumn("bucket", ring_bucket("__pos")))
-    inside = ((rows["bucket"] == pieces["bucket"]) & (rows["__pos"] >= pieces["lo"])
-              & (rows["__pos"] < pieces["hi"]))
-    return rows.join(pieces, inside).drop("bucket", "__pos", "lo", "hi")
+    inside = ((rows["bucket"] == arcs["bucket"]) & (rows["__pos"] >= arcs["lo"])
+              & (rows["__pos"] < arcs["hi"]))
+    return rows.join(arcs, inside).drop("bucket", "__pos", "lo", "hi")
 
 
 def ring_owner(keys: DataFrame, ring: DataFrame, key: str | Column = "key") -> DataFrame:
     """Rows plus the worker owning their key."""
-    return locate(keys, ring, key).drop("arc")
+    return locate(keys, arc_table(ring), key).drop("arc")
 
 
 def ring_preference(keys: DataFrame, ring: DataFrame, key: str | Column = "key") -> DataFrame:
     """Rows x workers in clockwise order: rank 1 owns, rank 2 takes the spill."""
-    return locate(keys, ring, key).drop("worker_id").join(arc_preferences(ring), "arc").drop("arc")
+    return locate(keys, arc_table(ring), key).drop("worker_id").join(arc_preferences(ring), "arc").drop("arc")
 
 
 def rebalance_report(keys: DataFrame, before: DataFrame, after: DataFrame,
@@ -94,9 +102,9 @@ def rebalance_report(keys: DataFrame, before: DataFrame, after: DataFrame,
     """One row: keys, moved keys, fraction, and moves that break the invariant
     (onto a worker that existed before, off a worker that still exists)."""
     old, new = F.col("owner_before"), F.col("owner_after")
-    both = locate(locate(keys.select(key), before, key).drop("arc")
-                  .withColumnRenamed("worker_id", "owner_before"), after, key)
-    both = both.drop("arc").withColumnRenamed("worker_id", "owner_after")
+    both = (ring_owner(keys.select(key), before, key)
+            .withColumnRenamed("worker_id", "owner_before"))
+    both = ring_owner(both, after, key).withColumnRenamed("worker_id", "owner_after")
     was = before.select(F.col("worker_id").alias("owner_after")).distinct().withColumn(
         "target_existed", F.lit(True))
     still = after.select(F.col("worker_id").alias("owner_before")).distinct().withColumn(

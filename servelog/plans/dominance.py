@@ -12,17 +12,21 @@ position ranges:
 * ``prev`` in p's own slice, i in a slice before j's: ranked inside p's slice;
 * i in j's own slice: ranked inside j's slice.
 
-No pair of rows is ever formed and no task sees more than one slice, because
+No pair of rows is ever formed and no block is larger than a slice, because
 ``prev`` is injective (a slice of ``prev`` values has at most one slice of rows).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from servelog.plans.folds import fold_sorted
+
 POSITIONS_PER_SLICE = 250_000
 
 
@@ -45,22 +49,37 @@ def count_below(values: np.ndarray, upto: np.ndarray, limit: np.ndarray) -> np.n
     return found
 
 
-def _count_in_row_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one position slice: points first by position, queries by p."""
-    points = pdf[pdf["is_point"]].sort_values("pos")
-    asks = pdf[~pdf["is_point"]]
-    upto = np.searchsorted(points["pos"].to_numpy(), asks["pos"].to_numpy(), side="left")
-    n = count_below(points["prev"].to_numpy(), upto, asks["prev"].to_numpy())
+def _count_blocks(rows: pd.DataFrame, block: np.ndarray) -> pd.DataFrame:
+    """For every query, the points of its block with smaller x and smaller y."""
+    wide_x, wide_y = int(rows["x"].max()) + 2, int(rows["y"].max()) + 2
+    x = block * wide_x + rows["x"].to_numpy()
+    y = block * wide_y + rows["y"].to_numpy()
+    point = rows["is_point"].to_numpy()
+    order = np.argsort(x[point], kind="stable")
+    at = x[point][order]
+    levels = np.unique(y[point])
+    values = np.searchsorted(levels, y[point][order])
+    limit = np.searchsorted(levels, y[~point])
+    # Points of earlier blocks precede in x and are smaller in y: take them off.
+    before = np.searchsorted(at, block[~point] * wide_x)
+    n = count_below(values, np.searchsorted(at, x[~point]), limit) - before
+    asks = rows[~point]
     return pd.DataFrame({"grp": asks["grp"], "query": asks["query"], "n": n})
 
 
-def _count_in_prev_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one ``prev`` slice: points ordered by prev, compared by row slice."""
-    points = pdf[pdf["is_point"]].sort_values("prev")
-    asks = pdf[~pdf["is_point"]]
-    upto = np.searchsorted(points["prev"].to_numpy(), asks["prev"].to_numpy(), side="left")
-    n = count_below(points["pos_slice"].to_numpy(), upto, asks["pos_slice"].to_numpy())
-    return pd.DataFrame({"grp": asks["grp"], "query": asks["query"], "n": n})
+def _count_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts complete blocks as the sorted partition streams through."""
+    held = None
+    for pdf in batches:
+        rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        keys = rows[["grp", "kind", "cell"]]
+        block = (keys != keys.shift()).any(axis=1).cumsum().to_numpy()
+        open_ = block == block[-1]
+        if not open_.all():
+            yield _count_blocks(rows[~open_], block[~open_])
+        held = rows[open_]
+    if held is not None:
+        yield _count_blocks(held, np.zeros(len(held), np.int64))
 
 
 def distinct_between(points: DataFrame, queries: DataFrame,
@@ -79,15 +98,19 @@ def distinct_between(points: DataFrame, queries: DataFrame,
     ask = queries.select("grp", "query", F.col("j").alias("pos"), F.col("p").alias("prev"),
                          cell("j").alias("pos_slice"), cell("p").alias("prev_slice"))
 
-    point_side = pts.select("grp", F.lit(0).cast("long").alias("query"), "pos", "prev",
-                            "pos_slice", "prev_slice", F.lit(True).alias("is_point"))
-    ask_side = ask.withColumn("is_point", F.lit(False))
-    both = point_side.unionByName(ask_side)
-    out = f"grp {dict(points.dtypes)['grp']}, query long, n long"
-    own_rows = both.groupBy("grp", "pos_slice").applyInPandas(_count_in_row_slice, out)
-    # prev slice -1 holds the first accesses; queries never ask inside it.
-    own_prev = (both.where("prev_slice >= 0").groupBy("grp", "prev_slice")
-                .applyInPandas(_count_in_prev_slice, out))
+    def block(df, kind, cell_, x, y, query, is_point):
+        return df.select("grp", F.lit(kind).alias("kind"), F.col(cell_).alias("cell"),
+                         F.col(x).alias("x"), F.col(y).alias("y"),
+                         query.cast("long").alias("query"), F.lit(is_point).alias("is_point"))
+
+    none, name = F.lit(0), F.col("query")
+    blocks = (block(pts, 0, "pos_slice", "pos", "prev", none, True)
+              .unionByName(block(ask, 0, "pos_slice", "pos", "prev", name, False))
+              # First accesses have no prev slice, and no query asks inside one.
+              .unionByName(block(pts.where("prev > 0"), 1, "prev_slice", "prev", "pos_slice", none, True))
+              .unionByName(block(ask, 1, "prev_slice", "prev", "pos_slice", name, False)))
+    counted = fold_sorted(blocks, ["grp", "kind", "cell"], [], _count_sorted,
+                          f"grp {dict(points.dtypes)['grp']}, query long, n long")
 
     # Grid: rows per (row slice a, prev slice b), summed over a' < a and b' < b.
     cells = pts.groupBy("grp", "pos_slice", "prev_slice").agg(F.count(F.lit(1)).alias("c"))
@@ -110,8 +133,7 @@ def distinct_between(points: DataFrame, queries: DataFrame,
         F.col("b"), F.greatest(F.col("b"), F.coalesce(F.col("b_next") - 1, F.col("pos_slice"))))))
     grid = grid.select("grp", "pos_slice", "prev_slice", "whole")
 
-    parts = (own_rows.unionByName(own_prev).groupBy("grp", "query")
-             .agg(F.sum("n").alias("own")))
+    parts = counted.groupBy("grp", "query").agg(F.sum("n").alias("own"))
     return (ask.join(grid, ["grp", "pos_slice", "prev_slice"], "left")
             .join(parts, ["grp", "query"])
             .select("grp", "query",

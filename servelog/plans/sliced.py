@@ -27,6 +27,17 @@ def dense_slice(seq: str | Column, rows: int = SLICE_ROWS) -> Column:
     return F.floor(col / F.lit(rows)).cast("long")
 
 
+def even_slice(df: DataFrame, order: str, rows: int = SLICE_ROWS) -> Column:
+    """Slice of any integer order column so that a slice of the whole table holds
+    about ``rows`` rows: the width comes from one min/max/count aggregate."""
+    seen = df.agg(F.min(order).alias("a"), F.max(order).alias("z"),
+                  F.count(order).alias("n")).first()
+    if not seen["n"]:
+        return F.lit(0).cast("long")
+    width = max(1, (seen["z"] - seen["a"] + 1) * rows // seen["n"])
+    return F.floor((F.col(order) - F.lit(seen["a"])) / F.lit(width)).cast("long")
+
+
 def magnitude_slice(value: str | Column, per_unit: int = 64) -> Column:
     """Slice for a column ordered by value: equal steps of its logarithm."""
     v = F.col(value) if isinstance(value, str) else value
@@ -43,8 +54,10 @@ def _earlier(group):
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
-def _attach(rows: DataFrame, per_slice: DataFrame, group: Sequence[str]) -> DataFrame:
-    return rows.join(per_slice, [*group, "__s"], "left")
+def _attach(rows: DataFrame, per_slice: DataFrame, group: Sequence[str],
+            carry: str) -> DataFrame:
+    # Only groups that span slices carry anything over; the rest stay out of the join.
+    return rows.join(per_slice.where(F.col(carry).isNotNull()), [*group, "__s"], "left")
 
 
 def sliced_row_number(df: DataFrame, group: Sequence[str], order: Sequence,
@@ -53,7 +66,7 @@ def sliced_row_number(df: DataFrame, group: Sequence[str], order: Sequence,
     before = (df.groupBy(*group, "__s").agg(F.count(F.lit(1)).alias("__n"))
               .withColumn("__before", F.sum("__n").over(_earlier(group))).drop("__n"))
     rows = df.withColumn(out, F.row_number().over(_local(group, order)).cast("long"))
-    return (_attach(rows, before, group)
+    return (_attach(rows, before, group, "__before")
             .withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0)))
             .drop("__s", "__before"))
 
@@ -66,7 +79,7 @@ def sliced_running_sum(df: DataFrame, group: Sequence[str], order: Sequence,
               .withColumn("__before", F.sum("__n").over(_earlier(group))).drop("__n"))
     upto = _local(group, order).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn(out, F.sum(value).over(upto))
-    return (_attach(rows, before, group)
+    return (_attach(rows, before, group, "__before")
             .withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0)))
             .drop("__s", "__before"))
 
@@ -75,13 +88,17 @@ def _neighbour(df, group, order, slice_, cols, out, forward):
     """Struct of ``cols`` from the previous or next row of the group."""
     df = df.withColumn("__s", slice_).withColumn("__o", F.struct(*order))
     payload = F.struct(*cols)
-    edge = (F.min_by if forward else F.max_by)(payload, F.col("__o"))
+    if len(order) == 1 and list(cols) == list(order):
+        # A plain min or max stays a hash aggregate.
+        edge = F.struct((F.min if forward else F.max)(order[0]).alias(order[0]))
+    else:
+        edge = (F.min_by if forward else F.max_by)(payload, F.col("__o"))
     step = F.lead if forward else F.lag
     around = (df.groupBy(*group, "__s").agg(edge.alias("__e"))
               .withColumn("__c", step("__e").over(Window.partitionBy(*group).orderBy("__s")))
               .drop("__e"))
     rows = df.withColumn(out, step(payload).over(_local(group, ["__o"])))
-    return (_attach(rows, around, group)
+    return (_attach(rows, around, group, "__c")
             .withColumn(out, F.coalesce(F.col(out), F.col("__c")))
             .drop("__s", "__o", "__c"))
 
