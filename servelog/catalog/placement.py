@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from servelog.catalog import sql, views
 from servelog.catalog.common import r6
-from servelog.operators import locality, metrics, placement
+from servelog.operators import metrics, placement, sweep
 from servelog.session import cut
 
 INF = placement.UNBOUNDED
@@ -42,19 +42,11 @@ def stem_placement(spark, sf_dir):
     return placed.select("win", "seq", "worker_id", "rank")
 
 
-def _policies(spark, sf_dir, caps):
-    """Rows of the log under every policy, with their hit flag."""
-    log = views.request_log(spark, sf_dir)
-    fleet = views.workers(spark)
-    swept = placement.place(log, "prefix_hash", fleet, caps, _day()).select(
-        F.lit("affinity").alias("policy"), "cap_factor", "seq", "worker_id")
-    dealt = placement.balanced_assign(log, fleet, _day()).select(
-        F.lit("balanced").alias("policy"), F.lit(0.0).alias("cap_factor"), "seq", "worker_id")
-    facts = log.select("seq", "prefix_hash", "queue_wait_ms", "total_ms",
-                       F.col("inference_ms").alias("busy_ms"), F.col("ts_us").alias("enqueue_us"),
-                       (F.col("ts_us") + F.col("total_ms") * 1000).alias("completed_us"))
-    rows = dealt.unionByName(swept).join(facts, "seq")
-    return locality.first_touch(rows, ["policy", "cap_factor", "worker_id", "prefix_hash"])
+def _facts(spark, sf_dir):
+    return views.request_log(spark, sf_dir).select(
+        "seq", "ts_us", "prefix_hash", "queue_wait_ms", "total_ms",
+        F.col("inference_ms").alias("busy_ms"), F.col("ts_us").alias("enqueue_us"),
+        (F.col("ts_us") + F.col("total_ms") * 1000).alias("completed_us"))
 
 
 _ROUNDED = ("hit_rate", "throughput_rps", "load_imbalance", "busy_imbalance",
@@ -62,8 +54,8 @@ _ROUNDED = ("hit_rate", "throughput_rps", "load_imbalance", "busy_imbalance",
 
 
 def _summary(spark, sf_dir, caps):
-    rows = _policies(spark, sf_dir, caps).where("seq >= 100")
-    got = metrics.policy_summary(rows, len(views.WORKERS), 4)
+    got = sweep.cap_sweep(_facts(spark, sf_dir), "prefix_hash", views.workers(spark), _day(),
+                          caps, slots=4, steady=F.col("seq") >= 100)
     return got.select("policy", "cap_factor", "n", *[r6(c) for c in _ROUNDED])
 
 
@@ -81,7 +73,7 @@ def backpressure_rows(spark, sf_dir):
 
 
 def per_worker_pivot(spark, sf_dir):
-    rows = _policies(spark, sf_dir, (1.5,))
+    rows = sweep.policy_rows(_facts(spark, sf_dir), "prefix_hash", views.workers(spark), _day(), (1.5,))
     got = metrics.per_worker_pivot(rows, ["affinity", "balanced"])
     return got.select("worker_id", "affinity_items", r6("affinity_hit_rate"), "balanced_items",
                       r6("balanced_hit_rate"))

@@ -85,7 +85,7 @@ def assemble_tokens(spark, sf_dir):
 # --- streams: the same rows, arriving in slices --------------------------------
 
 def _by_seq(rows):
-    return arrival_slices(rows, "seq", 3)
+    return arrival_slices(rows, "seq", 2)
 
 
 def stream_token_bucket(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from servelog.session import scratch_path
 
-ROWS_PER_BATCH = 20_000_000
+ROWS_PER_BATCH = 5_000_000
 
 
 def _run(stream: DataFrame, out: str, checkpoint: str, mode: str) -> None:
