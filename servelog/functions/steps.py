@@ -68,32 +68,30 @@ def bucket_transfer(gaps_us: Sequence[int], rate: Rate) -> Pieces:
 
 
 def _step_pieces(pieces: Pieces, add: int, rate: Rate) -> Pieces:
+    burst, cost = rate.burst, rate.cost
     out: Pieces = []
-
-    def push(start, value, slope):
-        if value >= rate.cost:
-            value -= rate.cost
-        if out:
-            s, v, k = out[-1]
-            if k == slope and value == v + slope * (start - s):
-                return
-        out.append((start, value, slope))
-
-    for n, (start, value, slope) in enumerate(pieces):
-        end = pieces[n + 1][0] - 1 if n + 1 < len(pieces) else rate.burst
+    ends = [p[0] for p in pieces[1:]] + [burst + 1]
+    last_start = last_value = last_slope = None
+    for (start, value, slope), end in zip(pieces, ends):
         value += add
-        marks = {start}
+        # Cut a rising piece where it reaches the cost and where the bucket is full.
+        parts = [start]
         if slope:
-            for level in (rate.cost, rate.burst):
-                at = start + level - value
-                if start < at <= end:
-                    marks.add(at)
-        for at in sorted(marks):
-            v = value + slope * (at - start)
-            if v >= rate.burst:
-                push(at, rate.burst, 0)
-            else:
-                push(at, v, slope)
+            reach = value + end - 1 - start
+            if value < cost <= reach:
+                parts.append(start + cost - value)
+            if value < burst <= reach and burst != cost:
+                parts.append(start + burst - value)
+        for at in sorted(parts):
+            v, k = value + slope * (at - start), slope
+            if v >= burst:
+                v, k = burst, 0
+            if v >= cost:
+                v -= cost
+            if last_slope == k and v == last_value + k * (at - last_start):
+                continue  # goes on from the piece before it
+            out.append((at, v, k))
+            last_start, last_value, last_slope = at, v, k
     return out
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from servelog.functions import steps
 from servelog.operators.clean import BUDGETS_MS
-from servelog.plans.folds import fold_sorted
+from servelog.plans.folds import fold_sorted, spread
 from servelog.plans.sliced import dense_slice, sliced_lag, sliced_row_number
 from servelog.session import cut
 
@@ -97,7 +97,7 @@ def _bucket_starts(placed: DataFrame, full: DataFrame, key: str, rate: steps.Rat
         return pd.DataFrame({key: pdf[key], "cell": pdf["cell"] + 1, "__start": after})
 
     need = placed.select(key, "cell", "pos", "__gap").join(full, [key, "cell"], "left_semi")
-    return (need.groupBy(key, "cell")
+    return (spread(need, key, "cell").groupBy(key, "cell")
             .applyInPandas(summarise, f"`{key}` {key_type}, cell long, f {piece}")
             .groupBy(key).applyInPandas(chain, f"`{key}` {key_type}, cell long, __start long"))
 
@@ -209,8 +209,9 @@ def size_or_deadline_batches(df: DataFrame, by: str, max_batch: int = 16,
             after.append(at)
         return pd.DataFrame({by: pdf[by], "cell": pdf["cell"] + 1, "__start": after})
 
-    entry = (shared.select(by, "cell", "pos", ts_us, "__due")
-             .join(full, [by, "cell"], "left_semi").groupBy(by, "cell")
+    heads = (shared.select(by, "cell", "pos", ts_us, "__due")
+             .join(full, [by, "cell"], "left_semi"))
+    entry = (spread(heads, by, "cell").groupBy(by, "cell")
              .applyInPandas(starts_after, f"`{by}` {by_type}, cell long, f array<int>")
              .groupBy(by).applyInPandas(chain, f"`{by}` {by_type}, cell long, __start long"))
 
@@ -236,9 +237,9 @@ def size_or_deadline_batches(df: DataFrame, by: str, max_batch: int = 16,
         return ranked.assign(slot=ranked.groupby("batch_no").cumcount() + 1).drop(columns="__u")
 
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return (shared.join(entry, [by, "cell"], "left")
-            .select(*df.columns, "cell", "__due", "__start", "pos")
-            .groupBy(by, "cell").applyInPandas(
+    ready = (shared.join(entry, [by, "cell"], "left")
+             .select(*df.columns, "cell", "__due", "__start", "pos"))
+    return (spread(ready, by, "cell").groupBy(by, "cell").applyInPandas(
                 fold, f"{fields}, batch_no long, trigger string, closed_us long, slot long"))
 
 

@@ -70,19 +70,33 @@ def _count_blocks(rows: pd.DataFrame, block: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"grp": asks["grp"], "query": asks["query"], "n": n})
 
 
+_BLOCK = ["grp", "kind", "cell"]
+
+
+def _block_numbers(rows: pd.DataFrame) -> np.ndarray:
+    keys = rows[_BLOCK]
+    return (keys != keys.shift()).any(axis=1).cumsum().to_numpy() - 1
+
+
 def _count_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts complete blocks as the sorted partition streams through."""
-    held = None
+    held: list[pd.DataFrame] = []
+    open_key = None
     for pdf in batches:
-        rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        keys = rows[["grp", "kind", "cell"]]
-        block = (keys != keys.shift()).any(axis=1).cumsum().to_numpy()
-        open_ = block == block[-1]
-        if not open_.all():
-            yield _count_blocks(rows[~open_], block[~open_])
-        held = rows[open_]
-    if held is not None:
-        yield _count_blocks(held, np.zeros(len(held), np.int64))
+        block = _block_numbers(pdf)
+        key = tuple(pdf[_BLOCK].iloc[-1])
+        if block[-1] == 0 and key == open_key:
+            held.append(pdf)
+            continue
+        tail = block == block[-1]
+        done = held + ([pdf[~tail]] if block[-1] else [])
+        if done:
+            rows = pd.concat(done, ignore_index=True)
+            yield _count_blocks(rows, _block_numbers(rows))
+        held, open_key = [pdf[tail]], key
+    if held:
+        rows = pd.concat(held, ignore_index=True)
+        yield _count_blocks(rows, np.zeros(len(rows), np.int64))
 
 
 def distinct_between(points: DataFrame, queries: DataFrame,
@@ -106,12 +120,16 @@ def distinct_between(points: DataFrame, queries: DataFrame,
                          F.col(x).alias("x"), F.col(y).alias("y"),
                          query.cast("long").alias("query"), F.lit(is_point).alias("is_point"))
 
+    # A key that comes back within the slice of its previous access has nothing to
+    # count across slices; streams of a single slice skip that part altogether.
+    far = ask.where("pos_slice > prev_slice")
+    asked = far.select("grp", "prev_slice").distinct()
+    crossed = pts.where("prev > 0").join(asked, ["grp", "prev_slice"], "left_semi")
     none, name = F.lit(0), F.col("query")
     blocks = (block(pts, 0, "pos_slice", "pos", "prev", none, True)
               .unionByName(block(ask, 0, "pos_slice", "pos", "prev", name, False))
-              # First accesses have no prev slice, and no query asks inside one.
-              .unionByName(block(pts.where("prev > 0"), 1, "prev_slice", "prev", "pos_slice", none, True))
-              .unionByName(block(ask, 1, "prev_slice", "prev", "pos_slice", name, False)))
+              .unionByName(block(crossed, 1, "prev_slice", "prev", "pos_slice", none, True))
+              .unionByName(block(far, 1, "prev_slice", "prev", "pos_slice", name, False)))
     counted = fold_sorted(blocks, ["grp", "kind", "cell"], [], _count_sorted,
                           f"grp {dict(points.dtypes)['grp']}, query long, n long")
 

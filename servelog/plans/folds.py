@@ -8,6 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for Python work. The number of partitions is given, since
+    AQE would merge partitions by bytes, and here a small one may be hours of CPU."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
                 schema: str) -> DataFrame:
@@ -16,5 +22,5 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     One Python pass per partition, whatever the number of keys, with an Arrow
     batch in memory at a time; the sort spills.
     """
-    return (df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return (spread(df, *keys).sortWithinPartitions(*keys, *order)
             .mapInPandas(run, schema))
