@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servelog.llm import histogram, mixing, packing
+from servelog.llm import histogram, licenses, mixing, packing, secret_scan
 from servelog.session import prepare
 
 
@@ -13,6 +13,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    labels = lambda *lists: F.array_join(F.array_sort(F.array_distinct(F.concat(*lists))), ",")
+    base, own = F.col("places.label"), F.col("spans.label")
+    covered = F.aggregate("spans", F.lit(0.0), lambda a, s: F.greatest(a, s["covered"]))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
+        labels(base).alias("base_labels"), labels(base, own).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(covered).alias("score"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+    base = [rule.kind for rule in secret_scan.BASE]
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id", *[of(kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        joined("spans").alias("spans"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = histogram.encoded_lengths(_table(spark, sf_dir, "documents"))
     return histogram.suffix_table(histogram.length_histogram(lengths))
@@ -27,6 +51,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op8_token_counts, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_license_scan, op7_secret_scan, op8_token_counts, op9_packing, op10_mixing)}
 
 SQL: dict[str, str] = {}
