@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servelog.llm import histogram, licenses, mixing, packing, secret_scan
+from servelog.llm import chosen_path, histogram, licenses, mixing, packing, secret_scan, simhash
 from servelog.session import prepare
 
 
@@ -25,6 +25,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size("places") > 0, 1.0).otherwise(covered).alias("score"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
     base = [rule.kind for rule in secret_scan.BASE]
@@ -51,6 +59,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op7_secret_scan, op8_token_counts, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_license_scan, op4_minhash_dedup, op6_fingerprints, op7_secret_scan, op8_token_counts, op9_packing, op10_mixing)}
 
 SQL: dict[str, str] = {}
