@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servelog.llm import chosen_path, histogram, licenses, mixing, packing, secret_scan, simhash
+from servelog.llm import (chosen_path, histogram, licenses, mixing, packing, pigeonhole, secret_scan,
+                          simhash)
 from servelog.session import prepare
 
 
@@ -29,6 +30,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonhole.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_minhash_dedup, op6_fingerprints, op7_secret_scan, op8_token_counts, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_license_scan, op4_minhash_dedup, op5_vector_dedup, op6_fingerprints, op7_secret_scan, op8_token_counts, op9_packing, op10_mixing)}
 
 SQL: dict[str, str] = {}
