@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from servelog.llm import (chosen_path, histogram, licenses, mixing, packing, pigeonhole, secret_scan,
-                          simhash)
+                          simhash, toxicity)
 from servelog.session import prepare
 
 
@@ -14,6 +14,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Labels of these documents are never learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    labels = _table(spark, sf_dir, "labels")
+    return toxicity.train(docs, labels.where(~held_out()).select("doc_id", "toxic"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, spark, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     labels = lambda *lists: F.array_join(F.array_sort(F.array_distinct(F.concat(*lists))), ",")
@@ -64,6 +81,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_minhash_dedup, op5_vector_dedup, op6_fingerprints, op7_secret_scan, op8_token_counts, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scan, op4_minhash_dedup, op5_vector_dedup, op6_fingerprints, op7_secret_scan, op8_token_counts, op9_packing, op10_mixing)}
 
 SQL: dict[str, str] = {}
