@@ -79,9 +79,9 @@ def _describe(size: int) -> Callable:
                 out[2].append(least[:TREES].view("int64").tolist() if full else None)
                 out[3].append((least[TREES:] >> np.uint64(32)).astype("<u4").tobytes() if full else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
                  pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())],
-                names=["doc_id", "n", "cls", "least", "sketch"])
+                names=["doc_id", "text_hash", "n", "cls", "least", "sketch"])
     return run
 
 
@@ -247,7 +247,7 @@ def _alive(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
                     percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, kept.
+    """A row per document: doc_id, n_shingles, component_id, kept, and a hash of its text.
 
     ``component_id`` is the least doc_id reachable over links, ``kept`` marks that document.
     Null and wordless texts have no shingles and are linked with nothing. Rows that
@@ -256,8 +256,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     if percent < 75:
         raise ValueError("the minwise comparison is set for thresholds of 75 % and more")
-    base = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-               .mapInArrow(_describe(shingle), "doc_id long, n long, cls binary, least array<long>, sketch binary"))
+    base = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                           F.xxhash64(text).alias("text_hash"))
+               .mapInArrow(_describe(shingle), "doc_id long, text_hash long, n long, cls binary, "
+                                               "least array<long>, sketch binary"))
     classes = cut(base.where("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"),
         F.first("sketch").alias("sketch")))
@@ -298,10 +300,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = named.join(least, "root").select("cls", "component_id")
-    final = base.select("doc_id", "n", "cls").join(placed, "cls", "left")
+    final = base.select("doc_id", "n", "cls", "text_hash").join(placed, "cls", "left")
     component = F.coalesce("component_id", "doc_id")
     return final.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                        F.col("doc_id").eqNullSafe(component).alias("kept"))
+                        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id, of rows that share it
+    the one with the least text hash. Texts are moved once, to meet the rows that stay."""
+    stay = (near_duplicates(docs, text, doc_id, **settings).where("kept")
+            .withColumn("__group", F.struct("component_id", F.when(
+                F.col("n_shingles") == 0, F.col("text_hash")).alias("alone"),
+                F.when(F.col("component_id").isNull(), F.col("text_hash")).alias("unnamed")))
+            .groupBy("__group").agg(F.min("doc_id").alias("__id"), F.min("text_hash").alias("__hash"))
+            .select(F.coalesce("__id", F.lit(0)).alias("__id"), F.col("__id").isNull().alias("__none"), "__hash"))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)),
+                              "__none": F.col(doc_id).isNull(), "__hash": F.xxhash64(text)})
+    keys = ["__id", "__none", "__hash"]
+    return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def _meet_pivots(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

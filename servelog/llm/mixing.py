@@ -112,16 +112,16 @@ def apportion(parties: DataFrame, group: list[str], votes: str, total: str, orde
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
         weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,
-        block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, taken, and where
-    its words lie in the stream (``__at``, ``__from``, ``__rest``, ``__full``, ``shard_size``).
+        block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, keep: tuple = ()) -> DataFrame:
+    """A row per document: doc_id, source, size, source_size, target, taken; how often it is
+    taken as a whole (``full_copies``) and the words [from, to) taken once more; columns ``keep``.
 
     ``taken`` counts repeats and is at most ``epochs`` times ``size``. Null texts have
     size 0 and take 0. A null source is a source of its own, the last. Rows that repeat
     a doc_id are documents of their own. An empty table gives no rows.
     """
     sizes = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                            word_count(text).alias("size")))
+                            word_count(text).alias("size"), *keep))
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     aimed = (targets(per_source, weights, share, epochs)
              .withColumn("__blocks", F.round(F.sum("target").over(Window.partitionBy(F.lit(0)))
@@ -150,7 +150,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     return placed.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("__full") * F.col("size") + _length(first) + _length(second)).alias("taken"),
-        F.col("__full").alias("full_copies"), first.alias("first_part"), second.alias("second_part"))
+        F.col("__full").alias("full_copies"), first.alias("first_part"), second.alias("second_part"), *keep)
 
 
 def overlap(back: Column | int) -> Column:
@@ -167,27 +167,28 @@ def _length(part: Column) -> Column:
     return F.coalesce(part["to"] - part["from"], F.lit(0))
 
 
-def mixed_texts(docs: DataFrame, shares: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                epochs: int = EPOCHS) -> DataFrame:
+def mixed_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
+                **settings) -> DataFrame:
     """The mix itself: each document once per full copy, and the words of its parts.
 
     Rows keep the columns of ``docs``; a part's text runs from its first word to its last
-    with the white space between. doc_id must be unique and not null here; n_chars,
-    where present, is set anew.
+    with the white space between. n_chars, where present, is set anew for parts. Rows that
+    agree in id, source and text stand for one document given several times.
     """
-    plan = shares.where(F.col("taken") > 0).select(
-        F.col("doc_id").alias("__id"), "full_copies", "first_part", "second_part")
-    whole = F.expr("transform(sequence(1, greatest(1, cast(full_copies as int))), "
-                   "i -> if(i <= full_copies, named_struct('from', cast(null as bigint), "
-                   "'to', cast(null as bigint)), null))")
-    parts = F.filter(F.concat(whole, F.array("first_part", "second_part")), lambda p: p.isNotNull())
-    rows = (docs.join(plan, docs[doc_id] == F.col("__id"))
-            .withColumn("__part", F.explode(parts)))
+    keyed = docs.withColumn("__key", F.md5(F.to_json(F.struct(
+        F.col(doc_id).alias("a"), F.col(source).alias("b"), F.md5(text).alias("c")))))
+    shares = mix(keyed, text, doc_id, source, keep=("__key",), **settings)
+    null_part = "cast(null as struct<from:bigint,to:bigint>)"
+    plan = shares.where(F.col("taken") > 0).select("__key", F.explode(F.concat(
+        F.expr(f"array_repeat({null_part}, cast(full_copies as int))"),
+        F.filter(F.array("first_part", "second_part"), lambda p: p.isNotNull()))).alias("__part"))
     words = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    piece = F.when(F.col("__part")["from"].isNull(), F.col(text)).otherwise(
-        F.rtrim(F.array_join(F.slice(words, (F.col("__part")["from"] + 1).cast("int"),
-                                     (F.col("__part")["to"] - F.col("__part")["from"]).cast("int")), "")))
-    rows = rows.withColumn(text, piece)
+    first, after = F.col("__part")["from"], F.col("__part")["to"]
+    piece = F.regexp_replace(F.array_join(F.slice(words, (first + 1).cast("int"), (after - first).cast("int")), ""),
+                             r"[\x20\x09-\x0D]+$", "")
+    rows = plan.join(keyed.dropDuplicates(["__key"]), "__key")
+    changed = {text: F.when(F.col("__part").isNull(), F.col(text)).otherwise(piece)}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text).cast("long"))
-    return rows.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("__part").isNull(), F.col("n_chars")).otherwise(
+            F.length(piece).cast(docs.schema["n_chars"].dataType))
+    return rows.withColumns(changed).select(*docs.columns)

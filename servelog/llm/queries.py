@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from servelog.llm import (chosen_path, histogram, licenses, mixing, packing, pigeonhole, secret_scan,
-                          simhash, toxicity)
+                          simhash, surrogates, toxicity)
 from servelog.session import prepare
 
 
@@ -25,12 +25,19 @@ def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicit
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(docs, spark, sf_dir))
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = surrogates.replace_checked(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return new.select("doc_id", F.size("entities").cast("long").alias("n_entities"),
+                      F.array_join(F.array_sort(F.array_distinct("entities.kind")), ",").alias("kinds"),
+                      "text", "entities")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     labels = lambda *lists: F.array_join(F.array_sort(F.array_distinct(F.concat(*lists))), ",")
@@ -44,7 +51,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
+    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +88,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scan, op4_minhash_dedup, op5_vector_dedup, op6_fingerprints, op7_secret_scan, op8_token_counts, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii_surrogates, op3_license_scan, op4_minhash_dedup, op5_vector_dedup, op6_fingerprints, op7_secret_scan, op8_token_counts, op9_packing, op10_mixing)}
 
 SQL: dict[str, str] = {}

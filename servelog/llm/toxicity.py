@@ -8,7 +8,7 @@ Training sees labelled texts, each a bag of sentences of words. Words that stand
 toxic texts far more often than in clean ones are the positive examples, all others
 the negative ones; the most telling words and their closest clean neighbours are the
 landmarks. The machine is linear in the landmarks' Nyström features. A text's score is
-a logistic function of the margins of its three worst words, so one phrase in a long
+a logistic function of the margins of its four worst words, so one phrase in a long
 clean text counts as much as in a short one.
 """
 
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 import re
+import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,9 +38,10 @@ SUBSEQUENCE = 3
 DECAY = 0.6
 SHARPEN = 4  # kernel values are raised to this power: still a kernel, and closer to words
 LONGEST = 24
-TELLING = 4.0  # standard errors by which a positive word's rates differ
-WORST = 3
+TELLING = 2.5  # standard errors by which a positive word's rates differ
+WORST = 4
 _CACHE = 500_000
+_LETTERS = np.uint64((1 << 63) - 1)
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _PARTS = re.compile(r"[^\W\d_]{3,}")
@@ -48,9 +51,10 @@ _SIGNS = re.compile(r"[\W_]+")
 def units(token: str) -> list[str]:
     """Strings to compare for a white-space token: itself without outer signs, its runs of
     letters, and windows of a very long one; each at most ``LONGEST`` characters."""
-    core = _EDGES.sub("", token)
+    core = token.strip(string.punctuation)
     if core.isalpha() and len(core) <= LONGEST:
         return [core] if len(core) >= SUBSEQUENCE else []
+    core = _EDGES.sub("", core)
     plain = _SIGNS.sub("", core)
     found = {core, plain, *_PARTS.findall(core)}
     out: set[str] = set()
@@ -97,9 +101,29 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, size: int = SUBSEQUENCE,
 
 
 def _mask(codes: np.ndarray) -> np.ndarray:
-    """Letters of each row as a set of 64 bits."""
-    bit = np.where(codes > 0, codes % 61, 63)
-    return np.bitwise_or.reduce(np.uint64(1) << bit.astype("uint64"), axis=1) & ~(np.uint64(1) << np.uint64(63))
+    """Letters of each row as a set of 63 bits."""
+    bit = np.where(codes > 0, codes % 63, 63).astype("uint64")
+    return np.bitwise_or.reduce(np.uint64(1) << bit, axis=1) & _LETTERS
+
+
+def _pair_masks(codes: np.ndarray, apart: tuple[int, ...]) -> np.ndarray:
+    """Ordered letter pairs at these distances, as a set of two times 63 bits per row."""
+    out = np.zeros((2, len(codes)), "uint64")
+    for gap in apart:
+        a, b = codes[:, :-gap], codes[:, gap:]
+        code = np.where((a > 0) & (b > 0), (a * 31 + b) % 126, 126)
+        for lane in range(2):
+            bit = np.where(code // 63 == lane, code % 63, 63).astype("uint64")
+            out[lane] |= np.bitwise_or.reduce(np.uint64(1) << bit, axis=1) & _LETTERS
+    return out
+
+
+def _overlap(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a[0][i] & b[0][j]) + np.bitwise_count(a[1][i] & b[1][j])
+
+
+def _count(a: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a[0]) + np.bitwise_count(a[1])
 
 
 @dataclass
@@ -107,35 +131,43 @@ class Landmarks:
     words: list[str]
     codes: np.ndarray = field(init=False)
     masks: np.ndarray = field(init=False)
+    pairs: np.ndarray = field(init=False)
+    loose: np.ndarray = field(init=False)
     norms: np.ndarray = field(init=False)
     lengths: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.codes = _codes(self.words, LONGEST, -1)
         self.masks = _mask(self.codes)
+        self.pairs, self.loose = _pair_masks(self.codes, (1,)), _pair_masks(self.codes, (1, 2))
         self.lengths = np.array([min(len(w), LONGEST) for w in self.words])
         self.norms = _self(self.codes)
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sparse (word, landmark, value) of the sharpened, normalised kernel. Words that lack
-        over a quarter of a landmark's letters or are much longer have value 0."""
+        over a quarter of a landmark's letters or of its pairs of neighbours (one letter may stand
+        between), or half of whose pairs are none of the landmark's, have value 0."""
         out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
         for at in range(0, len(words), 8192):
             codes = _codes(words[at:at + 8192], LONGEST, -2)
-            masks = _mask(np.where(codes == -2, 0, codes))
-            lengths = (codes != -2).sum(1)
+            masks, lengths = _mask(codes), (codes != -2).sum(1)
             shared = np.bitwise_count(masks[:, None] & self.masks)
-            mine, theirs = np.bitwise_count(masks)[:, None], np.bitwise_count(self.masks)
-            i, j = np.nonzero((4 * shared >= 3 * theirs) & (2 * shared >= mine)
+            i, j = np.nonzero((4 * shared >= 3 * np.bitwise_count(self.masks))
                               & (lengths[:, None] <= 2 * self.lengths + 1)
                               & (3 * lengths[:, None] >= 2 * self.lengths))
+            loose, tight = _pair_masks(codes, (1, 2)), _pair_masks(codes, (1,))
+            near = (_overlap(loose, self.pairs, i, j) >= 0.75 * _count(self.pairs)[j])
+            near &= _overlap(tight, self.loose, i, j) >= 0.5 * _count(tight)[i]
+            i, j = i[near], j[near]
+            order = np.argsort(lengths[i], kind="stable")  # equal widths together
+            i, j = i[order], j[order]
             value = np.zeros(len(i))
             used, back = np.unique(i, return_inverse=True)
             own = _self(codes[used])[back] if len(used) else np.zeros(0)
-            for lo in range(0, len(i), 4096):
-                p, q = i[lo:lo + 4096], j[lo:lo + 4096]
+            for lo in range(0, len(i), 2048):
+                p, q = i[lo:lo + 2048], j[lo:lo + 2048]
                 width = int(lengths[p].max())
-                value[lo:lo + 4096] = subsequence_kernel(
+                value[lo:lo + 2048] = subsequence_kernel(
                     codes[p, :width], self.codes[q, :int(self.lengths[q].max())])
             value /= np.sqrt(np.maximum(own * self.norms[j], 1e-12))
             out.append((i + at, j, np.minimum(value, 1) ** SHARPEN))
@@ -143,9 +175,14 @@ class Landmarks:
 
 
 def _self(codes: np.ndarray) -> np.ndarray:
-    other = np.where(codes < 0, -3, codes)  # padding matches nothing
-    return np.concatenate([subsequence_kernel(codes[k:k + 4096], other[k:k + 4096])
-                           for k in range(0, len(codes), 4096)] or [np.zeros(0, "float32")])
+    """Kernel of each row with itself; padding matches nothing."""
+    lengths, out = (codes >= 0).sum(1), np.zeros(len(codes))
+    order = np.argsort(lengths, kind="stable")
+    for lo in range(0, len(codes), 2048):
+        rows = order[lo:lo + 2048]
+        part = codes[rows, :max(1, int(lengths[rows].max()))]
+        out[rows] = subsequence_kernel(part, np.where(part < 0, -3, part))
+    return out
 
 
 @dataclass
@@ -168,13 +205,11 @@ class Model:
 
     def _learn(self, tokens: list[str]) -> None:
         """Margins of new tokens; those near no landmark are kept as None."""
-        if len(self.cache) + len(tokens) > _CACHE:
-            self.cache.clear()
         forms = [units(t) for t in tokens]
-        flat = sorted({u for f in forms for u in f})
+        flat = list({u for f in forms for u in f})
         margin = dict(zip(flat, self.margins(flat).tolist()))
         for token, form in zip(tokens, forms):
-            best = max((margin[u] for u in form), default=self.bias)
+            best = max(map(margin.__getitem__, form)) if form else self.bias
             self.cache[token] = best if best > self.bias else None
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
@@ -182,14 +217,15 @@ class Model:
         out = np.full((len(texts), WORST), self.bias)
         for part in blocks([len(t or "") for t in texts], 1_000_000):
             bags = [tokens_of(t) for t in texts[part]]
-            new = set().union(*bags).difference(self.cache)
-            for lo in range(0, len(new := sorted(new)), 50_000):
+            held = set().union(*bags)
+            if len(self.cache) + len(held) > _CACHE:
+                self.cache.clear()
+            new = list(held.difference(self.cache))
+            for lo in range(0, len(new), 50_000):
                 self._learn(new[lo:lo + 50_000])
             get = self.cache.get
             for row, bag in zip(range(part.start, part.stop), bags):
-                if any(t not in self.cache for t in bag):  # the cache was cleared meanwhile
-                    self._learn(sorted(t for t in bag if t not in self.cache))
-                top = sorted((m for m in map(get, bag) if m is not None), reverse=True)[:WORST]
+                top = sorted(filter(None, map(get, bag)), reverse=True)[:WORST]
                 out[row, :len(top)] = top
         return out
 
@@ -238,6 +274,15 @@ def sample_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     return pick[0].union(pick[1])
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hashes of a text's tokens: near copies mostly agree in them."""
+    for batch in batches:
+        keys = [",".join(map(str, sorted(zlib.crc32(t.encode()) for t in tokens_of(text))[:3]))
+                for text in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())],
+                                         names=["text", "toxic", "key"])
+
+
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
@@ -261,7 +306,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         return flat
     sample = sample_labels(labels, label, per_class)
     bags = cut(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
-               .dropDuplicates(["text", "toxic"]).select("text", "toxic"))
+               .select("text", "toxic").mapInArrow(_bags, "text string, toxic int, key string")
+               .dropDuplicates(["key", "toxic"]).drop("key"))
     n = {r["toxic"]: r["n"] for r in bags.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (n.get(0) and n.get(1)):
         return flat
@@ -313,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     seen_rows = bags.mapInArrow(worst, "toxic int, worst array<double>").collect()
     y = np.array([2.0 * r["toxic"] - 1 for r in seen_rows])
     weight = np.where(y > 0, share / n[1], (1 - share) / n[0]) * len(y)
-    # Strong, equal pull to 0 keeps all three margins in use.
+    # Strong, equal pull to 0 keeps all margins in use.
     c = _newton(np.array([r["worst"] for r in seen_rows]), y, weight, 1.0, "logistic")
     model.logistic = np.concatenate([c[-1:], c[:-1]])
     return model
@@ -326,16 +372,15 @@ def _dense(landmarks: Landmarks, words: list[str]) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and ``score`` (0 to 1) of every whole text; null texts are empty and
-    get the score of a text without words. Only the text is looked at."""
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+def scorer(model: Model):
+    """A column function: the score (0 to 1) of each whole text; null texts are empty and get
+    the score of a text without words. Nothing but the text is looked at."""
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(model.scores(model.worst(texts.to_pylist())), pa.float64())
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = model.scores(model.worst(batch.column(len(keep)).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(scores, pa.float64())],
-                                             names=[*keep, "score"])
 
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "score double"])
-    return rows.mapInArrow(run, schema)
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with the score of every text as column ``out``, which may not be there yet."""
+    return docs.withColumn(out, scorer(model)(F.col(text)))
