@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from servelog.llm import (chosen_path, histogram, licenses, mixing, packing, pigeonhole, secret_scan,
-                          simhash, surrogates, toxicity)
+                          simhash, sql, surrogates, toxicity)
 from servelog.session import prepare
 
 
@@ -90,4 +90,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii_surrogates, op3_license_scan, op4_minhash_dedup, op5_vector_dedup, op6_fingerprints, op7_secret_scan, op8_token_counts, op9_packing, op10_mixing)}
 
-SQL: dict[str, str] = {}
+SQL = {"op4_minhash_dedup": sql.MINHASH, "op5_vector_dedup": sql.VECTORS, "op10_mixing": sql.MIXING}
