@@ -133,9 +133,9 @@ class Scanner:
             pairs[words[:-1], words[1:]] = True
         self.graph.close()
         self.pairs = pairs
-        # Phrases that end at a state: those with all their words, longest first.
-        self.phrase_at = [[(n, self.sizes[n]) for n, end in ends
-                           if n < self.n_phrases and end == self.sizes[n]] for ends in self.graph.ends]
+        # Phrases that a state's longest string ends with, all their words included.
+        self.phrase_at = [[(n, end) for n, end in ends if n < self.n_phrases and end == self.sizes[n] <= longest]
+                          for ends, longest in zip(self.graph.ends, self.graph.longest)]
         for state in sorted(range(1, len(self.phrase_at)), key=self.graph.longest.__getitem__):
             mine = dict(self.phrase_at[state])
             self.phrase_at[state] = list({**dict(self.phrase_at[self.graph.link[state]]), **mine}.items())

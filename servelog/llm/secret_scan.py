@@ -55,6 +55,9 @@ def _both(kind: str, parts: list[Query]) -> Query:
     if kind == "or" and (True in parts or not parts):
         return True
     parts = [p for p in parts if p is not True]
+    if kind == "or":  # what demands more than another part adds nothing
+        sets = [frozenset([p] if isinstance(p, str) else p[1] if p[0] == "and" else [p]) for p in parts]
+        parts = [p for p, mine in zip(parts, sets) if not any(other < mine for other in sets)]
     return True if not parts else parts[0] if len(parts) == 1 else (kind, tuple(parts))
 
 
