@@ -26,6 +26,7 @@ ROUNDS = 8
 # Titles, those of women last.
 TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Dr", "Prof", "Господин",
           "Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Señorita", "Госпожа")
+_ALPHABETS = ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 _EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
 _DIGIT = re.compile(r"\d")
 _NUMBERS = re.compile(
@@ -47,9 +48,12 @@ def _alphabet(letter: str) -> str:
         return "aeiou"
     if "a" <= letter <= "z":
         return "bcdfghjklmnpqrstvwxyz"
+    for letters in _ALPHABETS:
+        if letter in letters:
+            return letters
     first = ord(letter) & ~0x3F
     return "".join(c for c in map(chr, range(first, first + 64))
-                   if c.isalpha() and c == c.lower() and len(c.upper()) == 1)
+                   if c.isalpha() and not any(c in letters for letters in _ALPHABETS) and c == c.lower() and len(c.upper()) == 1)
 
 
 def permuted(value: int, size: int, key: bytes, tweak: str) -> int:
