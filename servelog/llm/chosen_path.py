@@ -2,15 +2,16 @@
 
 A document is the set of its word shingles. Sets that are equal are one class. Each
 class has minwise values of its set; in each of several independent trees a node
-branches its members by the value of few seeded coordinates, so similar sets keep
+branches its members by the values of few seeded coordinates, so similar sets keep
 meeting and dissimilar ones part. Small nodes are compared exhaustively: first by
-their minwise values, then, what is left, on the full sets.
-
-A node that is still large is first compared with one member, its pivot, on the full
-sets. Jaccard distance is a metric, so members linked with the pivot can only be
-linked with an unlinked member if the distances to the pivot say so; only these and
-the unlinked ones branch on. Large groups of near copies end there in one step, and no
-pair of them is ever listed.
+their minwise values, then, what is left, on the full sets. A pair that a node has
+already connected is not compared again, so near copies cost one comparison each.
+
+A node that is still large after branching holds sets that are alike. It is compared
+with one member, its pivot, on the full sets. Jaccard distance is a metric, so members
+linked with the pivot can only be linked with an unlinked member if the distances to
+the pivot say so; only these and the unlinked ones branch on. Large groups of near
+copies end there in one step, and no pairs of them are ever listed.
 """
 
 from __future__ import annotations
@@ -29,14 +30,17 @@ from servelog.session import cut
 
 SHINGLE = 5
 PERCENT = 85  # links: 100 * intersection >= PERCENT * union
-TREES = 16
-COORDINATES = 64
+TREES = 10
+COORDINATES = 96
 # Agreeing coordinates below this are over six standard deviations from 85 % of them.
-LEAST_AGREEING = 36
-LEAF = 200
+LEAST_AGREEING = 60
+LEAF = 2048  # members, and
+LEAF_SHINGLES = 2_000_000  # shingles of all members, that one task compares
 _draw = np.random.default_rng(20_240_501)
-_A = _draw.integers(0, 1 << 63, TREES + COORDINATES, "uint64") * np.uint64(2) + np.uint64(1)
-_B = _draw.integers(0, 1 << 63, TREES + COORDINATES, "uint64")
+_TREE_A = _draw.integers(0, 1 << 63, TREES, "uint64") * np.uint64(2) + np.uint64(1)
+_TREE_B = _draw.integers(0, 1 << 63, TREES, "uint64")
+_A = _draw.integers(0, 1 << 31, COORDINATES, "uint32") * np.uint32(2) + np.uint32(1)
+_B = _draw.integers(0, 1 << 32, COORDINATES, "uint32")
 
 
 def shingle_sets(bodies: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -48,12 +52,14 @@ def shingle_sets(bodies: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarra
             yield np.unique(shingle_hashes(own, size))
 
 
-def minwise(members: np.ndarray) -> np.ndarray:
-    """``TREES + COORDINATES`` minwise values of a set."""
-    least = np.full(len(_A), ~np.uint64(0), "uint64")
-    for at in range(0, len(members), 16_384):
-        np.minimum(least, (members[at:at + 16_384, None] * _A + _B).min(axis=0), out=least)
-    return least
+def minwise(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minwise values of a set: 64 bits per tree, 16 bits per coordinate."""
+    trees, marks = np.full(TREES, ~np.uint64(0), "uint64"), np.full(COORDINATES, ~np.uint32(0), "uint32")
+    high = (members >> np.uint64(32)).astype("uint32")
+    for at in range(0, len(members), 4096):
+        np.minimum(trees, (members[at:at + 4096, None] * _TREE_A + _TREE_B).min(axis=0), out=trees)
+        np.minimum(marks, (high[at:at + 4096, None] * _A + _B).min(axis=0), out=marks)
+    return trees, (marks >> np.uint32(16)).astype("<u2")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -72,12 +78,12 @@ def _describe(size: int) -> Callable:
             bodies = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
             out: list[list] = [[], [], [], []]
             for members in shingle_sets(bodies, size):
-                least = minwise(members)
+                trees, marks = minwise(members)
                 full = len(members) > 0
                 out[0].append(len(members))
                 out[1].append(hashlib.md5(members.tobytes()).digest() if full else None)
-                out[2].append(least[:TREES].view("int64").tolist() if full else None)
-                out[3].append((least[TREES:] >> np.uint64(32)).astype("<u4").tobytes() if full else None)
+                out[2].append(trees.view("int64").tolist() if full else None)
+                out[3].append(marks.tobytes() if full else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
                  pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())],
@@ -143,11 +149,20 @@ class _Forest:
         return x != y
 
 
-def _likely(sketches: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of a node can be linked by size and by their minwise values."""
-    agreeing = (sketches[:, None, :] == sketches[None, :, :]).sum(2, dtype="int16")
-    small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-    return np.triu((agreeing >= LEAST_AGREEING) & (100 * small >= percent * large), 1)
+def _likely(sketches: list[bytes], sizes: list[int], percent: int) -> np.ndarray:
+    """Pairs (a, b) of a node that can be linked by size and by their minwise values, those
+    that agree most first."""
+    marks, sizes = np.frombuffer(b"".join(sketches), "<u2").reshape(len(sketches), -1), np.array(sizes)
+    pairs, agree = [np.zeros((0, 2), "int64")], [np.zeros(0, "int64")]
+    for at in range(0, len(marks), 64):
+        mine = slice(at, at + 64)
+        agreeing = (marks[mine, None, :] == marks[None, at:, :]).sum(2, dtype="uint8")
+        small = np.minimum.outer(sizes[mine], sizes[at:])
+        large = np.maximum.outer(sizes[mine], sizes[at:])
+        i, j = np.nonzero(np.triu((agreeing >= LEAST_AGREEING) & (100 * small >= percent * large), 1))
+        pairs.append(np.stack([i, j], 1) + at)
+        agree.append(agreeing[i, j].astype("int64"))
+    return np.concatenate(pairs)[np.argsort(-np.concatenate(agree), kind="stable")]
 
 
 def _prune(percent: int) -> Callable:
@@ -155,17 +170,16 @@ def _prune(percent: int) -> Callable:
     def run(batches):
         out: list[tuple[int, bytes]] = []
         for node, (classes, sizes, sketches) in grouped(batches):
-            marks = np.frombuffer(b"".join(sketches), "<u4").reshape(len(classes), -1)
-            pairs = np.argwhere(_likely(marks, np.array(sizes), percent)).tolist()
-            if not pairs:
+            pairs = _likely(sketches, sizes, percent)
+            if not len(pairs):
                 continue
             forest = _Forest(len(classes))
-            for a, b in pairs:
+            for a, b in pairs.tolist():
                 forest.join(a, b)
-            for member in sorted({m for pair in pairs for m in pair}):
-                part = int(mix(np.array([node], "int64").view("uint64") + np.uint64(forest.root(member)))
-                           .view("int64")[0])
-                out.append((part, classes[member]))
+            seed = np.array([node], "int64").view("uint64")
+            for member in np.unique(pairs).tolist():
+                part = mix(seed + np.uint64(forest.root(member))).view("int64")
+                out.append((int(part[0]), classes[member]))
             if len(out) > 20_000:
                 yield _two(out, pa.int64(), ["node", "cls"])
                 out = []
@@ -184,9 +198,8 @@ def _compare(percent: int) -> Callable:
     def run(batches):
         out: list[tuple[bytes, bytes]] = []
         for _, (classes, sizes, sketches, members) in grouped(batches):
-            marks = np.frombuffer(b"".join(sketches), "<u4").reshape(len(classes), -1)
             sets, forest = [np.frombuffer(m, "uint64") for m in members], _Forest(len(classes))
-            for a, b in np.argwhere(_likely(marks, np.array(sizes), percent)).tolist():
+            for a, b in _likely(sketches, sizes, percent).tolist():
                 if forest.root(a) != forest.root(b) and linked(sets[a], sets[b], percent):
                     forest.join(a, b)
                     out.append((classes[a], classes[b]))
@@ -209,40 +222,43 @@ def _overlaps(batches):
             names=["cls", "pivot", "common", "total"])
 
 
-def _children(percent: int) -> Callable:
-    """node, cls, sketch -> node, cls: the member under each coordinate its node chose. A node
-    chooses one, and a second so often that the mean is the inverse of the threshold."""
+def _children(percent: int, leaf: int) -> Callable:
+    """node, size, cls, sketch -> node, cls: members under their values of ``k`` coordinates that
+    the node chose. It chooses so many such paths that a pair at the threshold is
+    expected to keep meeting in one; larger nodes take more steps at once."""
     def run(batches):
-        second = np.uint64((100 - percent) * (1 << 32) // percent)
         for batch in batches:
             nodes = np.array(batch.column(0).to_pylist(), "int64").view("uint64")
-            classes = batch.column(1).to_pylist()
+            classes = batch.column(2).to_pylist()
             if not len(nodes):
                 continue
-            marks = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(len(nodes), -1)
-            seed, rows = mix(nodes + np.uint64(0x5851F42D4C957F2D)), np.arange(len(nodes))
+            size = np.array(batch.column(1).to_pylist(), "float64")
+            steps = np.clip(np.ceil(np.log2(4 * size / leaf)), 1, 12).astype("int64")
+            paths = np.ceil((100 / percent) ** steps - 1e-9).astype("int64")
+            marks = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(len(nodes), -1)
             out: list[tuple[int, bytes]] = []
-            for draw in range(2):
-                column = (seed % np.uint64(COORDINATES)).astype("int64")
-                if draw:  # another one
-                    step = 1 + (seed >> np.uint64(8)) % np.uint64(COORDINATES - 1)
-                    column = (column + step.astype("int64")) % COORDINATES
-                child = mix(mix(nodes ^ mix(column.astype("uint64"))) + marks[rows, column].astype("uint64"))
-                taken = rows if draw == 0 else np.flatnonzero((seed >> np.uint64(32)) < second)
-                out += [(int(c), classes[i]) for i, c in zip(taken.tolist(), child[taken].view("int64").tolist())]
+            for path in range(int(paths.max())):
+                rows = np.flatnonzero(paths > path)
+                child = mix(nodes[rows] + np.uint64(path + 1))
+                for step in range(int(steps[rows].max())):
+                    on = steps[rows] > step
+                    column = mix(nodes[rows] ^ np.uint64(1_000_003 * (path * 16 + step + 1))) % np.uint64(COORDINATES)
+                    value = marks[rows, column.astype("int64")].astype("uint64")
+                    child = np.where(on, mix(child * np.uint64(31) + value), child)
+                out += zip(child.view("int64").tolist(), [classes[i] for i in rows.tolist()])
             yield _two(out, pa.int64(), ["node", "cls"])
     return run
 
 
 def _alive(members: DataFrame) -> DataFrame:
-    """Members of nodes that hold two or more, with ``size``; of nodes with the same members
-    one. Counts are made map-side, rows meet them in a join that can be split."""
-    hash_ = F.xxhash64("cls")
+    """Members (node, cls, n) of nodes that hold two or more, with ``size`` and ``weight`` (shingles);
+    of nodes with the same members one. Counts are made map-side, rows meet them in a
+    join that can be split."""
     nodes = (members.groupBy("node").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(hash_).alias("__x"),
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("cls")).alias("__x"),
         F.bit_xor(F.xxhash64(F.lit(7), F.col("cls"))).alias("__y")).where(F.col("size") > 1))
-    nodes = nodes.groupBy("size", "__x", "__y").agg(F.min("node").alias("node")).select("node", "size")
-    return members.join(nodes, "node")
+    nodes = nodes.groupBy("size", "weight", "__x", "__y").agg(F.min("node").alias("node"))
+    return members.join(nodes.select("node", "size", "weight"), "node")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
@@ -263,37 +279,42 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = cut(base.where("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"),
         F.first("sketch").alias("sketch")))
+    facts = classes.select("cls", "n", "sketch")
     # Coordinate t of tree t; the tree is part of the key.
-    roots = classes.select("cls", F.posexplode("least").alias("tree", "value")).select(
-        F.xxhash64("tree", "value").alias("node"), "cls")
-    live = cut(_alive(roots))
+    live = cut(_alive(classes.select("cls", "n", F.posexplode("least").alias("tree", "value")).select(
+        F.xxhash64("tree", "value").alias("node"), "cls", "n")))
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("text"))
+    sets: list[DataFrame] = []
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        wanted = classes.select("cls", "rep").join(keys.select("cls").distinct(), "cls", "left_semi")
+        """Full sets of classes; those of earlier calls are not made again."""
+        keys = keys.select("cls").distinct()
+        for known in sets:
+            keys = keys.join(known, "cls", "left_anti")
+        wanted = classes.select("cls", "rep").join(keys, "cls", "left_semi")
         rows = wanted.join(texts, wanted["rep"].eqNullSafe(texts["__id"])).select("cls", "text")
-        return cut(rows.mapInArrow(_sets(shingle), "cls binary, members binary").dropDuplicates(["cls"]))
+        sets.append(cut(rows.mapInArrow(_sets(shingle), "cls binary, members binary").dropDuplicates(["cls"])))
+        return _union(sets)
 
-    edges, leaves = [], [live.where(F.col("size") <= leaf).select("node", "cls")]
-    large = live.where(F.col("size") > leaf).select("node", "cls")
+    small = (F.col("size") <= leaf) & (F.col("weight") <= LEAF_SHINGLES)
+    edges, leaves, level = [], [live.where(small).select("node", "cls")], 0
+    large = live.where(~small)
     while not large.isEmpty():
-        more, rest = _meet_pivots(large, sets_of(large), percent)
-        edges.append(more)
-        split = rest.join(classes.select("cls", "sketch"), "cls").select("node", "cls", "sketch")
-        live = cut(_alive(cut(split.mapInArrow(_children(percent), "node long, cls binary"))))
-        leaves.append(live.where(F.col("size") <= leaf).select("node", "cls"))
-        large = live.where(F.col("size") > leaf).select("node", "cls")
-    small = leaves[0]
-    for more in leaves[1:]:
-        small = small.union(more)
-    facts = classes.select("cls", "n", "sketch")
-    small = small.join(facts, "cls").select("node", "cls", "n", "sketch")
-    likely = cut(_alive(cut(_by_node(small, _prune(percent), "node long, cls binary"))).select("node", "cls"))
-    full = (likely.join(facts, "cls").join(sets_of(likely), "cls")
-            .select("node", "cls", "n", "sketch", "members"))
-    links = _by_node(full, _compare(percent), "a binary, b binary")
-    for more in edges:
-        links = links.union(more)
+        rest = large.select("node", "size", "cls")
+        if level:
+            more, rest = _meet_pivots(rest, sets_of(rest), percent)
+            edges.append(more)
+        split = rest.join(facts, "cls").select("node", "size", "cls", "sketch")
+        children = cut(split.mapInArrow(_children(percent, leaf), "node long, cls binary"))
+        live = cut(_alive(children.join(facts.select("cls", "n"), "cls")))
+        leaves.append(live.where(small).select("node", "cls"))
+        large, level = live.where(~small), level + 1
+    members = _union(leaves).join(facts, "cls").select("node", "cls", "n", "sketch")
+    likely = cut(_by_node(members, _prune(percent), "node long, cls binary"))
+    likely = cut(_alive(likely.join(facts, "cls"))).select("node", "cls", "n", "sketch")
+    full = likely.join(sets_of(likely), "cls").select("node", "cls", "n", "sketch", "members")
+    edges.append(_by_node(full, _compare(percent), "a binary, b binary"))
+    links = _union(edges)
     roots_of = components(links, "a", "b")
     named = classes.select("cls", "rep").join(
         roots_of.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
@@ -321,6 +342,13 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **sett
     return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.union(more)
+    return out
+
+
 def _meet_pivots(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links with the pivots, members that branch on) of large nodes."""
     pivots = large.groupBy("node").agg(F.min("cls").alias("pivot"))
@@ -332,10 +360,10 @@ def _meet_pivots(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
               .mapInArrow(_overlaps, "cls binary, pivot binary, common long, total long"))
     is_link: Column = 100 * F.col("common") >= percent * F.col("total")
     rows = rows.join(met, ["cls", "pivot"]).select(
-        "node", "cls", "pivot", is_link.alias("near"), (1 - F.col("common") / F.col("total")).alias("d"))
+        "node", "size", "cls", "pivot", is_link.alias("near"), (1 - F.col("common") / F.col("total")).alias("d"))
     rows = cut(rows)
     nearest = rows.where(~F.col("near")).groupBy("node").agg(F.min("d").alias("__d"))
     margin = 1 - percent / 100 + 1e-9
     rest = rows.join(nearest, "node").where(~F.col("near") | (F.col("d") >= F.col("__d") - margin))
     return (met.where(is_link).select(F.col("cls").alias("a"), F.col("pivot").alias("b")),
-            rest.select("node", "cls"))
+            rest.select("node", "size", "cls"))
