@@ -16,7 +16,7 @@ HEADLINE = (
     "requests_with_batches", "ring_owner", "balanced_assign", "bounded_load_assign",
     "policy_summary", "first_touch", "lru_hits", "work_reuse_distance", "work_batch_cost",
     "longest_prefix_match", "prefix_trie", "reuse_depth", "stem_placement", "token_bucket",
-    "idempotent", "size_or_deadline_batches", "worker_liveness", "speedup", "zipf_log")
+    "idempotent", "size_or_deadline_batches", "worker_liveness", "speedup", "cap_sweep")
 
 
 def main() -> None:

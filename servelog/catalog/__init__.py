@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FAMILIES = ("sources", "clean", "joins", "placement", "locality", "metrics", "stats", "stateful",
-            "generate", "infer")
+            "infer")
 
 
 def _merged(attribute: str) -> dict:

@@ -70,8 +70,7 @@ def retained_trie(spark, sf_dir):
 
 
 def retained_paths(spark, sf_dir):
-    served = views.prompt_paths(spark, sf_dir).where(F.size("path") > 0).select(
-        "seq", "worker_id", F.element_at("path", -1).alias("path_id"))
+    served = views.prompt_log(spark, sf_dir).select("seq", "worker_id", F.md5("text").alias("path_id"))
     return locality.retained_paths(served, 100)
 
 
@@ -102,8 +101,9 @@ def workers_per_prefix(spark, sf_dir):
 
 
 def workers_per_stem(spark, sf_dir):
-    rows = views.prompt_paths(spark, sf_dir).select("worker_id", locality.stem_of().alias("stem"))
-    got = locality.workers_per_prefix(rows.where("stem is not null"), prefix="stem")
+    rows = views.prompt_paths(spark, sf_dir).select(
+        "worker_id", F.coalesce(locality.stem_of(), "path_id").alias("stem"))
+    got = locality.workers_per_prefix(rows, prefix="stem")
     return got.withColumn("workers_per_prefix", F.round("workers_per_prefix", 6))
 
 
@@ -126,12 +126,10 @@ _BATCHES = """
 batches AS (SELECT seq, worker_id, prefix_id, seq // 64 AS batch_no FROM request_log)"""
 
 _TRIE = """
-last AS (SELECT c.worker_id, c.path_id, max(c.seq) AS last_seq FROM (
-    SELECT worker_id, seq, arg_max(chain_hash, depth) AS path_id FROM chains GROUP BY worker_id, seq) c
-  GROUP BY c.worker_id, c.path_id),
+last AS (SELECT lang AS worker_id, md5(text) AS path_id, max(doc_id) AS last_seq FROM documents GROUP BY 1, 2),
 kept AS (SELECT * FROM last {qualify}),
 path_nodes AS (SELECT DISTINCT p.path_id, c.depth, c.chain_hash, c.parent_hash
-  FROM (SELECT seq, arg_max(chain_hash, depth) AS path_id FROM chains GROUP BY seq) p
+  FROM (SELECT doc_id AS seq, md5(text) AS path_id FROM documents) p
   JOIN chains c ON c.seq = p.seq)
 SELECT depth, chain_hash, parent_hash, worker_id, count(*) AS refcount, max(last_seq) AS last_seq
 FROM kept JOIN path_nodes USING (path_id) GROUP BY ALL"""
@@ -190,9 +188,9 @@ FROM (SELECT worker_id, batch_no, count(*) AS size, count(*) FILTER (hit) AS hit
     "prefix_trie": sql.with_(sql.CHAINS, recursive=True) + "," + _TRIE.format(qualify=""),
     "retained_trie": sql.with_(sql.CHAINS, recursive=True) + "," + _TRIE.format(
         qualify="QUALIFY row_number() OVER (PARTITION BY worker_id ORDER BY last_seq DESC) <= 50"),
-    "retained_paths": sql.with_(sql.CHAINS, recursive=True) + """
+    "retained_paths": """
 SELECT worker_id, path_id, max(seq) AS last_seq
-FROM (SELECT worker_id, seq, arg_max(chain_hash, depth) AS path_id FROM chains GROUP BY worker_id, seq)
+FROM (SELECT lang AS worker_id, doc_id AS seq, md5(text) AS path_id FROM documents)
 GROUP BY worker_id, path_id
 QUALIFY row_number() OVER (PARTITION BY worker_id ORDER BY max(seq) DESC) <= 100""",
     "reuse_depth": sql.with_(sql.CHAINS, recursive=True) + """
@@ -220,8 +218,9 @@ SELECT model, count(*) AS n_prefixes, round(avg(w), 6) AS workers_per_prefix
 FROM (SELECT model, prefix_hash, count(DISTINCT worker_id) AS w FROM request_log GROUP BY 1, 2)
 GROUP BY model""",
     "workers_per_stem": sql.with_(sql.CHAINS, recursive=True) + """
-, stems AS (SELECT seq, worker_id, arg_max(chain_hash, depth) AS stem FROM chains
-  WHERE depth <= 3 GROUP BY seq, worker_id)
+, named AS (SELECT seq, arg_max(chain_hash, depth) AS stem FROM chains WHERE depth <= 3 GROUP BY seq),
+stems AS (SELECT lang AS worker_id, coalesce(stem, md5(text)) AS stem
+  FROM documents LEFT JOIN named ON seq = doc_id)
 SELECT count(*) AS n_prefixes, round(avg(w), 6) AS workers_per_prefix
 FROM (SELECT stem, count(DISTINCT worker_id) AS w FROM stems GROUP BY stem)""",
 }

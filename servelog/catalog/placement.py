@@ -10,7 +10,7 @@ from servelog.operators import metrics, placement, sweep
 from servelog.session import cut
 
 INF = placement.UNBOUNDED
-SWEEP = (1.0, 1.25, 1.5, 2.0, INF)
+SWEEP = placement.CAP_SWEEP
 
 
 def _day():
@@ -31,12 +31,13 @@ def balanced_assign(spark, sf_dir):
 
 
 def shared_stem_keys(spark, sf_dir):
-    return placement.shared_stem_key(views.prompt_chains(spark, sf_dir), 3)
+    return placement.shared_stem_key(views.prompt_chains(spark, sf_dir), views.prompt_log(spark, sf_dir),
+                                     min_support=3)
 
 
 def stem_placement(spark, sf_dir):
     """Whole documents placed by their shared stem, 100 documents per window."""
-    stems = cut(placement.shared_stem_key(views.prompt_chains(spark, sf_dir), 3))
+    stems = cut(shared_stem_keys(spark, sf_dir))
     placed = placement.bounded_load_assign(stems, "stem_key", views.workers(spark), 1.5,
                                            F.floor(F.col("seq") / 100).cast("long"))
     return placed.select("win", "seq", "worker_id", "rank")
@@ -133,26 +134,26 @@ SELECT t.policy, t.cap_factor, count(*) AS n, round(avg(CAST(hit AS INTEGER)), 6
 FROM steady t JOIN span USING (policy, cap_factor) JOIN wide USING (policy, cap_factor)
 GROUP BY t.policy, t.cap_factor"""
 
+_STEMS = """
+, support AS (SELECT chain_hash, count(*) AS s FROM chains GROUP BY chain_hash),
+named AS (SELECT seq, coalesce(arg_max(c.chain_hash, depth) FILTER (s >= 3),
+    min(c.chain_hash) FILTER (depth = 1)) AS stem_key, coalesce(max(depth) FILTER (s >= 3), 1) AS stem_depth
+  FROM chains c JOIN support u ON u.chain_hash = c.chain_hash GROUP BY seq),
+stems AS (SELECT doc_id AS seq, coalesce(stem_key, md5(coalesce(text, ''))) AS stem_key,
+    coalesce(stem_depth, 0) AS stem_depth FROM documents LEFT JOIN named ON seq = doc_id)
+"""
+
 SQL = {
     "bounded_load_assign": sql.with_(*_base(("1.25",))) + """
 SELECT win, seq, worker_id, rank FROM placed WHERE worker_id IS NOT NULL""",
     "balanced_assign": sql.with_(sql.REQUEST_LOG, _BALANCED) + "SELECT * FROM dealt",
-    "shared_stem_keys": sql.with_(sql.CHAINS, recursive=True) + """
-, support AS (SELECT chain_hash, count(*) AS s FROM chains GROUP BY chain_hash)
-SELECT seq, coalesce(arg_max(c.chain_hash, depth) FILTER (s >= 3), min(c.chain_hash) FILTER (depth = 1))
-    AS stem_key,
-  coalesce(max(depth) FILTER (s >= 3), 1) AS stem_depth
-FROM chains c JOIN support u ON u.chain_hash = c.chain_hash GROUP BY seq""",
-    "stem_placement": sql.with_(sql.CHAINS, recursive=True) + """
-, support AS (SELECT chain_hash, count(*) AS s FROM chains GROUP BY chain_hash),
-stems AS (SELECT seq, coalesce(arg_max(c.chain_hash, depth) FILTER (s >= 3),
-    min(c.chain_hash) FILTER (depth = 1)) AS key
-  FROM chains c JOIN support u ON u.chain_hash = c.chain_hash GROUP BY seq),"""
-    + ",".join((sql.WORKERS, sql.ring(), sql.preferences("SELECT key FROM stems"),
-                sql.placement("SELECT seq // 100 AS win, seq, key FROM stems", ("1.5",)))) + """
+    "shared_stem_keys": sql.with_(sql.CHAINS, recursive=True) + _STEMS + "SELECT * FROM stems",
+    "stem_placement": sql.with_(sql.CHAINS, recursive=True) + _STEMS + ","
+    + ",".join((sql.WORKERS, sql.ring(), sql.preferences("SELECT stem_key AS key FROM stems"),
+                sql.placement("SELECT seq // 100 AS win, seq, stem_key AS key FROM stems", ("1.5",)))) + """
 SELECT win, seq, worker_id, rank FROM placed WHERE worker_id IS NOT NULL""",
     "policy_summary": sql.with_(*_base(("1.5",)), _SUMMARY),
-    "cap_sweep": sql.with_(*_base(("1.0", "1.25", "1.5", "2.0", "Infinity")), _SUMMARY),
+    "cap_sweep": sql.with_(*_base(tuple("Infinity" if c == INF else str(c) for c in SWEEP)), _SUMMARY),
     "eligible_placement": sql.with_(
         sql.REQUEST_LOG, "fleet AS (SELECT * FROM (VALUES ('w0'), ('w1'), ('w3')) AS f(worker_id))",
         sql.ring("fleet"), sql.preferences(_KEYS),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from servelog.catalog import sql, views
 from servelog.catalog.common import r6
+from servelog.functions.keys import hash_api_key
 from servelog.operators import metrics
 from servelog.session import scratch_path
 from servelog.sources import readers, sinks
@@ -29,8 +30,27 @@ def _requests(spark, sf_dir):
 def read_log(spark, sf_dir):
     path = views.saved(_requests(spark, sf_dir), "requests")
     log = readers.read_log(spark, path, "requests")
-    return log.select("id", "tenant_id", "model", "status", "batch_id", "cache_hit", "total_ms",
-                      F.unix_micros("created_at").alias("created_us"))
+    return log.select("*", F.unix_micros("created_at").alias("created_us"),
+                      F.unix_micros("completed_at").alias("completed_us")).drop("created_at", "completed_at")
+
+
+def read_log_batches(spark, sf_dir):
+    orders = views.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("model"),
+        (F.col("o_custkey") % 16).cast("int").alias("size"), F.col("o_custkey").cast("string").alias("worker_id"),
+        F.floor("o_totalprice").cast("int").alias("inference_ms"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    batches = readers.read_log(spark, views.saved(orders, "batches"), "batches")
+    return batches.withColumn("created_us", F.unix_micros("created_at")).drop("created_at")
+
+
+def read_log_api_keys(spark, sf_dir):
+    keys = views.request_log(spark, sf_dir).groupBy("api_key").agg(F.min("ts").alias("created_at")).select(
+        hash_api_key("api_key").alias("key_hash"),
+        F.concat(F.lit("t"), (F.col("api_key") % 10).cast("string")).alias("tenant_id"),
+        F.lit(10).alias("rps_limit"), F.col("created_at").cast("timestamp").alias("created_at"))
+    table = readers.read_log(spark, views.saved(keys, "api-keys"), "api_keys")
+    return table.withColumn("created_us", F.unix_micros("created_at")).drop("created_at")
 
 
 def read_workers(spark, sf_dir):
@@ -78,18 +98,27 @@ def write_request_log(spark, sf_dir):
     stream = spark.readStream.schema(source.schema).parquet(views.saved(source, "results"))
     path, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "log-checkpoint")
     sinks.write_request_log(stream, path, checkpoint).awaitTermination()
-    log = spark.read.parquet(path).where("day >= DATE '2024-01-15' AND model = 'm1'")
+    log = spark.read.parquet(path)
     return log.select("id", "model", F.date_format("day", "yyyy-MM-dd").alias("day"), "total_ms")
 
 
-QUERIES = {f.__name__: f for f in (read_log, read_workers, read_request_stream, read_calibration,
+QUERIES = {f.__name__: f for f in (read_log, read_log_batches, read_log_api_keys, read_workers, read_request_stream, read_calibration,
                                    write_sweep_csv, write_request_log)}
 
 SQL = {
     "read_log": sql.with_(sql.REQUEST_LOG) + """
-SELECT request_id AS id, 't' || (api_key % 10) AS tenant_id, model, status,
-  (seq // 16)::VARCHAR AS batch_id, cached_tokens > 0 AS cache_hit,
-  CAST(floor(total_ms) AS INTEGER) AS total_ms, ts_us AS created_us FROM request_log""",
+SELECT request_id AS id, 't' || (api_key % 10) AS tenant_id, model, props AS params, status, worker_id,
+  (seq // 16)::VARCHAR AS batch_id, prefix_hash, cached_tokens > 0 AS cache_hit,
+  CAST(queue_wait_ms AS INTEGER) AS queue_wait_ms, CAST(floor(inference_ms) AS INTEGER) AS inference_ms,
+  CAST(floor(total_ms) AS INTEGER) AS total_ms, ts_us AS created_us, ts_us + 60000000 AS completed_us
+FROM request_log""",
+    "read_log_batches": """
+SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS model, CAST(o_custkey % 16 AS INTEGER) AS size,
+  o_custkey::VARCHAR AS worker_id, CAST(floor(o_totalprice) AS INTEGER) AS inference_ms,
+  epoch_us(o_orderdate) AS created_us FROM orders""",
+    "read_log_api_keys": sql.with_(sql.REQUEST_LOG) + """
+SELECT sha256(api_key::VARCHAR) AS key_hash, 't' || (api_key % 10) AS tenant_id,
+  CAST(10 AS INTEGER) AS rps_limit, min(ts_us) AS created_us FROM request_log GROUP BY api_key""",
     "read_workers": sql.with_(sql.REGISTRY) + """
 SELECT worker_id, model, max_batch, max_concurrent,
   CAST(greatest(0, max_concurrent - inflight) AS INTEGER) AS free_slots FROM registry""",
@@ -109,5 +138,5 @@ SELECT model, status, count(*) AS n, round(quantile_cont(total_ms, 0.5), 6) AS p
     "write_request_log": sql.with_(sql.REQUEST_LOG) + """
 SELECT request_id AS id, model, strftime(ts, '%Y-%m-%d') AS day,
   CAST(floor(total_ms) AS INTEGER) AS total_ms
-FROM request_log WHERE ts >= TIMESTAMP '2024-01-15' AND model = 'm1'""",
+FROM request_log""",
 }

@@ -46,7 +46,7 @@ def idempotent_hot_key(spark, sf_dir):
     rows = views.request_log(spark, sf_dir).select(
         F.when(F.col("seq") % 3 == 0, "hot").otherwise(F.col("idem_key")).alias("idem_key"),
         "seq", "ts_us", "request_id")
-    return stateful.idempotent(rows, "idem_key", 5 * DAY_US, hot_rows=1000).select(
+    return stateful.idempotent(rows, "idem_key", 5 * DAY_US, fold_rows=1000).select(
         "idem_key", "seq", "original_id", "duplicate")
 
 

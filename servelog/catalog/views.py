@@ -74,9 +74,10 @@ def prompt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, worker_id, path) with cumulative block hashes of whole texts."""
+    """(seq, worker_id, path_id, path): a hash of the whole text, its cumulative block hashes."""
     return prompt_log(spark, sf_dir).select(
-        "seq", "worker_id", block_path("text", BLOCK_CHARS).alias("path"))
+        "seq", "worker_id", F.md5(F.coalesce("text", F.lit(""))).alias("path_id"),
+        block_path("text", BLOCK_CHARS).alias("path"))
 
 
 def prompt_chains(spark: SparkSession, sf_dir: str) -> DataFrame:

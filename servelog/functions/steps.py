@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
+
 MICROS = 1_000_000
 
 
@@ -24,9 +26,13 @@ class Rate:
 
     @classmethod
     def of(cls, rps: float, burst: float, cost: float = 1.0) -> Rate:
+        depth = burst if burst > 0 else rps
         exact = Fraction(rps).limit_denominator(1_000_000)
+        if float(exact) != rps:  # as fine as 64-bit states of the bucket allow
+            exact = Fraction(rps).limit_denominator(max(1_000_000, int((1 << 61) // (MICROS * max(depth, cost, 1)))))
         unit = MICROS * exact.denominator
-        depth = burst if burst > 0 else rps
+        if unit * max(depth, cost) >= 1 << 62:
+            raise ValueError(f"a bucket of {depth} tokens at {rps} per second needs more than 64 bits")
         return cls(exact.numerator, round(Fraction(depth).limit_denominator(1_000_000) * unit),
                    round(Fraction(cost).limit_denominator(1_000_000) * unit))
 
@@ -112,6 +118,17 @@ def enter_window(ts: int, row_id: str, ttl_us: int, opened: Window | None) -> tu
     return opened, True
 
 
+def last_windows(ts: np.ndarray, ttl_us: int) -> np.ndarray:
+    """For each row of ascending ``ts``: if a window opens there, the row that opens the last
+    window of the slice."""
+    following = np.searchsorted(ts, ts + ttl_us, "left")
+    last = np.arange(len(ts))
+    for i in range(len(ts) - 1, -1, -1):
+        if following[i] < len(ts):
+            last[i] = last[following[i]]
+    return last
+
+
 # --- size-or-deadline batches -----------------------------------------------
 
 def batch_end(ts_us: Sequence[int], due_us: Sequence[int], start: int,

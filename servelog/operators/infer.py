@@ -7,36 +7,35 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# Latency law of the echo engine and what it echoes.
-ECHO_ALPHA_MS, ECHO_BETA_MS, ECHO_CHARS = 18.0, 7.5, 24
 MAX_BATCH = 16
 
 Predict = Callable[[Sequence[str]], tuple[list[str], float]]
 
 
-def echo_engine() -> Predict:
-    """Answers with the head of the input; time follows the latency law."""
-    def predict(inputs: Sequence[str]) -> tuple[list[str], float]:
-        answers = [f"[mock] {text[:ECHO_CHARS]}" for text in inputs]
-        return answers, ECHO_ALPHA_MS + ECHO_BETA_MS * len(inputs)
-    return predict
-
-
-def batch_infer(df: DataFrame, text: str, make_predict: Callable[[], Predict] = echo_engine,
+def batch_infer(df: DataFrame, text: str, make_predict: Callable[[], Predict],
                 batch_size: int = MAX_BATCH) -> DataFrame:
     """Add ``output``, ``batch_size`` and ``inference_ms``.
 
-    ``make_predict`` runs once per task, so a model loads once per task. Arrow
-    batches are cut into model batches as they stream through.
+    ``make_predict`` runs once per task, so a model loads once per task; the function
+    it returns gets whole texts (null: empty) and gives an answer per text and the time
+    taken. A partition's rows are cut into batches of ``batch_size``, the last may be
+    smaller; the size of the chunks they arrive in does not matter.
     """
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = make_predict()
+        predict, held = make_predict(), None
         for chunk in chunks:
-            for at in range(0, len(chunk), batch_size):
-                part = chunk.iloc[at:at + batch_size]
-                answers, ms = predict(part[text].fillna("").tolist())
-                yield part.assign(output=answers, batch_size=len(part), inference_ms=ms)
+            held = chunk if held is None or held.empty else pd.concat([held, chunk], ignore_index=True)
+            full = len(held) // batch_size * batch_size
+            for at in range(0, full, batch_size):
+                yield answered(predict, held.iloc[at:at + batch_size])
+            held = held.iloc[full:]
+        if held is not None and not held.empty:
+            yield answered(predict, held)
+
+    def answered(predict: Predict, part: pd.DataFrame) -> pd.DataFrame:
+        answers, ms = predict(part[text].fillna("").tolist())
+        return part.assign(output=answers, batch_size=len(part), inference_ms=float(ms))
 
     return df.mapInPandas(run, f"{fields}, output string, batch_size int, inference_ms double")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from servelog.plans.dominance import POSITIONS_PER_SLICE, distinct_between
+from servelog.plans.joins import null_safe_join, solid
 from servelog.plans.sliced import dense_slice, sliced_lag, sliced_row_number
 from servelog.session import cut
 
@@ -19,7 +20,7 @@ CACHE_CAPACITY = 64
 def first_touch(df: DataFrame, by: Sequence[str], order: str = "seq") -> DataFrame:
     """``hit`` under an unbounded cache: some earlier row has the same keys."""
     first = df.groupBy(*by).agg(F.min(order).alias("__first"))
-    return (df.join(first, list(by)).withColumn("hit", F.col(order) > F.col("__first"))
+    return (null_safe_join(df, first, list(by)).withColumn("hit", F.col(order) > F.col("__first"))
             .drop("__first"))
 
 
@@ -36,13 +37,13 @@ def reuse_distance(df: DataFrame, worker: str, key: str, order: Sequence, slice_
                    slice_positions: int = POSITIONS_PER_SLICE) -> DataFrame:
     """Add ``distance``: distinct keys of the worker touched since the previous
     access to this key; NULL for a first access."""
-    rows = cut(access_positions(df, [worker], key, order, slice_))
-    points = rows.select(F.col(worker).alias("grp"), "pos", "prev")
+    rows = cut(access_positions(df, [worker], key, order, slice_).withColumn("__grp", solid(worker)))
+    points = rows.select(F.col("__grp").alias("grp"), "pos", "prev")
     asks = points.where("prev > 0").select("grp", F.col("pos").alias("query"),
                                            F.col("prev").alias("p"), F.col("pos").alias("j"))
     found = (distinct_between(points, asks, slice_positions)
-             .select(F.col("grp").alias(worker), F.col("query").alias("pos"), "distance"))
-    return rows.join(found, [worker, "pos"], "left")
+             .select(F.col("grp").alias("__grp"), F.col("query").alias("pos"), "distance"))
+    return rows.join(found, ["__grp", "pos"], "left").drop("__grp")
 
 
 def lru_hits(df: DataFrame, capacity: int, worker: str = "worker_id",
@@ -78,23 +79,24 @@ def batch_hits(df: DataFrame, capacity: int | None = None, worker: str = "worker
     """
     if capacity is None:
         first = df.groupBy(worker, key).agg(F.min(batch).alias("__first"))
-        return (df.join(first, [worker, key])
+        return (null_safe_join(df, first, [worker, key])
                 .withColumn("hit", F.col(batch) > F.col("__first")).drop("__first"))
     slice_ = dense_slice(batch) if slice_ is None else slice_
-    rows = cut(access_positions(df, [worker], key, order, slice_))
-    starts = rows.groupBy(worker, batch).agg(F.min("pos").alias("start"))
+    rows = cut(access_positions(df, [worker], key, order, slice_).withColumns(
+        {"__grp": solid(worker), "__key": solid(key)}))
+    starts = rows.groupBy("__grp", batch).agg(F.min("pos").alias("start"))
     # Only a batch's first access to a key looks back beyond the batch.
-    heads = (rows.groupBy(worker, batch, key).agg(F.min_by("prev", "pos").alias("p"),
-                                                  F.min("pos").alias("query"))
-             .join(starts, [worker, batch]))
-    asks = heads.where("p > 0").select(F.col(worker).alias("grp"), "query", "p",
+    heads = (rows.groupBy("__grp", batch, "__key").agg(F.min_by("prev", "pos").alias("p"),
+                                                       F.min("pos").alias("query"))
+             .join(starts, ["__grp", batch]))
+    asks = heads.where("p > 0").select(F.col("__grp").alias("grp"), "query", "p",
                                        F.col("start").alias("j"))
-    points = rows.select(F.col(worker).alias("grp"), "pos", "prev")
+    points = rows.select(F.col("__grp").alias("grp"), "pos", "prev")
     near = (distinct_between(points, asks).where(F.col("distance") < capacity)
-            .select(F.col("grp").alias(worker), "query", F.lit(True).alias("__near")))
-    verdict = (heads.join(near, [worker, "query"], "left")
-               .select(worker, batch, key, F.coalesce("__near", F.lit(False)).alias("hit")))
-    return rows.drop("pos", "prev").join(verdict, [worker, batch, key])
+            .select(F.col("grp").alias("__grp"), "query", F.lit(True).alias("__near")))
+    verdict = (heads.join(near, ["__grp", "query"], "left")
+               .select("__grp", batch, "__key", F.coalesce("__near", F.lit(False)).alias("hit")))
+    return rows.drop("pos", "prev").join(verdict, ["__grp", batch, "__key"]).drop("__grp", "__key")
 
 
 def batch_locality(df: DataFrame, capacity: int | None = None, worker: str = "worker_id",
@@ -137,15 +139,14 @@ def retained_paths(served: DataFrame, capacity: int = 0, worker: str = "worker_i
 def prefix_trie(served: DataFrame, capacity: int = 0) -> DataFrame:
     """Trie as a table: (depth, chain_hash, parent_hash, worker_id, refcount, last_seq).
 
-    ``served(seq, worker_id, path)`` holds cumulative block hashes; the deepest
-    one names the path. ``refcount`` counts a worker's retained distinct paths
-    through a node. Owners, path and node counts are filters on the result.
+    ``served(seq, worker_id, path_id, path)``: ``path_id`` names the whole prompt, e.g. by a
+    hash of all its text, ``path`` holds its cumulative block hashes and may be empty.
+    ``refcount`` counts a worker's retained distinct paths through a node. Owners, path
+    and node counts are filters on the result.
     """
-    named = (served.where(F.size("path") > 0)
-             .withColumn("path_id", F.element_at("path", -1)))
-    kept = retained_paths(named, capacity)
+    kept = retained_paths(served, capacity)
     # The blocks of one path are equal wherever it was served.
-    blocks = (named.groupBy("path_id").agg(F.first("path").alias("path")))
+    blocks = (served.groupBy("path_id").agg(F.first("path").alias("path")))
     nodes = (kept.join(blocks, "path_id")
              .select("worker_id", "last_seq", "path", F.posexplode("path").alias("d", "chain_hash")))
     parent = F.when(F.col("d") > 0, F.element_at("path", F.greatest(F.col("d"), F.lit(1))))

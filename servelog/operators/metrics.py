@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from servelog.plans.joins import null_safe_join
 from servelog.plans.quantiles import exact_percentiles
 from servelog.plans.sliced import even_slice, sliced_lead, sliced_running_sum
 
@@ -84,7 +85,7 @@ def batch_size_stats(df: DataFrame, by: Sequence[str], size: str = "size") -> Da
     spread = exact_percentiles(df, by, size, {"p50": 0.5, "p95": 0.95})
     mean = df.groupBy(*by).agg((F.sum(size) / F.count(size)).alias("mean_size"),
                                F.max(size).alias("max_size"))
-    return spread.join(mean, list(by))
+    return null_safe_join(spread, mean, list(by))
 
 
 def batch_size_distribution(df: DataFrame, by: Sequence[str] = (), size: str = "size") -> DataFrame:
@@ -181,7 +182,7 @@ def policy_summary(rows: DataFrame, n_workers: int, slots: int = 1,
                    by: Sequence[str] = ("policy", "cap_factor")) -> DataFrame:
     """One row per policy over its steady-state rows.
 
-    ``rows`` need worker_id, hit, total_ms, queue_wait_ms, busy_ms, enqueue_us,
+    Rows without a worker count in ``n`` and in no worker's load. ``rows`` need worker_id, hit, total_ms, queue_wait_ms, busy_ms, enqueue_us,
     completed_us and optionally batch_size.
     """
     by = list(by)
@@ -194,18 +195,21 @@ def policy_summary(rows: DataFrame, n_workers: int, slots: int = 1,
     if has_size:
         sums += [F.sum("batch_size").alias("z"), F.count("batch_size").alias("zn")]
     per = rows.groupBy(*by, "worker_id").agg(*sums)
-    n = F.sum("c")
+    n, placed = F.sum("c"), F.col("worker_id").isNotNull()
     cols = [
         n.alias("n"), (F.sum("h") / n).alias("hit_rate"), (n / span_s).alias("throughput_rps"),
-        (F.max("c") / (n / n_workers)).alias("load_imbalance"),
-        (F.max("b") / (F.sum("b") / n_workers)).alias("busy_imbalance"),
+        (F.max(F.when(placed, F.col("c"))) / (F.sum(F.when(placed, F.col("c"))) / n_workers))
+        .alias("load_imbalance"),
+        (F.max(F.when(placed, F.col("b"))) / (F.sum(F.when(placed, F.col("b"))) / n_workers))
+        .alias("busy_imbalance"),
         (F.sum("q") / F.sum("qn")).alias("mean_queue_wait_ms"),
-        (F.sum("b") / (n_workers * slots * span_s * 1000.0)).alias("utilisation")]
+        (F.sum(F.when(placed, F.col("b"))) / (n_workers * slots * span_s * 1000.0))
+        .alias("utilisation")]
     if has_size:
         cols.append((F.sum("z") / F.sum("zn")).alias("mean_batch_size"))
     wide = per.groupBy(*by).agg(*cols)
     tail = exact_percentiles(rows, by, "total_ms", PERCENTILES).drop("n")
-    return wide.join(tail, by)
+    return null_safe_join(wide, tail, by)
 
 
 def per_worker_pivot(rows: DataFrame, policies: Sequence[str], policy: str = "policy",
@@ -231,7 +235,7 @@ def topk_mass(df: DataFrame, k: int, prefix: str = "prefix_hash") -> DataFrame:
 
 def queue_wait_stats(df: DataFrame, by: Sequence[str], wait: str = "queue_wait_ms") -> DataFrame:
     mean = df.groupBy(*by).agg(F.avg(wait).alias("mean_wait"))
-    return exact_percentiles(df, by, wait, PERCENTILES).join(mean, list(by))
+    return null_safe_join(exact_percentiles(df, by, wait, PERCENTILES), mean, list(by))
 
 
 def desired_workers(depths: DataFrame, target: int = TARGET_DEPTH, low: int = MIN_WORKERS,

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from servelog.operators.ring import arc_preferences, arc_table, locate, ring_table
+from servelog.plans.joins import solid
 from servelog.plans.sliced import dense_slice, sliced_row_number
 from servelog.session import cut
 
@@ -26,7 +27,8 @@ UNBOUNDED = float("inf")
 # The sweep of cap factors, from flat load to pure affinity.
 CAP_SWEEP = (1.05, 1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, UNBOUNDED)
 
-_GROUP = ["cap_factor", "win"]
+# Joins go by ``__win``, in which a NULL window is a window of its own.
+_GROUP = ["cap_factor", "__win"]
 
 
 def fleet(workers: DataFrame, load: Column | None = None) -> list[tuple[str, float]]:
@@ -46,7 +48,7 @@ def _counts(candidates: DataFrame) -> DataFrame:
 
 
 def _room(counts: DataFrame, base: list[tuple[str, float]]) -> DataFrame:
-    """(cap_factor, win, worker_id, room): rows each worker may take, from the
+    """(cap_factor, __win, worker_id, room): rows each worker may take, from the
     first round's counts, in which every row of the log asks once."""
     n, total = len(base), sum(b for _, b in base)
     cap = F.col("cap_factor") * F.greatest((F.col("n_rows") + F.lit(total)) / F.lit(n), F.lit(1.0))
@@ -59,14 +61,14 @@ def _room(counts: DataFrame, base: list[tuple[str, float]]) -> DataFrame:
 
 
 def _standing(counts: DataFrame, room: DataFrame) -> DataFrame:
-    """(cap_factor, win, worker_id, room, total) of every worker of the fleet."""
+    """(cap_factor, __win, worker_id, room, total) of every worker of the fleet."""
     totals = counts.groupBy(*_WHO).agg(F.sum("c").alias("total"))
     return (room.join(totals, _WHO, "left")
             .select(*_WHO, "room", F.coalesce("total", F.lit(0)).alias("total")))
 
 
 def _limits(candidates: DataFrame, counts: DataFrame, standing: DataFrame) -> DataFrame:
-    """(cap_factor, win, worker_id, last_seq, room): the last candidate that fits
+    """(cap_factor, __win, worker_id, last_seq, room): the last candidate that fits
     and the room left after it. Only the slice in which a worker fills up is read
     and ranked row by row."""
     upto = Window.partitionBy(*_WHO).orderBy("slice")
@@ -104,7 +106,7 @@ def place(df: DataFrame, key: str | Column, workers: DataFrame,
     rows = df.withColumn("win", window)
     spread = F.explode(F.array(*[F.lit(float(c)) for c in caps]))
     left = (locate(rows, arcs, key, len(base) * vnodes + 4096)
-            .select("win", "seq", "arc", dense_slice("seq", slice_rows).alias("slice"))
+            .select("win", solid("win").alias("__win"), "seq", "arc", dense_slice("seq", slice_rows).alias("slice"))
             .withColumn("cap_factor", spread))
     done, room = [], None
     for rank in range(1, len(base) + 1):
@@ -114,17 +116,17 @@ def place(df: DataFrame, key: str | Column, workers: DataFrame,
         counts = cut(_counts(candidates))
         standing = _standing(counts, _room(counts, base) if room is None else room)
         if standing.where(F.col("total") > F.col("room")).isEmpty():
-            done.append(candidates.select(*_GROUP, "seq", "worker_id", F.lit(rank).alias("rank")))
+            done.append(candidates.select("cap_factor", "win", "seq", "worker_id", F.lit(rank).alias("rank")))
             left = None
             break
         limits = cut(_limits(candidates, counts, standing))
         decided = candidates.join(limits.select(*_WHO, "last_seq"), _WHO)
         done.append(decided.where(F.col("seq") <= F.col("last_seq"))
-                    .select(*_GROUP, "seq", "worker_id", F.lit(rank).alias("rank")))
+                    .select("cap_factor", "win", "seq", "worker_id", F.lit(rank).alias("rank")))
         left = cut(decided.where(F.col("seq") > F.col("last_seq")).drop("worker_id", "last_seq"))
         room = limits.select(*_WHO, "room")
     if left is not None:
-        done.append(left.select(*_GROUP, "seq", F.lit(None).cast("string").alias("worker_id"),
+        done.append(left.select("cap_factor", "win", "seq", F.lit(None).cast("string").alias("worker_id"),
                                 F.lit(None).cast("int").alias("rank")))
     out = done[0]
     for part in done[1:]:
@@ -156,13 +158,17 @@ def balanced_assign(df: DataFrame, workers: DataFrame, window: Column,
     return rows.select("win", "seq", F.element_at(hands, turn).alias("worker_id"))
 
 
-def shared_stem_key(chains: DataFrame, min_support: int = 2, key: str = "seq") -> DataFrame:
-    """(key, stem_key, stem_depth): deepest chain hash at least ``min_support``
-    requests share, else the first block. Feed ``stem_key`` to the placement."""
+def shared_stem_key(chains: DataFrame, requests: DataFrame, text: str = "text",
+                    min_support: int = 2, key: str = "seq") -> DataFrame:
+    """(key, stem_key, stem_depth) of every request: the deepest chain hash that at least
+    ``min_support`` requests share, else the first block; a text without a complete
+    block has a hash of all of it, at depth 0. Feed ``stem_key`` to the placement."""
     support = chains.groupBy("chain_hash").agg(F.count(F.lit(1)).alias("support"))
     shared = F.when(F.col("support") >= min_support, F.struct("depth", "chain_hash"))
     first = F.when(F.col("depth") == 1, F.struct("depth", "chain_hash"))
-    return (chains.join(support, "chain_hash")
-            .groupBy(key).agg(F.coalesce(F.max(shared), F.max(first)).alias("s"))
-            .select(key, F.col("s.chain_hash").alias("stem_key"),
-                    F.col("s.depth").alias("stem_depth")))
+    stems = (chains.join(support, "chain_hash")
+             .groupBy(key).agg(F.coalesce(F.max(shared), F.max(first)).alias("s")))
+    whole = F.md5(F.coalesce(F.col(text), F.lit("")))
+    return (requests.select(key, whole.alias("__whole")).join(stems, key, "left")
+            .select(key, F.coalesce("s.chain_hash", "__whole").alias("stem_key"),
+                    F.coalesce("s.depth", F.lit(0)).alias("stem_depth")))

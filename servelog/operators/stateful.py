@@ -9,8 +9,10 @@ slice is then folded on its own from its known start state.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from servelog.functions import steps
 from servelog.operators.clean import BUDGETS_MS
 from servelog.plans.folds import fold_sorted, spread
-from servelog.plans.sliced import dense_slice, sliced_lag, sliced_row_number
+from servelog.plans.joins import solid
+from servelog.plans.sliced import dense_slice, even_slice, sliced_lag, sliced_row_number
 from servelog.session import cut
 
 FOLD_ROWS = 250_000
@@ -103,62 +106,68 @@ def _bucket_starts(placed: DataFrame, full: DataFrame, key: str, rate: steps.Rat
 
 
 def idempotent(df: DataFrame, key: str, ttl_us: int, ts_us: str = "ts_us", order: str = "seq",
-               row_id: str = "request_id", hot_rows: int = 1_000_000) -> DataFrame:
+               row_id: str = "request_id", slice_: Column | None = None,
+               fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Add ``original_id`` and ``duplicate``.
 
-    The first row of a key opens a window; rows within ``ttl_us`` of it are
-    duplicates of it; repeats do not extend it. Keys of up to ``hot_rows`` rows
-    are folded in sorted partitions. Hotter keys advance together one window at a time: each
-    next opening is a ``min`` aggregated map-side, so the number of rounds is the
-    log's time span over the ttl, whatever the number of rows.
+    The first row of a key, by time and then ``order``, opens a window; rows within
+    ``ttl_us`` of it are duplicates of it; repeats do not extend it. A NULL key is a key.
+
+    A slice of a key's rows maps the window that is open before it to the one open after
+    it: the next window starts at the first row past the old one, and from there on all
+    is settled. ``slice_`` never decreases along the time.
     """
-    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    fields, names = ", ".join(f"`{n}` {t}" for n, t in df.dtypes), df.columns
+    slice_ = even_slice(df, ts_us) if slice_ is None else slice_
+    keyed = df.withColumn("__key", solid(key))
+    placed = cut(_cells(keyed, "__key", [ts_us, order], slice_, fold_rows))
+    full = cut(_full_cells(placed, "__key", fold_rows))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        last = steps.last_windows(pdf[ts_us].to_numpy(), ttl_us)
+        # Rows that lead to the same last window need one entry, the first of them.
+        heads = np.flatnonzero(np.diff(last, prepend=-1))
+        return pd.DataFrame({
+            "__key": [pdf["__key"].iloc[0]], "cell": [pdf["cell"].iloc[0]],
+            "upto": [pdf[ts_us].to_numpy()[np.append(heads[1:], len(last)) - 1].tolist()],
+            "opened": [pdf[ts_us].to_numpy()[last[heads]].tolist()],
+            "id": [pdf[row_id].to_numpy()[last[heads]].tolist()]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cell")
+        at, name, after = None, None, []
+        for upto, opened, ids in zip(pdf["upto"], pdf["opened"], pdf["id"]):
+            # The first row at or past the end of the open window starts the next one.
+            i = 0 if at is None else bisect_left(upto, at + ttl_us)
+            if i < len(upto):
+                at, name = int(opened[i]), ids[i]
+            after.append((at, name))
+        return pd.DataFrame({"__key": pdf["__key"], "cell": pdf["cell"] + 1,
+                             "__at": [a for a, _ in after], "__id": [n for _, n in after]})
+
+    need = placed.select("__key", "cell", "pos", ts_us, row_id).join(full, ["__key", "cell"], "left_semi")
+    start = (spread(need, "__key", "cell").groupBy("__key", "cell")
+             .applyInPandas(settle, "`__key` string, cell long, upto array<long>, opened array<long>, id array<string>")
+             .groupBy("__key").applyInPandas(chain, "`__key` string, cell long, `__at` long, `__id` string"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, opened = None, None
         for pdf in batches:
             originals, repeats = [], []
-            for k, ts, rid in zip(pdf[key].tolist(), pdf[ts_us].tolist(), pdf[row_id].tolist()):
-                if k != current:
-                    current, opened = k, None
+            for k, cell, at, name, ts, rid in zip(*(pdf[c].tolist() for c in (
+                    "__key", "cell", "__at", "__id", ts_us, row_id))):
+                if (k, cell) != current:
+                    current, opened = (k, cell), None if name is None and at < 0 else (at, name)
                 opened, repeat = steps.enter_window(ts, rid, ttl_us, opened)
                 originals.append(opened[1])
                 repeats.append(repeat)
-            yield pdf.assign(original_id=originals, duplicate=repeats)
-
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
-    hot = cut(counts.where(F.col("c") > hot_rows).select(key))
-    schema = f"{fields}, original_id string, duplicate boolean"
-    if hot.isEmpty():
-        return fold_sorted(df, [key], [ts_us, order], fold, schema)
-    cold = fold_sorted(df.join(hot, key, "left_anti"), [key], [ts_us, order], fold, schema)
-    return cold.unionByName(_idempotent_hot(df.join(hot, key, "left_semi"), key, ttl_us,
-                                            ts_us, order, row_id))
-
-
-def _idempotent_hot(rows, key, ttl_us, ts_us, order, row_id):
-    head = F.min(F.struct(F.col(ts_us).alias("t"), F.col(order).alias("o"),
-                          F.col(row_id).alias("id"))).alias("w")
-    slim = cut(rows.select(key, ts_us, order, row_id))
-    opened = cut(slim.groupBy(key).agg(head).select(key, "w.*"))
-    windows = []
-    while not opened.isEmpty():
-        windows.append(opened)
-        reach = opened.select(key, (F.col("t") + F.lit(ttl_us)).alias("__from"))
-        opened = cut(slim.join(reach, key).where(F.col(ts_us) >= F.col("__from"))
-                     .groupBy(key).agg(head).select(key, "w.*"))
-    every = windows[0]
-    for more in windows[1:]:
-        every = every.unionByName(more)
-    # A window touches its own and the next ttl-wide bucket.
-    bucket = F.floor(F.col("t") / ttl_us).cast("long")
-    spread = every.withColumn("__b", F.explode(F.array(bucket, bucket + 1)))
-    inside = (F.col(ts_us) >= F.col("t")) & (F.col(ts_us) < F.col("t") + F.lit(ttl_us))
-    return (rows.withColumn("__b", F.floor(F.col(ts_us) / ttl_us).cast("long"))
-            .join(spread, [key, "__b"]).where(inside)
-            .withColumn("original_id", F.col("id"))
-            .withColumn("duplicate", F.col(order) != F.col("o"))
-            .select(*rows.columns, "original_id", "duplicate"))
+            yield pdf[names].assign(original_id=originals, duplicate=repeats)
+
+    none = F.lit(-(1 << 62))
+    ready = placed.join(start, ["__key", "cell"], "left").withColumn("__at", F.coalesce("__at", none))
+    return fold_sorted(ready, ["__key", "cell"], ["pos"], fold,
+                       f"{fields}, original_id string, duplicate boolean")
 
 
 def size_or_deadline_batches(df: DataFrame, by: str, max_batch: int = 16,

@@ -17,14 +17,16 @@ def policy_rows(log: DataFrame, key: str, workers: DataFrame, window: Column,
     """Rows of the log once per policy: policy, cap_factor, worker_id and hit.
 
     ``balanced`` (cap 0) deals rows out in turn, ``affinity`` is the bounded-load
-    placement at each cap; all caps share the same rounds.
+    placement at each cap; all caps share the same rounds. Rows that no worker may take
+    stay, without a worker and without a hit.
     """
     swept = place(log, key, workers, caps, window, **options).select(
         F.lit("affinity").alias("policy"), "cap_factor", "seq", "worker_id")
     dealt = balanced_assign(log, workers, window).select(
         F.lit("balanced").alias("policy"), F.lit(0.0).alias("cap_factor"), "seq", "worker_id")
     rows = dealt.unionByName(swept).join(log, "seq")
-    return first_touch(rows, ["policy", "cap_factor", "worker_id", key])
+    hits = first_touch(rows, ["policy", "cap_factor", "worker_id", key])
+    return hits.withColumn("hit", F.col("hit") & F.col("worker_id").isNotNull())
 
 
 def cap_sweep(log: DataFrame, key: str, workers: DataFrame, window: Column,

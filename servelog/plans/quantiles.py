@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from servelog.plans.joins import null_safe_join
 from servelog.plans.sliced import magnitude_slice, sliced_running_sum
 
 
@@ -25,8 +26,8 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str,
               .groupBy(*keys, F.col(value).cast("double").alias("__v"))
               .agg(F.count(F.lit(1)).alias("__c")))
     totals = counts.groupBy(*keys).agg(F.sum("__c").alias("n"))
-    placed = sliced_running_sum(counts, keys, ["__v"], magnitude_slice("__v"),
-                                "__c", "__cum").join(totals, keys)
+    placed = null_safe_join(sliced_running_sum(counts, keys, ["__v"], magnitude_slice("__v"),
+                                               "__c", "__cum"), totals, keys)
     pos = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in percentiles.items()}
     picks = []
     for name, at in pos.items():

@@ -5,10 +5,8 @@ put a whole group into one task. When one group holds a third of a log that is
 the job. Here every group is cut into *slices*: a column that never decreases
 along the order (a day, ``seq div 1_000_000``). The window runs inside
 (group, slice), and what earlier slices contribute comes from one aggregated row
-per slice. Rows are shuffled once, by (group, slice); the summaries are
-pre-aggregated map-side and join on the same keys, so they add no row shuffle.
-
-Group columns are keys and must not be null.
+per slice, which joins the slice's window. Rows are shuffled once, by (group, slice);
+the summaries are pre-aggregated map-side. A NULL group is a group, as in SQL.
 """
 
 from __future__ import annotations
@@ -45,62 +43,56 @@ def magnitude_slice(value: str | Column, per_unit: int = 64) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * per_unit).cast("long")
 
 
-def _local(group, order):
-    return Window.partitionBy(*group, "__s").orderBy(*order)
-
-
 def _earlier(group):
     return (Window.partitionBy(*group).orderBy("__s")
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
-def _attach(rows: DataFrame, per_slice: DataFrame, group: Sequence[str],
-            carry: str) -> DataFrame:
-    # Only groups that span slices carry anything over; the rest stay out of the join.
-    return rows.join(per_slice.where(F.col(carry).isNotNull()), [*group, "__s"], "left")
+def _running(df: DataFrame, group: Sequence[str], order: Sequence, value: Column,
+             out: str) -> DataFrame:
+    """Running sum of ``value`` by slice. What earlier slices add enters as one row that is
+    first in its slice, so no join is needed and NULL groups carry over as well."""
+    rows = df.withColumns({"__add": value, "__own": F.lit(1)})
+    before = (rows.groupBy(*group, "__s").agg(F.sum("__add").alias("__n"))
+              .withColumn("__add", F.sum("__n").over(_earlier(group)))
+              .where(F.col("__add").isNotNull()).drop("__n").withColumn("__own", F.lit(0)))
+    upto = (Window.partitionBy(*group, "__s").orderBy("__own", *order)
+            .rowsBetween(Window.unboundedPreceding, 0))
+    return (rows.unionByName(before, allowMissingColumns=True)
+            .withColumn(out, F.sum("__add").over(upto)).where("__own = 1")
+            .drop("__s", "__add", "__own"))
 
 
 def sliced_row_number(df: DataFrame, group: Sequence[str], order: Sequence,
                       slice_: Column, out: str) -> DataFrame:
-    df = df.withColumn("__s", slice_)
-    before = (df.groupBy(*group, "__s").agg(F.count(F.lit(1)).alias("__n"))
-              .withColumn("__before", F.sum("__n").over(_earlier(group))).drop("__n"))
-    rows = df.withColumn(out, F.row_number().over(_local(group, order)).cast("long"))
-    return (_attach(rows, before, group, "__before")
-            .withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0)))
-            .drop("__s", "__before"))
+    return _running(df.withColumn("__s", slice_), group, order, F.lit(1).cast("long"), out)
 
 
 def sliced_running_sum(df: DataFrame, group: Sequence[str], order: Sequence,
                        slice_: Column, value: str, out: str) -> DataFrame:
     """Inclusive running sum; ``order`` must be total for a definite result."""
-    df = df.withColumn("__s", slice_)
-    before = (df.groupBy(*group, "__s").agg(F.sum(value).alias("__n"))
-              .withColumn("__before", F.sum("__n").over(_earlier(group))).drop("__n"))
-    upto = _local(group, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn(out, F.sum(value).over(upto))
-    return (_attach(rows, before, group, "__before")
-            .withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0)))
-            .drop("__s", "__before"))
+    return _running(df.withColumn("__s", slice_), group, order, F.col(value), out)
 
 
 def _neighbour(df, group, order, slice_, cols, out, forward):
     """Struct of ``cols`` from the previous or next row of the group."""
-    df = df.withColumn("__s", slice_).withColumn("__o", F.struct(*order))
-    payload = F.struct(*cols)
+    rows = df.withColumn("__s", slice_).withColumns(
+        {"__by": F.struct(*order), "__payload": F.struct(*cols), "__own": F.lit(1)})
     if len(order) == 1 and list(cols) == list(order):
         # A plain min or max stays a hash aggregate.
         edge = F.struct((F.min if forward else F.max)(order[0]).alias(order[0]))
     else:
-        edge = (F.min_by if forward else F.max_by)(payload, F.col("__o"))
+        edge = (F.min_by if forward else F.max_by)("__payload", "__by")
     step = F.lead if forward else F.lag
-    around = (df.groupBy(*group, "__s").agg(edge.alias("__e"))
-              .withColumn("__c", step("__e").over(Window.partitionBy(*group).orderBy("__s")))
-              .drop("__e"))
-    rows = df.withColumn(out, step(payload).over(_local(group, ["__o"])))
-    return (_attach(rows, around, group, "__c")
-            .withColumn(out, F.coalesce(F.col(out), F.col("__c")))
-            .drop("__s", "__o", "__c"))
+    # The row next door in another slice takes part as one more row of this one.
+    around = (rows.groupBy(*group, "__s").agg(edge.alias("__e"))
+              .withColumn("__payload", step("__e").over(Window.partitionBy(*group).orderBy("__s")))
+              .where(F.col("__payload").isNotNull()).drop("__e")
+              .withColumn("__own", F.lit(2 if forward else 0)))
+    here = Window.partitionBy(*group, "__s").orderBy("__own", "__by")
+    return (rows.unionByName(around, allowMissingColumns=True)
+            .withColumn(out, step("__payload").over(here)).where("__own = 1")
+            .drop("__s", "__by", "__payload", "__own"))
 
 
 def sliced_lag(df, group, order, slice_, cols, out):

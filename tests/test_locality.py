@@ -43,8 +43,8 @@ def test_latency_law(spark):
 
 def _served(spark, *rows):
     """(worker, letters): a path of cumulative letters per row."""
-    data = [(i, w, [p[:d + 1] for d in range(len(p))]) for i, (w, p) in enumerate(rows)]
-    return spark.createDataFrame(data, "seq long, worker_id string, path array<string>")
+    data = [(i, w, p, [p[:d + 1] for d in range(len(p))]) for i, (w, p) in enumerate(rows)]
+    return spark.createDataFrame(data, "seq long, worker_id string, path_id string, path array<string>")
 
 
 def _owners(trie):

@@ -1,4 +1,5 @@
 import math
+from hashlib import md5
 from collections import Counter
 
 import pytest
@@ -96,6 +97,9 @@ def test_stem_key_prefers_the_deepest_shared_block(spark):
     rows = [(1, 1, "r"), (1, 2, "a"), (1, 3, "x"), (2, 1, "r"), (2, 2, "a"), (2, 3, "y"),
             (3, 1, "r"), (3, 2, "b"), (4, 1, "q")]
     chains = spark.createDataFrame(rows, "seq long, depth int, chain_hash string")
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "short"), (6, None)],
+                                  "seq long, text string")
     got = {r["seq"]: (r["stem_key"], r["stem_depth"])
-           for r in placement.shared_stem_key(chains, 2).collect()}
-    assert got == {1: ("a", 2), 2: ("a", 2), 3: ("r", 1), 4: ("q", 1)}
+           for r in placement.shared_stem_key(chains, texts, min_support=2).collect()}
+    assert got == {1: ("a", 2), 2: ("a", 2), 3: ("r", 1), 4: ("q", 1), 5: (md5(b"short").hexdigest(), 0),
+                   6: (md5(b"").hexdigest(), 0)}

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from servelog.operators import generate, infer
+from servelog.operators import infer
 from servelog.sources import readers, sinks
 
 
@@ -45,42 +45,16 @@ def test_request_log_is_partitioned_and_not_repeated(spark, tmp_path):
     assert (tmp_path / "out" / "model=m" / "day=2024-01-01").is_dir()
 
 
-def test_zipf_log_converges_and_is_reproducible(spark):
-    ids = spark.range(20000)
-    log = generate.zipf_log(ids, pool=200, high_fraction=0.25)
-    rows = log.select("seq", "prefix_rank", "priority", F.length("input").alias("n"), "arrival_ms").collect()
-    assert {r["n"] for r in rows} == {848}
-    top = sum(r["prefix_rank"] <= 8 for r in rows) / len(rows)
-    law = generate.zipf_weights(200)
-    assert abs(top - law[7][2]) < 0.03
-    assert abs(sum(r["priority"] == "high" for r in rows) / len(rows) - 0.25) < 0.02
-    assert [r["arrival_ms"] for r in sorted(rows)] == sorted(r["arrival_ms"] for r in rows)
-    again = generate.zipf_log(ids.repartition(5), pool=200).select("seq", "prefix_rank").collect()
-    assert {(r["seq"], r["prefix_rank"]) for r in rows} == {tuple(r) for r in again}
-
-
-@pytest.mark.parametrize("pool,skew", [(1, 1.1), (5, 0.0), (16, 1.1), (17, 1.5), (256, 1.1)])
-def test_zipf_rank_equals_a_binary_search(spark, pool, skew):
-    us = [0.0, 0.1, 0.25, 0.5, 0.999999, 1.0 - 2 ** -52, *[c for _, _, c in generate.zipf_weights(pool, skew)]]
-    df = spark.createDataFrame([(u,) for u in us], "u double")
-    got = [r[0] for r in df.select(generate.zipf_rank(F.col("u"), pool, skew)).collect()]
-    assert got == [generate.zipf_rank_local(u, pool, skew) for u in us]
-
-
-def test_zipf_mass_sums_to_one(spark):
-    rows = generate.zipf_mass(spark, 50, 1.1).orderBy("rank").collect()
-    assert abs(rows[-1]["cdf"] - 1) < 1e-12 and rows[0]["pmf"] > rows[1]["pmf"]
-
-
-def test_branching_paths_share_a_root(spark):
-    rows = generate.branching_log(spark.range(300)).collect()
-    assert len({r["path"][0] for r in rows}) == 1 and {len(r["path"]) for r in rows} == {6}
-    assert all(a["path"][:5] == b["path"][:5] for a in rows for b in rows if a["branch"] == b["branch"])
-
-
-def test_batch_infer_keeps_every_row(spark):
-    df = spark.range(50).select("id", F.concat(F.lit("input number "), F.col("id"), F.lit(" and more text")).alias("t"))
-    got = infer.batch_infer(df, "t", batch_size=4).collect()
-    assert len(got) == 50 and max(r["batch_size"] for r in got) <= 4
-    assert {r["output"] for r in got} == {f"[mock] input number {i} and more text"[:31] for i in range(50)}
-    assert all(r["inference_ms"] == 18 + 7.5 * r["batch_size"] for r in got)
+def test_batch_infer_cuts_batches_across_arrow_chunks(spark):
+    df = spark.range(50, numPartitions=1).select("id", F.concat(F.lit("text "), "id").alias("t")).union(
+        spark.sql("select 99L, cast(null as string)")).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = infer.batch_infer(df, "t", lambda: lambda texts: ([t.upper() for t in texts], 2.5 * len(texts)),
+                                batch_size=4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r["output"] for r in got) == sorted([f"TEXT {i}" for i in range(50)] + [""])
+    assert sorted(r["batch_size"] for r in got) == [3] * 3 + [4] * 48
+    assert all(r["inference_ms"] == 2.5 * r["batch_size"] for r in got)

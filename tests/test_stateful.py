@@ -84,19 +84,40 @@ def test_idempotency_window_is_anchored_at_its_first_row(spark):
                                "seq long, k string, ts_us long, request_id string")
     want = {0: ("r0", False), 1: ("r0", True), 2: ("r0", True), 3: ("r3", False),
             4: ("r4", False), 5: ("r3", True), 6: ("r6", False)}
-    for hot in (1000, 2):
-        got = stateful.idempotent(df, "k", 10, hot_rows=hot).collect()
+    for rows in (1000, 2, 1):
+        got = stateful.idempotent(df, "k", 10, fold_rows=rows).collect()
         assert {r["seq"]: (r["original_id"], r["duplicate"]) for r in got} == want
 
 
-def test_idempotency_hot_path_equals_the_fold(spark):
+def _fold_idempotent(rows, ttl):
+    opened, out = {}, {}
+    for seq, key, ts, rid in sorted(rows, key=lambda r: (r[2], r[0])):
+        opened[key], repeat = steps.enter_window(ts, rid, ttl, opened.get(key))
+        out.setdefault(seq, []).append((opened[key][1], repeat))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("fold_rows", [10 ** 6, 37, 5])
+def test_idempotency_slices_equal_the_sequential_fold(spark, fold_rows):
     rng = random.Random(9)
-    rows = sorted((rng.randrange(4000), i) for i in range(1200))
-    df = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 50}", t, f"r{i}") for t, i in rows],
-                               "seq long, k string, ts_us long, request_id string")
-    folded, hot = (stateful.idempotent(df, "k", 70, hot_rows=h).select(
-        "seq", "original_id", "duplicate").collect() for h in (10**9, 100))
-    assert sorted(map(tuple, folded)) == sorted(map(tuple, hot))
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 5 == 0 else f"k{i % 50}", rng.randrange(2000), f"r{i}")
+            for i in range(1200)]
+    rows += [(7, "hot", 900, "twin-a"), (7, "hot", 900, "twin-b")]  # one key, one seq, one time
+    df = spark.createDataFrame(rows, "seq long, k string, ts_us long, request_id string")
+    for ttl in (1, 70, 100_000):
+        got = {}
+        for r in stateful.idempotent(df, "k", ttl, fold_rows=fold_rows).collect():
+            got.setdefault(r["seq"], []).append((r["original_id"], r["duplicate"]))
+        want = _fold_idempotent(rows, ttl)
+        if ttl > 1:  # which twin opens is open only where they open a window
+            assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_many_windows_on_one_key(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("id AS seq", "'k' AS k", "id * 10 AS ts_us", "concat('r', id) AS request_id")
+    got = stateful.idempotent(df, "k", 15, fold_rows=4096)
+    assert got.where("duplicate = (seq % 2 = 0)").count() == 0
 
 
 def _batched(spark, rows, max_batch=16, fold_rows=1000, budgets=None):
