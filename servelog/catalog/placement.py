@@ -89,9 +89,17 @@ def eligible_placement(spark, sf_dir):
         eligible=F.col("free_slots") > 0, load=F.col("queued"))
 
 
+def capable_placement(spark, sf_dir):
+    """A row only goes to workers that hold its model: m2 to one of four."""
+    log = views.request_log(spark, sf_dir).select("seq", "ts_us", "prefix_hash", "model")
+    placed = placement.place(log, "prefix_hash", views.workers(spark), [1.25], _day(), model="model")
+    return placed.select("win", "seq", "worker_id", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     bounded_load_assign, balanced_assign, shared_stem_keys, stem_placement, policy_summary,
-    cap_sweep, backpressure_rows, per_worker_pivot, eligible_placement)}
+    cap_sweep, backpressure_rows, per_worker_pivot, eligible_placement,
+    capable_placement)}
 
 _ROWS = "SELECT ts_us // 86400000000 AS win, seq, prefix_hash AS key FROM request_log"
 _KEYS = "SELECT prefix_hash AS key FROM request_log"
@@ -134,6 +142,14 @@ SELECT t.policy, t.cap_factor, count(*) AS n, round(avg(CAST(hit AS INTEGER)), 6
 FROM steady t JOIN span USING (policy, cap_factor) JOIN wide USING (policy, cap_factor)
 GROUP BY t.policy, t.cap_factor"""
 
+def _capable(model, ids):
+    listed = ", ".join(f"('{w}')" for w in ids)
+    rows = f"{_ROWS} WHERE model = '{model}'"
+    return "SELECT win, seq, worker_id, rank FROM (" + sql.with_(
+        sql.REQUEST_LOG, f"fleet AS (SELECT * FROM (VALUES {listed}) AS f(worker_id))", sql.ring("fleet"),
+        sql.preferences(_KEYS), sql.placement(rows, ("1.25",), (0,) * len(ids), ids)) + "SELECT * FROM placed)"
+
+
 _STEMS = """
 , support AS (SELECT chain_hash, count(*) AS s FROM chains GROUP BY chain_hash),
 named AS (SELECT seq, coalesce(arg_max(c.chain_hash, depth) FILTER (s >= 3),
@@ -159,6 +175,8 @@ SELECT win, seq, worker_id, rank FROM placed WHERE worker_id IS NOT NULL""",
         sql.ring("fleet"), sql.preferences(_KEYS),
         sql.placement(_ROWS, ("1.25",), (0, 40, 10), ("w0", "w1", "w3"))) + """
 SELECT win, seq, worker_id, rank FROM placed WHERE worker_id IS NOT NULL""",
+    "capable_placement": " UNION ALL ".join((
+        _capable("m0", ("w0", "w2", "w3")), _capable("m1", ("w0", "w1", "w3")), _capable("m2", ("w1",)))),
     "backpressure_rows": sql.with_(*_base(("0.6",))) + """
 SELECT win, seq FROM placed WHERE worker_id IS NULL""",
     "per_worker_pivot": sql.with_(*_base(("1.5",)), _POLICIES) + """

@@ -16,6 +16,7 @@ DAY_US = views.DAY_US
 BUDGETS_MS = {"high": 600_000.0, "default": 3_000_000.0}  # 10 and 50 minutes
 TTL_US = 12 * 3_600_000_000
 JOB_TTL_US = 20 * DAY_US
+STREAM_JOB_TTL_US = 5 * DAY_US
 NOW_US = 1_706_745_600_000_000  # 2024-02-01, just after the log
 
 
@@ -109,16 +110,26 @@ def stream_batches(spark, sf_dir):
 
 
 def stream_job_state(spark, sf_dir):
+    """Jobs that live 5 days in a log of 30: they expire and are created anew."""
     rows = views.job_events(spark, sf_dir)
-    got = replay([rows], _by_seq(rows), lambda s: streams.stream_job_state(s, 60 * DAY_US),
+    got = replay([rows], _by_seq(rows), lambda s: streams.stream_job_state(s, STREAM_JOB_TTL_US),
                  "jobs", "update")
     last = F.max(F.struct("updated_us", "created_us", "status")).alias("j")
     return got.groupBy("job_id").agg(last).select("job_id", "j.*")
 
 
 def stream_tokens(spark, sf_dir):
-    rows = views.token_log(spark, sf_dir)
-    return replay([rows], arrival_slices(rows, "seq", 2), streams.stream_tokens, "tokens")
+    """Tokens that arrive in any order, final rows early and late; a closing mark a day later
+    moves the watermark past all of them."""
+    rows = views.token_log(spark, sf_dir).select(
+        "job_id", "seq", (NOW_US + F.col("seq") * 1_000_000).alias("ts_us"), "token", "final",
+        F.pmod(F.xxhash64("job_id", "seq"), F.lit(3)).alias("arrival"))
+    mark = spark.range(1).select(F.lit(-1).cast("long").alias("job_id"), F.lit(0).cast("long").alias("seq"),
+                                 F.lit(NOW_US + DAY_US).alias("ts_us"), F.lit("").alias("token"),
+                                 F.lit(False).alias("final"), F.lit(2).cast("long").alias("arrival"))
+    rows = rows.unionByName(mark).withColumn("ts", F.timestamp_micros("ts_us"))
+    return replay([rows], [F.col("arrival") == k for k in range(3)],
+                  lambda s: streams.stream_tokens(s, delay="1 hour"), "tokens")
 
 
 def streaming_metrics(spark, sf_dir):
@@ -222,9 +233,20 @@ islands AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts_us - prev >= {TTL_US} THE
 lives AS (SELECT worker_id, min(ts_us) AS up_from_us, max(ts_us) + {TTL_US} AS up_until_us,
     count(*) AS beats FROM islands GROUP BY worker_id, life)"""
 
-_JOBS = sql.JOB_EVENTS + """,
-states AS (SELECT job_id, min(ts_us) AS created_us, max(ts_us) AS updated_us,
-    arg_max(status, (ts_us, seq)) AS status FROM job_events GROUP BY job_id)"""
+def _jobs_sql(ttl):
+    return f"""
+WITH RECURSIVE calls AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts_us, seq) AS pos FROM (
+    SELECT user_id || ':' || CAST(json_extract_string(props, '$.k') AS INTEGER) AS job_id, event_id AS seq,
+      epoch_us(ts) AS ts_us, event_type AS status FROM events)),
+folded AS (
+  SELECT job_id, ts_us, status, pos, ts_us AS created_us FROM calls WHERE pos = 1
+  UNION ALL
+  SELECT c.job_id, c.ts_us, c.status, c.pos, CASE WHEN c.ts_us < f.created_us + {ttl} THEN f.created_us ELSE c.ts_us END
+  FROM folded f JOIN calls c ON c.job_id = f.job_id AND c.pos = f.pos + 1),
+states AS (SELECT job_id, arg_max(created_us, pos) AS created_us, max(ts_us) AS updated_us,
+    arg_max(status, pos) AS status FROM folded GROUP BY job_id)
+"""
+
 
 SQL = {
     "token_bucket": _bucket_sql("user_id", 14400, BURST, "api_key, "),
@@ -238,9 +260,9 @@ SELECT model, seq, batch_no, trigger, closed_us, slot FROM answer""",
     "worker_liveness": sql.with_(_LIVES) + "SELECT * FROM lives",
     "active_workers": sql.with_(_LIVES) + """
 SELECT worker_id FROM lives WHERE up_from_us <= 1705320000000000 AND up_until_us > 1705320000000000""",
-    "job_state": sql.with_(_JOBS) + f"""
+    "job_state": _jobs_sql(JOB_TTL_US) + f"""
 SELECT * FROM states WHERE {NOW_US} - created_us < {JOB_TTL_US}""",
-    "stream_job_state": sql.with_(_JOBS) + "SELECT * FROM states",
+    "stream_job_state": _jobs_sql(STREAM_JOB_TTL_US) + "SELECT * FROM states",
     "assemble_tokens": sql.with_(sql.TOKEN_LOG) + """
 SELECT job_id, coalesce(string_agg(token, '' ORDER BY seq) FILTER (NOT final), '') AS text,
   count(*) FILTER (NOT final) AS n_tokens, true AS complete FROM token_log GROUP BY job_id""",

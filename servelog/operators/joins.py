@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 def authenticate(requests: DataFrame, api_keys: DataFrame,
                  key: str = "key_hash") -> tuple[DataFrame, DataFrame]:
-    """(accepted with tenant_id and rps_limit, rejected)."""
-    known = api_keys.select(key, "tenant_id", "rps_limit")
-    return requests.join(known, key), requests.join(known, key, "left_anti")
+    """(accepted with tenant_id and rps_limit, rejected), two filters of one left join."""
+    known = api_keys.select(key, "tenant_id", "rps_limit", F.lit(True).alias("__known"))
+    looked = requests.join(known, key, "left")
+    return (looked.where("__known").drop("__known"),
+            looked.where("__known IS NULL").drop("__known", "tenant_id", "rps_limit"))
 
 
 def requests_with_batches(requests: DataFrame, batches: DataFrame) -> DataFrame:
@@ -37,9 +39,18 @@ def models_loaded_on(workers: DataFrame) -> DataFrame:
 
 
 def capable_workers(requests: DataFrame, workers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(request x worker holding its model, requests no worker can serve)."""
-    pairs = worker_models(workers)
-    return requests.join(pairs, "model"), requests.join(pairs, "model", "left_anti")
+    """(request x worker holding its model, requests no worker can serve), two filters of one
+    left join. Where the pairs are not needed, take ``is_servable``."""
+    looked = requests.join(worker_models(workers), "model", "left")
+    return (looked.where("worker_id IS NOT NULL"),
+            looked.where("worker_id IS NULL").drop("worker_id"))
+
+
+def is_servable(requests: DataFrame, workers: DataFrame) -> DataFrame:
+    """Requests with ``servable``: some worker holds the model. A row per request."""
+    loaded = worker_models(workers).select("model", F.lit(True).alias("servable")).distinct()
+    return requests.join(loaded, "model", "left").withColumn(
+        "servable", F.coalesce("servable", F.lit(False)))
 
 
 def path_owners(paths: DataFrame, eligible: DataFrame | None = None,

@@ -28,7 +28,8 @@ UNBOUNDED = float("inf")
 CAP_SWEEP = (1.05, 1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, UNBOUNDED)
 
 # Joins go by ``__win``, in which a NULL window is a window of its own.
-_GROUP = ["cap_factor", "__win"]
+# ``__class`` tells rows apart that different workers can serve.
+_GROUP = ["cap_factor", "__win", "__class"]
 
 
 def fleet(workers: DataFrame, load: Column | None = None) -> list[tuple[str, float]]:
@@ -47,17 +48,14 @@ def _counts(candidates: DataFrame) -> DataFrame:
                                                   F.max("seq").alias("slice_end"))
 
 
-def _room(counts: DataFrame, base: list[tuple[str, float]]) -> DataFrame:
-    """(cap_factor, __win, worker_id, room): rows each worker may take, from the
+def _room(counts: DataFrame, base: DataFrame) -> DataFrame:
+    """(cap_factor, __win, __class, worker_id, room): rows each worker may take, from the
     first round's counts, in which every row of the log asks once."""
-    n, total = len(base), sum(b for _, b in base)
-    cap = F.col("cap_factor") * F.greatest((F.col("n_rows") + F.lit(total)) / F.lit(n), F.lit(1.0))
+    cap = F.col("cap_factor") * F.greatest((F.col("n_rows") + F.col("total")) / F.col("n"), F.lit(1.0))
     left = F.when(F.col("cap_factor") == UNBOUNDED, F.lit(2 ** 62)).otherwise(
         F.greatest(F.ceil(cap - F.col("base")), F.lit(0)))
-    offers = F.array(*[F.struct(F.lit(w).alias("worker_id"), F.lit(b).alias("base"))
-                       for w, b in base])
-    return (counts.groupBy(*_GROUP).agg(F.sum("c").alias("n_rows"))
-            .select("*", F.inline(offers)).select(*_WHO, left.cast("long").alias("room")))
+    return (counts.groupBy(*_GROUP).agg(F.sum("c").alias("n_rows")).join(base, "__class")
+            .select(*_WHO, left.cast("long").alias("room")))
 
 
 def _standing(counts: DataFrame, room: DataFrame) -> DataFrame:
@@ -90,31 +88,46 @@ def _limits(candidates: DataFrame, counts: DataFrame, standing: DataFrame) -> Da
 def place(df: DataFrame, key: str | Column, workers: DataFrame,
           caps: Sequence[float], window: Column, vnodes: int = 160,
           eligible: Column | None = None, load: Column | None = None,
-          slice_rows: int = 1_000_000) -> DataFrame:
+          model: str | Column | None = None, slice_rows: int = 1_000_000) -> DataFrame:
     """(cap_factor, win, seq, worker_id, rank) for every row and cap factor.
 
     ``worker_id`` is NULL where no worker may take the row. ``eligible`` and
     ``load`` are Columns over ``workers``: who takes part, and the load each
-    already carries.
+    already carries. With ``model``, a Column over ``df``, a row only goes to workers
+    whose ``models`` hold it; the cap is over these and over the rows of that model.
     """
+    spark = df.sparkSession
     if eligible is not None:
         workers = workers.where(eligible)
     base = fleet(workers, load)
+    holds = {w: {""} for w, _ in base} if model is None else {
+        r["worker_id"]: {f"={m}" for m in r["models"] or ()} for r in workers.collect()}
+    serving = {c: [(w, b) for w, b in base if c in holds[w]] for c in sorted(set().union(*holds.values()))}
+    offers = spark.createDataFrame(
+        [(c, w, b, len(ws), sum(b for _, b in ws)) for c, ws in serving.items() for w, b in ws],
+        "__class string, worker_id string, base double, n long, total double")
     ids = F.explode(F.array(*[F.lit(w) for w, _ in base])).alias("worker_id")
-    ring = ring_table(df.sparkSession.range(1, numPartitions=1).select(ids), vnodes)
-    prefs, arcs = cut(arc_preferences(ring)), cut(arc_table(ring))
-    rows = df.withColumn("win", window)
+    ring = ring_table(spark.range(1, numPartitions=1).select(ids), vnodes)
+    clockwise = Window.partitionBy("__class", "arc").orderBy("rank")
+    prefs = cut(arc_preferences(ring).join(offers.select("__class", "worker_id"), "worker_id")
+                .withColumn("rank", F.row_number().over(clockwise)))
+    arcs = cut(arc_table(ring))
+    rows = df.withColumn("win", window).withColumn(
+        "__class", F.lit("") if model is None else solid(model))
     spread = F.explode(F.array(*[F.lit(float(c)) for c in caps]))
     left = (locate(rows, arcs, key, len(base) * vnodes + 4096)
-            .select("win", solid("win").alias("__win"), "seq", "arc", dense_slice("seq", slice_rows).alias("slice"))
+            .select("win", solid("win").alias("__win"), "__class", "seq", "arc",
+                    dense_slice("seq", slice_rows).alias("slice"))
             .withColumn("cap_factor", spread))
     done, room = [], None
-    for rank in range(1, len(base) + 1):
-        choice = prefs.where(F.col("rank") == rank).select("arc", "worker_id")
+    for rank in range(1, max(map(len, serving.values()), default=0) + 1):
+        choice = prefs.where(F.col("rank") == rank).select("__class", "arc", "worker_id")
+        if model is not None:  # rows that have asked all of their workers
+            done.append(_unplaced(left.join(choice, ["__class", "arc"], "left_anti")))
         # Round 1 reads the log itself; later rounds only what was left over.
-        candidates = left.join(choice, "arc")
+        candidates = left.join(choice, ["__class", "arc"])
         counts = cut(_counts(candidates))
-        standing = _standing(counts, _room(counts, base) if room is None else room)
+        standing = _standing(counts, _room(counts, offers) if room is None else room)
         if standing.where(F.col("total") > F.col("room")).isEmpty():
             done.append(candidates.select("cap_factor", "win", "seq", "worker_id", F.lit(rank).alias("rank")))
             left = None
@@ -126,14 +139,18 @@ def place(df: DataFrame, key: str | Column, workers: DataFrame,
         left = cut(decided.where(F.col("seq") > F.col("last_seq")).drop("worker_id", "last_seq"))
         room = limits.select(*_WHO, "room")
     if left is not None:
-        done.append(left.select("cap_factor", "win", "seq", F.lit(None).cast("string").alias("worker_id"),
-                                F.lit(None).cast("int").alias("rank")))
+        done.append(_unplaced(left))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _unplaced(rows: DataFrame) -> DataFrame:
+    return rows.select("cap_factor", "win", "seq", F.lit(None).cast("string").alias("worker_id"),
+                       F.lit(None).cast("int").alias("rank"))
+
+
 def bounded_load_assign(df: DataFrame, key: str | Column, workers: DataFrame,
                         cap_factor: float, window: Column, **options) -> DataFrame:
     """(win, seq, worker_id, rank): rows some worker took."""

@@ -277,12 +277,15 @@ def active_workers(lives: DataFrame, at_us: int, worker: str = "worker_id") -> D
 
 def job_state(events: DataFrame, now_us: Column, ttl_us: int = 3600 * steps.MICROS,
               job: str = "job_id", ts_us: str = "ts_us", seq: str = "seq",
-              carry: tuple[str, ...] = ("status",)) -> DataFrame:
-    """Latest values per job; jobs created ``ttl_us`` or longer ago are gone."""
-    last = F.max(F.struct(ts_us, seq, *carry)).alias("last")
-    got = events.groupBy(job).agg(F.min(ts_us).alias("created_us"), last)
-    return (got.where(now_us - F.col("created_us") < ttl_us)
-            .select(job, "created_us", F.col(f"last.{ts_us}").alias("updated_us"),
+              carry: tuple[str, ...] = ("status",), slice_: Column | None = None) -> DataFrame:
+    """Latest values per job that was created less than ``ttl_us`` ago. A job lives that long
+    from its first event; an event after that creates it anew."""
+    lives = idempotent(events.withColumn("__opened", F.col(ts_us).cast("string")), job, ttl_us,
+                       ts_us, seq, "__opened", slice_)
+    last = F.max(F.struct(F.col("original_id").cast("long").alias("created"), ts_us, seq, *carry))
+    got = lives.groupBy(job).agg(last.alias("last"))
+    return (got.where(now_us - F.col("last.created") < ttl_us)
+            .select(job, F.col("last.created").alias("created_us"), F.col(f"last.{ts_us}").alias("updated_us"),
                     *[F.col(f"last.{c}").alias(c) for c in carry]))
 
 

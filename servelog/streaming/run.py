@@ -37,7 +37,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark: SparkSession = stream.sparkSession
     out = scratch_path(spark, name)
     _run(stream, out, scratch_path(spark, f"{name}-checkpoint"), mode)
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def arrival_slices(df: DataFrame, order: str, at_least: int = 2,
@@ -69,4 +69,4 @@ def replay(inputs: Sequence[DataFrame], slices: Sequence[Column],
         stream = plan(*[spark.readStream.schema(df.schema).parquet(folder)
                         for df, folder in zip(inputs, folders)])
         _run(stream, out, checkpoint, mode)
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)

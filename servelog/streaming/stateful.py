@@ -179,6 +179,8 @@ def stream_batches(rows: DataFrame, by: str, max_batch: int = 16,
 
 
 class _JobState(StatefulProcessor):
+    """A job lives ``ttl_us`` from its first event; an event after that begins it anew."""
+
     def __init__(self, job: str, ttl_us: int):
         self.job, self.ttl_us = job, ttl_us
 
@@ -189,12 +191,14 @@ class _JobState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows, ["ts_us", "seq"])
-        last = (int(pdf["ts_us"].iloc[-1]), int(pdf["seq"].iloc[-1]), pdf["status"].iloc[-1])
-        created = int(pdf["ts_us"].iloc[0])
+        created, last = None, None
         if self.state.exists():
-            old = self.state.get()
-            created = min(created, old[0])
-            last = max(last, (old[1], old[2], old[3]))
+            created, *last = self.state.get()
+        for ts, seq, status in zip(pdf["ts_us"].tolist(), pdf["seq"].tolist(), pdf["status"].tolist()):
+            if created is None or ts >= created + self.ttl_us:
+                created, last = ts, (ts, seq, status)
+            else:
+                created, last = min(created, ts), max(tuple(last), (ts, seq, status))
         self.state.update((created, *last))
         self.handle.registerTimer((created + self.ttl_us) // 1000 + 1)
         yield pd.DataFrame({self.job: [key[0]], "created_us": [created], "updated_us": [last[0]],
@@ -202,7 +206,9 @@ class _JobState(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
-            self.state.clear()
+            created = self.state.get()[0]
+            if (created + self.ttl_us) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+                self.state.clear()
         return iter(())
 
 
@@ -217,38 +223,62 @@ def stream_job_state(events: DataFrame, ttl_us: int, job: str = "job_id", ts: st
 
 
 class _Assembler(StatefulProcessor):
-    def __init__(self, job: str):
-        self.job = job
+    """Holds a job's tokens until its final row is here and the watermark has passed it by
+    ``wait_us``, so tokens that arrive late still take their place; then forgets the job.
+    A job that gets no final row is forgotten ``ttl_us`` after its last token."""
+
+    def __init__(self, job: str, wait_us: int, ttl_us: int):
+        self.job, self.wait_us, self.ttl_us = job, wait_us, ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.tokens = handle.getListState("tokens", "seq long, token string")
-        self.closed = handle.getValueState("closed", "done boolean")
+        self.end = handle.getValueState("end", "seq long, at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.closed.exists():
-            return
-        pdf = _in_order(rows, ["seq"])
-        ends = pdf.loc[pdf["final"], "seq"]
-        live = pdf if ends.empty else pdf[pdf["seq"] < ends.iloc[0]]
-        fresh = list(zip(live["seq"].tolist(), live["token"].tolist()))
-        if ends.empty:
-            if fresh:
-                self.tokens.appendList(fresh)
-            return
-        kept = [tuple(r) for r in self.tokens.get()] if self.tokens.exists() else []
-        every = sorted(kept + fresh)
-        self.tokens.clear()
-        self.closed.update((True,))
-        yield pd.DataFrame({self.job: [key[0]], "text": ["".join(t for _, t in every)],
-                            "n_tokens": [len(every)]})
-
-
-def stream_tokens(tokens: DataFrame, job: str = "job_id") -> DataFrame:
-    """Rows ``(job, seq, token, final)`` -> (job, text, n_tokens) once final."""
+        last = 0
+        end = tuple(self.end.get()) if self.end.exists() else (None, None)
+        for pdf in rows:
+            last = max(last, int(pdf["ts_us"].max()))
+            finals = pdf[pdf["final"]]
+            if len(finals):
+                first = finals.loc[finals["seq"].idxmin()]
+                if end[0] is None or first["seq"] < end[0]:
+                    end = (int(first["seq"]), max(end[1] or 0, int(first["ts_us"])))
+            live = pdf[~pdf["final"].astype(bool)]
+            if end[0] is not None:
+                live = live[live["seq"] < end[0]]
+            if len(live):
+                self.tokens.appendList(list(zip(live["seq"].tolist(), live["token"].tolist())))
+        if end[0] is not None:
+            self.end.update(end)
+            self.handle.registerTimer((end[1] + self.wait_us) // 1000 + 1)
+        self.handle.registerTimer((last + self.ttl_us) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.end.exists():
+            end, at = self.end.get()
+            if (at + self.wait_us) // 1000 + 1 <= now:
+                kept = sorted(tuple(r) for r in self.tokens.get()) if self.tokens.exists() else []
+                kept = [r for r in kept if r[0] < end]
+                self.tokens.clear()
+                self.end.clear()
+                yield pd.DataFrame({self.job: [key[0]], "text": ["".join(t for _, t in kept)],
+                                    "n_tokens": [len(kept)]})
+        elif not any(t > now for t in self.handle.listTimers()):
+            self.tokens.clear()
+
+
+def stream_tokens(tokens: DataFrame, job: str = "job_id", ts: str = "ts", delay: str = "1 minute",
+                  wait_us: int = 0, ttl_us: int = 3600 * steps.MICROS) -> DataFrame:
+    """Rows ``(job, seq, ts, ts_us, token, final)`` -> (job, text, n_tokens): the tokens before the
+    first final row, once no earlier row can come any more."""
     use_state_store(tokens.sparkSession)
     schema = f"`{job}` {dict(tokens.dtypes)[job]}, text string, n_tokens long"
-    return (tokens.select(job, "seq", "token", "final").groupBy(job)
-            .transformWithStateInPandas(_Assembler(job), schema, "append", "none"))
+    return (tokens.withWatermark(ts, delay).select(job, "seq", ts, "ts_us", "token", "final").groupBy(job)
+            .transformWithStateInPandas(_Assembler(job, wait_us, ttl_us), schema, "append", "eventTime"))
 
 
 def stream_unacked(deliveries: DataFrame, acks: DataFrame, lease: str = "30 seconds",

@@ -103,3 +103,22 @@ def test_stem_key_prefers_the_deepest_shared_block(spark):
            for r in placement.shared_stem_key(chains, texts, min_support=2).collect()}
     assert got == {1: ("a", 2), 2: ("a", 2), 3: ("r", 1), 4: ("q", 1), 5: (md5(b"short").hexdigest(), 0),
                    6: (md5(b"").hexdigest(), 0)}
+
+
+def test_rows_go_to_workers_that_hold_their_model(spark):
+    fleet = spark.createDataFrame([("w0", ["a", "b"]), ("w1", ["b"]), ("w2", ["b"])],
+                                  "worker_id string, models array<string>")
+    data = [(i, f"p{i % 5}", "a" if i % 4 == 0 else "b" if i % 4 < 3 else None if i % 8 == 3 else "c") for i in range(160)]
+    log = spark.createDataFrame(data, "seq long, key string, model string")
+    for cap in (1.0, 1.25, 0.5):
+        got = {r["seq"]: r["worker_id"] for r in placement.place(
+            log, "key", fleet, [cap], F.lit(0), model="model").collect()}
+        assert sorted(got) == list(range(160))
+        taken = {}
+        for seq, _, model in data:
+            taken.setdefault(model, []).append(got[seq])
+        assert set(taken[None]) == set(taken["c"]) == {None}
+        assert taken["a"].count("w0") == math.ceil(cap * 40) if cap <= 1 else 40
+        for w in ("w0", "w1", "w2"):
+            assert taken["b"].count(w) <= math.ceil(cap * 80 / 3)
+        assert cap < 1 or None not in taken["b"]

@@ -58,3 +58,35 @@ def test_batches_and_cap(spark, log):
                     lambda s: streams.stream_batches(s, "key", 4, budgets, cap=2), "t-cap")
     sizes = capped.groupBy("key", "first_seq", "closed_us").count().agg(F.max("count")).first()[0]
     assert sizes <= 2
+
+
+def test_job_lives_expire_and_begin_anew(spark):
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(4000) * S + 10 ** 12, i, f"j{i % 6}", f"s{i % 7}") for i in range(300))
+    df = spark.createDataFrame([(i, j, t, s) for i, (t, _, j, s) in enumerate(rows)],
+                               "seq long, job_id string, ts_us long, status string")
+    df = df.withColumn("ts", F.timestamp_micros("ts_us"))
+    for ttl in (200 * S, 10 ** 6 * S):
+        got = replay([df], arrival_slices(df, "seq", 4), lambda s: streams.stream_job_state(s, ttl), "t-jobs", "update")
+        assert got.columns == ["job_id", "created_us", "updated_us", "status"]
+        last = got.groupBy("job_id").agg(F.max(F.struct("updated_us", "created_us", "status")).alias("l")).select(
+            "job_id", "l.created_us", "l.updated_us", "l.status")
+        want = stateful.job_state(df.drop("ts"), F.lit(0), ttl)
+        assert _rows(last, *got.columns) == _rows(want, *got.columns)
+
+
+def test_tokens_in_any_order(spark):
+    base = 10 ** 15
+    parts = [
+        [("a", 0, "a", False), ("a", 3, "late", False), ("b", 2, "END", True), ("c", 0, "x", False)],
+        [("a", 1, "b", False), ("a", 2, "END", True), ("b", 1, "2", False), ("b", 0, "1", False)],
+        [("b", 5, "after", False), ("d", 0, "never final", False)],
+    ]
+    rows = [(j, q, base + q * S, t, f, n) for n, part in enumerate(parts) for j, q, t, f in part]
+    rows.append(("mark", 0, base + 10 ** 4 * S, "", False, 2))
+    df = spark.createDataFrame(rows, "job_id string, seq long, ts_us long, token string, final boolean, n int")
+    df = df.withColumn("ts", F.timestamp_micros("ts_us"))
+    got = replay([df], [F.col("n") == k for k in range(3)], lambda s: streams.stream_tokens(s, delay="1 minute"), "t-tok")
+    assert _rows(got, "job_id", "text", "n_tokens") == [("a", "ab", 2), ("b", "12", 2)]
+    want = stateful.assemble_tokens(df.where("job_id IN ('a', 'b')").drop("ts")).where("complete")
+    assert _rows(got, "job_id", "text", "n_tokens") == _rows(want, "job_id", "text", "n_tokens")
