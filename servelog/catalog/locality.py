@@ -8,6 +8,7 @@ from servelog.catalog import sql, views
 from servelog.catalog.common import r6
 from servelog.operators import locality
 from servelog.plans.sliced import even_slice
+from servelog.session import cut
 
 
 def first_touch(spark, sf_dir):
@@ -75,9 +76,20 @@ def retained_paths(spark, sf_dir):
 
 
 def reuse_depth(spark, sf_dir):
-    paths = views.prompt_paths(spark, sf_dir)
-    lengths = paths.select("worker_id", "seq", F.size("path").alias("n_blocks"))
-    got = locality.reuse_depth(views.prompt_chains(spark, sf_dir), lengths)
+    got = locality.reuse_depth(*_chains_once(spark, sf_dir))
+    return got.select("worker_id", "seq", "n_blocks", "reused", r6("reuse_fraction"))
+
+
+def _chains_once(spark, sf_dir):
+    """(chains, lengths) from one evaluation of the block hashes."""
+    paths = cut(views.prompt_paths(spark, sf_dir).select("worker_id", "seq", "path"))
+    chains = paths.select("worker_id", "seq", F.posexplode("path").alias("pos", "chain_hash"))
+    return (chains.select("worker_id", "seq", (F.col("pos") + 1).alias("depth"), "chain_hash"),
+            paths.select("worker_id", "seq", F.size("path").alias("n_blocks")))
+
+
+def reuse_depth_lru(spark, sf_dir):
+    got = locality.reuse_depth_lru(*_chains_once(spark, sf_dir), 2000)
     return got.select("worker_id", "seq", "n_blocks", "reused", r6("reuse_fraction"))
 
 
@@ -109,7 +121,7 @@ def workers_per_stem(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     first_touch, lru_hits, work_reuse_distance, miss_ratio_curve, batch_locality,
-    batch_locality_lru, work_batch_cost, prefix_trie, retained_trie, retained_paths, reuse_depth,
+    batch_locality_lru, work_batch_cost, prefix_trie, retained_trie, retained_paths, reuse_depth, reuse_depth_lru,
     cache_hit_ratio, token_hit_fraction, workers_per_prefix, workers_per_stem)}
 
 _DISTANCES = """
@@ -203,6 +215,21 @@ SELECT d.lang AS worker_id, d.doc_id AS seq, length(text) // 64 AS n_blocks,
   CASE WHEN length(text) >= 64 THEN round(coalesce(reused, 0)::DOUBLE / (length(text) // 64), 6)
     ELSE 0.0::DOUBLE END AS reuse_fraction
 FROM documents d LEFT JOIN seen ON seen.seq = d.doc_id""",
+    "reuse_depth_lru": sql.with_(sql.CHAINS, recursive=True) + """
+, acc AS (SELECT worker_id, seq, depth, chain_hash,
+    row_number() OVER (PARTITION BY worker_id ORDER BY seq, depth) AS pos FROM chains),
+looks AS (SELECT worker_id, seq, depth, min(pos) OVER (PARTITION BY worker_id, seq) AS start,
+    lag(pos) OVER (PARTITION BY worker_id, chain_hash ORDER BY pos) AS p FROM acc),
+res AS (SELECT l.worker_id, l.seq, l.depth, count(DISTINCT b.chain_hash) < 2000 AS hit
+  FROM looks l LEFT JOIN acc b ON b.worker_id = l.worker_id AND b.pos > l.p AND b.pos < l.start
+  WHERE l.p IS NOT NULL GROUP BY l.worker_id, l.seq, l.depth),
+depths AS (SELECT l.seq, coalesce(min(l.depth) FILTER (NOT coalesce(hit, false)) - 1, max(l.depth)) AS reused
+  FROM looks l LEFT JOIN res r ON r.seq = l.seq AND r.depth = l.depth GROUP BY l.seq)
+SELECT lang AS worker_id, doc_id AS seq, CAST(length(text) // 64 AS INTEGER) AS n_blocks,
+  coalesce(reused, 0)::BIGINT AS reused,
+  CASE WHEN length(text) >= 64 THEN round(coalesce(reused, 0)::DOUBLE / (length(text) // 64), 6)
+    ELSE 0.0::DOUBLE END AS reuse_fraction
+FROM documents LEFT JOIN depths ON depths.seq = doc_id""",
     "cache_hit_ratio": sql.with_(sql.REQUEST_LOG) + """
 SELECT worker_id, model, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses,
   round(avg(CAST(hit AS INTEGER)), 6) AS hit_ratio

@@ -173,6 +173,24 @@ def reuse_depth(chains: DataFrame, lengths: DataFrame, by: Sequence[str] = ("wor
                     .otherwise(F.lit(0.0)).alias("reuse_fraction")))
 
 
+def reuse_depth_lru(chains: DataFrame, lengths: DataFrame, capacity: int,
+                    worker: str = "worker_id", key: str = "seq",
+                    slice_: Column | None = None) -> DataFrame:
+    """(worker, key, n_blocks, reused, reuse_fraction) when a worker keeps the ``capacity`` blocks
+    used last.
+
+    A request touches its blocks in order; those that were resident when it came count up to
+    the first that was not. That is ``batch_hits`` with a request as the batch.
+    """
+    rows = batch_hits(chains, capacity, worker, "chain_hash", key, [key, "depth"], slice_)
+    miss = F.min(F.when(~F.col("hit"), F.col("depth"))) - 1
+    depth = rows.groupBy(worker, key).agg(F.coalesce(miss, F.max("depth")).alias("reused"))
+    n = F.coalesce("reused", F.lit(0)).cast("long")
+    return null_safe_join(lengths, depth, [worker, key], "left").select(
+        worker, key, "n_blocks", n.alias("reused"),
+        F.when(F.col("n_blocks") > 0, n / F.col("n_blocks")).otherwise(F.lit(0.0)).alias("reuse_fraction"))
+
+
 def cache_hit_ratio(df: DataFrame, by: Sequence[str], hit: str = "hit") -> DataFrame:
     flag = F.col(hit)
     return df.groupBy(*by).agg(

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from servelog.operators import joins, locality
@@ -108,3 +111,30 @@ def test_block_chain_equality_means_equal_leading_blocks(spark):
 def test_prefix_key_ignores_the_suffix(spark):
     df = spark.createDataFrame([("a" * 512 + "1",), ("a" * 512 + "2",), ("b" * 512,)], "t string")
     assert df.select(prefix_key("t")).distinct().count() == 2
+
+
+def _replay_blocks(rows, capacity):
+    """(worker, letters) -> leading blocks resident under one list of recent blocks per worker."""
+    kept, out = {}, []
+    for worker, letters in rows:
+        recent, blocks = kept.setdefault(worker, []), [letters[:d + 1] for d in range(len(letters))]
+        held = [b in recent[-capacity:] for b in blocks]
+        out.append(held.index(False) if False in held else len(held))
+        for b in blocks:
+            if b in recent:
+                recent.remove(b)
+            recent.append(b)
+        del recent[:-capacity]
+    return out
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 6, 50])
+def test_reuse_depth_under_a_block_capacity(spark, capacity):
+    rng = random.Random(capacity)
+    rows = [(rng.choice(["w", "v", None]), "".join(rng.choice("ab") for _ in range(rng.randint(0, 6)))) for _ in range(150)]
+    served = _served(spark, *rows)
+    chains = served.select("worker_id", "seq", F.posexplode("path").alias("pos", "chain_hash")).select(
+        "worker_id", "seq", (F.col("pos") + 1).alias("depth"), "chain_hash")
+    lengths = served.select("worker_id", "seq", F.size("path").alias("n_blocks"))
+    got = locality.reuse_depth_lru(chains, lengths, capacity).orderBy("seq").collect()
+    assert [r["reused"] for r in got] == _replay_blocks(rows, capacity)
