@@ -178,7 +178,8 @@ def size_or_deadline_batches(df: DataFrame, by: str, max_batch: int = 16,
     """Add ``batch_no`` (position of its first row), ``trigger``, ``closed_us``
     and ``slot`` (high priority first, then arrival order).
 
-    A batch empties the queue, so where the next batch starts depends only on
+    A row of an unknown priority waits as long as the most patient known one. A batch
+    empties the queue, so where the next batch starts depends only on
     where this one did, and a batch reaches at most ``max_batch`` rows into the
     next slice. A slice is therefore summarised by the ``max_batch`` possible
     starts near its head, each mapped to a start in the next slice.
@@ -187,7 +188,7 @@ def size_or_deadline_batches(df: DataFrame, by: str, max_batch: int = 16,
     slice_ = dense_slice(order) if slice_ is None else slice_
     by_type = dict(df.dtypes)[by]
     placed = _cells(df, by, [ts_us, order], slice_, fold_rows)
-    due = F.lit(None).cast("long")
+    due = F.col(ts_us) + max(limits.values())
     for name, budget in limits.items():
         due = F.when(F.col("priority") == name, F.col(ts_us) + budget).otherwise(due)
     placed = cut(placed.withColumn("__due", due))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from servelog.session import scratch_path
 
@@ -58,14 +59,23 @@ def replay(inputs: Sequence[DataFrame], slices: Sequence[Column],
     """Feed tables to a stream as they would arrive, one slice per micro-batch.
 
     Each slice is appended to the input folders and processed with the same
-    checkpoint, so state carries over and no micro-batch holds the whole log.
+    checkpoint, so state carries over and no micro-batch holds the whole log. Inputs are
+    read once, into a table partitioned by slice. Rows of no slice do not arrive.
     """
     spark = inputs[0].sparkSession
+    number, number_field = F.lit(None).cast("int"), StructField("__slice", IntegerType())
+    for k, part in reversed(list(enumerate(slices))):
+        number = F.when(part, k).otherwise(number)
+    staged = [scratch_path(spark, f"{name}-staged{i}") for i, _ in enumerate(inputs)]
+    for df, folder in zip(inputs, staged):
+        rows = df.withColumn("__slice", number).where("__slice IS NOT NULL")
+        rows.repartition("__slice").write.partitionBy("__slice").parquet(folder)
     folders = [scratch_path(spark, f"{name}-in{i}") for i, _ in enumerate(inputs)]
     out, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    for part in slices:
-        for df, folder in zip(inputs, folders):
-            df.where(part).write.mode("append").parquet(folder)
+    for k, _ in enumerate(slices):
+        for df, source, folder in zip(inputs, staged, folders):
+            table = spark.read.schema(StructType([*df.schema.fields, number_field])).parquet(source)
+            table.where(F.col("__slice") == k).drop("__slice").write.mode("append").parquet(folder)
         stream = plan(*[spark.readStream.schema(df.schema).parquet(folder)
                         for df, folder in zip(inputs, folders)])
         _run(stream, out, checkpoint, mode)

@@ -123,7 +123,8 @@ class _Batcher(StatefulProcessor):
         return out, rest
 
     def _due(self, queue):
-        return min(ts + self.limits[priority] for _, ts, priority in queue)
+        most = max(self.limits.values())
+        return min(ts + self.limits.get(priority, most) for _, ts, priority in queue)
 
     def _emit(self, out):
         cols = [self.by, "seq", "first_seq", "trigger", "closed_us", "slot"]

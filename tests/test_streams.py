@@ -90,3 +90,15 @@ def test_tokens_in_any_order(spark):
     assert _rows(got, "job_id", "text", "n_tokens") == [("a", "ab", 2), ("b", "12", 2)]
     want = stateful.assemble_tokens(df.where("job_id IN ('a', 'b')").drop("ts")).where("complete")
     assert _rows(got, "job_id", "text", "n_tokens") == _rows(want, "job_id", "text", "n_tokens")
+
+
+def test_unknown_priorities_wait_longest(spark):
+    rows = [(0, "m", 10 * S, "odd"), (1, "m", 11 * S, None), (2, "m", 70 * S, "high"), (3, "m", 500 * S, "high")]
+    df = spark.createDataFrame(rows, "seq long, key string, ts_us long, priority string")
+    budgets = {"high": 5000.0, "default": 40_000.0}
+    want = stateful.size_or_deadline_batches(df, "key", 4, budgets).orderBy("seq").collect()
+    assert [r["closed_us"] for r in want] == [50 * S, 50 * S, 75 * S, 505 * S]
+    stream = df.withColumn("ts", F.timestamp_micros("ts_us"))
+    got = replay([stream], arrival_slices(stream, "seq", 2),
+                 lambda s: streams.stream_batches(s, "key", 4, budgets), "t-odd").orderBy("seq").collect()
+    assert [(r["seq"], r["closed_us"]) for r in got] == [(0, 50 * S), (1, 50 * S), (2, 75 * S)]
