@@ -193,8 +193,8 @@ def _two(rows, kind, names) -> pa.RecordBatch:
 
 
 def _compare(percent: int) -> Callable:
-    """node, cls, n, sketch, members -> edges (a, b) on full sets. A pair that is already
-    connected inside the node adds nothing and is skipped."""
+    """node, cls, n, sketch, members -> edges (a, b) that connect what links on full sets
+    connect. A pair that is already connected inside the node is skipped."""
     def run(batches):
         out: list[tuple[bytes, bytes]] = []
         for _, (classes, sizes, sketches, members) in grouped(batches):
@@ -202,7 +202,8 @@ def _compare(percent: int) -> Callable:
             for a, b in _likely(sketches, sizes, percent).tolist():
                 if forest.root(a) != forest.root(b) and linked(sets[a], sets[b], percent):
                     forest.join(a, b)
-                    out.append((classes[a], classes[b]))
+            # A star per group: all that the components need.
+            out += [(classes[m], classes[r]) for m in range(len(classes)) if (r := forest.root(m)) != m]
             if len(out) > 20_000:
                 yield _two(out, pa.binary(), ["a", "b"])
                 out = []

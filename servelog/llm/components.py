@@ -30,12 +30,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     ignored. Each round is written, so a lost executor costs a re-read; rounds grow
     with the logarithm of the longest path.
     """
-    now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
               .where(F.col("u") != F.col("v")).distinct())
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if mark == seen or not mark["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = mark
+    while not _settled(now):
         now = cut(_small_star(cut(_large_star(now))))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Every node points to one lesser node at most, and none that is pointed to points on."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where(
+        (F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))
+    return odd.isEmpty()

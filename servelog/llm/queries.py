@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from servelog.llm import (chosen_path, histogram, licenses, mixing, packing, pigeonhole, secret_scan,
                           simhash, sql, surrogates, toxicity)
-from servelog.session import prepare
+from servelog.llm.setup import ready
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out(doc_id: str = "doc_id"):
