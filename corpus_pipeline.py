@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from servelog.llm import chosen_path, mixing, packing, surrogates, toxicity
 from servelog.llm.queries import toxicity_model
-from servelog.session import cut, prepare
+from servelog.llm.setup import ready
+from servelog.session import cut
 
 #: Documents with this score and more are rejected.
 TOXIC = 0.5
@@ -19,32 +20,32 @@ TOXIC = 0.5
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below ``TOXIC`` by a model of the labels; empty texts stay unless
     most labels are toxic."""
-    prepare(spark)
+    ready(spark)
     model = toxicity_model(docs, spark, sf_dir)
     return docs.where(toxicity.scorer(model)(docs["text"]) < TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of every group of near copies."""
-    prepare(spark)
+    ready(spark)
     return chosen_path.keep_one(docs)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates; n_chars follows the text."""
-    prepare(spark)
+    ready(spark)
     return surrogates.replace_checked(docs, out="__entities").drop("__entities")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents and parts of documents as often as the mix takes them."""
-    prepare(spark)
+    ready(spark)
     return mixing.mixed_texts(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their place in sequences of at most 2048 ids."""
-    prepare(spark)
+    ready(spark)
     return packing.pack(docs)
 
 
@@ -57,7 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,7 @@ import public_tokenizers
 # A space that follows white space and is not followed by a visible character.
 _MERGING = re.compile(r"\s \s|\s \Z")
 _SPECIAL = "<|endoftext|>"
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 200_000
 _LONGEST_CACHED = 40
 _ENCODERS: dict[tuple[str, str], "Encoder"] = {}
 

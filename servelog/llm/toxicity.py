@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import string
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,7 +41,8 @@ SHARPEN = 4  # kernel values are raised to this power: still a kernel, and close
 LONGEST = 24
 TELLING = 2.5  # standard errors by which a positive word's rates differ
 WORST = 4
-_CACHE = 500_000
+_CACHE = 200_000
+_CACHES: dict[str, dict] = {}
 _LETTERS = np.uint64((1 << 63) - 1)
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -191,10 +193,15 @@ class Model:
     weights: np.ndarray  # per landmark, Nyström transform included
     bias: float
     logistic: np.ndarray  # constant, then one per worst margin
-    cache: dict = field(default_factory=dict, repr=False)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+    @property
+    def cache(self) -> dict:
+        """Margins of tokens seen by this worker process; those of other models are dropped."""
+        if self.name not in _CACHES:
+            _CACHES.clear()
+            _CACHES[self.name] = {}
+        return _CACHES[self.name]
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words))
@@ -207,10 +214,10 @@ class Model:
         """Margins of new tokens; those near no landmark are kept as None."""
         forms = [units(t) for t in tokens]
         flat = list({u for f in forms for u in f})
-        margin = dict(zip(flat, self.margins(flat).tolist()))
+        margin, cache = dict(zip(flat, self.margins(flat).tolist())), self.cache
         for token, form in zip(tokens, forms):
             best = max(map(margin.__getitem__, form)) if form else self.bias
-            self.cache[token] = best if best > self.bias else None
+            cache[token] = best if best > self.bias else None
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
         """The ``WORST`` highest margins of distinct tokens per text."""
@@ -218,12 +225,13 @@ class Model:
         for part in blocks([len(t or "") for t in texts], 1_000_000):
             bags = [tokens_of(t) for t in texts[part]]
             held = set().union(*bags)
-            if len(self.cache) + len(held) > _CACHE:
-                self.cache.clear()
-            new = list(held.difference(self.cache))
+            cache = self.cache
+            if len(cache) + len(held) > _CACHE:
+                cache.clear()
+            new = list(held.difference(cache))
             for lo in range(0, len(new), 50_000):
                 self._learn(new[lo:lo + 50_000])
-            get = self.cache.get
+            get = cache.get
             for row, bag in zip(range(part.start, part.stop), bags):
                 top = sorted(filter(None, map(get, bag)), reverse=True)[:WORST]
                 out[row, :len(top)] = top
