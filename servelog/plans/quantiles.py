@@ -4,38 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from servelog.plans.joins import null_safe_join
-from servelog.plans.sliced import magnitude_slice, sliced_running_sum
+from servelog.session import cut
+
+ACCURACY = 10_000
 
 
 def exact_percentiles(df: DataFrame, by: Sequence[str], value: str,
-                      percentiles: Mapping[str, float]) -> DataFrame:
+                      percentiles: Mapping[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """One row per group: ``by``, ``n`` and one column per percentile name.
 
-    The built-in ``percentile`` keeps every distinct value of a group in one
-    buffer. Here equal values are counted map-side, positions come from a sliced
-    running count, and the two values around each position are picked with
-    ``min`` aggregates, so no task ever holds a group.
+    A first pass brackets each percentile: the approximate ones a little below and above
+    it, whose ranks are off by ``n / accuracy`` at most. A second pass counts map-side what
+    lies below a bracket, and by value what lies inside, about ``6 / accuracy`` of the rows.
+    Only these are sorted, so neither a hot group nor a narrow range of values gathers
+    in a task.
     """
     keys = list(by) or ["__all"]
     src = df if by else df.withColumn("__all", F.lit(0))
-    counts = (src.where(F.col(value).isNotNull())
-              .groupBy(*keys, F.col(value).cast("double").alias("__v"))
-              .agg(F.count(F.lit(1)).alias("__c")))
-    totals = counts.groupBy(*keys).agg(F.sum("__c").alias("n"))
-    placed = null_safe_join(sliced_running_sum(counts, keys, ["__v"], magnitude_slice("__v"),
-                                               "__c", "__cum"), totals, keys)
-    pos = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in percentiles.items()}
-    picks = []
-    for name, at in pos.items():
-        picks.append(F.min(F.when(F.col("__cum") > F.floor(at), F.col("__v"))).alias(f"__lo_{name}"))
-        picks.append(F.min(F.when(F.col("__cum") > F.ceil(at), F.col("__v"))).alias(f"__hi_{name}"))
-    got = placed.groupBy(*keys, "n").agg(*picks)
-    cols = []
-    for name, at in pos.items():
-        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        cols.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return got.select(*by, "n", *cols)
+    src = src.select(*keys, F.col(value).cast("double").alias("__x")).where("__x IS NOT NULL")
+    points = [float(p) for p in percentiles.values()]
+    edges = [min(1.0, max(0.0, p + side * 3 / accuracy)) for p in points for side in (-1, 1)]
+    brackets = cut(src.groupBy(*keys).agg(F.percentile_approx("__x", edges, accuracy).alias("__e")))
+    spans = F.array(*[F.struct(F.element_at("__e", 2 * k + 1).alias("lo"), F.element_at("__e", 2 * k + 2).alias("hi"))
+                      for k in range(len(points))])
+    rows = null_safe_join(src, brackets, keys).select(*keys, "__x", F.posexplode(spans).alias("__k", "__b"))
+    side = F.when(F.col("__x") < F.col("__b.lo"), -1).when(F.col("__x") > F.col("__b.hi"), 1).otherwise(0)
+    inside = F.when(F.col("__side") == 0, F.col("__x"))
+    # Of the rest the nearest value is kept: a percentile may lie between it and the bracket.
+    counts = (rows.withColumn("__side", side).groupBy(*keys, "__k", "__side", inside.alias("__in"))
+              .agg(F.count(F.lit(1)).alias("__c"), F.max("__x").alias("__max"), F.min("__x").alias("__min"))
+              .withColumn("__v", F.when(F.col("__side") < 0, F.col("__max")).otherwise(F.col("__min"))))
+    group = Window.partitionBy(*keys, "__k")
+    rank = F.sum("__c").over(group.orderBy("__side", "__v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select(*keys, "__k", "__side", "__v", F.sum("__c").over(group).alias("n"), rank.alias("__cum"))
+    at = (F.col("n") - 1) * F.element_at(F.array(*map(F.lit, points)), F.col("__k") + 1)
+    found = placed.groupBy(*keys, "__k", "n").agg(
+        F.min(F.when(F.col("__cum") > F.floor(at), F.col("__v"))).alias("lo"),
+        F.min(F.when(F.col("__cum") > F.ceil(at), F.col("__v"))).alias("hi"))
+    between = F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *[
+        F.max(F.when(F.col("__k") == k, between)).alias(name) for k, name in enumerate(percentiles)
+    ]).select(*by, "n", *percentiles)

@@ -94,3 +94,22 @@ def test_slow_rates_refill():
     assert steps.take_token(0, 10 ** 13 + 1, rate)[0]
     with pytest.raises(ValueError):
         steps.Rate.of(1.0, 10 ** 13)
+
+
+def test_percentiles_of_hot_narrow_and_tied_values(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    groups = {"hot": 100 + rng.random(30_000), "tied": rng.integers(0, 3, 5000).astype(float),
+              "one": np.array([7.5]), "two": np.array([1.0, 2.0]), "wide": rng.normal(size=3000) * 1e6}
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p999": 0.999, "p100": 1.0}
+    for accuracy in (10_000, 100):
+        got = {r["k"]: r for r in exact_percentiles(df, ["k"], "x", shares, accuracy).collect()}
+        assert set(got) == set(groups)
+        for k, xs in groups.items():
+            assert got[k]["n"] == len(xs)
+            for name, p in shares.items():
+                assert got[k][name] == pytest.approx(np.quantile(xs, p), rel=1e-12)
+    whole = exact_percentiles(df, [], "x", {"p50": 0.5}).collect()
+    assert whole[0]["p50"] == pytest.approx(np.quantile(np.concatenate(list(groups.values())), 0.5))
