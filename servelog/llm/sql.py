@@ -67,7 +67,7 @@ running AS (
   FROM weighted WINDOW up AS (ORDER BY 2 * source_size / weight, nth ROWS UNBOUNDED PRECEDING)),
 level AS (SELECT max((1.5 * whole::DOUBLE - full_before::DOUBLE) / (weights - weight_before)::DOUBLE) AS l FROM running),
 aimed AS (SELECT nth, source, source_size, least(2.0::DOUBLE * source_size, l * weight) AS target FROM weighted, level),
-total AS (SELECT *, round(sum(target) OVER () / 32)::BIGINT AS blocks,
+total AS (SELECT *, round(sum(target) OVER () / 4)::BIGINT AS blocks,
   least(4096, greatest(1, ceil(source_size / 65536)))::BIGINT AS shards FROM aimed),
 won AS ({_seats('total', '', 'target', 'blocks', 'nth')}),
 quotas AS (SELECT t.*, coalesce(seats, 0) AS quota FROM total t LEFT JOIN won ON party = nth),
@@ -78,7 +78,7 @@ dealt AS (
 shard_sizes AS (SELECT nth, shard, quota, sum(size)::BIGINT AS z FROM dealt GROUP BY ALL),
 shard_won AS ({_seats('shard_sizes', 'nth, ', 'z', 'quota', 'shard')}),
 cuts AS (
-  SELECT s.nth, s.shard, z, least(coalesce(seats, 0) * 32, 2 * z) AS words,
+  SELECT s.nth, s.shard, z, least(coalesce(seats, 0) * 4, 2 * z) AS words,
     ('0x' || substr(md5('mix:' || s.nth || ':' || s.shard), 1, 13))::BIGINT % greatest(1, z) AS lo
   FROM shard_sizes s LEFT JOIN shard_won w ON w.nth = s.nth AND w.party = s.shard),
 placed AS (
