@@ -14,7 +14,7 @@ from servelog.llm.setup import ready
 from servelog.session import cut
 
 #: Documents with this score and more are rejected.
-TOXIC = 0.5
+TOXIC = 0.3
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

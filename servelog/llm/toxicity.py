@@ -39,7 +39,7 @@ SUBSEQUENCE = 3
 DECAY = 0.6
 SHARPEN = 4  # kernel values are raised to this power: still a kernel, and closer to words
 LONGEST = 24
-TELLING = 2.5  # standard errors by which a positive word's rates differ
+TELLING = 2.0  # standard errors by which a positive word's rates differ
 WORST = 4
 _CACHE = 200_000
 _CACHES: dict[str, dict] = {}
