@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__
+from servelog import catalog
 from tests.oracle import connect, difference
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
