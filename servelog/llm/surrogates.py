@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -178,12 +179,26 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 upto = m.start(1) + word.end()
             if words and upto > m.start(1):
                 found.append((m.start(1), upto, "name"))
-    found.sort(key=lambda e: (e[0] - e[1], e[0]))
+    found.sort()
+    out: list[tuple[int, int, str]] = []
+    first, reach = 0, 0
+    for at, entity in enumerate(found):
+        if entity[0] >= reach:
+            out += _apart(found[first:at])
+            first = at
+        reach = max(reach, entity[1])
+    return out + _apart(found[first:])
+
+
+def _apart(chain: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Of a chain of overlapping entities those that stay, by place. What is kept has no
+    overlaps, so only the two neighbours of a place can meet it."""
     kept: list[tuple[int, int, str]] = []
-    for entity in found:
-        if all(entity[1] <= k[0] or k[1] <= entity[0] for k in kept[-256:]):
-            kept.append(entity)
-    return sorted(kept)
+    for entity in sorted(chain, key=lambda e: (e[0] - e[1], e[0])) if len(chain) > 1 else chain:
+        at = bisect(kept, entity)
+        if (not at or kept[at - 1][1] <= entity[0]) and (at == len(kept) or entity[1] <= kept[at][0]):
+            kept.insert(at, entity)
+    return kept
 
 
 def rewrite(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str, str]]]:

@@ -47,6 +47,25 @@ def test_rewrite():
     assert s.rewrite("Clean text, 12 of 300 words; no more.", KEY) == ("Clean text, 12 of 300 words; no more.", [])
 
 
+@pytest.mark.parametrize("inner", ["ann.5550000000@clinic.org", "root@10.0.1.7"])
+def test_many_entities_in_one_text(inner):
+    text = " ".join([inner] * 300)
+    assert s.entities(text) == [(at, at + len(inner), "email") for at in range(0, len(text), len(inner) + 1)]
+    one = s.rewrite(inner, KEY)[0]
+    assert s.rewrite(text, KEY)[0] == " ".join([one] * 300)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 12), st.sampled_from("ab")), max_size=40))
+def test_overlaps_go_to_the_longer_then_the_earlier(spans):
+    chain = [(a, a + n, k) for a, n, k in spans]
+    kept = []
+    for e in sorted(chain, key=lambda e: (e[0] - e[1], e[0])):
+        if all(e[1] <= k[0] or k[1] <= e[0] for k in kept):
+            kept.append(e)
+    assert s._apart(chain) == sorted(kept)
+
+
 def test_distinct_and_coreferent():
     emails = [f"a{i}.b@mail{j}.example.com" for i in range(60) for j in range(10)]
     cards = [f"{4 * 10**15 + 7 * i}" for i in range(2000)]
