@@ -17,6 +17,7 @@ copies end there in one step, and no pairs of them are ever listed.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +33,6 @@ SHINGLE = 5
 PERCENT = 85  # links: 100 * intersection >= PERCENT * union
 TREES = 10
 COORDINATES = 96
-# Agreeing coordinates below this are over six standard deviations from 85 % of them.
-LEAST_AGREEING = 60
 LEAF = 2048  # members, and
 LEAF_SHINGLES = 2_000_000  # shingles of all members, that one task compares
 _draw = np.random.default_rng(20_240_501)
@@ -149,17 +148,23 @@ class _Forest:
         return x != y
 
 
+def least_agreeing(percent: int) -> int:
+    """Fewer agreeing coordinates are over six standard deviations from ``percent`` of them."""
+    share = percent / 100
+    return math.floor(COORDINATES * share - 6 * math.sqrt(COORDINATES * share * (1 - share)))
+
+
 def _likely(sketches: list[bytes], sizes: list[int], percent: int) -> np.ndarray:
     """Pairs (a, b) of a node that can be linked by size and by their minwise values, those
     that agree most first."""
     marks, sizes = np.frombuffer(b"".join(sketches), "<u2").reshape(len(sketches), -1), np.array(sizes)
-    pairs, agree = [np.zeros((0, 2), "int64")], [np.zeros(0, "int64")]
+    pairs, agree, least = [np.zeros((0, 2), "int64")], [np.zeros(0, "int64")], least_agreeing(percent)
     for at in range(0, len(marks), 64):
         mine = slice(at, at + 64)
         agreeing = (marks[mine, None, :] == marks[None, at:, :]).sum(2, dtype="uint8")
         small = np.minimum.outer(sizes[mine], sizes[at:])
         large = np.maximum.outer(sizes[mine], sizes[at:])
-        i, j = np.nonzero(np.triu((agreeing >= LEAST_AGREEING) & (100 * small >= percent * large), 1))
+        i, j = np.nonzero(np.triu((agreeing >= least) & (100 * small >= percent * large), 1))
         pairs.append(np.stack([i, j], 1) + at)
         agree.append(agreeing[i, j].astype("int64"))
     return np.concatenate(pairs)[np.argsort(-np.concatenate(agree), kind="stable")]

@@ -1,5 +1,6 @@
 """Near-duplicate documents and vectors."""
 
+import math
 import random
 
 import numpy as np
@@ -117,3 +118,16 @@ def test_no_vectors(spark):
     frame = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1)], frame.schema)
     got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in pigeonhole.near_vectors(frame).collect())
     assert got == [(0, 2, 4), (4, 2, 4), (4, 2, 4)]
+
+
+def test_agreeing_coordinates_follow_the_threshold():
+    n = chosen_path.COORDINATES
+    a = np.arange(n, dtype="<u2")
+    for percent, agreeing in ((75, 47), (80, 54), (85, 60), (90, 69)):
+        b = np.where(np.arange(n) < agreeing, a, a + 1000).astype("<u2")
+        assert len(chosen_path._likely([a.tobytes(), b.tobytes()], [90, 100], percent)) == 1
+        share = percent / 100
+        least = chosen_path.least_agreeing(percent)
+        lost = sum(math.comb(n, k) * share ** k * (1 - share) ** (n - k) for k in range(least))
+        assert least <= agreeing and lost < 1e-6
+    assert chosen_path.least_agreeing(85) == 60
