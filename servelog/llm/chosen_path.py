@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ SHINGLE = 5
 PERCENT = 85  # links: 100 * intersection >= PERCENT * union
 TREES = 10
 COORDINATES = 96
+# Of pairs at the threshold that share a large node in every tree, at most this part may part
+MISS = 1e-4
+LEVELS = 3  # in so many levels of branching.
+MOST_STEPS = 12
 LEAF = 2048  # members, and
 LEAF_SHINGLES = 2_000_000  # shingles of all members, that one task compares
 _draw = np.random.default_rng(20_240_501)
@@ -228,10 +233,30 @@ def _overlaps(batches):
             names=["cls", "pivot", "common", "total"])
 
 
+def missed(percent: int, steps: int, paths: int, levels: int = LEVELS) -> float:
+    """The part of pairs at the threshold that no tree keeps together over ``levels`` with these
+    steps and paths. How many coordinates agree is binomial and one number for all trees."""
+    agree, share = np.arange(COORDINATES + 1), percent / 100
+    weight = np.array([math.comb(COORDINATES, k) * share ** k * (1 - share) ** (COORDINATES - k) for k in agree.tolist()])
+    meet, lost = (agree / COORDINATES) ** steps, np.zeros(COORDINATES + 1)
+    for _ in range(levels):
+        lost = (1 - meet * (1 - lost)) ** paths
+    return float(weight @ lost ** TREES)
+
+
+@lru_cache(maxsize=None)
+def paths_of(percent: int, steps: int) -> int:
+    """The fewest paths by which a node takes ``steps`` that miss at most ``MISS``."""
+    paths = math.ceil((100 / percent) ** steps - 1e-9)
+    while missed(percent, steps, paths) > MISS:
+        paths += 1
+    return paths
+
+
 def _children(percent: int, leaf: int) -> Callable:
     """node, size, cls, sketch -> node, cls: members under their values of ``k`` coordinates that
-    the node chose. It chooses so many such paths that a pair at the threshold is
-    expected to keep meeting in one; larger nodes take more steps at once."""
+    the node chose. It chooses so many such paths that pairs at the threshold keep meeting
+    over several levels, see ``MISS``; larger nodes take more steps at once."""
     def run(batches):
         for batch in batches:
             nodes = np.array(batch.column(0).to_pylist(), "int64").view("uint64")
@@ -239,8 +264,8 @@ def _children(percent: int, leaf: int) -> Callable:
             if not len(nodes):
                 continue
             size = np.array(batch.column(1).to_pylist(), "float64")
-            steps = np.clip(np.ceil(np.log2(4 * size / leaf)), 1, 12).astype("int64")
-            paths = np.ceil((100 / percent) ** steps - 1e-9).astype("int64")
+            steps = np.clip(np.ceil(np.log2(4 * size / leaf)), 1, MOST_STEPS).astype("int64")
+            paths = np.array([0] + [paths_of(percent, k) for k in range(1, MOST_STEPS + 1)])[steps]
             marks = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(len(nodes), -1)
             out: list[tuple[int, bytes]] = []
             for path in range(int(paths.max())):

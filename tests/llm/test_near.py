@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from servelog.llm import chosen_path, pigeonhole
@@ -131,3 +132,26 @@ def test_agreeing_coordinates_follow_the_threshold():
         lost = sum(math.comb(n, k) * share ** k * (1 - share) ** (n - k) for k in range(least))
         assert least <= agreeing and lost < 1e-6
     assert chosen_path.least_agreeing(85) == 60
+
+
+@pytest.mark.parametrize("size", [100_000, 1_000_000])
+def test_large_nodes_keep_threshold_pairs(size):
+    """Pairs at 85 % that start in one node of each tree, over three levels that stay large."""
+    draw, pairs = np.random.default_rng(size), 400
+    a = draw.integers(0, 1 << 16, (pairs, chosen_path.COORDINATES)).astype("<u2")
+    b = np.where(draw.random(a.shape) < 0.85, a, a + 1).astype("<u2")
+    run = chosen_path._children(85, chosen_path.LEAF)
+    nodes = [(p, 1_000 * p + t) for p in range(pairs) for t in range(chosen_path.TREES)]
+    for _ in range(3):
+        meet = []
+        for side in (a, b):
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array([n for _, n in nodes], pa.int64()), pa.array([size] * len(nodes), pa.int64()),
+                 pa.array([str(p).encode() for p, _ in nodes], pa.binary()),
+                 pa.array([side[p].tobytes() for p, _ in nodes], pa.binary())], names=["node", "size", "cls", "sketch"])
+            meet.append({(int(c), n) for out in run([batch]) for n, c in zip(*(x.to_pylist() for x in out.columns))})
+        held = {}
+        for p, n in sorted(meet[0] & meet[1]):
+            held.setdefault(p, []).append(n)
+        nodes = [(p, n) for p, mine in held.items() for n in mine[:40]]
+    assert len(held) >= pairs - 1
