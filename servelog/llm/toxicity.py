@@ -21,6 +21,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,13 @@ NEGATIVES = 4000
 SUBSEQUENCE = 3
 DECAY = 0.6
 SHARPEN = 4  # kernel values are raised to this power: still a kernel, and closer to words
+SMALL = 1e-5  # sharpened values below this count as 0
 LONGEST = 24
+WINDOWS = (8, 12, 16, 24)  # about twice the lengths of landmarks
 TELLING = 2.0  # standard errors by which a positive word's rates differ
 WORST = 4
 _CACHE = 200_000
 _CACHES: dict[str, dict] = {}
-_LETTERS = np.uint64((1 << 63) - 1)
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _PARTS = re.compile(r"[^\W\d_]{3,}")
@@ -52,9 +55,10 @@ _SIGNS = re.compile(r"[\W_]+")
 
 def units(token: str) -> list[str]:
     """Strings to compare for a white-space token: itself without outer signs, its runs of
-    letters, and windows of a very long one; each at most ``LONGEST`` characters."""
+    letters, and windows of long ones in several widths, so that each landmark meets some
+    of about twice its length; each at most ``LONGEST`` characters."""
     core = token.strip(string.punctuation)
-    if core.isalpha() and len(core) <= LONGEST:
+    if core.isalpha() and len(core) <= LONGEST // 2:
         return [core] if len(core) >= SUBSEQUENCE else []
     core = _EDGES.sub("", core)
     plain = _SIGNS.sub("", core)
@@ -63,8 +67,9 @@ def units(token: str) -> list[str]:
     for one in found:
         if len(one) <= LONGEST:
             out.add(one)
-        else:
-            out |= {one[i:i + LONGEST] for i in range(0, len(one) - LONGEST // 2, LONGEST // 2)}
+        if len(one) > LONGEST // 2:
+            for width in WINDOWS:
+                out |= {one[i:i + width] for i in range(0, len(one) - width // 2, width // 2)}
     return sorted(u for u in out if len(u) >= SUBSEQUENCE)
 
 
@@ -92,87 +97,86 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, size: int = SUBSEQUENCE,
     ``inner[i, x, y]`` sums the shared subsequences of one letter less that end before x
     and y, each weighted by ``decay`` to the lengths they span up to there.
     """
-    same = (a[:, :, None] == b[:, None, :]).astype("float32")
-    step = lambda n: np.float32(decay) ** np.maximum(np.subtract.outer(np.arange(n), np.arange(n)), 0) \
-        * np.tri(n, k=-1, dtype="float32")
+    same = (a[:, :, None] == b[:, None, :]).astype("float64")
+    step = lambda n: np.float64(decay) ** np.maximum(np.subtract.outer(np.arange(n), np.arange(n)), 0) \
+        * np.tri(n, k=-1, dtype="float64")
     left, right = step(a.shape[1]), step(b.shape[1]).T
     inner = np.ones_like(same)
     for _ in range(size - 1):
         inner = left @ ((same * inner) @ right)
-    return (same * inner).sum((1, 2)) * np.float32(decay ** 2)
-
-
-def _mask(codes: np.ndarray) -> np.ndarray:
-    """Letters of each row as a set of 63 bits."""
-    bit = np.where(codes > 0, codes % 63, 63).astype("uint64")
-    return np.bitwise_or.reduce(np.uint64(1) << bit, axis=1) & _LETTERS
-
-
-def _pair_masks(codes: np.ndarray, apart: tuple[int, ...]) -> np.ndarray:
-    """Ordered letter pairs at these distances, as a set of two times 63 bits per row."""
-    out = np.zeros((2, len(codes)), "uint64")
-    for gap in apart:
-        a, b = codes[:, :-gap], codes[:, gap:]
-        code = np.where((a > 0) & (b > 0), (a * 31 + b) % 126, 126)
-        for lane in range(2):
-            bit = np.where(code // 63 == lane, code % 63, 63).astype("uint64")
-            out[lane] |= np.bitwise_or.reduce(np.uint64(1) << bit, axis=1) & _LETTERS
-    return out
-
-
-def _overlap(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a[0][i] & b[0][j]) + np.bitwise_count(a[1][i] & b[1][j])
+    return (same * inner).sum((1, 2)) * np.float64(decay ** 2)
 
 
-def _count(a: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a[0]) + np.bitwise_count(a[1])
+@lru_cache(maxsize=None)
+def _triples(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places i < j < k of all subsequences of a string, and ``DECAY`` to the length they span."""
+    i, j, k = np.array(list(combinations(range(width), SUBSEQUENCE)), "int64").reshape(-1, SUBSEQUENCE).T
+    return i, j, k, DECAY ** (k - i + 1.0)
 
 
 @dataclass
 class Landmarks:
     words: list[str]
     codes: np.ndarray = field(init=False)
-    masks: np.ndarray = field(init=False)
-    pairs: np.ndarray = field(init=False)
-    loose: np.ndarray = field(init=False)
     norms: np.ndarray = field(init=False)
-    lengths: np.ndarray = field(init=False)
+    letters: np.ndarray = field(init=False)  # all that occur, sorted
+    keys: np.ndarray = field(init=False)  # subsequences that occur, sorted
+    starts: np.ndarray = field(init=False)  # of each key's landmarks, below
+    marks: np.ndarray = field(init=False)
+    weights: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.codes = _codes(self.words, LONGEST, -1)
-        self.masks = _mask(self.codes)
-        self.pairs, self.loose = _pair_masks(self.codes, (1,)), _pair_masks(self.codes, (1, 2))
-        self.lengths = np.array([min(len(w), LONGEST) for w in self.words])
         self.norms = _self(self.codes)
+        self.letters = np.unique(self.codes[self.codes >= 0])
+        row, key, weight = self._subsequences(self.codes)
+        both, back = np.unique(np.stack([key, row], 1), axis=0, return_inverse=True)
+        self.weights = np.bincount(back.ravel(), weight, len(both))
+        self.keys, first = np.unique(both[:, 0], return_index=True)
+        self.starts, self.marks = np.append(first, len(both)), both[:, 1]
+
+    def _subsequences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key, weight) of all subsequences made of letters of the landmarks."""
+        size = len(self.letters)
+        place = np.searchsorted(self.letters, codes)
+        known = (place < size) & (self.letters[np.minimum(place, size - 1)] == codes) if size else codes < -9
+        # Letters of no landmark keep their place but take part in no subsequence.
+        i, j, k, weight = _triples(codes.shape[1])
+        rows, at = np.nonzero(known[:, i] & known[:, j] & known[:, k])
+        key = (place[rows, i[at]] * size + place[rows, j[at]]) * size + place[rows, k[at]]
+        return rows, key, weight[at]
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sparse (word, landmark, value) of the sharpened, normalised kernel. Words that lack
-        over a quarter of a landmark's letters or of its pairs of neighbours (one letter may stand
-        between), or half of whose pairs are none of the landmark's, have value 0."""
+        """Sparse (word, landmark, value) of the sharpened, normalised kernel with every landmark. The
+        kernel is the product of the weights of shared subsequences, so only these are
+        looked up. Sharpened values below ``SMALL`` are left out."""
         out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
-        for at in range(0, len(words), 8192):
-            codes = _codes(words[at:at + 8192], LONGEST, -2)
-            masks, lengths = _mask(codes), (codes != -2).sum(1)
-            shared = np.bitwise_count(masks[:, None] & self.masks)
-            i, j = np.nonzero((4 * shared >= 3 * np.bitwise_count(self.masks))
-                              & (lengths[:, None] <= 2 * self.lengths + 1)
-                              & (3 * lengths[:, None] >= 2 * self.lengths))
-            loose, tight = _pair_masks(codes, (1, 2)), _pair_masks(codes, (1,))
-            near = (_overlap(loose, self.pairs, i, j) >= 0.75 * _count(self.pairs)[j])
-            near &= _overlap(tight, self.loose, i, j) >= 0.5 * _count(tight)[i]
-            i, j = i[near], j[near]
-            order = np.argsort(lengths[i], kind="stable")  # equal widths together
-            i, j = i[order], j[order]
-            value = np.zeros(len(i))
-            used, back = np.unique(i, return_inverse=True)
-            own = _self(codes[used])[back] if len(used) else np.zeros(0)
-            for lo in range(0, len(i), 2048):
-                p, q = i[lo:lo + 2048], j[lo:lo + 2048]
-                width = int(lengths[p].max())
-                value[lo:lo + 2048] = subsequence_kernel(
-                    codes[p, :width], self.codes[q, :int(self.lengths[q].max())])
-            value /= np.sqrt(np.maximum(own * self.norms[j], 1e-12))
-            out.append((i + at, j, np.minimum(value, 1) ** SHARPEN))
+        lengths, n = np.array([min(len(w), LONGEST) for w in words], "int64"), len(self.words)
+        order = np.argsort(lengths, kind="stable") if n else np.zeros(0, "int64")
+        at = 0
+        while at < len(order):
+            # Equal widths together, and a bounded number of subsequences at once.
+            width = int(lengths[order[at]])
+            step = max(16, 400_000 // max(1, math.comb(width, SUBSEQUENCE)))
+            mine = order[at:min(at + step, int(np.searchsorted(lengths[order], width, "right")))]
+            at += len(mine)
+            if width < SUBSEQUENCE:
+                continue
+            codes = _codes([words[w] for w in mine.tolist()], width, -2)
+            row, key, weight = self._subsequences(codes)
+            found = np.searchsorted(self.keys, key)
+            hit = np.flatnonzero(self.keys[np.minimum(found, len(self.keys) - 1)] == key) if len(self.keys) else found[:0]
+            row, found, weight = row[hit], found[hit], weight[hit]
+            many = self.starts[found + 1] - self.starts[found]
+            entry = np.arange(int(many.sum())) + np.repeat(self.starts[found] - np.cumsum(many) + many, many)
+            value = np.bincount(np.repeat(row, many) * n + self.marks[entry], np.repeat(weight, many) * self.weights[entry],
+                                len(mine) * n).reshape(len(mine), n)
+            some = np.flatnonzero(value.any(1))
+            own = np.ones(len(mine))
+            own[some] = _self(codes[some])
+            value = np.minimum(value / np.sqrt(np.maximum(own[:, None] * self.norms, 1e-12)), 1) ** SHARPEN
+            i, j = np.nonzero(value >= SMALL)
+            out.append((mine[i], j, value[i, j]))
         return tuple(np.concatenate(c) for c in zip(*out))
 
 

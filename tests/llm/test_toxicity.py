@@ -46,6 +46,30 @@ def test_features_are_normalised():
     assert not any(a == 3 for a, _ in table)
 
 
+def test_features_are_the_kernel():
+    """Two inserted letters, an insult in a run of letters, and strings at random."""
+    draw = random.Random(8)
+    marks = ["stupid", "loser", "moron", "idiot", "réeuxpa"]
+    words = ["stuxpixd", "lzozser", "mxorxon", "youstupididiot", "moxron", "xyxyxyxyxstupidxyxyxyxyx", "qqqq", "i.d-i0t"]
+    words += ["".join(draw.choice("stupidlorme") for _ in range(draw.randint(3, 24))) for _ in range(60)]
+    size, decay = toxicity.SUBSEQUENCE, toxicity.DECAY
+    got = np.zeros((len(words), len(marks)))
+    i, j, value = toxicity.Landmarks(marks).features(words)
+    got[i, j] = value
+    own = lambda w: kernel(w, w, size, decay)
+    want = np.array([[(kernel(w, m, size, decay) / max(own(w) * own(m), 1e-12) ** 0.5) ** toxicity.SHARPEN for m in marks] for w in words])
+    assert np.allclose(got, np.where(want >= toxicity.SMALL, want, 0), rtol=1e-3, atol=2e-5)
+    assert got[0, 0] > 0.04 and got[1, 1] > 0.015 and got[2, 2] > 0.01 and got[3, 0] > 0.08
+
+
+def test_windows_fit_landmarks():
+    marks = toxicity.Landmarks(["scum", "stupid", "blorgnat"])
+    for n, insult in enumerate(marks.words):
+        for before in range(40, 60):
+            i, j, value = marks.features(toxicity.units("xyz" * before + insult + "qwv" * 50))
+            assert value[j == n].max() > 0.04
+
+
 def test_units():
     assert toxicity.units("Trash!!".lower()) == ["trash"]
     assert "idiot" in toxicity.units("i.d.i.o.t") and "scum" in toxicity.units("sc-um,")
@@ -125,3 +149,12 @@ def test_query(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
     mean = [np.mean([r.score for i, r in got.items() if r.held_out and labels.get(i) == k]) for k in (0, 1)]
     assert mean[1] > mean[0] + 0.3
+
+
+def test_two_insertions_and_runs_of_letters(spark, model):
+    clean = "some harmless words stand here in a row"
+    run = "bcdafeghilmnoprstu" * 3
+    forms = [f"{clean} blxorgxnat fizwqucklqe", f"{clean} {run}{INSULTS[0]}{run} {INSULTS[1]}{run}"]
+    docs = spark.createDataFrame([(i, f) for i, f in enumerate([clean, clean + f" {run}", *forms])], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert min(got[2], got[3]) > max(got[0], got[1])
