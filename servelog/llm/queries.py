@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servelog.llm import (chosen_path, histogram, licenses, mixing, packing, pigeonhole, secret_scan,
-                          simhash, sql, surrogates, toxicity)
+from servelog.llm import (chosen_path, divergence, histogram, licenses, mixing, packing, pigeonhole,
+                          positional, secret_scan, simhash, spelling, sql, surrogates, toxicity)
 from servelog.llm.setup import ready
+from servelog.session import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +89,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii_surrogates, op3_license_scan, op4_minhash_dedup, op5_vector_dedup, op6_fingerprints, op7_secret_scan, op8_token_counts, op9_packing, op10_mixing)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
-SQL = {"op4_minhash_dedup": sql.MINHASH, "op5_vector_dedup": sql.VECTORS, "op10_mixing": sql.MIXING}
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = positional.build_index(_table(spark, sf_dir, "documents"))
+    found = positional.phrase_matches(index, _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(cut(spelling.words(_table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_pii_surrogates, op3_license_scan, op4_minhash_dedup, op5_vector_dedup, op6_fingerprints,
+    op7_secret_scan, op8_token_counts, op9_packing, op10_mixing, op11_source_divergence, op12_decontamination,
+    op13_spelling_variants)}
+
+SQL = {"op4_minhash_dedup": sql.MINHASH, "op5_vector_dedup": sql.VECTORS, "op10_mixing": sql.MIXING,
+       "op11_source_divergence": sql.DIVERGENCE, "op12_decontamination": sql.DECONTAMINATION,
+       "op13_spelling_variants": sql.SPELLING}
