@@ -81,7 +81,7 @@ def test_long_documents_and_items(spark):
     draw = random.Random(8)
     words = [f"w{draw.randrange(5000)}" for _ in range(2 * positional.BLOCK_WORDS + 5000)]
     passages = {}
-    for at in (0, positional.BLOCK_WORDS - 5, positional.BLOCK_WORDS, 2 * positional.BLOCK_WORDS - 9, len(words) - 10):
+    for at in (0, positional.BLOCK_WORDS - 5, positional.BLOCK_WORDS + 7, 2 * positional.BLOCK_WORDS - 9, len(words) - 10):
         passages[f"p{at}"] = [f"q{at}x{k}" for k in range(10)]
         words[at:at + 10] = passages[f"p{at}"]
     items = [(k, " ".join(v)) for k, v in passages.items()]
@@ -92,7 +92,7 @@ def test_long_documents_and_items(spark):
     assert got[1].n_words == len(words) and got[2].n_words == 2 and not got[2].spans
     assert sorted(got[1]["items"]) == sorted(k for k, _ in items)
     covered = {w for s in got[1].spans for w in range(s.start, s.end)}
-    want = {at + k for at in (0, positional.BLOCK_WORDS - 5, positional.BLOCK_WORDS, 2 * positional.BLOCK_WORDS - 9) for k in range(10)}
+    want = {at + k for at in (0, positional.BLOCK_WORDS - 5, positional.BLOCK_WORDS + 7, 2 * positional.BLOCK_WORDS - 9) for k in range(10)}
     assert covered == want | set(range(len(words) - len(tail), len(words)))
 
 
