@@ -4,12 +4,18 @@ The kernel counts the subsequences of letters that two strings share, a gap in e
 lowers the weight, so ``i.d-i0t`` still resembles its plain form. Strings are the words
 of a text, words broken by inserted characters, and spelled-out words (``t r a s h``).
 
-Training sees labelled texts, each a bag of sentences of words. Words that stand in
-toxic texts far more often than in clean ones are the positive examples, all others
-the negative ones; the most telling words and their closest clean neighbours are the
-landmarks. The machine is linear in the landmarks' Nyström features. A text's score is
-a logistic function of the margins of its four worst words, so one phrase in a long
-clean text counts as much as in a short one.
+Landmarks are words that stand in toxic texts far more often than in clean ones (telling
+words) and their closest clean neighbours. A sentence's kernel with a landmark is the sum
+over its words, of those near a telling word the nearest four; the machine is linear in the
+landmarks' Nyström features. It learns from the sentences of labelled texts: of a toxic
+text its worst sentence (chosen anew by the machine in rounds), of clean texts all
+that have such words. A second machine holds the broken forms of telling words that no
+clean text has against the same clean sentences, for one such word is enough.
+When they score, words that speak against toxicity count as nothing. A text is toxic by its
+four worst sentences or by its worst word: each has a logistic function of margins with
+weights that are never negative, and the score is the chance that one of both holds.
+So one phrase in a long clean text counts as much as in a short one, and a further
+insult never lowers the score.
 """
 
 from __future__ import annotations
@@ -18,7 +24,6 @@ import math
 import re
 import string
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -29,40 +34,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servelog.llm.wordhash import blocks
+from servelog.llm.wordhash import blocks, hashed_words, mix, shingle_hashes
 from servelog.session import cut
 
 #: Bounds of the training sample: labelled texts per class, landmarks, negative words.
 TEXTS_PER_CLASS = 6000
 LANDMARKS = 160
 NEIGHBOURS = 64
-NEGATIVES = 4000
+SENTENCES = 8  # per labelled text, those nearest to telling words
+ROUNDS = 4
+RIDGE = 0.1
 SUBSEQUENCE = 3
 DECAY = 0.6
 SHARPEN = 4  # kernel values are raised to this power: still a kernel, and closer to words
+NEAR = 0.3  # a word counts if its kernel value with some telling word is this at least
 SMALL = 1e-5  # sharpened values below this count as 0
 LONGEST = 24
 WINDOWS = (8, 12, 16, 24)  # about twice the lengths of landmarks
 TELLING = 2.0  # standard errors by which a positive word's rates differ
+SURE = 0.5  # part of the best standing that a word reaches if one of it is enough
 WORST = 4
+ENOUGH, ENOUGH_WORD = 3.0, 0.25  # larger margins of sentences and words say no more
 _CACHE = 200_000
 _CACHES: dict[str, dict] = {}
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_LETTER = re.compile(r"[^\W\d_]")
 _PARTS = re.compile(r"[^\W\d_]{3,}")
 _SIGNS = re.compile(r"[\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+# Digits and signs that stand for letters.
+_ALIKE = str.maketrans("0134578@$!|+", "oieastbasilt")
 
 
 def units(token: str) -> list[str]:
     """Strings to compare for a white-space token: itself without outer signs, its runs of
-    letters, and windows of long ones in several widths, so that each landmark meets some
+    letters, itself with digits and signs read as letters, and windows of long ones in several widths, so that each landmark meets some
     of about twice its length; each at most ``LONGEST`` characters."""
     core = token.strip(string.punctuation)
     if core.isalpha() and len(core) <= LONGEST // 2:
         return [core] if len(core) >= SUBSEQUENCE else []
     core = _EDGES.sub("", core)
     plain = _SIGNS.sub("", core)
-    found = {core, plain, *_PARTS.findall(core)}
+    read = _SIGNS.sub("", token.rstrip(".,;:!?\"')").translate(_ALIKE)) if _LETTER.search(core) else plain
+    found = {core, plain, read, *_PARTS.findall(core)}
     out: set[str] = set()
     for one in found:
         if len(one) <= LONGEST:
@@ -146,10 +161,10 @@ class Landmarks:
         key = (place[rows, i[at]] * size + place[rows, j[at]]) * size + place[rows, k[at]]
         return rows, key, weight[at]
 
-    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def features(self, words: list[str], least: float = SMALL ** (1 / SHARPEN)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sparse (word, landmark, value) of the sharpened, normalised kernel with every landmark. The
         kernel is the product of the weights of shared subsequences, so only these are
-        looked up. Sharpened values below ``SMALL`` are left out."""
+        looked up. Values below ``least``, before they are sharpened, are left out."""
         out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
         lengths, n = np.array([min(len(w), LONGEST) for w in words], "int64"), len(self.words)
         order = np.argsort(lengths, kind="stable") if n else np.zeros(0, "int64")
@@ -174,9 +189,10 @@ class Landmarks:
             some = np.flatnonzero(value.any(1))
             own = np.ones(len(mine))
             own[some] = _self(codes[some])
-            value = np.minimum(value / np.sqrt(np.maximum(own[:, None] * self.norms, 1e-12)), 1) ** SHARPEN
-            i, j = np.nonzero(value >= SMALL)
-            out.append((mine[i], j, value[i, j]))
+            value = np.minimum(value[some] / np.sqrt(np.maximum(own[some, None] * self.norms, 1e-12)), 1)
+            i, j = np.nonzero(value >= least)
+            value, i = value[i, j] ** SHARPEN, some[i]
+            out.append((mine[i], j, value))
         return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -193,39 +209,36 @@ def _self(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    landmarks: Landmarks
-    weights: np.ndarray  # per landmark, Nyström transform included
-    bias: float
-    logistic: np.ndarray  # constant, then one per worst margin
+    telling: Landmarks
+    landmarks: Landmarks  # the telling ones first
+    weights: np.ndarray  # per machine (sentences, words) and landmark, Nyström transform included
+    bias: np.ndarray  # per machine
+    logistic: np.ndarray  # constant, then one per worst sentence
+    by_word: np.ndarray  # constant, then one for the worst word
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
     def cache(self) -> dict:
-        """Margins of tokens seen by this worker process; those of other models are dropped."""
+        """Features of tokens seen by this worker process; those of other models are dropped."""
         if self.name not in _CACHES:
             _CACHES.clear()
             _CACHES[self.name] = {}
         return _CACHES[self.name]
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(words))
-        if words and self.landmarks.words:
-            i, j, value = self.landmarks.features(words)
-            out = np.bincount(i, value * self.weights[j], len(words))
-        return out + self.bias
-
     def _learn(self, tokens: list[str]) -> None:
-        """Margins of new tokens; those near no landmark are kept as None."""
+        """Features of new tokens, the best of their forms; None if no form is near a telling word."""
         forms = [units(t) for t in tokens]
         flat = list({u for f in forms for u in f})
-        margin, cache = dict(zip(flat, self.margins(flat).tolist())), self.cache
+        near = np.unique(self.telling.features(flat, NEAR)[0]).tolist() if flat and self.telling.words else []
+        close = [flat[k] for k in near]
+        row = dict(zip(close, range(len(close))))
+        table, cache = _dense(self.landmarks, close).astype("float32"), self.cache
         for token, form in zip(tokens, forms):
-            best = max(map(margin.__getitem__, form)) if form else self.bias
-            cache[token] = best if best > self.bias else None
+            mine = [row[u] for u in form if u in row] if row else ()
+            cache[token] = table[mine].max(0) if mine else None
 
-    def worst(self, texts: list[str | None]) -> np.ndarray:
-        """The ``WORST`` highest margins of distinct tokens per text."""
-        out = np.full((len(texts), WORST), self.bias)
+    def sentences(self, texts: list[str | None]) -> Iterator[list[np.ndarray]]:
+        """Per text, of its distinct sentences with words near a telling one the features of these words."""
         for part in blocks([len(t or "") for t in texts], 1_000_000):
             bags = [tokens_of(t) for t in texts[part]]
             held = set().union(*bags)
@@ -235,14 +248,43 @@ class Model:
             new = list(held.difference(cache))
             for lo in range(0, len(new), 50_000):
                 self._learn(new[lo:lo + 50_000])
-            get = cache.get
-            for row, bag in zip(range(part.start, part.stop), bags):
-                top = sorted(filter(None, map(get, bag)), reverse=True)[:WORST]
-                out[row, :len(top)] = top
-        return out
+            for text, bag in zip(texts[part], bags):
+                near = {t: cache[t] for t in bag if cache[t] is not None}
+                found = []
+                for sentence in dict.fromkeys(_SENTENCE.split(text.lower())) if near else ():
+                    mine = [near[t] for t in sorted(tokens_of(sentence)) if t in near]
+                    if mine:
+                        found.append(np.array(mine))
+                yield found
+
+    def worst(self, texts: list[str | None]) -> np.ndarray:
+        """The ``WORST`` highest margins of sentences per text, the bias where there are less, and
+        the highest margin of a word. A sentence adds up its ``WORST`` most toxic words."""
+        out = np.repeat(self.bias, [WORST, 1]) + np.zeros((len(texts), WORST + 1))
+        for row, found in enumerate(self.sentences(texts)):
+            if found:
+                say = [np.maximum(words @ self.weights.T, 0) for words in found]
+                sums = sorted((float(np.sort(s[:, 0])[-WORST:].sum()) for s in say), reverse=True)[:WORST]
+                out[row, :len(sums)] += sums
+                out[row, WORST] += max(float(s[:, 1].max()) for s in say)
+        return np.minimum(out, [ENOUGH] * WORST + [ENOUGH_WORD])
 
     def scores(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.logistic[0] + worst @ self.logistic[1:])))
+        chance = lambda c, x: 1 / (1 + np.exp(-(c[0] + x @ c[1:])))
+        return 1 - (1 - chance(self.logistic, worst[:, :WORST])) * (1 - chance(self.by_word, worst[:, WORST:]))
+
+
+def _rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic coefficients, none negative but the last one (the constant). Columns with a
+    negative one are left out, the least first, and the others trained anew."""
+    use = list(range(x.shape[1]))
+    while True:
+        c = _newton(x[:, use], y, weight, 1.0, "logistic")
+        if not use or c[:-1].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[use], out[-1] = c[:-1], c[-1]
+            return out
+        del use[int(c[:-1].argmin())]
 
 
 def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, loss: str,
@@ -286,24 +328,52 @@ def sample_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     return pick[0].union(pick[1])
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the least hashes of a text's tokens: near copies mostly agree in them."""
+def _copy_keys(text: str | None) -> list[int]:
+    """Least hashes of word pairs under several mixes, two at a time: near copies share some."""
+    words, _, _ = hashed_words([(text or "").encode()])
+    pairs = shingle_hashes(words, 2)
+    if not len(pairs):
+        return [0]
+    least = np.array([mix(pairs ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2 ** 64)).min() for k in range(1, 17)])
+    return (least[::2] * np.uint64(3) + least[1::2]).view("int64").tolist()
+
+
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [",".join(map(str, sorted(zlib.crc32(t.encode()) for t in tokens_of(text))[:3]))
-                for text in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())],
-                                         names=["text", "toxic", "key"])
+        keys = [_copy_keys(text) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))],
+                                         names=["doc_id", "text", "toxic", "keys"])
+
+
+def _distinct(bags: DataFrame) -> DataFrame:
+    """Of near copies with one label the first by id; a text goes if an earlier one shares a key."""
+    keyed = bags.select("doc_id", "toxic", F.posexplode("keys").alias("nth", "key"))
+    first = keyed.groupBy("toxic", "nth", "key").agg(F.min("doc_id").alias("first"))
+    copies = (keyed.join(first, ["toxic", "nth", "key"]).where(F.col("first") < F.col("doc_id"))
+              .select("doc_id").distinct())
+    return bags.join(copies, "doc_id", "left_anti").drop("keys").dropDuplicates(["doc_id"])
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+        for text, toxic in zip(*(batch.column(k).to_pylist() for k in (1, 2))):
             words = sorted({u for t in tokens_of(text) for u in units(t)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.string()), pa.array([toxic] * len(words), pa.int32())],
                 names=["unit", "toxic"])
 
 
+def broken_forms(word: str) -> list[str]:
+    """A telling word as evaders write it: a letter starred out, left out or doubled, letters put in."""
+    inner = range(1, len(word) - 1)
+    forms = {word}
+    for i in inner:
+        forms |= {word[:i] + "*" + word[i + 1:], word[:i] + word[i + 1:], word[:i] + word[i] + word[i:],
+                  word[:i] + "x" + word[i:], word[:i] + "-" + word[i:]}
+        forms |= {word[:i] + "x" + word[i:j] + "q" + word[j:] for j in inner if j > i}
+    return sorted(forms)
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic",
           per_class: int = TEXTS_PER_CLASS) -> Model:
     """Fits on labelled documents, at most ``per_class`` of each class; everything that comes
@@ -312,14 +382,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     seen = {r["toxic"]: r["n"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(
         F.col(label).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = seen.get(1, 0) / max(1, sum(seen.values())) if seen else 0.5
-    flat = Model(Landmarks([]), np.zeros(0), -1.0, np.array(
-        [math.log((share + 1e-3) / (1 - share + 1e-3))] + [0.0] * WORST))
+    flat = Model(Landmarks([]), Landmarks([]), np.zeros((2, 0)), -np.ones(2), np.array(
+        [math.log((share + 1e-3) / (1 - share + 1e-3))] + [0.0] * WORST), np.array([-np.inf, 0.0]))
     if not (seen.get(0) and seen.get(1)):
         return flat
     sample = sample_labels(labels, label, per_class)
     bags = cut(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
-               .select("text", "toxic").mapInArrow(_bags, "text string, toxic int, key string")
-               .dropDuplicates(["key", "toxic"]).drop("key"))
+               .select(F.col("doc_id").cast("string"), "text", "toxic")
+               .mapInArrow(_with_keys, "doc_id string, text string, toxic int, keys array<long>"))
+    bags = cut(_distinct(bags))
     n = {r["toxic"]: r["n"] for r in bags.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (n.get(0) and n.get(1)):
         return flat
@@ -329,54 +400,91 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     error = F.sqrt(bad * (1 - bad) / n[1] + good * (1 - good) / n[0])
     words = words.withColumn("z", (bad - good) / error).withColumn(
         "telling", (F.col("z") >= TELLING) & (bad >= 4 * good) & (F.col("bad") >= 3))
-    positive = (words.where("telling").orderBy(F.col("z").desc(), "unit").limit(LANDMARKS)
-                .select("unit", "bad", "good").collect())
+    candidates = words.where("telling").orderBy(F.col("z").desc(), "unit").limit(LANDMARKS).collect()
+    positive = [r["unit"] for r in candidates]
     if not positive:
         return flat
-    first = Landmarks([r["unit"] for r in positive])
+    telling = Landmarks(positive)
 
     def closeness(batches):
         for batch in batches:
             names = batch.column(0).to_pylist()
-            i, _, value = first.features(names)
+            i, _, value = telling.features(names)
             near = np.zeros(len(names))
             np.maximum.at(near, i, value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)],
-                                             names=["unit", "bad", "good", "near"])
-
-    negative = (words.where(~F.col("telling") & (F.col("good") > 0)).select("unit", "bad", "good")
-                .mapInArrow(closeness, "unit string, bad long, good long, near double")
-                .orderBy((F.col("near") * F.sqrt("good")).desc(), F.col("good").desc(), "unit")
-                .limit(NEGATIVES).collect())
-    landmarks = Landmarks(first.words + [r["unit"] for r in negative[:NEIGHBOURS]])
-    rows = [*positive, *negative]
-    x = _dense(landmarks, [r["unit"] for r in rows])
-    base = x[[*range(len(positive)), *range(len(positive), len(positive) + len(negative[:NEIGHBOURS]))]]
-    values, vectors = np.linalg.eigh((base + base.T) / 2)
-    ok = values > 1e-3
-    nystrom = vectors[:, ok] / np.sqrt(values[ok])
-    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    weight = np.sqrt([r["bad"] for r in positive] + [r["good"] for r in negative])
-    for side in (1, -1):
-        weight[y == side] *= 100 / weight[y == side].sum()
-    w = _newton(x @ nystrom, y, weight, 1.0, "hinge")
-    model = Model(landmarks, nystrom @ w[:-1], float(w[-1]), np.zeros(WORST + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], names=["unit", "good", "near"])
+
+    clean = (words.where(~F.col("telling") & (F.col("good") > 0)).select("unit", "good")
+             .mapInArrow(closeness, "unit string, good long, near double")
+             .orderBy((F.col("near") * F.sqrt("good")).desc(), F.col("good").desc(), "unit")
+             .limit(NEIGHBOURS).collect())
+    landmarks = Landmarks(positive + [r["unit"] for r in clean])
+    model = Model(telling, landmarks, np.zeros((2, len(landmarks.words))), np.zeros(2), np.zeros(WORST + 1), np.zeros(2))
+
+    def nearest(batches):
+        for batch in batches:
+            for text_, toxic, rows in zip(*(batch.column(k).to_pylist() for k in (0, 2)), model.sentences(batch.column(1).to_pylist())):
+                nearness = [r[:, :len(positive)].max(1) for r in rows]
+                best = np.argsort([-n.max() for n in nearness], kind="stable")[:SENTENCES]
+                rows = np.array([rows[k][np.argsort(-nearness[k], kind="stable")[:WORST]].sum(0) for k in best], "float32")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([text_]), pa.array([toxic], pa.int32()), pa.array([rows.ravel().tolist()], pa.list_(pa.float32()))],
+                    names=["doc_id", "toxic", "rows"])
+
+    rows = bags.mapInArrow(nearest, "doc_id string, toxic int, rows array<float>").where(F.size("rows") > 0).collect()
+    shaped = lambda label: [np.array(r["rows"]).reshape(-1, len(landmarks.words)) for r in sorted(rows) if r["toxic"] == label]
+    sure = {r["unit"]: r["bad"] for r in candidates if not r["good"] and r["z"] >= SURE * candidates[0]["z"]}
+    model.weights, model.bias = _machines(landmarks, sure, shaped(1), shaped(0))
 
     def worst(batches):
         for batch in batches:
-            top = model.worst(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(top.tolist(), pa.list_(pa.float64()))],
+            top = model.worst(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(top.tolist(), pa.list_(pa.float64()))],
                                              names=["toxic", "worst"])
 
     seen_rows = bags.mapInArrow(worst, "toxic int, worst array<double>").collect()
     y = np.array([2.0 * r["toxic"] - 1 for r in seen_rows])
     weight = np.where(y > 0, share / n[1], (1 - share) / n[0]) * len(y)
     # Strong, equal pull to 0 keeps all margins in use.
-    c = _newton(np.array([r["worst"] for r in seen_rows]), y, weight, 1.0, "logistic")
-    model.logistic = np.concatenate([c[-1:], c[:-1]])
+    margins = np.array([r["worst"] for r in seen_rows])
+    model.logistic, model.by_word = (np.roll(_rising(x, y, weight), 1) for x in (margins[:, :WORST], margins[:, WORST:]))
     return model
 
 
+def _machines(landmarks: Landmarks, sure: dict[str, int], toxic: list[np.ndarray],
+              clean: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights per landmark and biases of two machines: sentences of toxic against those of clean
+    texts, and forms of the ``sure`` words (each with the number of toxic texts that have it)
+    against the latter."""
+    base = _dense(landmarks, landmarks.words)
+    values, vectors = np.linalg.eigh((base + base.T) / 2)
+    ok = values > 1e-3
+    nystrom = vectors[:, ok] / np.sqrt(values[ok])
+    negative = np.concatenate([*clean, np.zeros((1, len(landmarks.words)))])
+
+    def trained(positive: np.ndarray, say: np.ndarray, against: float) -> tuple[np.ndarray, float]:
+        x = np.concatenate([positive, negative]) @ nystrom
+        y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+        # Broken forms are near by nature, so clean sentences weigh more against them.
+        parts = [(100, say), (against, np.ones(len(negative) - 1)), (50, np.ones(1))]
+        c = _newton(x, y, np.concatenate([k * w / max(1.0, w.sum()) for k, w in parts]), RIDGE, "hinge")
+        return nystrom @ c[:-1], float(c[-1])
+
+    w, bias = np.array([float(word in sure) for word in landmarks.words]), -1.0
+    picked: list = []
+    for _ in range(ROUNDS if toxic else 0):
+        worst = [int((t @ w).argmax()) for t in toxic]
+        if worst == picked:
+            break
+        picked = worst
+        w, bias = trained(np.array([t[k] for t, k in zip(toxic, worst)]), np.ones(len(toxic)), 50)
+    forms = [(form[0], n) for word, n in sure.items() for form in map(units, broken_forms(word)) if form]
+    if not forms:
+        return np.array([w, 0 * w]), np.array([bias, -1.0])
+    word, word_bias = trained(_dense(landmarks, [f for f, _ in forms]), np.array([n for _, n in forms], float), 150)
+    return np.array([w, word]), np.array([bias, word_bias])
+
+
 def _dense(landmarks: Landmarks, words: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(landmarks.words)))
     i, j, value = landmarks.features(words)
