@@ -41,7 +41,7 @@ from servelog.session import cut
 TEXTS_PER_CLASS = 6000
 LANDMARKS = 160
 NEIGHBOURS = 64
-SENTENCES = 8  # per labelled text, those nearest to telling words
+SENTENCES = 3  # per labelled text, those nearest to telling words
 ROUNDS = 4
 RIDGE = 0.1
 SUBSEQUENCE = 3
@@ -54,7 +54,7 @@ WINDOWS = (8, 12, 16, 24)  # about twice the lengths of landmarks
 TELLING = 2.0  # standard errors by which a positive word's rates differ
 SURE = 0.5  # part of the best standing that a word reaches if one of it is enough
 WORST = 4
-ENOUGH, ENOUGH_WORD = 3.0, 0.25  # larger margins of sentences and words say no more
+ENOUGH, ENOUGH_WORD = 3.0, 0.5  # larger margins of sentences and words say no more
 _CACHE = 200_000
 _CACHES: dict[str, dict] = {}
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
@@ -428,11 +428,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
                 best = np.argsort([-n.max() for n in nearness], kind="stable")[:SENTENCES]
                 rows = np.array([rows[k][np.argsort(-nearness[k], kind="stable")[:WORST]].sum(0) for k in best], "float32")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([text_]), pa.array([toxic], pa.int32()), pa.array([rows.ravel().tolist()], pa.list_(pa.float32()))],
+                    [pa.array([text_]), pa.array([toxic], pa.int32()), pa.array([rows.tobytes()], pa.binary())],
                     names=["doc_id", "toxic", "rows"])
 
-    rows = bags.mapInArrow(nearest, "doc_id string, toxic int, rows array<float>").where(F.size("rows") > 0).collect()
-    shaped = lambda label: [np.array(r["rows"]).reshape(-1, len(landmarks.words)) for r in sorted(rows) if r["toxic"] == label]
+    rows = bags.mapInArrow(nearest, "doc_id string, toxic int, rows binary").where(F.length("rows") > 0).collect()
+    shaped = lambda label: [np.frombuffer(r["rows"], "float32").reshape(-1, len(landmarks.words)) for r in sorted(rows) if r["toxic"] == label]
     sure = {r["unit"]: r["bad"] for r in candidates if not r["good"] and r["z"] >= SURE * candidates[0]["z"]}
     model.weights, model.bias = _machines(landmarks, sure, shaped(1), shaped(0))
 
