@@ -39,7 +39,9 @@ from servelog.session import cut
 
 #: Bounds of the training sample: labelled texts per class, landmarks, negative words.
 TEXTS_PER_CLASS = 6000
-LANDMARKS = 160
+CANDIDATES = 160
+LANDMARKS = 40
+UNLIKE = 0.6  # a telling word is a landmark if it is less like all better ones
 NEIGHBOURS = 64
 SENTENCES = 3  # per labelled text, those nearest to telling words
 ROUNDS = 4
@@ -47,7 +49,7 @@ RIDGE = 0.1
 SUBSEQUENCE = 3
 DECAY = 0.6
 SHARPEN = 4  # kernel values are raised to this power: still a kernel, and closer to words
-NEAR = 0.3  # a word counts if its kernel value with some telling word is this at least
+NEAR = 0.45  # a word counts if its kernel value with some telling word is this at least
 SMALL = 1e-5  # sharpened values below this count as 0
 LONGEST = 24
 WINDOWS = (8, 12, 16, 24)  # about twice the lengths of landmarks
@@ -55,6 +57,7 @@ TELLING = 2.0  # standard errors by which a positive word's rates differ
 SURE = 0.5  # part of the best standing that a word reaches if one of it is enough
 WORST = 4
 ENOUGH, ENOUGH_WORD = 3.0, 0.5  # larger margins of sentences and words say no more
+TABLE = 1_000_000
 _CACHE = 200_000
 _CACHES: dict[str, dict] = {}
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
@@ -139,6 +142,7 @@ class Landmarks:
     starts: np.ndarray = field(init=False)  # of each key's landmarks, below
     marks: np.ndarray = field(init=False)
     weights: np.ndarray = field(init=False)
+    place: np.ndarray | None = field(init=False)  # of every possible key, if they are few
 
     def __post_init__(self):
         self.codes = _codes(self.words, LONGEST, -1)
@@ -149,6 +153,19 @@ class Landmarks:
         self.weights = np.bincount(back.ravel(), weight, len(both))
         self.keys, first = np.unique(both[:, 0], return_index=True)
         self.starts, self.marks = np.append(first, len(both)), both[:, 1]
+        space = len(self.letters) ** SUBSEQUENCE
+        self.place = np.full(space, -1, "int32") if space <= TABLE else None
+        if self.place is not None:
+            self.place[self.keys] = np.arange(len(self.keys))
+
+    def _known(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``key`` are subsequences of a landmark, and the places of these in ``keys``."""
+        if not len(self.keys):
+            return np.zeros(0, "int64"), np.zeros(0, "int64")
+        found = self.place[key] if self.place is not None else np.minimum(
+            np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = np.flatnonzero(found >= 0 if self.place is not None else self.keys[found] == key)
+        return hit, found[hit]
 
     def _subsequences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, key, weight) of all subsequences made of letters of the landmarks."""
@@ -179,17 +196,18 @@ class Landmarks:
                 continue
             codes = _codes([words[w] for w in mine.tolist()], width, -2)
             row, key, weight = self._subsequences(codes)
-            found = np.searchsorted(self.keys, key)
-            hit = np.flatnonzero(self.keys[np.minimum(found, len(self.keys) - 1)] == key) if len(self.keys) else found[:0]
-            row, found, weight = row[hit], found[hit], weight[hit]
+            hit, found = self._known(key)
+            row, weight = row[hit], weight[hit]
             many = self.starts[found + 1] - self.starts[found]
             entry = np.arange(int(many.sum())) + np.repeat(self.starts[found] - np.cumsum(many) + many, many)
             value = np.bincount(np.repeat(row, many) * n + self.marks[entry], np.repeat(weight, many) * self.weights[entry],
                                 len(mine) * n).reshape(len(mine), n)
-            some = np.flatnonzero(value.any(1))
+            value = value / np.sqrt(np.maximum(self.norms, 1e-12))
+            # A string's own kernel is at least that of its runs of letters.
+            some = np.flatnonzero(value.max(1) >= least * math.sqrt((width - SUBSEQUENCE + 1) * DECAY ** (2 * SUBSEQUENCE)))
             own = np.ones(len(mine))
             own[some] = _self(codes[some])
-            value = np.minimum(value[some] / np.sqrt(np.maximum(own[some, None] * self.norms, 1e-12)), 1)
+            value = np.minimum(value[some] / np.sqrt(own[some, None]), 1)
             i, j = np.nonzero(value >= least)
             value, i = value[i, j] ** SHARPEN, some[i]
             out.append((mine[i], j, value))
@@ -249,12 +267,17 @@ class Model:
             for lo in range(0, len(new), 50_000):
                 self._learn(new[lo:lo + 50_000])
             for text, bag in zip(texts[part], bags):
+                spelled = None
                 near = {t: cache[t] for t in bag if cache[t] is not None}
                 found = []
                 for sentence in dict.fromkeys(_SENTENCE.split(text.lower())) if near else ():
-                    mine = [near[t] for t in sorted(tokens_of(sentence)) if t in near]
-                    if mine:
-                        found.append(np.array(mine))
+                    held = set(sentence.split())
+                    if spelled is None:
+                        spelled = bool(_SPELLED.search(text.lower()))
+                    if spelled:
+                        held.update(s.replace(" ", "") for s in _SPELLED.findall(sentence))
+                    if not held.isdisjoint(near):
+                        found.append(np.array([near[t] for t in sorted(held.intersection(near))]))
                 yield found
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
@@ -363,6 +386,16 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["unit", "toxic"])
 
 
+def _spread(words: list[str]) -> list[str]:
+    """The first words in order that are not too like an earlier one."""
+    value = _dense(Landmarks(words), words) ** (1 / SHARPEN)
+    out: list[int] = []
+    for k in range(len(words)):
+        if len(out) < LANDMARKS and all(value[k, o] < UNLIKE for o in out):
+            out.append(k)
+    return [words[k] for k in out]
+
+
 def broken_forms(word: str) -> list[str]:
     """A telling word as evaders write it: a letter starred out, left out or doubled, letters put in."""
     inner = range(1, len(word) - 1)
@@ -400,8 +433,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     error = F.sqrt(bad * (1 - bad) / n[1] + good * (1 - good) / n[0])
     words = words.withColumn("z", (bad - good) / error).withColumn(
         "telling", (F.col("z") >= TELLING) & (bad >= 4 * good) & (F.col("bad") >= 3))
-    candidates = words.where("telling").orderBy(F.col("z").desc(), "unit").limit(LANDMARKS).collect()
-    positive = [r["unit"] for r in candidates]
+    candidates = words.where("telling").orderBy(F.col("z").desc(), "unit").limit(CANDIDATES).collect()
+    positive = _spread([r["unit"] for r in candidates])
     if not positive:
         return flat
     telling = Landmarks(positive)

@@ -158,3 +158,23 @@ def test_two_insertions_and_runs_of_letters(spark, model):
     docs = spark.createDataFrame([(i, f) for i, f in enumerate([clean, clean + f" {run}", *forms])], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert min(got[2], got[3]) > max(got[0], got[1])
+
+
+def test_one_insult_raises_the_score(spark, model):
+    """Plain, starred, spelled and inside a longer run; another one never lowers it."""
+    clean = "some harmless words stand here in a row"
+    forms = [clean, f"{clean} {INSULTS[1]}", f"{clean} {INSULTS[1].replace('i', '1').replace('e', '3')}",
+             f"{clean} {INSULTS[1][:3]}*{INSULTS[1][4:]}", f"{clean} {INSULTS[1]}. {clean} {INSULTS[2]}"]
+    got = model.scores(model.worst(forms))
+    assert min(got[1:4]) >= 0.3 > got[0] and got[4] >= got[1]
+    assert (model.logistic[1:] >= 0).all() and model.by_word[1] >= 0
+
+
+def test_near_copies_are_counted_once(spark):
+    draw = random.Random(1)
+    base = [f"w{draw.randrange(900)}" for _ in range(200)]
+    copies = [" ".join(base[:k] + ["changed"] + base[k + 1:]) for k in range(12)]
+    others = [" ".join(f"w{draw.randrange(900)}" for _ in range(200)) for _ in range(12)]
+    rows = [(str(i), t, 1, toxicity._copy_keys(t)) for i, t in enumerate(copies + others)]
+    kept = toxicity._distinct(spark.createDataFrame(rows, "doc_id string, text string, toxic int, keys array<long>"))
+    assert sorted(int(r.doc_id) for r in kept.collect()) == [0, *range(12, 24)]
