@@ -6,21 +6,29 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from servelog.plans.sliced import even_slice, sliced_row_number
 
 MAX_BATCH = 16
+CHUNK = 64  # batches that stay together when they are dealt to tasks
 
 Predict = Callable[[Sequence[str]], tuple[list[str], float]]
 
 
 def batch_infer(df: DataFrame, text: str, make_predict: Callable[[], Predict],
-                batch_size: int = MAX_BATCH) -> DataFrame:
+                batch_size: int = MAX_BATCH, order: str | None = None) -> DataFrame:
     """Add ``output``, ``batch_size`` and ``inference_ms``.
 
     ``make_predict`` runs once per task, so a model loads once per task; the function
     it returns gets whole texts (null: empty) and gives an answer per text and the time
     taken. A partition's rows are cut into batches of ``batch_size``, the last may be
-    smaller; the size of the chunks they arrive in does not matter.
+    smaller; the size of the chunks they arrive in does not matter. With ``order``, a distinct
+    integer column, the table's rows by that order are the batches, however they are
+    partitioned: only the last batch of all is smaller.
     """
+    if order is not None:
+        return _ordered(df, text, make_predict, batch_size, order)
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,3 +47,16 @@ def batch_infer(df: DataFrame, text: str, make_predict: Callable[[], Predict],
         return part.assign(output=answers, batch_size=len(part), inference_ms=float(ms))
 
     return df.mapInPandas(run, f"{fields}, output string, batch_size int, inference_ms double")
+
+
+def _ordered(df: DataFrame, text: str, make_predict: Callable[[], Predict], batch_size: int,
+             order: str) -> DataFrame:
+    """Rows are numbered by slices of ``order`` and whole batches dealt to tasks. A task may hold
+    several runs of batches; each is a multiple of the batch size, but for the last of all,
+    which has the highest numbers and so ends its task."""
+    slice_ = even_slice(df.where(F.col(order).isNotNull()), order)
+    rows = sliced_row_number(df, [], [order], slice_, "__n").withColumn(
+        "__n", F.col("__n") - 1)
+    per_task = batch_size * CHUNK
+    dealt = rows.repartition(F.floor(F.col("__n") / per_task)).sortWithinPartitions("__n")
+    return batch_infer(dealt, text, make_predict, batch_size).drop("__n")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 1_000_000
+QUANTILES = 1024
 
 
 def dense_slice(seq: str | Column, rows: int = SLICE_ROWS) -> Column:
@@ -26,14 +27,40 @@ def dense_slice(seq: str | Column, rows: int = SLICE_ROWS) -> Column:
 
 
 def even_slice(df: DataFrame, order: str, rows: int = SLICE_ROWS) -> Column:
-    """Slice of any integer order column so that a slice of the whole table holds
-    about ``rows`` rows: the width comes from one min/max/count aggregate."""
-    seen = df.agg(F.min(order).alias("a"), F.max(order).alias("z"),
-                  F.count(order).alias("n")).first()
-    if not seen["n"]:
+    """Slice of any integer order column so that a slice of the whole table holds about ``rows``
+    rows, however unevenly the values lie: bounds are approximate quantiles from one
+    aggregate. Equal values share a slice. From ``QUANTILES`` slices on, each range
+    between two quantiles is cut into equal widths."""
+    cuts = [F.lit(k / QUANTILES) for k in range(1, QUANTILES)]
+    seen = df.agg(F.min(order).alias("a"), F.max(order).alias("z"), F.count(order).alias("n"),
+                  F.percentile_approx(order, F.array(*cuts), 20 * QUANTILES).alias("q")).first()
+    wanted = -(-seen["n"] // rows)
+    if wanted <= 1:
         return F.lit(0).cast("long")
-    width = max(1, (seen["z"] - seen["a"] + 1) * rows // seen["n"])
-    return F.floor((F.col(order) - F.lit(seen["a"])) / F.lit(width)).cast("long")
+    marks = [seen["q"][k * QUANTILES // wanted - 1] for k in range(1, wanted) if k * QUANTILES // wanted] \
+        if wanted < QUANTILES else seen["q"]
+    bounds = sorted({seen["a"], *marks})
+    each = max(1, -(-wanted // QUANTILES))
+    return _place_among(F.col(order), bounds, seen["z"] + 1, each)
+
+
+def _place_among(value: Column, bounds: list[int], end: int, each: int) -> Column:
+    """Number of the range [bound, next bound) that holds ``value``, by binary search; with
+    ``each`` above 1 every range counts as so many of equal width."""
+    table = F.array(*[F.lit(b).cast("long") for b in [*bounds, end]])
+    step, steps = 1, []
+    while step < len(bounds):
+        steps.insert(0, step)
+        step *= 2
+    higher = lambda at, s: at + F.when(
+        F.coalesce(F.get(table, at + s) <= value, F.lit(False)) & (at + s < len(bounds)), s).otherwise(0)
+    at = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), higher) if steps else F.lit(0)
+    if each == 1:
+        return at.cast("long")
+    inside = F.struct(at.alias("at"))
+    width = lambda k: F.get(table, k + 1) - F.get(table, k)
+    share = lambda k: F.floor((value - F.get(table, k)) * each / width(k))
+    return F.get(F.transform(F.array(inside), lambda s: s["at"] * each + share(s["at"])), F.lit(0)).cast("long")
 
 
 def magnitude_slice(value: str | Column, per_unit: int = 64) -> Column:

@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 def streaming_metrics(rows: DataFrame, watermark: str, window: str = "1 minute",
                       slide: str | None = None, by: Sequence[str] = ("status",),
                       ts: str = "ts") -> DataFrame:
-    """Rate, mean batch size and queue wait per window and ``by``.
+    """Rate, queue wait and total time per window and ``by``, and the mean of ``batch_size``
+    where the rows have it.
 
     Only running sums are kept per window and group, so state does not grow
     with the traffic.
     """
     span = F.window(ts, window, slide) if slide else F.window(ts, window)
+    size = ["batch_size"] if "batch_size" in rows.columns else []
     seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1_000_000
     return (rows.withWatermark(ts, watermark).groupBy(span.alias("w"), *by)
             .agg(F.count(F.lit(1)).alias("n"), F.avg("queue_wait_ms").alias("mean_queue_wait_ms"),
                  F.max("queue_wait_ms").alias("max_queue_wait_ms"),
-                 F.avg("total_ms").alias("mean_total_ms"))
+                 F.avg("total_ms").alias("mean_total_ms"),
+                 *[F.avg(c).alias(f"mean_{c}") for c in size])
             .select(F.col("w.start").alias("window_start"), *by, "n",
                     (F.col("n") / seconds).alias("rate"), "mean_queue_wait_ms",
-                    "max_queue_wait_ms", "mean_total_ms"))
+                    "max_queue_wait_ms", "mean_total_ms", *[f"mean_{c}" for c in size]))
 
 
 def streaming_sessions(heartbeats: DataFrame, ttl: str = "15 seconds", watermark: str = "1 minute",

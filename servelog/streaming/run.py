@@ -69,7 +69,9 @@ def replay(inputs: Sequence[DataFrame], slices: Sequence[Column],
     staged = [scratch_path(spark, f"{name}-staged{i}") for i, _ in enumerate(inputs)]
     for df, folder in zip(inputs, staged):
         rows = df.withColumn("__slice", number).where("__slice IS NOT NULL")
-        rows.repartition("__slice").write.partitionBy("__slice").parquet(folder)
+        # Many files per slice: no task holds a whole one.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartition(parts, "__slice", F.xxhash64(*df.columns)).write.partitionBy("__slice").parquet(folder)
     folders = [scratch_path(spark, f"{name}-in{i}") for i, _ in enumerate(inputs)]
     out, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
     for k, _ in enumerate(slices):

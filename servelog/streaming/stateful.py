@@ -33,7 +33,13 @@ class _TokenBucket(StatefulProcessor):
     def __init__(self, key: str, rate: steps.Rate, per_token: float):
         self.key, self.rate, self.per_token = key, rate, per_token
 
+    def _full_ms(self, tokens: int, last: int) -> int:
+        """When a bucket left alone is full again, a second late: as good as a new one then."""
+        wait_us = -(-(self.rate.burst - tokens) // self.rate.refill)
+        return (last + wait_us) // 1000 + 1001
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("bucket", "tokens long, ts long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -47,19 +53,31 @@ class _TokenBucket(StatefulProcessor):
             left.append(tokens / self.per_token)
             retry.append(wait)
         self.state.update((tokens, last))
+        if self.rate.refill > 0:
+            self.handle.registerTimer(self._full_ms(tokens, last))
         yield pd.DataFrame({self.key: key[0], "seq": pdf["seq"], "allowed": allowed,
                             "tokens": left, "retry_after_s": retry})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self._full_ms(*self.state.get()) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
+
 
 def stream_token_bucket(rows: DataFrame, key: str, rps: float, burst: float,
-                        cost: float = 1.0) -> DataFrame:
-    """Rows ``(key, seq, ts_us)`` -> (key, seq, allowed, tokens, retry_after_s)."""
+                        cost: float = 1.0, delay: str = "1 minute") -> DataFrame:
+    """Rows ``(key, seq, ts_us)`` -> (key, seq, allowed, tokens, retry_after_s).
+
+    A bucket is forgotten once the watermark, ``delay`` behind the rows, has passed the time at
+    which it is full again, so state holds the keys of late only. Without refill it stays.
+    """
     use_state_store(rows.sparkSession)
     rate = steps.Rate.of(rps, burst, cost)
     schema = (f"`{key}` {dict(rows.dtypes)[key]}, seq long, allowed boolean, "
               "tokens double, retry_after_s double")
-    return (rows.select(key, "seq", "ts_us").groupBy(key).transformWithStateInPandas(
-        _TokenBucket(key, rate, rate.cost / cost), schema, "append", "none"))
+    timed = rows.select(key, "seq", "ts_us", F.timestamp_micros("ts_us").alias("__ts"))
+    return timed.withWatermark("__ts", delay).groupBy(key).transformWithStateInPandas(
+        _TokenBucket(key, rate, rate.cost / cost), schema, "append", "eventTime")
 
 
 class _Idempotent(StatefulProcessor):

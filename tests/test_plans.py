@@ -89,3 +89,24 @@ def test_reuse_distance_values(spark):
     got = reuse_distance(df, "worker_id", "k", ["seq"], dense_slice("seq", 3), 2)
     assert [r["distance"] for r in got.orderBy("seq").collect()] == [
         None, None, None, 2, 2, 0, None, 2]
+
+
+def test_slices_are_even_however_values_lie(spark):
+    """99 % of the rows in one minute of a year, an early outlier, and ties."""
+    from servelog.plans.sliced import _place_among, even_slice
+    minute, year = 60_000_000, 365 * 86_400_000_000
+    burst = F.lit(year // 2) + F.col("id") * 6_001 % minute
+    ts = F.when(F.col("id") == 0, -year).when(F.col("id") % 100 == 0, F.col("id") * (year // 100_000)).otherwise(burst)
+    log = spark.range(100_000).select(ts.alias("ts"))
+    for rows, most in ((5_000, 10_000), (700, 1_400), (200, 400), (40, 120)):  # the last: more slices than quantiles
+        got = log.select(even_slice(log, "ts", rows).alias("s"), "ts").groupBy("s").agg(
+            F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z")).orderBy("s").collect()
+        assert max(r.n for r in got) <= most
+        assert all(x.z < y.a for x, y in zip(got, got[1:]))
+    tied = spark.range(1000).select((F.col("id") % 3).alias("ts"))
+    assert tied.select(even_slice(tied, "ts", 10).alias("s")).distinct().count() <= 3
+    bounds = [-5, 0, 7, 8, 100]
+    values = spark.range(-5, 150).select("id", _place_among(F.col("id"), bounds, 150, 1).alias("k")).collect()
+    assert all(r.k == sum(b <= r.id for b in bounds) - 1 for r in values)
+    none = spark.createDataFrame([], "ts long")
+    assert none.select(even_slice(none, "ts")).count() == 0

@@ -58,3 +58,12 @@ def test_batch_infer_cuts_batches_across_arrow_chunks(spark):
     assert sorted(r["output"] for r in got) == sorted([f"TEXT {i}" for i in range(50)] + [""])
     assert sorted(r["batch_size"] for r in got) == [3] * 3 + [4] * 48
     assert all(r["inference_ms"] == 2.5 * r["batch_size"] for r in got)
+
+
+def test_ordered_batches_do_not_depend_on_partitions(spark):
+    rows = spark.range(0, 5003).select((F.col("id") * 7 % 5003).alias("seq"), F.lit("x").alias("t"))
+    for parts in (1, 13):
+        got = infer.batch_infer(rows.repartition(parts), "t", lambda: lambda texts: (texts, float(len(texts))), 16, order="seq")
+        sizes = {r.seq: (r.batch_size, r.inference_ms) for r in got.collect()}
+        assert len(sizes) == 5003 and got.columns == ["seq", "t", "output", "batch_size", "inference_ms"]
+        assert all(sizes[k] == ((16, 16.0) if k < 4992 else (11, 11.0)) for k in sizes)

@@ -102,3 +102,33 @@ def test_unknown_priorities_wait_longest(spark):
     got = replay([stream], arrival_slices(stream, "seq", 2),
                  lambda s: streams.stream_batches(s, "key", 4, budgets), "t-odd").orderBy("seq").collect()
     assert [(r["seq"], r["closed_us"]) for r in got] == [(0, 50 * S), (1, 50 * S), (2, 75 * S)]
+
+
+def test_full_buckets_are_forgotten(spark):
+    """Keys that fall silent leave the state; a key that returns finds a full bucket, as in batch."""
+    from servelog.streaming.run import _run
+    from servelog.session import scratch_path
+    rows = [(i, f"k{i}", i * S) for i in range(40)] + [(40 + i, "k3", (200 + i) * S) for i in range(4)]
+    df = spark.createDataFrame(rows + [(90, "last", 10_000 * S), (91, "last", 10_001 * S)], "seq long, key string, ts_us long")
+    got = replay([df], [F.col("seq") < 44, F.col("seq") == 90, F.col("seq") == 91],
+                 lambda s: streams.stream_token_bucket(s, "key", 0.1, 3.0), "t-forget")
+    cols = ("key", "seq", "allowed", "retry_after_s")
+    assert _rows(got, *cols) == _rows(stateful.token_bucket(df, "key", 0.1, 3.0), *cols)
+    folder, out, checkpoint = (scratch_path(spark, f"t-state{i}") for i in range(3))
+    for part in ("seq < 44", "seq = 90", "seq = 91"):
+        df.where(part).write.mode("append").parquet(folder)
+        _run(streams.stream_token_bucket(spark.readStream.schema(df.schema).parquet(folder), "key", 0.1, 3.0),
+             out, checkpoint, "append")
+    state = spark.read.format("statestore").option("stateVarName", "bucket").load(checkpoint)
+    assert [r.key["key"] for r in state.select("key").collect()] == ["last"]
+
+
+def test_metrics_with_batch_size(spark, log):
+    from servelog.streaming.metrics import streaming_metrics
+    rows = log.select("seq", "ts", F.lit("ok").alias("status"), F.lit(1.0).alias("queue_wait_ms"),
+                      F.lit(2.0).alias("total_ms"), (F.col("seq") % 7 + 1).alias("batch_size"))
+    got = replay([rows], arrival_slices(rows, "seq", 3), lambda s: streaming_metrics(s, "0 seconds", "10 minutes"), "t-size")
+    want = {r.w.start: (r.n, r.m) for r in rows.groupBy(F.window("ts", "10 minutes").alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("batch_size").alias("m")).collect()}
+    have = {r.window_start: (r.n, r.mean_batch_size) for r in got.collect()}
+    assert have and all(want[k] == v for k, v in have.items()) and len(have) >= len(want) - 1
