@@ -70,6 +70,7 @@ def stream_token_bucket(rows: DataFrame, key: str, rps: float, burst: float,
 
     A bucket is forgotten once the watermark, ``delay`` behind the rows, has passed the time at
     which it is full again, so state holds the keys of late only. Without refill it stays.
+    Rows more than ``delay`` behind the latest one of earlier micro-batches are dropped.
     """
     use_state_store(rows.sparkSession)
     rate = steps.Rate.of(rps, burst, cost)

@@ -108,7 +108,7 @@ def test_full_buckets_are_forgotten(spark):
     """Keys that fall silent leave the state; a key that returns finds a full bucket, as in batch."""
     from servelog.streaming.run import _run
     from servelog.session import scratch_path
-    rows = [(i, f"k{i}", i * S) for i in range(40)] + [(40 + i, "k3", (200 + i) * S) for i in range(4)]
+    rows = [(i, f"k{i}", (1 + i) * S) for i in range(40)] + [(40 + i, "k3", (200 + i) * S) for i in range(4)]
     df = spark.createDataFrame(rows + [(90, "last", 10_000 * S), (91, "last", 10_001 * S)], "seq long, key string, ts_us long")
     got = replay([df], [F.col("seq") < 44, F.col("seq") == 90, F.col("seq") == 91],
                  lambda s: streams.stream_token_bucket(s, "key", 0.1, 3.0), "t-forget")
