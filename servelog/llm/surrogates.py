@@ -3,8 +3,14 @@
 Every surrogate is a keyed permutation of all strings of the entity's shape: letters
 stay letters of their script and case, digits digits, signs stay. A permutation sends
 different entities to different surrogates and one entity to one surrogate, in every
-document, without a table of entities. Check digits stay right or wrong as they were;
-titles and the last letter of a given name stay, and with them its gender.
+document, without a table of entities. Check digits of cards and IBANs stay right or wrong
+as they were; titles and the last letter of a given name stay, and with them its gender.
+Addresses stay in their block: a private one gives a private one.
+
+Names are found after titles; their words may hold hyphens and apostrophes. Where such a
+word stands alone, capitalised, anywhere in the same text, it gets the surrogate it has in
+the name, unless the text also has it in lower case. Digits alone are a phone number only
+after a word that says so; of digits alone, sixteen are a card whatever their check digit.
 
 ``collisions`` checks distinctness over all entities of the corpus; ``replace_checked``
 takes the next key epoch until it finds none.
@@ -37,8 +43,16 @@ _NUMBERS = re.compile(
     r"|(?<![\w])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?<![\w+])(?P<phone>(?:\+\d{1,3}[ .-]?|\d[ .-])?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"
     r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}(?P<sep>[-. ])\d{3}(?P=sep)\d{4}|0\d{2,4}[ /-]\d{5,8}|\d{9,12})(?!\w)")
+_PHONE_CUE = re.compile(r"(?:phone|tel|tél|telefon|teléfono|téléphone|mobile|mobil|cell|call|fax|handy)[.:]?:? ?$", re.I)
+_TOKEN = r"[^\W\d_](?:['’-]?[^\W\d_])+"
+_WORD = re.compile(_TOKEN)
 _NAME = re.compile(r"(?<!\w)(?:" + "|".join(sorted(TITLES, key=len, reverse=True))
-                   + r")\.?[  ]([^\W\d_][^\W\d_'’-]+(?:[  ][^\W\d_][^\W\d_'’-]+){0,2})")
+                   + rf")\.?[ \u00a0]({_TOKEN}(?:[ \u00a0]{_TOKEN}){{0,2}})")
+_OWNS = re.compile("['’]s$")
+# Address blocks with a meaning of their own, (first address, bits of a host).
+_BLOCKS = ((0x00000000, 24), (0x0A000000, 24), (0x64400000, 22), (0x7F000000, 24), (0xA9FE0000, 16),
+           (0xAC100000, 20), (0xC0000200, 8), (0xC0A80000, 16), (0xC6336400, 8), (0xCB007100, 8),
+           (0xE0000000, 28), (0xF0000000, 28))
 
 
 @lru_cache(maxsize=4096)
@@ -116,15 +130,46 @@ def _digits(kind: str, digits: str, key: bytes, plus: bool = False) -> str:
 
 
 def _ip(text: str, key: bytes) -> str:
-    parts = [int(p) for p in text.split(".")]
-    value = permuted(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ip")
+    value = int.from_bytes(bytes(int(p) for p in text.split(".")), "big")
+    block = _block(value)
+    if block:
+        value = block[0] | permuted(value - block[0], 1 << block[1], key, "ip%x" % block[0])
+    else:  # a permutation of all addresses, walked until it is outside of the blocks again
+        value = permuted(value, 1 << 32, key, "ip")
+        while _block(value):
+            value = permuted(value, 1 << 32, key, "ip")
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+def _block(address: int) -> tuple[int, int] | None:
+    return next((b for b in _BLOCKS if address >> b[1] == b[0] >> b[1]), None)
+
+
+def iban_rest(plain: str) -> int:
+    """The number of an IBAN modulo 97; 1 if its check digits are right."""
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def _iban(plain: str, key: bytes) -> str:
+    """The account is permuted, the check digits leave the same rest as before. Digits no rest
+    leads to (00, 01, 99) stay, so different IBANs stay different."""
+    country, check = plain[:2], plain[2:4]
+    body = reshaped((country + "00" + plain[4:]).lower(), key, "iban", frozenset(range(4)))[4:].upper()
+    if 2 <= int(check) <= 98:
+        check = "%02d" % ((iban_rest(plain) - iban_rest(country + "00" + body) - 2) % 97 + 2)
+    return country + check + body
+
+
 def _cased(new: str, like: str) -> str:
     return "".join(n.upper() if c != c.lower() and len(n.upper()) == 1 else n for n, c in zip(new, like))
 
 
+def _name_word(word: str, role: str, key: bytes) -> str:
+    """Parts between hyphens have surrogates of their own, since they also stand alone."""
+    return "-".join(_cased(reshaped(_lower(part), key, role, frozenset({len(part) - 1})), part)
+                    for part in word.split("-"))
+
+
 def _lower(text: str) -> str:
     return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
@@ -142,18 +187,24 @@ def surrogate(kind: str, found: str, key: bytes) -> tuple[str, str]:
     if kind == "name":
         words = re.split(r"([  ])", found)
         given = len(words) > 1
-        new = [w if at % 2 else _cased(reshaped(_lower(w), key, "given" if given and at == 0 else "family",
-                                                frozenset({len(w) - 1})), w) for at, w in enumerate(words)]
+        new = [w if at % 2 else _name_word(w, "given" if given and at == 0 else "family", key)
+               for at, w in enumerate(words)]
         return " ".join(_lower(w) for w in words[::2]), "".join(new)
     if kind == "ip" and all(int(p) < 256 and str(int(p)) == p for p in found.split(".")):
         return found, _ip(found, key)
     if kind == "iban":
         plain = found.replace(" ", "")
-        new = iter(_cased(reshaped(_lower(plain), key, "iban", frozenset({0, 1})), plain))
+        new = iter(_iban(plain, key))
         return plain, "".join(c if c == " " else next(new) for c in found)
     if kind == "ip":
         return found, reshaped(found, key, "ip-like")
+    if kind == "given":
+        return _lower(found), _name_word(found, "given", key)
     digits = "".join(c for c in found if c.isdigit())
+    if kind == "phone" and len(digits) == 11 and re.match(r"\+1|1[ .(-]", found):
+        # A number of ten digits, with and without its country.
+        new = iter(digits[0] + _digits(kind, digits[1:], key))
+        return digits[1:], "".join(next(new) if c.isdigit() else c for c in found)
     plus = kind == "phone" and found.lstrip("(").startswith("+")
     new = iter(_digits(kind, digits, key, plus))
     return "+" * plus + digits, "".join(next(new) if c.isdigit() else c for c in found)
@@ -167,18 +218,32 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     if _DIGIT.search(text):
         for m in _NUMBERS.finditer(text):
             kind = next(k for k in ("ip", "ssn", "card", "iban", "phone") if m.group(k))
-            if m.group().isascii():
+            digits = m.group()
+            if digits.isdigit() and kind == "phone" and not _PHONE_CUE.search(text, max(0, m.start() - 16), m.start()):
+                continue
+            if digits.isdigit() and kind == "card" and len(digits) != 16 and _luhn(digits[:-1]) != int(digits[-1]):
+                continue
+            if digits.isascii():
                 found.append((m.start(), m.end(), kind))
     if any(title in text for title in TITLES):
+        names, roles = [], {}
         for m in _NAME.finditer(text):
-            words = m.group(1).split()
-            upto = m.start(1)
-            for word in re.finditer(r"[^  ]+", m.group(1)):
+            words = []
+            for word in _WORD.finditer(text, m.start(1), m.end(1)):
                 if not word.group()[0].isupper():
                     break
-                upto = m.start(1) + word.end()
-            if words and upto > m.start(1):
-                found.append((m.start(1), upto, "name"))
+                owns = _OWNS.search(word.group())
+                words.append((word.start(), word.end() - (len(owns.group()) if owns else 0)))
+                if owns:
+                    break
+            if words:
+                names.append((words[0][0], words[-1][1], "name"))
+                for at, (start, end) in enumerate(words):
+                    role = "given" if at == 0 and len(words) > 1 else "name"
+                    for part in _lower(text[start:end]).split("-"):
+                        if len(part) > 1 and roles.get(part) != "name":
+                            roles[part] = role
+        found += names + _mentions(text, names, roles)
     found.sort()
     out: list[tuple[int, int, str]] = []
     first, reach = 0, 0
@@ -190,6 +255,27 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return out + _apart(found[first:])
 
 
+def _mentions(text: str, names: list[tuple[int, int, str]], roles: dict[str, str]) -> list[tuple[int, int, str]]:
+    """Where else the words of ``names`` stand, capitalised: whole, with a genitive s, or as a
+    part of a word with hyphens. Words the text also has in lower case are left alone."""
+    if not roles:
+        return []
+    seen, common, inside = [], set(), 0
+    for m in _WORD.finditer(text):
+        while inside < len(names) and names[inside][1] <= m.start():
+            inside += 1
+        if inside < len(names) and names[inside][0] <= m.start():
+            continue
+        word = _OWNS.sub("", m.group())
+        for part in re.finditer("[^-]+", word):
+            if (plain := _lower(part.group())) in roles:
+                if part.group()[0].isupper():
+                    seen.append((m.start() + part.start(), m.start() + part.end(), plain))
+                else:
+                    common.add(plain)
+    return [(start, end, roles[plain]) for start, end, plain in seen if plain not in common]
+
+
 def _apart(chain: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Of a chain of overlapping entities those that stay, by place. What is kept has no
     overlaps, so only the two neighbours of a place can meet it."""
