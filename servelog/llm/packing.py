@@ -5,8 +5,9 @@ piece. Best fit needs lengths only, and pieces of one length are interchangeable
 the plan is made from the histogram of lengths: at most ``window`` rows reach the
 driver, whatever the corpus holds. A segment tree indexed by remaining capacity finds
 the tightest open windows, in whole groups. Pieces learn their place from their rank
-within their length, counted per partition with offsets, so no length is ever
-gathered in one task.
+within their length, by hash buckets of bounded size with offsets, so no length is ever
+gathered in one task. The rank follows from the pieces alone: the same documents in other
+files or partitions are packed alike.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +27,8 @@ from servelog.session import cut
 
 WINDOW = 2048
 END_ID = 1
-_PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-           "__part int, __nth long")
+BUCKET_PIECES = 200_000  # equally long pieces ranked in one task
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class CapacityTree:
@@ -104,7 +104,6 @@ def cut_pieces(docs: DataFrame, text: str = "text", window: int = WINDOW, end_id
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = encoder(tokenizer, ranks).ids, np.array([end_id], "<u4").tobytes()
-        part, seen = TaskContext.get().partitionId(), [0] * (window + 1)
         step, crc32 = 4 * window, zlib.crc32
         for batch in batches:
             rows = []
@@ -113,14 +112,11 @@ def cut_pieces(docs: DataFrame, text: str = "text", window: int = WINDOW, end_id
                 total = len(buffer) // 4
                 for at in range(0, len(buffer), step):
                     piece = buffer[at:at + step]
-                    length = len(piece) // 4
-                    rows.append((doc_id, at // 4, length, crc32(piece), total, part, seen[length]))
-                    seen[length] += 1
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
+                    rows.append((doc_id, at // 4, len(piece) // 4, crc32(piece), total))
+            columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "__part", "__nth"])
+                [pa.array(c, pa.int64()) for c in columns],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select("doc_id", text).mapInArrow(pieces, _PIECES)
 
@@ -132,15 +128,19 @@ def pack(docs: DataFrame, text: str = "text", window: int = WINDOW, **tokens) ->
     not looked at. An empty table gives no rows.
     """
     pieces = cut(cut_pieces(docs, text, window, **tokens))
-    per_part = pieces.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n"))
     counts = {r["length"]: r["n"] for r in  # one row per length, at most ``window``
-              per_part.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
+              pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = np.array(best_fit_decreasing(counts, window) or np.zeros((0, 6)), "int64")
-    before = per_part.withColumn(
-        "__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__part")) - F.col("__n"))
-    ranked = pieces.join(before.drop("__n"), ["length", "__part"]).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("__nth") + F.col("__before")).alias("__rank"))
+    what = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    buckets = -(-max(counts.values(), default=1) // BUCKET_PIECES)
+    pieces = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*what), F.lit(buckets)))
+    before = (pieces.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("__n"))
+        .drop("__n"))
+    nth = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*what)) - 1
+    ranked = (pieces.withColumn("__nth", nth).join(before, ["length", "__bucket"])
+              .select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
+                      (F.col("__nth") + F.col("__before")).alias("__rank")))
     reach = int(max(counts.values(), default=0)) + 1
     key = runs[:, 0] * reach + runs[:, 1]
     order = np.argsort(key)

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from servelog.llm import histogram, packing
@@ -123,3 +124,13 @@ def test_pack_round_trip(spark, reference):
 
 def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_packing_does_not_depend_on_partitions(spark, monkeypatch):
+    rows = [(i // 2, "word " * (i % 3)) for i in range(60)] + [(None, "same text")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket in (packing.BUCKET_PIECES, 4):
+        monkeypatch.setattr(packing, "BUCKET_PIECES", bucket)
+        one = sorted(map(str, packing.pack(docs.repartition(1), window=16).collect()))
+        assert one == sorted(map(str, packing.pack(docs.orderBy(F.rand(3)).repartition(7), window=16).collect()))
+        assert len(one) == 65
