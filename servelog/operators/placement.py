@@ -6,9 +6,12 @@ row's ring preferences and takes the first worker whose load is still below
 earlier rounds to their r-th preference, oldest first.
 
 A round is decided by one number per (window, worker): the ``seq`` of the last
-row that still fits. Finding it takes a pre-aggregated count per slice and a
-ranking of the single slice in which the worker fills up, so the log itself is
-never shuffled to be ranked. Several cap factors run through the same rounds.
+row that still fits. All rows of a ring arc ask the same worker in a round, so what
+is left of an arc is always its rows after some ``seq``, and a histogram of the log
+by (window, arc, slice) carries every round of every cap. The log is read once, to
+write its narrow form (window, arc, slice, seq); a round reads of that form only the
+slices in which a worker fills up, and one join at the end gives the rows their
+workers.
 """
 
 from __future__ import annotations
@@ -40,12 +43,7 @@ def fleet(workers: DataFrame, load: Column | None = None) -> list[tuple[str, flo
 
 
 _WHO = [*_GROUP, "worker_id"]
-
-
-def _counts(candidates: DataFrame) -> DataFrame:
-    """Rows asking for each worker, per slice: pre-aggregated map-side."""
-    return candidates.groupBy(*_WHO, "slice").agg(F.count(F.lit(1)).alias("c"),
-                                                  F.max("seq").alias("slice_end"))
+_ARC = ["__win", "__class", "arc"]
 
 
 def _room(counts: DataFrame, base: DataFrame) -> DataFrame:
@@ -65,24 +63,58 @@ def _standing(counts: DataFrame, room: DataFrame) -> DataFrame:
             .select(*_WHO, "room", F.coalesce("total", F.lit(0)).alias("total")))
 
 
-def _limits(candidates: DataFrame, counts: DataFrame, standing: DataFrame) -> DataFrame:
-    """(cap_factor, __win, worker_id, last_seq, room): the last candidate that fits
-    and the room left after it. Only the slice in which a worker fills up is read
-    and ranked row by row."""
+def _marks(counts: DataFrame, standing: DataFrame) -> DataFrame:
+    """Standing of every worker with ``whole``, the end of the last slice it takes whole, and
+    the slice in which it fills up, of which it takes the first ``fits`` rows."""
     upto = Window.partitionBy(*_WHO).orderBy("slice")
     ends = counts.withColumn("end", F.sum("c").over(upto)).join(standing, _WHO)
-    whole = ends.groupBy(*_WHO).agg(
-        F.max(F.when(F.col("end") <= F.col("room"), F.col("slice_end"))).alias("whole_slices"))
     fills = (F.col("end") - F.col("c") < F.col("room")) & (F.col("end") > F.col("room"))
-    edge = ends.where(fills).select(
-        *_WHO, "slice", (F.col("room") - F.col("end") + F.col("c")).alias("fits"))
+    found = ends.groupBy(*_WHO).agg(
+        F.max(F.when(F.col("end") <= F.col("room"), F.col("slice_end"))).alias("whole"),
+        F.max(F.when(fills, F.col("slice"))).alias("slice"),
+        F.max(F.when(fills, F.col("room") - F.col("end") + F.col("c"))).alias("fits"))
+    return standing.join(found, _WHO, "left")
+
+
+def _edges(located: DataFrame, asked: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of the slices in which workers fill up, per arc: ``partial_end``, the last row taken,
+    and ``rest``, the rows left over. Only these slices are ranked row by row."""
+    arcs = (asked.join(marks.select(*_WHO, "slice", "fits"), [*_WHO, "slice"])
+            .select(*_WHO, "arc", "slice", "floor", "fits"))
     by_seq = Window.partitionBy(*_WHO, "slice").orderBy("seq")
-    partly = (candidates.select(*_WHO, "slice", "seq").join(edge, [*_WHO, "slice"])
-              .withColumn("rn", F.row_number().over(by_seq)).where(F.col("rn") <= F.col("fits"))
-              .groupBy(*_WHO).agg(F.max("seq").alias("partial_end")))
-    return (standing.join(whole, _WHO, "left").join(partly, _WHO, "left")
-            .select(*_WHO, F.coalesce("partial_end", "whole_slices", F.lit(-1)).alias("last_seq"),
-                    (F.col("room") - F.least("total", "room")).alias("room")))
+    ranked = (located.select(*_ARC, "slice", "seq").join(arcs, [*_ARC, "slice"])
+              .where(F.col("seq") > F.col("floor")).withColumn("rn", F.row_number().over(by_seq)))
+    return ranked.groupBy(*_WHO, "arc", "slice").agg(
+        F.max(F.when(F.col("rn") <= F.col("fits"), F.col("seq"))).alias("partial_end"),
+        F.count_if(F.col("rn") > F.col("fits")).alias("rest"))
+
+
+def _limits(marks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cap_factor, __win, __class, worker_id, last_seq, room): the last candidate that fits
+    and the room left after it."""
+    partly = edges.groupBy(*_WHO).agg(F.max("partial_end").alias("partial_end"))
+    return marks.join(partly, _WHO, "left").select(
+        *_WHO, F.coalesce("partial_end", "whole", F.lit(-1)).alias("last_seq"),
+        (F.col("room") - F.least("total", "room")).alias("room"))
+
+
+def _left_over(asked: DataFrame, limits: DataFrame, edges: DataFrame) -> DataFrame:
+    """The histogram of the rows that no worker has taken yet; they follow ``floor``."""
+    rest = edges.select(*_GROUP, "arc", "slice", "rest")
+    still = F.coalesce("rest", F.when(F.col("slice_end") > F.col("last_seq"), F.col("c")))
+    return (asked.join(limits.drop("room"), _WHO).join(rest, [*_GROUP, "arc", "slice"], "left")
+            .withColumns({"c": still, "floor": F.greatest("floor", "last_seq")}).where(F.col("c") > 0)
+            .select(*_GROUP, "arc", "slice", "c", "slice_end", "floor"))
+
+
+def _steps(asked: DataFrame, upto: DataFrame | None, rank: int) -> DataFrame:
+    """What a round gives to each arc: its rows up to ``upto`` (all, without limits) that no
+    earlier round took go to ``worker_id``."""
+    arcs = asked.select(*_WHO, "arc").distinct()
+    arcs = arcs.withColumn("upto", F.lit(2 ** 63 - 1)) if upto is None else arcs.join(
+        upto.select(*_WHO, F.col("last_seq").alias("upto")), _WHO)
+    step = F.struct(F.lit(rank).alias("rank"), F.col("upto").cast("long").alias("upto"), "worker_id")
+    return arcs.select(*_GROUP, "arc", step.alias("step"))
 
 
 def place(df: DataFrame, key: str | Column, workers: DataFrame,
@@ -115,40 +147,35 @@ def place(df: DataFrame, key: str | Column, workers: DataFrame,
     rows = df.withColumn("win", window).withColumn(
         "__class", F.lit("") if model is None else solid(model))
     spread = F.explode(F.array(*[F.lit(float(c)) for c in caps]))
-    left = (locate(rows, arcs, key, len(base) * vnodes + 4096)
-            .select("win", solid("win").alias("__win"), "__class", "seq", "arc",
-                    dense_slice("seq", slice_rows).alias("slice"))
-            .withColumn("cap_factor", spread))
-    done, room = [], None
+    located = cut(locate(rows, arcs, key, len(base) * vnodes + 4096)
+                  .select("win", solid("win").alias("__win"), "__class", "seq", "arc",
+                          dense_slice("seq", slice_rows).alias("slice")))
+    counted = cut(located.groupBy(*_ARC, "slice").agg(F.count(F.lit(1)).alias("c"),
+                                                      F.max("seq").alias("slice_end")))
+    each_cap = counted.withColumn("cap_factor", spread)
+    left, room = each_cap.withColumn("floor", F.lit(-1).cast("long")), None
+    steps = []
     for rank in range(1, max(map(len, serving.values()), default=0) + 1):
         choice = prefs.where(F.col("rank") == rank).select("__class", "arc", "worker_id")
-        if model is not None:  # rows that have asked all of their workers
-            done.append(_unplaced(left.join(choice, ["__class", "arc"], "left_anti")))
-        # Round 1 reads the log itself; later rounds only what was left over.
-        candidates = left.join(choice, ["__class", "arc"])
-        counts = cut(_counts(candidates))
-        standing = _standing(counts, _room(counts, offers) if room is None else room)
-        if standing.where(F.col("total") > F.col("room")).isEmpty():
-            done.append(candidates.select("cap_factor", "win", "seq", "worker_id", F.lit(rank).alias("rank")))
-            left = None
+        asked = left.join(choice, ["__class", "arc"])
+        counts = asked.groupBy(*_WHO, "slice").agg(F.sum("c").alias("c"), F.max("slice_end").alias("slice_end"))
+        marks = cut(_marks(counts, _standing(counts, _room(counts, offers) if room is None else room)))
+        if marks.where(F.col("total") > F.col("room")).isEmpty():
+            steps.append(_steps(asked, None, rank))
             break
-        limits = cut(_limits(candidates, counts, standing))
-        decided = candidates.join(limits.select(*_WHO, "last_seq"), _WHO)
-        done.append(decided.where(F.col("seq") <= F.col("last_seq"))
-                    .select("cap_factor", "win", "seq", "worker_id", F.lit(rank).alias("rank")))
-        left = cut(decided.where(F.col("seq") > F.col("last_seq")).drop("worker_id", "last_seq"))
-        room = limits.select(*_WHO, "room")
-    if left is not None:
-        done.append(_unplaced(left))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _unplaced(rows: DataFrame) -> DataFrame:
-    return rows.select("cap_factor", "win", "seq", F.lit(None).cast("string").alias("worker_id"),
-                       F.lit(None).cast("int").alias("rank"))
+        edges = cut(_edges(located, asked, marks))
+        limits = _limits(marks, edges)
+        steps.append(_steps(asked, limits, rank))
+        left = cut(_left_over(asked, limits, edges))
+        room = limits.drop("last_seq")
+    plan = each_cap.select(*_GROUP, "arc", F.lit(None).cast("struct<rank:int,upto:long,worker_id:string>").alias("step"))
+    for part in steps:
+        plan = plan.unionByName(part)
+    plan = plan.groupBy(*_GROUP, "arc").agg(F.sort_array(F.collect_list("step")).alias("steps"))
+    taker = F.get(F.filter("steps", lambda s: F.col("seq") <= s["upto"]), F.lit(0))
+    return (located.join(plan, _ARC).withColumn("taker", taker)
+            .select("cap_factor", "win", "seq", F.col("taker.worker_id").alias("worker_id"),
+                    F.col("taker.rank").alias("rank")))
 
 
 def bounded_load_assign(df: DataFrame, key: str | Column, workers: DataFrame,

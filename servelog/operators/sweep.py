@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from servelog.operators.locality import first_touch
 from servelog.operators.metrics import policy_summary
 from servelog.operators.placement import CAP_SWEEP, balanced_assign, place
+from servelog.session import cut
 
 
 def policy_rows(log: DataFrame, key: str, workers: DataFrame, window: Column,
@@ -34,8 +35,9 @@ def cap_sweep(log: DataFrame, key: str, workers: DataFrame, window: Column,
               steady: Column | None = None, **options) -> DataFrame:
     """One summary row per policy and cap over the steady-state rows.
 
-    The cache is warmed by every row; only rows where ``steady`` holds count.
+    The cache is warmed by every row; only rows where ``steady`` holds count. The rows
+    are written once: the summary reads them for its bounds, percentiles and sums.
     """
     rows = policy_rows(log, key, workers, window, caps, **options)
     rows = rows if steady is None else rows.where(steady)
-    return policy_summary(rows, workers.count(), slots)
+    return policy_summary(cut(rows), workers.count(), slots)
