@@ -3,8 +3,10 @@
 1. Every source gets a target in words: the wanted total shared by weight, no source
    above ``epochs`` times its size, the excess shared again until none is above.
 2. The targets are allocated in blocks of equal length by highest quotients
-   ``target / (2k + 1)``, then each source's quota is allocated to its shards the same
-   way. A shard is a seeded deal of a source's documents, so none is hot.
+   ``target / (2k + 1)``, then each source's quota is allocated to its shelves and each
+   shelf's to its shards the same way. A shard is a seeded deal of a source's documents,
+   so none is hot; a shelf is a run of shards, so however large a source is, a window task
+   ranks the shelves of one source or the shards of one shelf.
 3. A shard's documents, in seeded order and repeated, form a stream; the shard's quota
    is read from it from a seeded start on. A document's share is an overlap of
    intervals: no blocks are listed, no sampling is repeated.
@@ -25,7 +27,7 @@ EPOCHS = 2
 #: No block is ever listed, so small ones cost nothing; larger ones only coarsen the quotas.
 BLOCK_WORDS = 4
 SHARD_WORDS = 65_536
-MAX_SHARDS = 4096
+SHELF_SHARDS = 1024
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -113,37 +115,43 @@ def apportion(parties: DataFrame, group: list[str], votes: str, total: str, orde
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
         weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,
-        block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, keep: tuple = ()) -> DataFrame:
+        block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shelf_shards: int = SHELF_SHARDS,
+        keep: tuple = ()) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, taken; how often it is
     taken as a whole (``full_copies``) and the words [from, to) taken once more; columns ``keep``.
 
     ``taken`` counts repeats and is at most ``epochs`` times ``size``. Null texts have
     size 0 and take 0. A null source is a source of its own, the last. Rows that repeat
-    a doc_id are documents of their own. An empty table gives no rows.
+    a doc_id are documents of their own, ordered by size and a hash of the text. An empty
+    table gives no rows.
     """
     sizes = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                            word_count(text).alias("size"), *keep))
+                            word_count(text).alias("size"), _number(F.md5(text), 1).alias("__tie"), *keep))
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     aimed = (targets(per_source, weights, share, epochs)
              .withColumn("__blocks", F.round(F.sum("target").over(Window.partitionBy(F.lit(0)))
                                              / block_words).cast("long")))
     quotas = cut(apportion(aimed, [], "target", "__blocks", "nth", "blocks")
                  .select("source", "nth", "source_size", "target", "blocks",
-                         F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(
-                             F.col("source_size") / shard_words))).cast("long").alias("__shards")))
+                         F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
+                         .cast("long").alias("__shards")))
     digest = _digest(F.col("doc_id"))
     dealt = (sizes.join(quotas, sizes["source"].eqNullSafe(quotas["source"])).drop(quotas["source"])
              .withColumn("__d", digest)
              .withColumn("shard", _number(F.col("__d"), 14) % F.col("__shards")))
-    shards = (dealt.groupBy("nth", "shard", "blocks").agg(F.sum("size").alias("shard_size")))
-    shards = apportion(shards, ["nth"], "shard_size", "blocks", "shard", "quota")
+    shards = cut(dealt.groupBy("nth", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
+                 .withColumn("shelf", F.floor(F.col("shard") / shelf_shards)))
+    shelves = shards.groupBy("nth", "shelf", "blocks").agg(F.sum("shard_size").alias("shelf_size"))
+    shelves = apportion(shelves, ["nth"], "shelf_size", "blocks", "shelf", "shelf_quota")
+    shards = apportion(shards.join(shelves.select("nth", "shelf", "shelf_quota"), ["nth", "shelf"]),
+                       ["nth", "shelf"], "shard_size", "shelf_quota", "shard", "quota")
     start = _number(_digest(F.col("nth"), F.col("shard")), 1) % F.greatest(F.lit(1), F.col("shard_size"))
     words = F.least(F.col("quota") * block_words, F.lit(epochs) * F.col("shard_size"))
     shards = shards.select(
         "nth", "shard", "shard_size", start.alias("__from"),
         F.floor(words / F.greatest(F.lit(1), F.col("shard_size"))).alias("__full"),
         (words % F.greatest(F.lit(1), F.col("shard_size"))).alias("__rest"))
-    stream = (Window.partitionBy("nth", "shard").orderBy("__d", "size")
+    stream = (Window.partitionBy("nth", "shard").orderBy("__d", "size", "__tie")
               .rowsBetween(Window.unboundedPreceding, 0))
     placed = (dealt.withColumn("__at", F.sum("size").over(stream) - F.col("size"))
               .join(shards, ["nth", "shard"]))

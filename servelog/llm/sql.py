@@ -56,7 +56,8 @@ def _seats(parties: str, group: str, votes: str, total: str, order: str) -> str:
 
 MIXING = f"""
 WITH sizes AS (
-  SELECT doc_id, source, coalesce(len({_WORDS.format('text')}), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(len({_WORDS.format('text')}), 0)::BIGINT AS size,
+    ('0x' || substr(md5(text), 1, 13))::BIGINT AS tie FROM documents),
 named AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM sizes GROUP BY source),
@@ -68,22 +69,26 @@ running AS (
 level AS (SELECT max((1.5 * whole::DOUBLE - full_before::DOUBLE) / (weights - weight_before)::DOUBLE) AS l FROM running),
 aimed AS (SELECT nth, source, source_size, least(2.0::DOUBLE * source_size, l * weight) AS target FROM weighted, level),
 total AS (SELECT *, round(sum(target) OVER () / 4)::BIGINT AS blocks,
-  least(4096, greatest(1, ceil(source_size / 65536)))::BIGINT AS shards FROM aimed),
+  greatest(1, ceil(source_size / 65536))::BIGINT AS shards FROM aimed),
 won AS ({_seats('total', '', 'target', 'blocks', 'nth')}),
 quotas AS (SELECT t.*, coalesce(seats, 0) AS quota FROM total t LEFT JOIN won ON party = nth),
 dealt AS (
-  SELECT s.doc_id, s.size, q.nth, q.source_size, q.target, q.quota, md5('mix:' || coalesce(s.doc_id::VARCHAR, '~')) AS d,
+  SELECT s.doc_id, s.size, s.tie, q.nth, q.source_size, q.target, q.quota, md5('mix:' || coalesce(s.doc_id::VARCHAR, '~')) AS d,
     ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '~')), 14, 13))::BIGINT % q.shards AS shard
   FROM sizes s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source),
-shard_sizes AS (SELECT nth, shard, quota, sum(size)::BIGINT AS z FROM dealt GROUP BY ALL),
-shard_won AS ({_seats('shard_sizes', 'nth, ', 'z', 'quota', 'shard')}),
+shelves AS (SELECT nth, shard // 1024 AS shelf, quota, sum(size)::BIGINT AS z FROM dealt GROUP BY ALL),
+shelf_won AS ({_seats('shelves', 'nth, ', 'z', 'quota', 'shelf')}),
+shard_sizes AS (
+  SELECT d.nth, d.shard // 1024 AS shelf, d.shard, coalesce(any_value(w.seats), 0) AS quota, sum(d.size)::BIGINT AS z
+  FROM dealt d LEFT JOIN shelf_won w ON w.nth = d.nth AND w.party = d.shard // 1024 GROUP BY d.nth, d.shard),
+shard_won AS ({_seats('shard_sizes', 'nth, shelf, ', 'z', 'quota', 'shard')}),
 cuts AS (
   SELECT s.nth, s.shard, z, least(coalesce(seats, 0) * 4, 2 * z) AS words,
     ('0x' || substr(md5('mix:' || s.nth || ':' || s.shard), 1, 13))::BIGINT % greatest(1, z) AS lo
   FROM shard_sizes s LEFT JOIN shard_won w ON w.nth = s.nth AND w.party = s.shard),
 placed AS (
   SELECT d.*, c.z, c.lo, c.words // greatest(1, c.z) AS full_times, c.words % greatest(1, c.z) AS rest,
-    sum(d.size) OVER (PARTITION BY d.nth, d.shard ORDER BY d.d, d.size ROWS UNBOUNDED PRECEDING) - d.size AS p
+    sum(d.size) OVER (PARTITION BY d.nth, d.shard ORDER BY d.d, d.size, d.tie ROWS UNBOUNDED PRECEDING) - d.size AS p
   FROM dealt d JOIN cuts c ON c.nth = d.nth AND c.shard = d.shard)
 SELECT doc_id, size, source_size, target, (full_times * size
   + greatest(0, least(p + size, lo + rest) - greatest(p, lo))

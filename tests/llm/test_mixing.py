@@ -42,6 +42,30 @@ def test_targets_and_shares(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_shelves_of_shards(spark):
+    """Quotas pass from sources over shelves to shards; no bound on shards."""
+    docs, rows = table(spark, {"a": (300, 40), "b": (20, 300), None: (9, 30)})
+    got = mixing.mix(docs, block_words=4, shard_words=60, shelf_shards=5).collect()
+    sizes = [sum(len(r[1].split()) for r in rows if r[2] == s) for s in ("a", "b", None)]
+    taken = defaultdict(int)
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert len(got) == len(rows)
+    # A shard takes twice its words at most, so what its last block has over is lost.
+    for source, target, size in zip(("a", "b", None), brute.water_fill(sizes, [3, 1, 2]), sizes):
+        assert abs(taken[source] - target) <= 4 + 4 * -(-size // 60)
+
+
+def test_repeated_ids_of_one_size(spark):
+    """Three texts of one doc_id and size: reruns from other files take the same words of each."""
+    rows = [(1, f"{x} " * 40, "a", 80, "", "", 1) for x in "xyz"] + [
+        (k, "w " * 30, "b", 60, "", "", 1) for k in range(2, 12)]
+    runs = [sorted((r.doc_id, r.text) for r in mixing.mixed_texts(spark.createDataFrame(order, SCHEMA)).collect())
+            for order in (rows, rows[::-1])]
+    assert runs[0] == runs[1] and {i for i, _ in runs[0]} >= {1}
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=9), st.integers(0, 60))
 def test_sainte_lague(spark, votes, seats):
