@@ -301,6 +301,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     repeat a doc_id are documents of their own; a null doc_id is never a component's id
     unless all of it are null, and is kept then. ``percent`` must be at least 75.
     """
+    return _linked(docs, text, doc_id, shingle, percent, leaf).drop("root")
+
+
+def _linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
+            percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+    """``near_duplicates`` with ``root``, the component itself: the least class of equal sets in
+    it, null without words. Unlike ``component_id`` it tells unlike texts of one doc_id apart."""
     if percent < 75:
         raise ValueError("the minwise comparison is set for thresholds of 75 % and more")
     base = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
@@ -351,20 +358,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         roots_of.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    placed = named.join(least, "root").select("cls", "component_id")
+    placed = named.join(least, "root").select("cls", "root", "component_id")
     final = base.select("doc_id", "n", "cls", "text_hash").join(placed, "cls", "left")
     component = F.coalesce("component_id", "doc_id")
     return final.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+                        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "root")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id, of rows that share it
-    the one with the least text hash. Texts are moved once, to meet the rows that stay."""
-    stay = (near_duplicates(docs, text, doc_id, **settings).where("kept")
-            .withColumn("__group", F.struct("component_id", F.when(
-                F.col("n_shingles") == 0, F.col("text_hash")).alias("alone"),
-                F.when(F.col("component_id").isNull(), F.col("text_hash")).alias("unnamed")))
+    the one with the least text hash. Unlike texts that share a doc_id are in components of
+    their own, so each stays; of equal rows without words one does. Texts are moved once, to
+    meet the rows that stay."""
+    alone = F.when(F.col("n_shingles") == 0, F.struct("doc_id", "text_hash"))
+    stay = (_linked(docs, text, doc_id, **settings).where("kept")
+            .withColumn("__group", F.struct("root", alone.alias("alone")))
             .groupBy("__group").agg(F.min("doc_id").alias("__id"), F.min("text_hash").alias("__hash"))
             .select(F.coalesce("__id", F.lit(0)).alias("__id"), F.col("__id").isNull().alias("__none"), "__hash"))
     keyed = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)),
