@@ -73,6 +73,25 @@ def read_request_stream(spark, sf_dir):
                                            "top_p", "stream", "priority")
 
 
+def read_kafka_requests(spark, sf_dir):
+    """Records as a Kafka source delivers them, decoded by a stream that is stopped and started
+    again from its checkpoint twice; no record is lost or read again."""
+    from servelog.streaming.run import replay
+    docs = views.table(spark, sf_dir, "documents")
+    odd = F.col("doc_id") % 2 == 1
+    fields = F.struct(
+        F.format_string("req-%08d", "doc_id").alias("request_id"), F.col("text").alias("input"),
+        F.col("lang").alias("model"), F.when(odd, F.col("n_chars").cast("int")).alias("max_tokens"),
+        F.when(odd, True).alias("stream"))
+    wire = docs.select(
+        F.col("lang").cast("binary").alias("key"), F.to_json(fields).cast("binary").alias("value"),
+        F.lit("requests").alias("topic"), (F.col("doc_id") % 4).cast("int").alias("partition"),
+        F.floor(F.col("doc_id") / 4).alias("offset"))
+    runs = [F.col("offset") % 3 == k for k in range(3)]
+    return replay([wire], runs, lambda raw: readers.decode_kafka_requests(raw).select(
+        "request_id", "model", "prefix_hash", "max_tokens", "temperature", "stream", "priority"), "kafka")
+
+
 def read_calibration(spark, sf_dir):
     """Measurement records with nested [x, y] pairs, at most 500 pairs each."""
     log = views.request_log(spark, sf_dir)
@@ -102,8 +121,8 @@ def write_request_log(spark, sf_dir):
     return log.select("id", "model", F.date_format("day", "yyyy-MM-dd").alias("day"), "total_ms")
 
 
-QUERIES = {f.__name__: f for f in (read_log, read_log_batches, read_log_api_keys, read_workers, read_request_stream, read_calibration,
-                                   write_sweep_csv, write_request_log)}
+QUERIES = {f.__name__: f for f in (read_log, read_log_batches, read_log_api_keys, read_workers, read_request_stream, read_kafka_requests,
+                                   read_calibration, write_sweep_csv, write_request_log)}
 
 SQL = {
     "read_log": sql.with_(sql.REQUEST_LOG) + """
@@ -129,6 +148,10 @@ SELECT printf('req-%08d', doc_id) AS request_id,
   CASE WHEN doc_id % 2 = 0 THEN 0.2::DOUBLE ELSE 0.7::DOUBLE END AS temperature,
   1.0::DOUBLE AS top_p, false AS stream,
   CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'default' END AS priority FROM documents""",
+    "read_kafka_requests": """
+SELECT printf('req-%08d', doc_id) AS request_id, lang AS model, md5(substr(text, 1, 512)) AS prefix_hash,
+  CASE WHEN doc_id % 2 = 1 THEN CAST(n_chars AS INTEGER) ELSE 128 END AS max_tokens, 0.7::DOUBLE AS temperature,
+  doc_id % 2 = 1 AS stream, 'default' AS priority FROM documents""",
     "read_calibration": sql.with_(sql.REQUEST_LOG) + """
 SELECT model || '/' || (seq // 500) AS model, prompt_tokens::DOUBLE AS x,
   inference_ms AS y FROM request_log""",

@@ -104,8 +104,8 @@ def test_percentiles_of_hot_narrow_and_tied_values(spark):
     rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("hot", None), ("none", None)]
     df = spark.createDataFrame(rows, "k string, x double")
     shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p999": 0.999, "p100": 1.0}
-    for accuracy in (10_000, 100):
-        got = {r["k"]: r for r in exact_percentiles(df, ["k"], "x", shares, accuracy).collect()}
+    for accuracy, bracket_values in ((10_000, 1_000_000), (100, 1_000_000), (10, 20), (4, 2000)):
+        got = {r["k"]: r for r in exact_percentiles(df, ["k"], "x", shares, accuracy, bracket_values).collect()}
         assert set(got) == set(groups)
         for k, xs in groups.items():
             assert got[k]["n"] == len(xs)

@@ -46,6 +46,22 @@ def test_exact_percentiles_equal_builtin(spark):
         np.testing.assert_allclose(tuple(row)[2:], expected[row["g"]], rtol=1e-12)
 
 
+def test_brackets_are_narrowed_to_few_values(spark):
+    """Before the sort every bracket of a hot group of 40,000 unlike values holds 8 at most."""
+    from servelog.plans import quantiles
+    df = spark.range(40_000).select(F.lit(None).cast("string").alias("g"), F.lit(0).alias("__k"), F.lit(0).alias("__side"),
+                                    F.col("id").cast("double").alias("__v"), F.lit(2).cast("long").alias("__c"))
+    df = df.withColumns({"__in": F.col("__v"), "__min": F.col("__v"), "__max": F.col("__v")})
+    got = quantiles._narrowed(df, ["g"], [0.25], 8)
+    assert got.where("__side = 0").count() <= 8 and got.count() <= 14
+    assert got.agg(F.sum("__c")).first()[0] == 80_000
+    inside = got.where("__side = 0").agg(F.min("__v"), F.max("__v")).first()
+    assert inside[0] <= 9_999 and inside[1] >= 10_000  # on both sides of rank 19,999.75, two rows a value
+    nearest = got.groupBy("__side").agg(F.min("__v").alias("a"), F.max("__v").alias("z")).collect()
+    ends = {r["__side"]: (r.a, r.z) for r in nearest}
+    assert ends[-1][1] == inside[0] - 1 and ends[1][0] == inside[1] + 1
+
+
 def test_percentiles_of_nothing_and_of_one(spark):
     df = spark.createDataFrame([("a", 4.0), ("b", None)], "g string, x double")
     rows = exact_percentiles(df, ["g"], "x", {"p50": 0.5}).collect()

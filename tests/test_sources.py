@@ -23,6 +23,17 @@ def test_absent_request_fields_are_defaulted(spark):
     assert len(got["prefix_hash"]) == 32
 
 
+def test_kafka_records_survive_restarts(spark):
+    """Five starts from one checkpoint, two of them without new records: each record once."""
+    from servelog.streaming.run import replay
+    value = F.to_json(F.struct(F.format_string("r%d", "id").alias("request_id"), F.lit("hi").alias("input")))
+    wire = spark.range(90).select("id", value.cast("binary").alias("value"))
+    runs = [F.col("id") < 40, F.lit(False), F.col("id").between(40, 70), F.lit(False), F.col("id") > 70]
+    got = replay([wire], runs, lambda raw: readers.decode_kafka_requests(raw).select("request_id", "max_tokens"), "t-kafka")
+    assert sorted(r.request_id for r in got.collect()) == sorted(f"r{i}" for i in range(90))
+    assert {r.max_tokens for r in got.collect()} == {128}
+
+
 def test_unknown_log_table(spark):
     with pytest.raises(ValueError):
         readers.read_log(spark, "/nowhere", "sessions")
