@@ -140,6 +140,14 @@ def streaming_metrics(spark, sf_dir):
                       r6("mean_queue_wait_ms"), r6("max_queue_wait_ms"), r6("mean_total_ms"))
 
 
+def streaming_quantiles(spark, sf_dir):
+    rows = views.request_log(spark, sf_dir).select("seq", "ts", "model", (F.col("total_ms") / 100).alias("v"))
+    got = replay([rows], _by_seq(rows), lambda s: stream_metrics.streaming_quantiles(
+        s, "0 seconds", "v", "1 day", by=["model"]), "quantiles")
+    return got.select(F.unix_micros("window_start").alias("window_us"), "model", "n",
+                      *[r6(p) for p in ("p50", "p95", "p99")])
+
+
 def streaming_liveness(spark, sf_dir):
     rows = _beats(spark, sf_dir).withColumn("seq", F.floor(F.col("ts_us") / 3_600_000_000))
     got = replay([rows], _by_seq(rows),
@@ -161,7 +169,7 @@ QUERIES = {f.__name__: f for f in (
     token_bucket, token_bucket_hot_key, idempotent, idempotent_hot_key, size_or_deadline_batches,
     worker_liveness, active_workers, job_state, assemble_tokens, stream_token_bucket,
     stream_idempotent, stream_batches, stream_job_state, stream_tokens, streaming_metrics,
-    streaming_liveness, stream_unacked)}
+    streaming_quantiles, streaming_liveness, stream_unacked)}
 
 
 def _bucket_sql(key, den, burst, columns):
@@ -278,6 +286,21 @@ SELECT ts_us // 86400000000 * 86400000000 AS window_us, status, count(*) AS n,
   round(max(queue_wait_ms), 6) AS max_queue_wait_ms, round(avg(total_ms), 6) AS mean_total_ms
 FROM request_log WHERE (ts_us // 86400000000 + 1) * 86400000000
   <= (SELECT max(epoch_us(ts)) FROM events) GROUP BY 1, 2""",
+    "streaming_quantiles": sql.with_(sql.REQUEST_LOG) + """
+, les AS (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0,
+  7.5, 10.0, 'Infinity'::DOUBLE]::DOUBLE[]) AS le),
+hist AS (SELECT ts_us // 86400000000 * 86400000000 AS window_us, model, le,
+    count(*) FILTER (total_ms / 100 <= le) AS c, count(*) AS n
+  FROM request_log, les WHERE (ts_us // 86400000000 + 1) * 86400000000 <= (SELECT max(epoch_us(ts)) FROM events)
+  GROUP BY 1, 2, 3),
+steps AS (SELECT *, coalesce(lag(c) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS lo
+  FROM hist WINDOW w AS (PARTITION BY window_us, model ORDER BY le)),
+asked AS (SELECT steps.*, q, q * n AS rnk FROM steps, (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS q)),
+found AS (SELECT window_us, model, n, q, round(arg_min(CASE WHEN isinf(le) THEN lo WHEN c = below THEN le
+    ELSE lo + (le - lo) * (rnk - below) / (c - below) END, le), 6) AS v
+  FROM asked WHERE c >= rnk GROUP BY ALL)
+SELECT window_us, model, n, max(v) FILTER (q = 0.5) AS p50, max(v) FILTER (q = 0.95) AS p95,
+  max(v) FILTER (q = 0.99) AS p99 FROM found GROUP BY ALL""",
     "streaming_liveness": sql.with_(_LIVES) + """
 SELECT * FROM lives WHERE up_until_us <= (SELECT max(epoch_us(ts)) FROM events)""",
     "stream_unacked": sql.with_(sql.REQUEST_LOG) + """

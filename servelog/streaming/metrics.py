@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from servelog.operators.metrics import HISTOGRAM_BOUNDS, PERCENTILES
+
 
 def streaming_metrics(rows: DataFrame, watermark: str, window: str = "1 minute",
                       slide: str | None = None, by: Sequence[str] = ("status",),
@@ -30,6 +32,41 @@ def streaming_metrics(rows: DataFrame, watermark: str, window: str = "1 minute",
                     "max_queue_wait_ms", "mean_total_ms", *[f"mean_{c}" for c in size]))
 
 
+def streaming_quantiles(rows: DataFrame, watermark: str, value: str, window: str = "1 minute",
+                        slide: str | None = None, by: Sequence[str] = ("status",),
+                        quantiles: Mapping[str, float] = PERCENTILES,
+                        bounds: Sequence[float] = HISTOGRAM_BOUNDS, ts: str = "ts") -> DataFrame:
+    """(window_start, by…, n, one column per quantile) of ``value``, interpolated in buckets as
+    ``histogram_quantile`` does, for every window the watermark has passed.
+
+    The state of a window and group is one count per bucket. NULLs are not counted; a
+    group of NULLs alone has no quantiles.
+    """
+    span = F.window(ts, window, slide) if slide else F.window(ts, window)
+    les = [*map(float, bounds), float("inf")]
+    counts = [F.count_if(F.col(value) <= le).alias(f"__b{i}") for i, le in enumerate(les)]
+    closed = rows.withWatermark(ts, watermark).groupBy(span.alias("w"), *by).agg(*counts)
+    cumulative = F.array(*[F.col(f"__b{i}") for i in range(len(les))])
+    return (closed.withColumn("__c", cumulative)
+            .select(F.col("w.start").alias("window_start"), *by, F.col(f"__b{len(bounds)}").alias("n"),
+                    *[_bucket_quantile(F.col("__c"), les, q).alias(name) for name, q in quantiles.items()]))
+
+
+def _bucket_quantile(cumulative: Column, les: Sequence[float], q: float) -> Column:
+    """Place of the rank in the first bucket that reaches it; the last finite bound beyond all."""
+    rank = F.lit(float(q)) * F.get(cumulative, F.lit(len(les) - 1))
+    steps = F.array(*[F.struct(
+        F.lit(le).alias("le"), F.lit(les[i - 1] if i else 0.0).alias("lo"), F.get(cumulative, F.lit(i)).alias("c"),
+        (F.get(cumulative, F.lit(i - 1)) if i else F.lit(0).cast("long")).alias("below")) for i, le in enumerate(les)])
+    reached = F.filter(steps, lambda s: (s["c"] >= rank) & (s["c"] > 0))
+
+    def place(s: Column) -> Column:
+        width = s["c"] - s["below"]
+        return (F.when(s["le"] == float("inf"), s["lo"]).when(width == 0, s["le"])
+                .otherwise(s["lo"] + (s["le"] - s["lo"]) * (rank - s["below"]) / width))
+    return F.get(F.transform(F.slice(reached, 1, 1), place), F.lit(0))
+
+
 def streaming_sessions(heartbeats: DataFrame, ttl: str = "15 seconds", watermark: str = "1 minute",
                        worker: str = "worker_id", ts: str = "ts") -> DataFrame:
     """Stream form of worker liveness: one row per closed up-interval."""

@@ -132,3 +132,19 @@ def test_metrics_with_batch_size(spark, log):
         F.count(F.lit(1)).alias("n"), F.avg("batch_size").alias("m")).collect()}
     have = {r.window_start: (r.n, r.mean_batch_size) for r in got.collect()}
     assert have and all(want[k] == v for k, v in have.items()) and len(have) >= len(want) - 1
+
+
+def test_quantiles_of_closed_windows(spark, log):
+    """Equal to the batch histogram and its quantile, also beyond the last bound and without values."""
+    from servelog.operators.metrics import bucket_histogram, histogram_quantile
+    from servelog.streaming.metrics import streaming_quantiles
+    v = F.when(F.col("seq") % 5 == 0, 20.0).when(F.col("seq") % 7 > 0, F.col("seq") % 40 / 10.0)
+    rows = log.select("seq", "ts", (F.col("seq") % 3).alias("k"), v.alias("v")).withColumn(
+        "v", F.when(F.col("k") < 2, F.col("v")))
+    got = {(r.window_start, r.k): r for r in replay([rows], arrival_slices(rows, "seq", 3), lambda s: streaming_quantiles(
+        s, "0 seconds", "v", "10 minutes", by=["k"]), "t-quantiles").collect()}
+    hist = bucket_histogram(rows.withColumn("w", F.window("ts", "10 minutes")["start"]), ["w", "k"], "v")
+    for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        want = {(r.w, r.k): r.quantile for r in histogram_quantile(hist, ["w", "k"], q).collect()}
+        assert got and all(r[name] == (None if want[key] is None else pytest.approx(want[key])) for key, r in got.items())
+    assert any(r.p99 == 10.0 for r in got.values()) and any(r.n == 0 and r.p50 is None for r in got.values())
