@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PREFIX_CHARS = 512
+BUCKET_DIGITS = 3
 
 
 def _col(c: str | Column) -> Column:
@@ -35,9 +36,9 @@ def ring_position(text: str | Column) -> Column:
     return F.coalesce(F.substring(F.md5(_col(text)), 1, 16), F.lit("0" * 16))
 
 
-def ring_bucket(position: str | Column) -> Column:
-    """Top 12 bits of a ring position, as its first three digits."""
-    return F.coalesce(F.substring(_col(position), 1, 3), F.lit("000"))
+def ring_bucket(position: str | Column, digits: int = BUCKET_DIGITS) -> Column:
+    """The first hex digits of a ring position; three are its top 12 bits."""
+    return F.coalesce(F.substring(_col(position), 1, digits), F.lit("0" * digits))
 
 
 def block_chain_udf(block_chars: int):

@@ -143,11 +143,12 @@ def place(df: DataFrame, key: str | Column, workers: DataFrame,
     clockwise = Window.partitionBy("__class", "arc").orderBy("rank")
     prefs = cut(arc_preferences(ring).join(offers.select("__class", "worker_id"), "worker_id")
                 .withColumn("rank", F.row_number().over(clockwise)))
-    arcs = cut(arc_table(ring))
+    n_arcs = len(base) * vnodes
+    arcs = cut(arc_table(ring, n_arcs))
     rows = df.withColumn("win", window).withColumn(
         "__class", F.lit("") if model is None else solid(model))
     spread = F.explode(F.array(*[F.lit(float(c)) for c in caps]))
-    located = cut(locate(rows, arcs, key, len(base) * vnodes + 4096)
+    located = cut(locate(rows, arcs, key, n_arcs)
                   .select("win", solid("win").alias("__win"), "__class", "seq", "arc",
                           dense_slice("seq", slice_rows).alias("slice")))
     counted = cut(located.groupBy(*_ARC, "slice").agg(F.count(F.lit(1)).alias("c"),

@@ -66,3 +66,19 @@ def test_keys_spread_evenly(spark):
               .groupBy("worker_id").count().collect()]
     shares = [c / 20000 for c in counts]
     assert len(shares) == 4 and max(shares) < 0.35 and min(shares) > 0.15
+
+
+def test_large_rings_are_not_broadcast(spark, monkeypatch):
+    """The same arcs, owners and report; more buckets; no broadcast of a ring or its workers."""
+    before, after = (ring.ring_table(_fleet(spark, n)) for n in (60, 61))
+    rows = lambda df, *by: sorted(map(tuple, df.select(*by).collect()))
+    arcs = ("arc", "lo", "hi", "worker_id")
+    small = (rows(ring.ring_arcs(before), *arcs), rows(ring.ring_owner(_keys(spark, 3000), before), "key", "worker_id"),
+             ring.rebalance_report(_keys(spark, 3000), before, after).first())
+    monkeypatch.setattr(ring, "_BROADCAST_ROWS", 1000)
+    large = (rows(ring.ring_arcs(before, 9600), *arcs), rows(ring.ring_owner(_keys(spark, 3000), before), "key", "worker_id"),
+             ring.rebalance_report(_keys(spark, 3000), before, after).first())
+    assert small == large
+    plan = ring.rebalance_report(_keys(spark, 3000), before, after)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert ring._digits(1000) == 3 and 16 ** ring._digits(9_600_000) * 16 >= 9_600_000
