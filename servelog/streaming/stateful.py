@@ -3,11 +3,17 @@
 Each keeps a bounded state per key in the state store and shares its step with
 the batch twin. Rows of a micro-batch are taken in (event time, seq) order;
 disorder across micro-batches is bounded by the watermark of the input.
+
+Where keys are many and short-lived, a call of Python and of the state store per
+key costs far more than the rows. There the rows are grouped by a hash bucket of the
+key, and the state of a bucket's live keys is one value.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Mapping
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +23,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from servelog.functions import steps
 from servelog.operators.clean import BUDGETS_MS
 
+#: Groups of keys that share a state value; fixed for the life of a checkpoint.
+BUCKETS = 1024
+
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -81,46 +90,70 @@ def stream_token_bucket(rows: DataFrame, key: str, rps: float, burst: float,
         _TokenBucket(key, rate, rate.cost / cost), schema, "append", "eventTime")
 
 
-class _Idempotent(StatefulProcessor):
-    def __init__(self, key: str, ttl_us: int):
-        self.key, self.ttl_us = key, ttl_us
+class _Buckets(StatefulProcessor):
+    """The live keys of a bucket as one dict from key to state; ``_end_ms`` tells when a state ends."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("window", "ts long, id string")
+        self.state = handle.getValueState("live", "keys binary")
+
+    def _end_ms(self, state: tuple) -> int:
+        raise NotImplementedError
+
+    def _live(self) -> dict[Any, tuple]:
+        return pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else {}
+
+    def _keep(self, live: dict[Any, tuple], now_ms: int) -> None:
+        """Keeps what has not ended; a timer forgets the rest should no row come any more."""
+        live = {k: v for k, v in live.items() if self._end_ms(v) > now_ms}
+        if live:
+            self.state.update((pickle.dumps(live),))
+            self.handle.registerTimer(max(map(self._end_ms, live.values())))
+        elif self.state.exists():
+            self.state.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep(self._live(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()))
+        return iter(())
+
+
+def _by_bucket(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
+    """``processor`` over buckets of ``key``, which it sees as a string; ``schema`` follows the key."""
+    kind = rows.schema[key].dataType
+    dealt = (rows.withColumn(key, F.col(key).cast("string"))
+             .withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))))
+    out = dealt.groupBy("__bucket").transformWithStateInPandas(
+        processor, f"`{key}` string, {schema}", mode, "eventTime")
+    return out.withColumn(key, F.col(key).cast(kind))
+
+
+class _Idempotent(_Buckets):
+    def __init__(self, key: str, ttl_us: int):
+        self.key, self.ttl_us = key, ttl_us
+
+    def _end_ms(self, window: tuple) -> int:
+        return (window[0] + self.ttl_us) // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, ["ts_us", "seq"])
-        opened = tuple(self.state.get()) if self.state.exists() else None
+        pdf, live = _in_order(rows, ["ts_us", "seq"]), self._live()
         originals, repeats = [], []
-        for ts, rid in zip(pdf["ts_us"].tolist(), pdf["request_id"].tolist()):
-            window, repeat = steps.enter_window(ts, rid, self.ttl_us, opened)
-            if not repeat:
-                opened = window
-                self.state.update(opened)
-                # Forget the window once the watermark has passed its end.
-                self.handle.registerTimer((opened[0] + self.ttl_us) // 1000 + 1)
-            originals.append(opened[1])
+        for k, ts, rid in zip(pdf[self.key].tolist(), pdf["ts_us"].tolist(), pdf["request_id"].tolist()):
+            live[k], repeat = steps.enter_window(ts, rid, self.ttl_us, live.get(k))
+            originals.append(live[k][1])
             repeats.append(repeat)
-        yield pd.DataFrame({self.key: key[0], "seq": pdf["seq"], "original_id": originals,
+        # As late as the timer: rows of this micro-batch may lie before its watermark.
+        self._keep(live, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({self.key: pdf[self.key], "seq": pdf["seq"], "original_id": originals,
                             "duplicate": repeats})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            opened = self.state.get()
-            if (opened[0] + self.ttl_us) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-                self.state.clear()
-        return iter(())
-
 
 def stream_idempotent(rows: DataFrame, key: str, ttl_us: int, ts: str = "ts",
                       delay: str = "1 minute") -> DataFrame:
     """Rows ``(key, seq, ts, ts_us, request_id)`` -> (key, seq, original_id, duplicate)."""
     use_state_store(rows.sparkSession)
-    schema = f"`{key}` {dict(rows.dtypes)[key]}, seq long, original_id string, duplicate boolean"
-    return (rows.withWatermark(ts, delay).select(key, "seq", ts, "ts_us", "request_id")
-            .groupBy(key).transformWithStateInPandas(
-                _Idempotent(key, ttl_us), schema, "append", "eventTime"))
+    timed = rows.withWatermark(ts, delay).select(key, "seq", ts, "ts_us", "request_id")
+    return _by_bucket(timed, key, _Idempotent(key, ttl_us),
+                      "seq long, original_id string, duplicate boolean", "append")
 
 
 class _Batcher(StatefulProcessor):
@@ -198,97 +231,111 @@ def stream_batches(rows: DataFrame, by: str, max_batch: int = 16,
                 schema, "append", "eventTime"))
 
 
-class _JobState(StatefulProcessor):
+class _JobState(_Buckets):
     """A job lives ``ttl_us`` from its first event; an event after that begins it anew."""
 
     def __init__(self, job: str, ttl_us: int):
         self.job, self.ttl_us = job, ttl_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState(
-            "job", "created long, updated long, seq long, status string")
+    def _end_ms(self, state: tuple) -> int:
+        return (state[0] + self.ttl_us) // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, ["ts_us", "seq"])
-        created, last = None, None
-        if self.state.exists():
-            created, *last = self.state.get()
-        for ts, seq, status in zip(pdf["ts_us"].tolist(), pdf["seq"].tolist(), pdf["status"].tolist()):
-            if created is None or ts >= created + self.ttl_us:
-                created, last = ts, (ts, seq, status)
+        pdf, live = _in_order(rows, ["ts_us", "seq"]), self._live()
+        events = zip(pdf[self.job].tolist(), pdf["ts_us"].tolist(), pdf["seq"].tolist(), pdf["status"].tolist())
+        for job, *event in events:
+            held, ts = live.get(job), event[0]
+            if held is None or ts >= held[0] + self.ttl_us:
+                live[job] = (ts, *event)
             else:
-                created, last = min(created, ts), max(tuple(last), (ts, seq, status))
-        self.state.update((created, *last))
-        self.handle.registerTimer((created + self.ttl_us) // 1000 + 1)
-        yield pd.DataFrame({self.job: [key[0]], "created_us": [created], "updated_us": [last[0]],
-                            "status": [last[2]]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            created = self.state.get()[0]
-            if (created + self.ttl_us) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-                self.state.clear()
-        return iter(())
+                live[job] = (min(held[0], ts), *max(held[1:], tuple(event)))
+        jobs = pdf[self.job].drop_duplicates().tolist()
+        states = [live[job] for job in jobs]
+        self._keep(live, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({self.job: jobs, "created_us": [s[0] for s in states],
+                            "updated_us": [s[1] for s in states], "status": [s[3] for s in states]})
 
 
 def stream_job_state(events: DataFrame, ttl_us: int, job: str = "job_id", ts: str = "ts",
                      delay: str = "1 minute") -> DataFrame:
     """Rows ``(job, seq, ts, ts_us, status)`` -> the job's new state per update."""
     use_state_store(events.sparkSession)
-    schema = f"`{job}` {dict(events.dtypes)[job]}, created_us long, updated_us long, status string"
-    return (events.withWatermark(ts, delay).select(job, "seq", ts, "ts_us", "status")
-            .groupBy(job).transformWithStateInPandas(
-                _JobState(job, ttl_us), schema, "update", "eventTime"))
+    timed = events.withWatermark(ts, delay).select(job, "seq", ts, "ts_us", "status")
+    return _by_bucket(timed, job, _JobState(job, ttl_us),
+                      "created_us long, updated_us long, status string", "update")
 
 
 class _Assembler(StatefulProcessor):
     """Holds a job's tokens until its final row is here and the watermark has passed it by
     ``wait_us``, so tokens that arrive late still take their place; then forgets the job.
-    A job that gets no final row is forgotten ``ttl_us`` after its last token."""
+    A job that gets no final row is forgotten ``ttl_us`` after its last token.
+
+    A bucket's jobs are a dict from job to (seq and time of its final row, time of its last
+    row); its tokens are a list with one entry per micro-batch, read only when a job is due."""
 
     def __init__(self, job: str, wait_us: int, ttl_us: int):
         self.job, self.wait_us, self.ttl_us = job, wait_us, ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tokens = handle.getListState("tokens", "seq long, token string")
-        self.end = handle.getValueState("end", "seq long, at long")
+        self.tokens = handle.getListState("tokens", "rows binary")
+        self.state = handle.getValueState("jobs", "jobs binary")
+
+    def _jobs(self) -> dict[Any, tuple]:
+        return pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else {}
+
+    def _due_ms(self, state: tuple) -> int:
+        end, at, last = state
+        return (last + self.ttl_us if end is None else at + self.wait_us) // 1000 + 1
+
+    def _keep(self, jobs: dict[Any, tuple]) -> None:
+        if jobs:
+            self.state.update((pickle.dumps(jobs),))
+            self.handle.registerTimer(min(map(self._due_ms, jobs.values())))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = 0
-        end = tuple(self.end.get()) if self.end.exists() else (None, None)
-        for pdf in rows:
-            last = max(last, int(pdf["ts_us"].max()))
-            finals = pdf[pdf["final"]]
-            if len(finals):
-                first = finals.loc[finals["seq"].idxmin()]
-                if end[0] is None or first["seq"] < end[0]:
-                    end = (int(first["seq"]), max(end[1] or 0, int(first["ts_us"])))
-            live = pdf[~pdf["final"].astype(bool)]
-            if end[0] is not None:
-                live = live[live["seq"] < end[0]]
-            if len(live):
-                self.tokens.appendList(list(zip(live["seq"].tolist(), live["token"].tolist())))
-        if end[0] is not None:
-            self.end.update(end)
-            self.handle.registerTimer((end[1] + self.wait_us) // 1000 + 1)
-        self.handle.registerTimer((last + self.ttl_us) // 1000 + 1)
+        pdf, jobs = pd.concat(list(rows), ignore_index=True), self._jobs()
+        for job, last in pdf.groupby(self.job, sort=False, dropna=False)["ts_us"].max().items():
+            job = None if pd.isna(job) else job
+            end, at, before = jobs.get(job, (None, None, 0))
+            jobs[job] = (end, at, max(before, int(last)))
+        final = pdf["final"].astype(bool)
+        first = pdf[final].sort_values("seq", kind="stable").drop_duplicates(self.job)
+        for job, seq, ts in zip(first[self.job].tolist(), first["seq"].tolist(), first["ts_us"].tolist()):
+            end, at, last = jobs[job]
+            if end is None or seq < end:
+                jobs[job] = (seq, max(at or 0, ts), last)
+        live = pdf[~final]
+        held = [(job, seq, token) for job, seq, token in zip(
+            live[self.job].tolist(), live["seq"].tolist(), live["token"].tolist())
+            if jobs[job][0] is None or seq < jobs[job][0]]
+        if held:
+            self.tokens.appendValue((pickle.dumps(held),))
+        self._keep(jobs)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if self.end.exists():
-            end, at = self.end.get()
-            if (at + self.wait_us) // 1000 + 1 <= now:
-                kept = sorted(tuple(r) for r in self.tokens.get()) if self.tokens.exists() else []
-                kept = [r for r in kept if r[0] < end]
-                self.tokens.clear()
-                self.end.clear()
-                yield pd.DataFrame({self.job: [key[0]], "text": ["".join(t for _, t in kept)],
-                                    "n_tokens": [len(kept)]})
-        elif not any(t > now for t in self.handle.listTimers()):
+        now, jobs = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), self._jobs()
+        due = {job: jobs.pop(job) for job, state in list(jobs.items()) if self._due_ms(state) <= now}
+        if not due:
+            return
+        texts, rest = {job: [] for job, state in due.items() if state[0] is not None}, []
+        for (part,) in (self.tokens.get() if self.tokens.exists() else ()):
+            for job, seq, token in pickle.loads(bytes(part)):
+                if job not in due:
+                    rest.append((job, seq, token))
+                elif job in texts and seq < due[job][0]:
+                    texts[job].append((seq, token))
+        if rest:
+            self.tokens.put([(pickle.dumps(rest),)])
+        else:
             self.tokens.clear()
+        self._keep(jobs)
+        if texts:
+            yield pd.DataFrame({self.job: list(texts), "text": ["".join(t for _, t in sorted(r)) for r in texts.values()],
+                                "n_tokens": [len(r) for r in texts.values()]})
 
 
 def stream_tokens(tokens: DataFrame, job: str = "job_id", ts: str = "ts", delay: str = "1 minute",
@@ -296,9 +343,8 @@ def stream_tokens(tokens: DataFrame, job: str = "job_id", ts: str = "ts", delay:
     """Rows ``(job, seq, ts, ts_us, token, final)`` -> (job, text, n_tokens): the tokens before the
     first final row, once no earlier row can come any more."""
     use_state_store(tokens.sparkSession)
-    schema = f"`{job}` {dict(tokens.dtypes)[job]}, text string, n_tokens long"
-    return (tokens.withWatermark(ts, delay).select(job, "seq", ts, "ts_us", "token", "final").groupBy(job)
-            .transformWithStateInPandas(_Assembler(job, wait_us, ttl_us), schema, "append", "eventTime"))
+    timed = tokens.withWatermark(ts, delay).select(job, "seq", ts, "ts_us", "token", "final")
+    return _by_bucket(timed, job, _Assembler(job, wait_us, ttl_us), "text string, n_tokens long", "append")
 
 
 def stream_unacked(deliveries: DataFrame, acks: DataFrame, lease: str = "30 seconds",

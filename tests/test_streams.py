@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,43 @@ def test_tokens_in_any_order(spark):
     assert _rows(got, "job_id", "text", "n_tokens") == _rows(want, "job_id", "text", "n_tokens")
 
 
+def test_state_is_called_per_bucket_not_per_key(spark):
+    """Thousands of keys, long and null ones too, meet as many calls as there are buckets at most."""
+    rows = [(i, None if i % 1000 == 7 else i % 3000 + 2 ** 60, i * S + 10 ** 12, f"r{i}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "seq long, key long, ts_us long, request_id string")
+    df = df.withColumn("ts", F.timestamp_micros("ts_us"))
+    got = replay([df], arrival_slices(df, "seq", 2), lambda s: streams.stream_idempotent(s, "key", 10 ** 6 * S), "t-many")
+    want = stateful.idempotent(df.drop("ts"), "key", 10 ** 6 * S)
+    cols = ("seq", "original_id", "duplicate")
+    assert dict(got.dtypes)["key"] == "bigint" and _rows(got, *cols) == _rows(want, *cols)
+    assert got.where("key IS NULL").count() == 6 and got.agg(F.max("key")).first()[0] == 2 ** 60 + 2999
+
+    calls = []
+    one = streams._JobState("job", S)
+
+    class Handle:
+        def getValueState(self, *a):
+            return self
+
+        def exists(self):
+            return False
+
+        def update(self, value):
+            calls.append("update")
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    one.init(Handle())
+    chunk = pd.DataFrame({"job": [f"j{i}" for i in range(500)], "ts_us": range(500), "seq": range(500), "status": "s"})
+    (out,) = one.handleInputRows((0,), iter([chunk]), Times())
+    assert len(out) == 500 and calls == ["update", "timer"]
+
+
 def test_unknown_priorities_wait_longest(spark):
     rows = [(0, "m", 10 * S, "odd"), (1, "m", 11 * S, None), (2, "m", 70 * S, "high"), (3, "m", 500 * S, "high")]
     df = spark.createDataFrame(rows, "seq long, key string, ts_us long, priority string")
