@@ -71,18 +71,19 @@ def rebalance_report(spark, sf_dir):
     return report.withColumn("fraction_moved", F.round("fraction_moved", 6))
 
 
-def _served(spark, sf_dir):
+def _served(chains):
     """Paths served before: even documents, on the worker of their language."""
-    return views.prompt_chains(spark, sf_dir).where("seq % 2 = 0").select(
+    return chains.where("seq % 2 = 0").select(
         "chain_hash", "worker_id", F.col("seq").alias("last_seq"))
 
 
 def longest_prefix_match(spark, sf_dir):
-    asks = views.prompt_chains(spark, sf_dir).where("seq % 2 = 1").select("seq", "depth", "chain_hash")
+    chains = views.prompt_chains_once(spark, sf_dir)
+    asks = chains.where("seq % 2 = 1").select("seq", "depth", "chain_hash")
     every = views.prompt_log(spark, sf_dir).where("seq % 2 = 1").select("seq")
     fleet = spark.createDataFrame([("en", 0), ("fr", 1), ("de", 0), ("es", 3)],
                                   "worker_id string, inflight int")
-    match = joins.longest_prefix_match(asks, _served(spark, sf_dir), fleet, F.col("inflight") < 3)
+    match = joins.longest_prefix_match(asks, _served(chains), fleet, F.col("inflight") < 3)
     return every.join(match, "seq", "left").select(
         "seq", "worker_id", F.coalesce("matched_blocks", F.lit(0)).alias("matched_blocks"))
 

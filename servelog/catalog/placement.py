@@ -31,8 +31,8 @@ def balanced_assign(spark, sf_dir):
 
 
 def shared_stem_keys(spark, sf_dir):
-    return placement.shared_stem_key(views.prompt_chains(spark, sf_dir), views.prompt_log(spark, sf_dir),
-                                     min_support=3)
+    return placement.shared_stem_key(views.prompt_chains_once(spark, sf_dir),
+                                     views.prompt_log(spark, sf_dir), min_support=3)
 
 
 def stem_placement(spark, sf_dir):

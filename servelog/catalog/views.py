@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from servelog.functions.keys import block_path, hash_api_key
-from servelog.session import prepare, scratch_path
+from servelog.session import cut, prepare, scratch_path
 
 DAY_US = 86_400_000_000
 BLOCK_CHARS = 64
@@ -87,6 +87,13 @@ def prompt_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("seq", "worker_id", (F.col("pos") + 1).alias("depth"), "chain_hash"))
 
 
+def prompt_chains_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``prompt_chains`` from one evaluation of the block hashes, for plans that read them twice."""
+    paths = cut(prompt_paths(spark, sf_dir).select("seq", "worker_id", "path"))
+    return (paths.select("seq", "worker_id", F.posexplode("path").alias("pos", "chain_hash"))
+            .select("seq", "worker_id", (F.col("pos") + 1).alias("depth"), "chain_hash"))
+
+
 def token_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     last = rows.groupBy("conv_id").agg(F.max("turn").alias("last"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,25 +41,31 @@ def ring_bucket(position: str | Column, digits: int = BUCKET_DIGITS) -> Column:
     return F.coalesce(F.substring(_col(position), 1, digits), F.lit("0" * digits))
 
 
+#: Texts that Python holds as strings at a time; the rest of a batch stays in Arrow buffers.
+_TEXTS = 64
+
+
+def _chain(text: str, block_chars: int) -> list[str]:
+    digest, hashes = "", []
+    for end in range(block_chars, len(text) + 1, block_chars):
+        digest = hashlib.md5((digest + text[end - block_chars:end]).encode("utf-8")).hexdigest()
+        hashes.append(digest)
+    return hashes
+
+
 def block_chain_udf(block_chars: int):
     """array<string>: entry d hashes the leading d complete blocks.
 
     ``chain[d] = md5(chain[d-1] || block_d)`` reads each character once. A
     built-in ``aggregate`` would copy the growing array at every block.
     """
-    @F.pandas_udf("array<string>")
-    def chain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def chain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.string())
         for texts in batches:
-            out = []
-            for text in texts:
-                text = text or ""
-                digest, hashes = "", []
-                for end in range(block_chars, len(text) + 1, block_chars):
-                    block = digest + text[end - block_chars:end]
-                    digest = hashlib.md5(block.encode("utf-8")).hexdigest()
-                    hashes.append(digest)
-                out.append(hashes)
-            yield pd.Series(out, dtype=object)
+            parts = [pa.array([_chain(t or "", block_chars) for t in texts.slice(at, _TEXTS).to_pylist()], kind)
+                     for at in range(0, len(texts), _TEXTS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
     return chain
 
 

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servelog.plans.sliced import even_slice, sliced_row_number
+from servelog.plans.sliced import SLICE_ROWS, even_slice, sliced_row_number
 
 MAX_BATCH = 16
+SLICE_BYTES = 32_000_000
 CHUNK = 64  # batches that stay together when they are dealt to tasks
 
 Predict = Callable[[Sequence[str]], tuple[list[str], float]]
@@ -54,7 +55,10 @@ def _ordered(df: DataFrame, text: str, make_predict: Callable[[], Predict], batc
     """Rows are numbered by slices of ``order`` and whole batches dealt to tasks. A task may hold
     several runs of batches; each is a multiple of the batch size, but for the last of all,
     which has the highest numbers and so ends its task."""
-    slice_ = even_slice(df.where(F.col(order).isNotNull()), order)
+    # A slice's rows meet in one task with their texts, so it is bounded by bytes.
+    size = df.agg(F.avg(F.octet_length(F.col(text)))).first()[0] or 1
+    slice_rows = max(batch_size * CHUNK, int(SLICE_BYTES / max(size, 1)))
+    slice_ = even_slice(df.where(F.col(order).isNotNull()), order, min(SLICE_ROWS, slice_rows))
     rows = sliced_row_number(df, [], [order], slice_, "__n").withColumn(
         "__n", F.col("__n") - 1)
     per_task = batch_size * CHUNK

@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 from servelog.plans.dominance import POSITIONS_PER_SLICE, distinct_between
 from servelog.plans.joins import null_safe_join, solid
-from servelog.plans.sliced import dense_slice, sliced_lag, sliced_row_number
+from servelog.plans.sliced import dense_slice, even_slice, sliced_lag, sliced_row_number
 from servelog.session import cut
 
 # Latency law of a batch in milliseconds, cache size in prefixes.
 ALPHA_MS, BETA_MS, PREFILL_MS = 18.0, 7.5, 160.0
 CACHE_CAPACITY = 64
+SLICE_BLOCKS = 250_000
 
 
 def first_touch(df: DataFrame, by: Sequence[str], order: str = "seq") -> DataFrame:
-    """``hit`` under an unbounded cache: some earlier row has the same keys."""
-    first = df.groupBy(*by).agg(F.min(order).alias("__first"))
+    """``hit`` under an unbounded cache: some earlier row has the same keys.
+
+    The first rows are written: where keys are few, their true size spares a shuffle of ``df``.
+    """
+    first = cut(df.groupBy(*by).agg(F.min(order).alias("__first")))
     return (null_safe_join(df, first, list(by)).withColumn("hit", F.col(order) > F.col("__first"))
             .drop("__first"))
 
@@ -180,8 +184,10 @@ def reuse_depth_lru(chains: DataFrame, lengths: DataFrame, capacity: int,
     used last.
 
     A request touches its blocks in order; those that were resident when it came count up to
-    the first that was not. That is ``batch_hits`` with a request as the batch.
+    the first that was not. That is ``batch_hits`` with a request as the batch. Slices hold
+    equal numbers of blocks: requests have from none to thousands.
     """
+    slice_ = even_slice(chains, key, SLICE_BLOCKS) if slice_ is None else slice_
     rows = batch_hits(chains, capacity, worker, "chain_hash", key, [key, "depth"], slice_)
     miss = F.min(F.when(~F.col("hit"), F.col("depth"))) - 1
     depth = rows.groupBy(worker, key).agg(F.coalesce(miss, F.max("depth")).alias("reused"))

@@ -123,6 +123,18 @@ def place(df: DataFrame, key: str | Column, workers: DataFrame,
           model: str | Column | None = None, slice_rows: int = 1_000_000) -> DataFrame:
     """(cap_factor, win, seq, worker_id, rank) for every row and cap factor.
 
+    See ``takers``, which gives a row of the log once, with the workers of all caps.
+    """
+    rows = takers(df, key, workers, caps, window, vnodes, eligible, load, model, slice_rows)
+    return rows.select("win", "seq", F.inline("takes")).select("cap_factor", "win", "seq", "worker_id", "rank")
+
+
+def takers(df: DataFrame, key: str | Column, workers: DataFrame,
+           caps: Sequence[float], window: Column, vnodes: int = 160,
+           eligible: Column | None = None, load: Column | None = None,
+           model: str | Column | None = None, slice_rows: int = 1_000_000) -> DataFrame:
+    """(win, seq, takes) with ``takes`` an array of (cap_factor, worker_id, rank), one per cap factor.
+
     ``worker_id`` is NULL where no worker may take the row. ``eligible`` and
     ``load`` are Columns over ``workers``: who takes part, and the load each
     already carries. With ``model``, a Column over ``df``, a row only goes to workers
@@ -173,10 +185,13 @@ def place(df: DataFrame, key: str | Column, workers: DataFrame,
     for part in steps:
         plan = plan.unionByName(part)
     plan = plan.groupBy(*_GROUP, "arc").agg(F.sort_array(F.collect_list("step")).alias("steps"))
-    taker = F.get(F.filter("steps", lambda s: F.col("seq") <= s["upto"]), F.lit(0))
-    return (located.join(plan, _ARC).withColumn("taker", taker)
-            .select("cap_factor", "win", "seq", F.col("taker.worker_id").alias("worker_id"),
-                    F.col("taker.rank").alias("rank")))
+    plan = plan.groupBy(*_ARC).agg(F.collect_list(F.struct("cap_factor", "steps")).alias("caps"))
+
+    def take(cap: Column) -> Column:
+        step = F.get(F.filter(cap["steps"], lambda s: F.col("seq") <= s["upto"]), F.lit(0))
+        return F.struct(cap["cap_factor"].alias("cap_factor"), step["worker_id"].alias("worker_id"),
+                        step["rank"].alias("rank"))
+    return located.join(plan, _ARC).select("win", "seq", F.transform("caps", take).alias("takes"))
 
 
 def bounded_load_assign(df: DataFrame, key: str | Column, workers: DataFrame,

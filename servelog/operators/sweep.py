@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from servelog.operators.locality import first_touch
 from servelog.operators.metrics import policy_summary
-from servelog.operators.placement import CAP_SWEEP, balanced_assign, place
+from servelog.operators.placement import CAP_SWEEP, balanced_assign, takers
 from servelog.session import cut
 
 
+def _choice(policy: str, cap_factor: Column, worker: Column) -> Column:
+    return F.struct(F.lit(policy).alias("policy"), cap_factor.alias("cap_factor"), worker.alias("worker_id"))
+
+
 def policy_rows(log: DataFrame, key: str, workers: DataFrame, window: Column,
                 caps: Sequence[float] = CAP_SWEEP, **options) -> DataFrame:
     """Rows of the log once per policy: policy, cap_factor, worker_id and hit.
@@ -21,11 +25,13 @@ def policy_rows(log: DataFrame, key: str, workers: DataFrame, window: Column,
     placement at each cap; all caps share the same rounds. Rows that no worker may take
     stay, without a worker and without a hit.
     """
-    swept = place(log, key, workers, caps, window, **options).select(
-        F.lit("affinity").alias("policy"), "cap_factor", "seq", "worker_id")
+    swept = takers(log, key, workers, caps, window, **options).select("seq", F.transform(
+        "takes", lambda t: _choice("affinity", t["cap_factor"], t["worker_id"])).alias("takes"))
     dealt = balanced_assign(log, workers, window).select(
-        F.lit("balanced").alias("policy"), F.lit(0.0).alias("cap_factor"), "seq", "worker_id")
-    rows = dealt.unionByName(swept).join(log, "seq")
+        "seq", F.array(_choice("balanced", F.lit(0.0), F.col("worker_id"))).alias("takes"))
+    # A row of the log is joined once for all caps, and written before it counts once for each.
+    joined = cut(dealt.unionByName(swept).join(log, "seq"))
+    rows = joined.select(*[c for c in joined.columns if c != "takes"], F.inline("takes"))
     hits = first_touch(rows, ["policy", "cap_factor", "worker_id", key])
     return hits.withColumn("hit", F.col("hit") & F.col("worker_id").isNotNull())
 

@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from servelog.plans.folds import fold_sorted
 
 # A stream of n accesses has S = n / slice slices and a grid of S * S / 2 cells:
-# with a million positions a slice the grid stays smaller than the stream up to
-# 10^12 accesses of one worker, and a block fits easily in a task.
-POSITIONS_PER_SLICE = 1_000_000
+# with 100,000 positions a slice the grid stays smaller than the stream up to
+# 2 * 10^10 accesses of one worker. A block, which Python holds whole with some ten
+# temporary columns, is 200,000 rows at most, however long the stream.
+POSITIONS_PER_SLICE = 100_000
 
 
 def count_below(values: np.ndarray, upto: np.ndarray, limit: np.ndarray) -> np.ndarray:
