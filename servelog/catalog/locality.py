@@ -81,8 +81,9 @@ def reuse_depth(spark, sf_dir):
 
 
 def _chains_once(spark, sf_dir):
-    """(chains, lengths) from one evaluation of the block hashes."""
-    paths = cut(views.prompt_paths(spark, sf_dir).select("worker_id", "seq", "path"))
+    """(chains, lengths) from one evaluation of the block hashes, which take 16 bytes each."""
+    paths = cut(views.prompt_paths(spark, sf_dir).select(
+        "worker_id", "seq", F.transform("path", F.unhex).alias("path")))
     chains = paths.select("worker_id", "seq", F.posexplode("path").alias("pos", "chain_hash"))
     return (chains.select("worker_id", "seq", (F.col("pos") + 1).alias("depth"), "chain_hash"),
             paths.select("worker_id", "seq", F.size("path").alias("n_blocks")))

@@ -16,6 +16,9 @@ from servelog.session import cut
 ALPHA_MS, BETA_MS, PREFILL_MS = 18.0, 7.5, 160.0
 CACHE_CAPACITY = 64
 SLICE_BLOCKS = 250_000
+# A key with more accesses than HOT_ACCESSES is searched in slices of as many positions;
+# one access in SAMPLE tells which keys these are.
+HOT_ACCESSES, SAMPLE = 250_000, 64
 
 
 def first_touch(df: DataFrame, by: Sequence[str], order: str = "seq") -> DataFrame:
@@ -86,21 +89,50 @@ def batch_hits(df: DataFrame, capacity: int | None = None, worker: str = "worker
         return (null_safe_join(df, first, [worker, key])
                 .withColumn("hit", F.col(batch) > F.col("__first")).drop("__first"))
     slice_ = dense_slice(batch) if slice_ is None else slice_
-    rows = cut(access_positions(df, [worker], key, order, slice_).withColumns(
-        {"__grp": solid(worker), "__key": solid(key)}))
-    starts = rows.groupBy("__grp", batch).agg(F.min("pos").alias("start"))
+    rows = cut(sliced_row_number(df, [worker], order, slice_, "pos"))
+    placed = rows.select(solid(worker).alias("__grp"), F.col(key).alias("__key"),
+                         F.col(batch).alias("__batch"), "pos")
+    seen = cut(_repeats(placed))
+    starts = placed.groupBy("__grp", "__batch").agg(F.min("pos").alias("j"))
     # Only a batch's first access to a key looks back beyond the batch.
-    heads = (rows.groupBy("__grp", batch, "__key").agg(F.min_by("prev", "pos").alias("p"),
-                                                       F.min("pos").alias("query"))
-             .join(starts, ["__grp", batch]))
-    asks = heads.where("p > 0").select(F.col("__grp").alias("grp"), "query", "p",
-                                       F.col("start").alias("j"))
-    points = rows.select(F.col("__grp").alias("grp"), "pos", "prev")
+    asks = cut(seen.where("pos = head").join(starts, ["__grp", "__batch"])
+               .select(F.col("__grp").alias("grp"), F.col("pos").alias("query"), F.col("prev").alias("p"), "j"))
+    points = seen.select(F.col("__grp").alias("grp"), "pos", "prev")
     near = (distinct_between(points, asks).where(F.col("distance") < capacity)
-            .select(F.col("grp").alias("__grp"), "query", F.lit(True).alias("__near")))
-    verdict = (heads.join(near, ["__grp", "query"], "left")
-               .select("__grp", batch, "__key", F.coalesce("__near", F.lit(False)).alias("hit")))
-    return rows.drop("pos", "prev").join(verdict, ["__grp", batch, "__key"]).drop("__grp", "__key")
+            .select(F.col("grp").alias("__grp"), F.col("query").alias("head")))
+    near = cut(seen.join(near, ["__grp", "head"]).select("__grp", "pos", F.lit(True).alias("__near")))
+    return (rows.where(F.col(batch).isNotNull()).withColumn("__grp", solid(worker))
+            .join(near, ["__grp", "pos"], "left")
+            .withColumn("hit", F.coalesce("__near", F.lit(False))).drop("__grp", "pos", "__near"))
+
+
+def _repeats(placed: DataFrame) -> DataFrame:
+    """(__grp, __batch, pos, prev, head) of the accesses to keys that their worker has had before.
+
+    ``placed(__grp, __key, __batch, pos)``; ``prev`` is the position of the access before,
+    ``head`` that of the batch's first access to the key. Keys are shuffled once; only hot ones are
+    cut into slices, which get the last access of the slice before as one more row.
+    """
+    key = ["__grp", "__key"]
+    hot = (placed.where(F.xxhash64("pos") % SAMPLE == 0).groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+           .where(F.col("__n") > HOT_ACCESSES // SAMPLE).select(*key, F.lit(True).alias("__hot")))
+    rows = null_safe_join(placed, F.broadcast(cut(hot)), key, "left")
+    rows = rows.withColumn("__s", F.when(F.col("__hot"), dense_slice("pos", HOT_ACCESSES)).otherwise(-1))
+    runs = (rows.where("__hot").groupBy(*key, "__batch", "__s")
+            .agg(F.min("pos").alias("__from"), F.max("pos").alias("pos"))
+            .withColumn("__from", F.min("__from").over(Window.partitionBy(*key, "__batch"))))
+    before = (runs.groupBy(*key, "__s").agg(F.max_by(F.struct("__batch", "pos", "__from"), "pos").alias("__e"))
+              .withColumn("__e", F.lag("__e").over(Window.partitionBy(*key).orderBy("__s")))
+              .where(F.col("__e").isNotNull()).select(*key, "__s", "__e.*"))
+    here = Window.partitionBy(*key, "__s").orderBy("pos")
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.col("__p").isNull() | ~F.col("__p.__batch").eqNullSafe(F.col("__batch"))
+    head = F.coalesce("__from", F.when(opens, F.col("pos")))
+    return (rows.drop("__hot").unionByName(before, allowMissingColumns=True)
+            .withColumn("__p", F.lag(F.struct("__batch", "pos")).over(here))
+            .withColumn("head", F.last(head, True).over(upto))
+            .where(F.col("__from").isNull() & F.col("__p").isNotNull())
+            .select("__grp", "__batch", "pos", F.col("__p.pos").alias("prev"), "head"))
 
 
 def batch_locality(df: DataFrame, capacity: int | None = None, worker: str = "worker_id",

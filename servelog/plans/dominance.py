@@ -1,15 +1,15 @@
 """Distinct keys between two accesses of one stream, counted slice by slice.
 
 The number of distinct keys touched strictly between positions p and j of a
-stream equals ``#{i < j : prev(i) < p} - p`` where ``prev(i)`` is the position
+stream equals ``j - 1 - p - #{i < j : prev(i) >= p}`` where ``prev(i)`` is the position
 of the previous access to the key of i (0 if none) and positions start at 1:
-every i <= p counts once, and i in (p, j) counts iff it is the first access to
-its key after p. That is a two-sided count, which splits over slices of equal
-position ranges:
+of the accesses in (p, j) those count that are the first to their key after p. First
+accesses (``prev`` 0) are never taken off, so only later ones are points of a two-sided
+count, which splits over slices of equal position ranges:
 
-* whole slices before j's slice and whole ``prev`` slices before p's slice:
+* whole slices before j's slice and whole ``prev`` slices from p's slice on:
   a grid of counts, one cell per pair of slices;
-* ``prev`` in p's own slice, i in a slice before j's: ranked inside p's slice;
+* of them, ``prev`` before p in p's own slice: ranked inside p's slice;
 * i in j's own slice: ranked inside j's slice.
 
 No pair of rows is ever formed and no block is larger than a slice, because
@@ -54,7 +54,8 @@ def count_below(values: np.ndarray, upto: np.ndarray, limit: np.ndarray) -> np.n
 
 
 def _count_blocks(rows: pd.DataFrame, block: np.ndarray) -> pd.DataFrame:
-    """For every query, the points of its block with smaller x and smaller y."""
+    """For every query, the points of its block with smaller x and smaller y; in blocks of
+    kind 0 less all with smaller x."""
     wide_x, wide_y = int(rows["x"].max()) + 2, int(rows["y"].max()) + 2
     x = block * wide_x + rows["x"].to_numpy()
     y = block * wide_y + rows["y"].to_numpy()
@@ -66,8 +67,10 @@ def _count_blocks(rows: pd.DataFrame, block: np.ndarray) -> pd.DataFrame:
     limit = np.searchsorted(levels, y[~point])
     # Points of earlier blocks precede in x and are smaller in y: take them off.
     before = np.searchsorted(at, block[~point] * wide_x)
-    n = count_below(values, np.searchsorted(at, x[~point]), limit) - before
+    upto = np.searchsorted(at, x[~point])
+    n = count_below(values, upto, limit) - before
     asks = rows[~point]
+    n -= np.where(asks["kind"].to_numpy() == 0, upto - before, 0)
     return pd.DataFrame({"grp": asks["grp"], "query": asks["query"], "n": n})
 
 
@@ -105,13 +108,13 @@ def distinct_between(points: DataFrame, queries: DataFrame,
     """``points(grp, pos, prev)`` and ``queries(grp, query, p, j)`` ->
     ``(grp, query, distance)``: distinct keys strictly between p and j.
 
-    ``pos`` runs 1..n inside ``grp``, ``prev`` is 0 for a first access, ``query``
-    is any long that is unique inside ``grp``.
+    ``pos`` runs 1..n inside ``grp``, ``prev`` is 0 for a first access (which may be left
+    out), ``query`` is any long that is unique inside ``grp``.
     """
     def cell(c):
         return F.floor((F.col(c) - 1) / F.lit(slice_positions)).cast("long")
 
-    pts = points.select("grp", "pos", "prev", cell("pos").alias("pos_slice"),
+    pts = points.where("prev > 0").select("grp", "pos", "prev", cell("pos").alias("pos_slice"),
                         cell("prev").alias("prev_slice"))
     ask = queries.select("grp", "query", F.col("j").alias("pos"), F.col("p").alias("prev"),
                          cell("j").alias("pos_slice"), cell("p").alias("prev_slice"))
@@ -125,7 +128,7 @@ def distinct_between(points: DataFrame, queries: DataFrame,
     # count across slices; streams of a single slice skip that part altogether.
     far = ask.where("pos_slice > prev_slice")
     asked = far.select("grp", "prev_slice").distinct()
-    crossed = pts.where("prev > 0").join(asked, ["grp", "prev_slice"], "left_semi")
+    crossed = pts.join(asked, ["grp", "prev_slice"], "left_semi")
     none, name = F.lit(0), F.col("query")
     blocks = (block(pts, 0, "pos_slice", "pos", "prev", none, True)
               .unionByName(block(ask, 0, "pos_slice", "pos", "prev", name, False))
@@ -134,11 +137,15 @@ def distinct_between(points: DataFrame, queries: DataFrame,
     counted = fold_sorted(blocks, ["grp", "kind", "cell"], [], _count_sorted,
                           f"grp {dict(points.dtypes)['grp']}, query long, n long")
 
-    # Grid: rows per (row slice a, prev slice b), summed over a' < a and b' < b.
+    # Grid: points per (row slice a, prev slice b), summed over a' < a and b' < b. A strip of
+    # nothing below all others gives every row slice up to the last one asked for its sums.
     cells = pts.groupBy("grp", "pos_slice", "prev_slice").agg(F.count(F.lit(1)).alias("c"))
-    last = pts.groupBy("grp").agg(F.max("pos_slice").alias("last"))
+    last = ask.groupBy("grp").agg(F.max("pos_slice").alias("last"))
+    zero, below = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    cells = cells.join(last, "grp").where("pos_slice <= last").unionByName(last.select(
+        "grp", zero.alias("pos_slice"), below.alias("prev_slice"), zero.alias("c"), "last"))
     by_strip = Window.partitionBy("grp", "prev_slice").orderBy("pos_slice")
-    strips = (cells.join(last, "grp")
+    strips = (cells
               .withColumn("upto", F.lead("pos_slice").over(by_strip) - 1)
               .withColumn("c", F.sum("c").over(by_strip))
               .withColumn("a", F.explode(F.sequence(F.col("pos_slice"),
@@ -150,14 +157,15 @@ def distinct_between(points: DataFrame, queries: DataFrame,
                          (F.col("prev_slice") + 1).alias("b"),
                          F.sum("c").over(before_b).alias("whole"))
     until = Window.partitionBy("grp", "pos_slice").orderBy("b")
-    grid = grid.withColumn("b_next", F.lead("b").over(until))
+    grid = grid.withColumns({"b_next": F.lead("b").over(until),
+                             "all": F.max("whole").over(Window.partitionBy("grp", "pos_slice"))})
     grid = grid.withColumn("prev_slice", F.explode(F.sequence(
         F.col("b"), F.greatest(F.col("b"), F.coalesce(F.col("b_next") - 1, F.col("pos_slice"))))))
-    grid = grid.select("grp", "pos_slice", "prev_slice", "whole")
+    grid = grid.select("grp", "pos_slice", "prev_slice", (F.col("whole") - F.col("all")).alias("whole"))
 
     parts = counted.groupBy("grp", "query").agg(F.sum("n").alias("own"))
     return (ask.join(grid, ["grp", "pos_slice", "prev_slice"], "left")
             .join(parts, ["grp", "query"])
             .select("grp", "query",
-                    (F.col("own") + F.coalesce("whole", F.lit(0)) - F.col("prev"))
+                    (F.col("pos") - 1 - F.col("prev") + F.col("own") + F.coalesce("whole", F.lit(0)))
                     .alias("distance")))

@@ -1,14 +1,21 @@
 """What a task holds is bounded by rows and bytes, whatever the table's size."""
 
 import hashlib
+import random
+import time
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from servelog import session
 from servelog.catalog import joins as join_queries
+from servelog.catalog import locality as locality_queries
 from servelog.catalog import placement as placement_queries
 from servelog.functions import keys
 from servelog.operators import infer, locality, placement
 from servelog.plans import dominance
+from servelog.session import cut
 
 
 def test_slices_of_requests_hold_equal_numbers_of_blocks(spark, monkeypatch):
@@ -70,3 +77,62 @@ def test_takers_give_a_row_of_the_log_once(spark):
     assert wide.count() == 500 and wide.where(F.size("takes") == 3).count() == 500
     flat = placement.place(log, "key", fleet, caps, window)
     assert flat.columns == ["cap_factor", "win", "seq", "worker_id", "rank"] and flat.count() == 1500
+
+
+def _bytes_of_shuffles(spark):
+    """What shuffles have written to disk that is still there."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [d.getPath() for d in env.blockManager().diskBlockManager().localDirs()]
+    return sum(f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data"))
+
+
+def test_shuffle_files_of_a_written_table_are_removed(spark):
+    df = spark.range(300_000).select(F.md5(F.col("id").cast("string")).alias("h")).repartition(7, "h")
+    before = _bytes_of_shuffles(spark)
+    kept = cut(df)
+    end = time.time() + 10
+    while _bytes_of_shuffles(spark) - before > 1_000_000 and time.time() < end:
+        time.sleep(0.1)
+    assert _bytes_of_shuffles(spark) - before < 1_000_000
+    assert kept.count() == 300_000
+
+
+def test_blocks_under_a_capacity_take_few_bytes(spark, tmp_path, monkeypatch):
+    """20,000 blocks of 64 characters: the tables kept on the way hold less than 64 bytes a block."""
+    text = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.md5(F.concat_ws("-", F.col("id") % 90, k))))
+    spark.range(200).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang")).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    paths, real = [], session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda *a: paths.append(real(*a)) or paths[-1])
+    got = locality_queries.reuse_depth_lru(spark, str(tmp_path))
+    assert got.agg(F.sum("n_blocks")).first()[0] == 20_000
+    kept = sum(f.stat().st_size for p in paths for f in Path(p).rglob("*.parquet"))
+    assert kept < 64 * 20_000
+
+
+def _hits_by_replay(rows, capacity):
+    """(worker, batch, key) in order -> hit: under ``capacity`` distinct keys since its last access before the batch."""
+    hits = []
+    for i, (worker, batch, key) in enumerate(rows):
+        start = next(k for k, r in enumerate(rows) if r[:2] == (worker, batch))
+        at = [k for k in range(start) if rows[k][0] == worker and rows[k][2] == key]
+        between = {rows[k][2] for k in range(at[-1] + 1, start) if rows[k][0] == worker} if at else None
+        hits.append(at != [] and len(between) < capacity)
+    return hits
+
+
+@pytest.mark.parametrize("hot,width", [(250_000, 100_000), (8, 16), (64, 7)])
+def test_batch_hits_with_hot_keys_and_narrow_slices(spark, monkeypatch, hot, width):
+    rng = random.Random(hot)
+    log, batch = [], 0
+    for _ in range(900):
+        batch += rng.random() < 0.2
+        log.append((rng.choice(["w", "w", "v", None]), batch, rng.choice(["hot", "hot", None, *"abcdefghijklmnop"])))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(log)], "seq long, worker_id string, batch_no long, prefix_id string")
+    monkeypatch.setattr(locality, "HOT_ACCESSES", hot)
+    monkeypatch.setattr(locality, "SAMPLE", 1 if hot < 100 else 64)
+    real = locality.distinct_between
+    monkeypatch.setattr(locality, "distinct_between", lambda points, asks: real(points, asks, width))
+    for capacity in (1, 6):
+        got = locality.batch_hits(df, capacity, order=["seq"], slice_=F.floor(F.col("seq") / 100))
+        assert [r["hit"] for r in got.orderBy("seq").collect()] == _hits_by_replay(log, capacity)
